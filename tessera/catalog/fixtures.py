@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,8 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf: str) -> DataFrame:
-    return keep_complete(lab(spark, sf), FEATURES, 0.50)
+    """Complete enough records; persisted, since fitting scans them several times."""
+    return keep_complete(lab(spark, sf), FEATURES, 0.50).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def filled(spark: SparkSession, sf: str) -> DataFrame:

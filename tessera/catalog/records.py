@@ -259,8 +259,10 @@ def range_deviation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("zscore_transfer", sql("""
-    SELECT record_id, round(least(greatest((max_total - mu) / sd, -4.0::double), 4.0::double), 6) AS max_total,
-           round(least(greatest(avg_tax, -4.0::double), 4.0::double), 6) AS avg_tax
+    SELECT record_id, CASE WHEN max_total IS NOT NULL THEN
+               round(least(greatest((max_total - mu) / sd, -4.0::double), 4.0::double), 6) END AS max_total,
+           CASE WHEN avg_tax IS NOT NULL THEN
+               round(least(greatest(avg_tax, -4.0::double), 4.0::double), 6) END AS avg_tax
     FROM lab, st WHERE cycle_year >= '2000'""", "lab",
     st="SELECT avg(max_total) AS mu, greatest(stddev_pop(max_total), 1e-6) AS sd FROM lab WHERE cycle_year < '2000'"))
 def zscore_transfer(spark: SparkSession, sf: str) -> DataFrame:

@@ -143,21 +143,25 @@ def deviation_profile(df: DataFrame, cluster: str, features: Sequence[str],
                       labels: Mapping[str, str] | None = None) -> DataFrame:
     """Mean deviation of each feature per cluster and against all records, banded.
 
-    Means are taken on the wide table (one row per cluster leaves the aggregation);
-    only those few rows are turned to long form.
+    Sums are taken on the wide table (one row per cluster leaves the aggregation);
+    only those few rows are turned to long form, and their total gives the
+    population mean.
     """
     labels = labels or {}
-    means = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_records"),
-                                    *[F.avg(f).alias(f) for f in features])
-    pop = df.agg(*[F.avg(f).alias(f) for f in features]).select(F.struct("*")).scalar()
+    sums = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_records"),
+                                   *[F.sum(f).alias(f) for f in features],
+                                   *[F.count(f).alias(f"_n_{f}") for f in features])
     cells = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("code"),
-                               F.lit(labels.get(f, f)).alias("name"), F.col(f).alias("dev"),
-                               F.col("_p")[f].alias("pop")) for i, f in enumerate(features)])
-    return (means.withColumn("_p", pop).select(cluster, "n_records", F.explode(cells).alias("c"))
-            .select(cluster, "n_records", "c.ord", "c.code", short_name("c.name").alias("label"),
-                    F.round("c.dev", 2).alias("deviation"),
-                    F.round(F.col("c.dev") - F.col("c.pop"), 2).alias("vs_pop"),
-                    severity_band("c.dev").alias("band")))
+                               F.lit(labels.get(f, f)).alias("name"), F.col(f).alias("s"),
+                               F.col(f"_n_{f}").alias("n")) for i, f in enumerate(features)])
+    rows = sums.select(cluster, "n_records", F.explode(cells).alias("c")).select(cluster, "n_records", "c.*")
+    whole = Window.partitionBy("code")
+    rows = rows.withColumn("dev", F.col("s") / F.col("n")).withColumn(
+        "pop", F.sum("s").over(whole) / F.sum("n").over(whole))
+    return rows.select(cluster, "n_records", "ord", "code", short_name("name").alias("label"),
+                       F.round("dev", 2).alias("deviation"),
+                       F.round(F.col("dev") - F.col("pop"), 2).alias("vs_pop"),
+                       severity_band("dev").alias("band"))
 
 
 def profile_text(profile: DataFrame, cluster: str, max_normal: int = 6) -> DataFrame:

@@ -19,36 +19,36 @@ from tessera.operators.vectors import (centre_gaps, euclidean_silhouette, mean_v
                                        own_distance)
 
 
-def flag_rate(flag: str) -> Column:
-    """Share of all rows whose flag is 1; NULL counts as 0."""
-    return F.avg(F.when(F.col(flag).eqNullSafe(F.lit(1)), 1.0).otherwise(0.0))
-
-
 def enrichment(assigned: DataFrame, clusters: Sequence[str], flags: Sequence[str],
                means: Sequence[str] = (), high: float = 2.0, k: int | None = None) -> DataFrame:
     """Outcome rates per cluster against the base rate of all records.
 
     ``assigned`` is one row per record with one cluster column per panel and the
     joined outcomes. It is turned to (panel, cluster) rows inside the aggregation,
-    which is combined on the map side. With ``k`` every cluster id below it is listed.
+    which is combined on the map side; base rates are sums over a panel's clusters,
+    so the records are read once. With ``k`` every cluster id below it is listed.
     """
-    base = assigned.agg(*[flag_rate(f).alias(f) for f in flags]).select(F.struct("*")).scalar()
     panels = F.array(*[F.struct(F.lit(c).alias("panel"), F.col(c).cast("int").alias("cluster_id"))
                        for c in clusters])
     out = (assigned.select(F.explode(panels).alias("p"), *flags, *means)
            .select("p.*", *flags, *means).groupBy("panel", "cluster_id")
-           .agg(F.count(F.lit(1)).alias("n"), *[flag_rate(f).alias(f"{f}_rate") for f in flags],
+           .agg(F.count(F.lit(1)).alias("n"),
+                *[F.count_if(F.col(f).eqNullSafe(F.lit(1))).alias(f"_{f}") for f in flags],
                 *[F.avg(m).alias(f"mean_{m}") for m in means]))
     if k is not None:
         grid = assigned.sparkSession.createDataFrame([(c,) for c in clusters], "panel string").select(
             "panel", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cluster_id"))
-        out = grid.join(out, ["panel", "cluster_id"], "left").fillna(0, subset=["n"])
+        out = grid.join(out, ["panel", "cluster_id"], "left").fillna(0, subset=["n", *[f"_{f}" for f in flags]])
+    whole = Window.partitionBy("panel")
     for f in flags:
-        b = base.getField(f)
-        out = out.withColumn(f"{f}_enrichment", F.when(b > 0, F.col(f"{f}_rate") / b).otherwise(0.0))
+        base = F.sum(f"_{f}").over(whole) / F.sum("n").over(whole)
+        rate = F.when(F.col("n") > 0, F.col(f"_{f}") / F.col("n"))
+        out = (out.withColumn(f"{f}_rate", rate).withColumn("_base", base)
+               .withColumn(f"{f}_enrichment", F.when(F.col("_base") > 0, rate / F.col("_base")).otherwise(0.0)))
     ratios = [F.coalesce(F.col(f"{f}_enrichment"), F.lit(0.0)) for f in flags]
     top = ratios[0] if len(ratios) == 1 else F.greatest(*ratios)
-    return out.withColumn("flag", F.when(top >= high, "HIGH").otherwise(""))
+    return (out.withColumn("flag", F.when(top >= high, "HIGH").otherwise(""))
+            .drop("_base", *[f"_{f}" for f in flags]))
 
 
 def contingency(df: DataFrame, cluster: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -135,7 +135,7 @@ def seeded_pairs(df: DataFrame, key: str, cluster: str, vec: str, n_pairs: int,
     from tessera.operators.ordering import hash_buckets, rank_rows
 
     rows = rank_rows(hash_buckets(df.select(key, cluster, vec), key, seed), [], "_pos")
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = F.lit(df.count())
 
     def draw(tag: str) -> Column:
         head = F.conv(F.substring(seeded_hash("pair", f"{seed}{tag}"), 1, 12), 16, 10).cast("long")

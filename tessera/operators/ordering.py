@@ -143,45 +143,52 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                     accuracy: int = 50_000) -> DataFrame:
     """Exact interpolated quantiles of whole columns; one row, arrays by column.
 
-    ``percentile`` would bring every distinct value of a column into one task. Here
-    a first scan brackets each wanted order statistic with a mergeable sketch of
-    bounded size, and a second scan counts the values below the bracket and
-    collects only those inside it (about ``4 / accuracy`` of the rows), combined
-    by value before the shuffle.
+    ``percentile`` brings every distinct value of a column into one task, which is
+    fine only while there are few. For more than ``2 * accuracy`` values a first scan
+    brackets each wanted order statistic with a mergeable sketch of bounded size;
+    then the values below each bracket are counted and only those inside it (about
+    ``4 / accuracy`` of the rows) are combined by value and shuffled. The input is
+    scanned three times: persist it if it is costly to compute.
     """
     margin = 2.0 / accuracy
     edges = [p for q in probs for p in (max(0.0, q - margin), min(1.0, q + margin))]
-    sketch = df.agg(*[F.percentile_approx(c, F.array(*map(F.lit, edges)), F.lit(accuracy)).alias(c)
-                      for c in columns],
-                    *[F.count(c).alias(f"_n_{c}") for c in columns])
-    bounds = sketch.select(F.struct("*")).scalar()
-    marks = []
+    grid = F.array(*map(F.lit, edges))
+    sketch = df.agg(*[F.percentile_approx(c, grid, F.lit(accuracy)).alias(c) for c in columns],
+                    *[F.count(c).alias(f"_n_{c}") for c in columns]).first()
+    if max(sketch[f"_n_{c}"] for c in columns) <= 2 * accuracy:
+        return df.agg(*[F.percentile(c, [float(p) for p in probs]).alias(c) for c in columns])
+    cells, below = [], []
     for ci, c in enumerate(columns):
         x = F.col(c).cast("double")
-        for pi in range(len(probs)):
-            # Small columns are bracketed by everything: the sketch margin would be
-            # less than one row there.
-            sized = bounds.getField(f"_n_{c}") > 2 * accuracy
-            lo = F.when(sized, bounds.getField(c)[2 * pi].cast("double")).otherwise(float("-inf"))
-            hi = F.when(sized, bounds.getField(c)[2 * pi + 1].cast("double")).otherwise(float("inf"))
-            marks.append(F.when(x < lo, F.struct(
-                F.lit(ci).alias("ci"), F.lit(pi).alias("pi"), F.lit(None).cast("double").alias("x")))
-                .when(x <= hi, F.struct(F.lit(ci).alias("ci"), F.lit(pi).alias("pi"), x.alias("x"))))
-    counted = (df.select(F.explode(F.array_compact(F.array(*marks))).alias("m"))
+        for pi, p in enumerate(probs):
+            if sketch[c] is None:
+                continue
+            lo, hi = float(sketch[c][2 * pi]), float(sketch[c][2 * pi + 1])
+            if sketch[f"_n_{c}"] <= 2 * accuracy:
+                lo, hi = float("-inf"), float("inf")
+            pos = (sketch[f"_n_{c}"] - 1) * float(p)
+            cells.append((F.count_if(x < lo), F.when((x >= lo) & (x <= hi), F.struct(
+                F.lit(ci).alias("ci"), F.lit(pi).alias("pi"), x.alias("x"))), ci, pi, pos))
+    below = df.agg(*[c[0].alias(f"b{i}") for i, c in enumerate(cells)]).first()
+    lookup = df.sparkSession.createDataFrame(
+        [(c[2], c[3], c[4], int(below[f"b{i}"])) for i, c in enumerate(cells)],
+        "ci int, pi int, pos double, below long")
+    counted = (df.select(F.explode(F.array_compact(F.array(*[c[1] for c in cells]))).alias("m"))
                .groupBy("m.ci", "m.pi", "m.x").agg(F.count(F.lit(1)).alias("n")))
-    order = (Window.partitionBy("ci", "pi").orderBy(F.col("x").asc_nulls_first())
+    order = (Window.partitionBy("ci", "pi").orderBy("x")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("hi", F.sum("n").over(order)).withColumn("lo", F.col("hi") - F.col("n"))
-    sizes = F.array(*[bounds.getField(f"_n_{c}") for c in columns])
-    pos = (sizes[F.col("ci")] - 1) * F.array(*[F.lit(float(p)) for p in probs])[F.col("pi")]
-    at = (ranked.withColumn("pos", pos)
-          .withColumn("f", F.floor("pos")).withColumn("c", F.ceil("pos"))
-          .groupBy("ci", "pi").agg(
-              F.max(F.when((F.col("lo") <= F.col("f")) & (F.col("f") < F.col("hi")), F.col("x"))).alias("xf"),
-              F.max(F.when((F.col("lo") <= F.col("c")) & (F.col("c") < F.col("hi")), F.col("x"))).alias("xc"),
-              F.max(F.col("pos") - F.col("f")).alias("w")))
+    ranked = (counted.join(F.broadcast(lookup), ["ci", "pi"])
+              .withColumn("end", F.col("below") + F.sum("n").over(order))
+              .withColumn("start", F.col("end") - F.col("n")))
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((F.col("start") <= index) & (index < F.col("end")), F.col("x")))
+
+    f, c = F.floor("pos"), F.ceil("pos")
+    found = ranked.groupBy("ci", "pi").agg(at(f).alias("xf"), at(c).alias("xc"),
+                                           F.max(F.col("pos") - f).alias("w"))
     value = F.col("xf") + (F.col("xc") - F.col("xf")) * F.col("w")
-    by_col = at.select("ci", F.struct("pi", value.alias("q")).alias("s"))
+    by_col = found.select("ci", F.struct("pi", value.alias("q")).alias("s"))
     return by_col.groupBy().agg(*[
         F.transform(F.array_sort(F.collect_list(F.when(F.col("ci") == ci, F.col("s")))),
                     lambda s: s["q"]).alias(c) for ci, c in enumerate(columns)])

@@ -39,12 +39,13 @@ def impute(df: DataFrame, features: Sequence[str], fill: DataFrame,
            count_as: str | None = None) -> DataFrame:
     """Fill NULLs from a one-row frame; absent columns are created.
 
-    ``count_as`` names a column with the number of cells filled in the row.
+    The row is read once and becomes constants of the plan. ``count_as`` names a
+    column with the number of cells filled in the row.
     """
-    fills = fill.select(F.struct(*features)).scalar()
+    fills = {f: F.lit(v).cast("double") for f, v in fill.select(*features).first().asDict().items()}
     have = set(df.columns)
     out = [c for c in df.columns if c not in features]
-    cells = [F.coalesce(F.col(f), fills.getField(f)) if f in have else fills.getField(f)
+    cells = [F.coalesce(F.col(f), fills[f]) if f in have else fills[f]
              for f in features]
     cols = [*out, *[c.alias(f) for c, f in zip(cells, features)]]
     if count_as:
@@ -62,21 +63,28 @@ def fallback_stats(df: DataFrame, features: Sequence[str], ranges: Ranges) -> Da
                     for f in free])
 
 
-def deviation_column(feature: str, ranges: Ranges, stats: Column | None,
-                     known: Sequence[str] = (), cap: float = 4.0) -> Column:
+def stats_map(frame: DataFrame) -> dict[str, tuple[float, float]]:
+    """The one row of :func:`fallback_stats` as constants."""
+    row = frame.first().asDict(recursive=True)
+    return {f: (v["mu"], v["sigma"]) for f, v in row.items()
+            if isinstance(v, dict) and v["mu"] is not None}
+
+
+def deviation_column(feature: str, ranges: Ranges, stats: Mapping[str, tuple[float, float]],
+                     cap: float = 4.0) -> Column:
     """Signed distance from the middle of the range in half-ranges, capped.
 
-    Without a range the feature is standardised by ``stats``; a feature unknown
-    to the fit keeps its value (mean 0, deviation 1).
+    Without a range the feature is standardised by its mean and deviation in
+    ``stats``; a feature unknown to the fit keeps its value.
     """
     x = F.col(feature)
     if feature in ranges:
         lo, hi = ranges[feature]
         mid, half = (lo + hi) / 2.0, max((hi - lo) / 2.0, 1e-6)
         z = (x - F.lit(mid)) / F.lit(half)
-    elif stats is not None and feature in known:
-        s = stats.getField(feature)
-        z = (x - s.getField("mu")) / F.greatest(s.getField("sigma"), F.lit(1e-6))
+    elif feature in stats:
+        mu, sigma = stats[feature]
+        z = (x - F.lit(mu)) / F.lit(max(sigma, 1e-6))
     else:
         z = x
     return F.when(x.isNotNull(), F.least(F.greatest(z, F.lit(-cap)), F.lit(cap)))
@@ -89,22 +97,20 @@ def deviations(df: DataFrame, features: Sequence[str], ranges: Ranges,
     ``stats`` is the stored frame of :func:`fallback_stats`; by default it is
     fitted on ``df``.
     """
-    stats = fallback_stats(df, features, ranges) if stats is None else stats
-    known = [c for c in stats.columns if c != "_none"]
-    one = stats.select(F.struct(*known)).scalar() if known else None
+    frame = fallback_stats(df, features, ranges) if stats is None else stats
+    known = stats_map(frame)
     return df.select(*[c for c in df.columns if c not in features],
-                     *[deviation_column(f, ranges, one, known, cap).alias(f) for f in features])
+                     *[deviation_column(f, ranges, known, cap).alias(f) for f in features])
 
 
 def robust_scale(df: DataFrame, features: Sequence[str], quartiles: DataFrame | None = None) -> DataFrame:
     """``(x - median) / IQR`` with exact quartiles; a zero IQR divides by one."""
     q = exact_quantiles(df, features, [0.25, 0.5, 0.75]) if quartiles is None else quartiles
-    row = q.select(F.struct(*features)).scalar()
+    row = q.select(*features).first()
 
     def scaled(f: str) -> Column:
-        a = row.getField(f)
-        iqr = a[2] - a[0]
-        return ((F.col(f) - a[1]) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)).alias(f)
+        low, mid, high = row[f]
+        return ((F.col(f) - mid) / ((high - low) or 1.0)).alias(f)
 
     return df.select(*[c for c in df.columns if c not in features], *[scaled(f) for f in features])
 

@@ -72,6 +72,6 @@ def random_split(df: DataFrame, key: str, seed: int | str, val_size: float = 0.2
 
 def every_nth_split(df: DataFrame, label: str, key: str, n: int = 5, seed: int | str = 0) -> DataFrame:
     """Adds ``pos`` and ``split``: every ``n``-th row of each class goes to ``val``."""
-    ranked = rank_rows(hash_buckets(df, key, seed), [label], "_r")
-    return (ranked.withColumn("pos", F.col("_r") - 1).drop("_r")
+    ranked = rank_rows(hash_buckets(df, key, seed), [label], "pos")
+    return (ranked.withColumn("pos", F.col("pos") - 1)
             .withColumn("split", F.when(F.col("pos") % n == 0, "val").otherwise("train")))

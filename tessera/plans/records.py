@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tessera.operators.clustering import (DiagonalMixture, FeaturePrep, fit_pane
                                           save_mixture)
 from tessera.operators.concepts import cube_rows
 from tessera.operators.prepare import (deviation_column, deviations, fallback_stats, impute,
-                                       keep_complete, medians)
+                                       keep_complete, medians, stats_map)
 
 
 @dataclass
@@ -50,10 +51,8 @@ class RecordScorer:
         filled = df.select(*[c for c in df.columns if c not in self.features], *[
             (F.coalesce(F.col(f).cast("double"), F.lit(self.fills[f])) if f in have
              else F.lit(self.fills[f])).alias(f) for f in self.features])
-        stat = F.struct(*[F.struct(F.lit(m).alias("mu"), F.lit(s).alias("sigma")).alias(f)
-                          for f, (m, s) in self.stats.items()]) if self.stats else None
         return filled.select(*[c for c in filled.columns if c not in self.features], *[
-            deviation_column(f, self.ranges, stat, list(self.stats)).alias(f) for f in self.features])
+            deviation_column(f, self.ranges, self.stats).alias(f) for f in self.features])
 
     def _membership(self, panel: str) -> Column:
         prep, mix = self.models[panel]
@@ -108,8 +107,11 @@ class RecordScorer:
 
 
 def prepare_records(lab: DataFrame, features: Sequence[str], min_ratio: float = 0.70) -> DataFrame:
-    """Complete enough records with the remaining gaps filled by global medians."""
-    kept = keep_complete(lab, features, min_ratio)
+    """Complete enough records with the remaining gaps filled by global medians.
+
+    The kept records are persisted: medians and imputation scan them several times.
+    """
+    kept = keep_complete(lab, features, min_ratio).persist(StorageLevel.MEMORY_AND_DISK)
     return impute(kept, features, medians(kept, features))
 
 
@@ -122,12 +124,11 @@ def fit_scorer(lab: DataFrame, panels: Mapping[str, Sequence[str]], ranges: Mapp
     """Fit medians, deviations, panel mixtures and, with outcomes, the linear model."""
     panels = {p: list(fs) for p, fs in panels.items()}
     features = [f for fs in panels.values() for f in fs]
-    kept = keep_complete(lab, features, min_ratio)
+    kept = keep_complete(lab, features, min_ratio).persist(StorageLevel.MEMORY_AND_DISK)
     fill_frame = medians(kept, features)
     fills = fill_frame.first().asDict()
     filled = impute(kept, features, kept.sparkSession.createDataFrame([fills], fill_frame.schema))
-    stats_row = fallback_stats(filled, features, ranges).first().asDict(recursive=True)
-    stats = {f: (v["mu"], v["sigma"]) for f, v in stats_row.items() if isinstance(v, dict)}
+    stats = stats_map(fallback_stats(filled, features, ranges))
     scorer = RecordScorer(panels, dict(ranges), fills, stats, {}, names or {})
     encoded = scorer._encode(filled)
     long = cube_rows(encoded, entity, panels)

@@ -89,6 +89,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         except Exception as err:  # report every query, do not stop at the first
             problem, state = str(err), f"ERROR {type(err).__name__}: {str(err)[:600]}"
         failed += problem is not None
+        spark.catalog.clearCache()
         print(f"{name:28s} {time.time() - t:6.2f}s {state}", flush=True)
     print(f"{failed} failed")
     return failed
