@@ -1,0 +1,157 @@
+"""Queries that fit models: rows and invariants are checked, not values."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.catalog import query
+from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcomes, patches, table
+from tessera.catalog.records import _scratch
+from tessera.catalog.subvectors import CONCEPTS, _scores
+from tessera.functions.bands import three_class_outcome
+from tessera.functions.vectors import last_block
+from tessera.operators import classify, metrics
+from tessera.operators.clustering import (assign_panels, fit_kmeans, fit_mixture, fit_panels, fit_prep,
+                                          load_mixture, nearest_centre, save_mixture)
+from tessera.operators.concepts import cube_rows
+from tessera.operators.sampling import stratified_split
+from tessera.operators.vectors import batched, fit_projection
+from tessera.plans.records import RecordScorer, deviation_table, fit_scorer
+from tessera.plans.variants import Variant, k_sweep, run_variants
+
+CLASSES = ("first", "second", "neither")
+
+
+@query("pca_embed")
+def pca_embed(spark: SparkSession, sf: str) -> DataFrame:
+    p = patches(spark, sf)
+    proj = fit_projection(p, "f", 8)
+    return p.select("vec_id", proj.apply("f").alias("x"))
+
+
+@query("feature_prep")
+def feature_prep(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalise, project to 8 dimensions, append the grid position, normalise."""
+    p = patches(spark, sf)
+    return p.select("vec_id", fit_prep(p, "f", 8, GRID, 0.4).apply("f", "patch_id").alias("x"))
+
+
+@query("kmeans_fit")
+def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
+    p = patches(spark, sf)
+    model = fit_kmeans(p, "f", 6)
+    out = p.withColumn("cluster_id", nearest_centre(np.array(model.clusterCenters()), "f"))
+    return out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("gmm_fit")
+def gmm_fit(spark: SparkSession, sf: str) -> DataFrame:
+    p = patches(spark, sf)
+    prep = fit_prep(p, "f", 8)
+    x = p.select("vec_id", prep.apply("f").alias("x"))
+    mix = fit_mixture(x, "x", 5, n_init=2, max_iter=30)
+    return x.withColumn("cluster_id", mix.predict("x")).groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n")).withColumn("bound", F.lit(mix.bound))
+
+
+def _panel_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return cube_rows(deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5), "record_id", PANELS)
+
+
+@query("panel_gmm")
+def panel_gmm(spark: SparkSession, sf: str) -> DataFrame:
+    long = _panel_rows(spark, sf)
+    models = fit_panels(long, "panel", "vector", list(PANELS), 4, row_id="record_id", fit_sample=5_000,
+                        n_init=1, max_iter=20)
+    return assign_panels(long, "panel", "vector", models).groupBy("panel", "cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.aggregate("membership", F.lit(0.0), lambda a, x: a + x)).alias("min_sum"))
+
+
+@query("logreg_fit")
+def logreg_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome from deviations: split, fit on the training part, report on the test part."""
+    out = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("y")).filter("y >= 0")
+    data = stratified_split(deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5).join(out, "record_id"), "y", "record_id", 42)
+    model = classify.fit_linear(data.filter(~F.col("is_test")), "y", FEATURES, CLASSES, balanced=True, standardize=True, max_iter=50)
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    scored = model.score(data.filter("is_test")).withColumn("truth", names[F.col("y")])
+    return metrics.classification_report(scored, "truth", "prediction")
+
+
+@query("one_class_full")
+def one_class_full(spark: SparkSession, sf: str) -> DataFrame:
+    s = _scores(spark, sf)
+    model = classify.fit_one_class(s.filter("image_id % 4 <> 0"), list(CONCEPTS), 0.1)
+    return model.score(s).select("image_id", "score", "prediction", "confidence")
+
+
+@query("one_vs_rest_one_class")
+def one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw-vector baseline: projection, then one scorer per class, highest score wins."""
+    p = patches(spark, sf).withColumn("cls", (F.col("label") % 3).cast("string"))
+    x = p.select("vec_id", "cls", fit_projection(p, "f", 6).apply("f", normalize=False).alias("x"))
+    cols = [f"x{i}" for i in range(6)]
+    wide = x.select("vec_id", "cls", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)])
+    split = stratified_split(wide, "cls", "vec_id", 42)
+    out = classify.one_vs_rest_one_class(split.filter("not is_test"), split.filter("is_test"), "cls", cols, ["0", "1", "2"])
+    return metrics.classification_report(out, "cls", "predicted")
+
+
+@query("k_sweep")
+def sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return k_sweep(patches(spark, sf), "f", "vec_id", [2, 4, 6], sample=2_000)
+
+
+@query("ablation")
+def ablation(spark: SparkSession, sf: str) -> DataFrame:
+    """All layers, the last layer alone, and all layers with the grid position."""
+    f = F.col("f")
+    variants = [Variant("A", f, k=5, dims=8), Variant("B", last_block("f", 16), k=5, dims=8),
+                Variant("C", f, keep=F.col("patch_id") != 12, k=5, dims=8, grid=GRID)]
+    return run_variants(patches(spark, sf), variants, "vec_id", "label", "patch_id", fit_sample=20_000,
+                        silhouette_sample=2_000, n_init=1, max_iter=20)
+
+
+@query("variant_correlation")
+def variant_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlation of silhouette and purity over the ablation's variants."""
+    return metrics.pearson(ablation(spark, sf), "silhouette", "class_purity")
+
+
+def _scorer(spark: SparkSession, sf: str) -> RecordScorer:
+    y = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
+    return fit_scorer(lab(spark, sf), PANELS, RANGES, 3, min_ratio=0.5, fit_sample=5_000, n_init=1, max_iter=15,
+                      outcome=y, classes=CLASSES)
+
+
+@query("score_records")
+def score_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit on complete enough records, then score all of them, gaps included."""
+    return _scorer(spark, sf).apply(lab(spark, sf)).select("record_id", "scores", "prediction", "confidence")
+
+
+@query("model_round_trip")
+def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved and reloaded parameters score as the fitted ones do."""
+    p = patches(spark, sf)
+    prep = fit_prep(p, "f", 8)
+    mix = fit_mixture(p.select(prep.apply("f").alias("x")), "x", 4, n_init=1, max_iter=10)
+    path = _scratch(spark)
+    save_mixture(spark, path, prep, mix)
+    prep2, mix2 = load_mixture(spark, path)
+    return p.select("vec_id", mix.predict(prep.apply("f")).alias("before"), mix2.predict(prep2.apply("f")).alias("after"))
+
+
+@query("embed_hook", """
+    SELECT doc_id, [cast(n AS double), cast(v AS double)] AS embedding FROM (
+        SELECT doc_id, length(text) AS n, length(regexp_replace(lower(text), '[^aeiou]', '', 'g')) AS v FROM documents)""")
+def embed_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """A user model over whole texts; here it counts characters and vowels."""
+    def model(texts):
+        low = texts.str.lower()
+        return [[float(len(t)), float(n)] for t, n in zip(texts, sum(low.str.count(v) for v in "aeiou"))]
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return batched(model, "text", "embedding", "array<double>")(docs).drop("text")

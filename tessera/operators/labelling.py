@@ -120,7 +120,7 @@ def cluster_sizes(df: DataFrame, cluster: str, clusters: DataFrame | None = None
     if clusters is not None:
         out = clusters.join(out, cluster, "left").fillna(0, subset=["n"])
     total = Window.partitionBy()
-    return (out.withColumn("share", F.col("n") / F.sum("n").over(total))
+    return (out.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(total)))
             .withColumn("large_enough", F.col("n") > min_size))
 
 
@@ -156,8 +156,8 @@ def deviation_profile(df: DataFrame, cluster: str, features: Sequence[str],
                                F.col(f"_n_{f}").alias("n")) for i, f in enumerate(features)])
     rows = sums.select(cluster, "n_records", F.explode(cells).alias("c")).select(cluster, "n_records", "c.*")
     whole = Window.partitionBy("code")
-    rows = rows.withColumn("dev", F.col("s") / F.col("n")).withColumn(
-        "pop", F.sum("s").over(whole) / F.sum("n").over(whole))
+    rows = rows.withColumn("dev", F.try_divide("s", "n")).withColumn(
+        "pop", F.try_divide(F.sum("s").over(whole), F.sum("n").over(whole)))
     return rows.select(cluster, "n_records", "ord", "code", short_name("name").alias("label"),
                        F.round("dev", 2).alias("deviation"),
                        F.round(F.col("dev") - F.col("pop"), 2).alias("vs_pop"),
@@ -212,7 +212,7 @@ def parse_answer(text: str | Column) -> Column:
     """
     raw = F.col(text) if isinstance(text, str) else text
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?(.*?)(?:```|$)", 1)
-    body = F.trim(F.when(F.contains(raw, F.lit("```")), fenced).otherwise(raw))
+    body = F.trim(F.when(F.contains(raw, F.lit("```")), fenced).otherwise(raw), F.lit(" \t\r\n"))
     schema = ", ".join(f"{k} string" for k in ANSWER_KEYS) + ", _corrupt string"
     got = F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     bad = got.isNull() | got.getField("_corrupt").isNotNull() | ~F.startswith(body, F.lit("{"))

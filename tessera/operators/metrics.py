@@ -198,8 +198,11 @@ def pearson_p(r: pa.Array, n: pa.Array) -> pa.Array:
 
 
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Correlation, number of complete pairs and p-value; NULL for a constant side."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                                F.try_divide(F.covar_pop(x, y), spread).alias("r"))
     return out.withColumn("p_value", pearson_p("r", "n"))
 
 
@@ -305,4 +308,4 @@ def separation_gap(df: DataFrame, group: str, first: str, second: str, score: st
 def reduction(df: DataFrame, kept: Column) -> DataFrame:
     """Rows before and after a filter and the reduction in percent."""
     return df.agg(F.count(F.lit(1)).alias("before"), F.count_if(kept).alias("after")).withColumn(
-        "reduction_pct", 100.0 * (1.0 - F.col("after") / F.col("before")))
+        "reduction_pct", 100.0 * (1.0 - F.try_divide("after", "before")))
