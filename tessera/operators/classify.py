@@ -144,7 +144,7 @@ def contributions(scored: DataFrame, entity: str, concepts: Sequence[str], model
         base = F.col(name) if kind == "product" else F.col(name) - mean
         cells.append(F.struct(F.lit(name).alias("concept"), F.col(name).alias("score"),
                               (w * base).alias("contribution")))
-    return row.select(entity, F.explode(F.array(*cells)).alias("c")).select(entity, "c.*")
+    return row.select(entity, F.explode(F.array(*cells)).alias("_cell")).select(entity, "_cell.*")
 
 
 def ranked_contributions(rows: DataFrame, entity: str, name: str = "rank") -> DataFrame:
@@ -192,7 +192,7 @@ class OneClassModel:
         cells = [F.struct(F.lit(c).alias("concept"), F.col(c).cast("double").alias("activation"),
                           ((F.col(c) - float(self.mean[i])) / float(self.std[i])).alias("deviation"))
                  for i, c in enumerate(self.concepts)]
-        rows = df.select(entity, F.explode(F.array(*cells)).alias("c")).select(entity, "c.*")
+        rows = df.select(entity, F.explode(F.array(*cells)).alias("_cell")).select(entity, "_cell.*")
         order = Window.partitionBy(entity).orderBy(F.abs("deviation").desc(), "concept")
         return (rows.withColumn("pushes", push_label("deviation", target))
                 .withColumn("rank", F.row_number().over(order).cast("long")))

@@ -70,7 +70,7 @@ def score_rows(scores: DataFrame, entity: str, concepts: Sequence[str]) -> DataF
     """Score columns -> rows (entity, concept index, concept, score)."""
     cells = F.array(*[F.struct(F.lit(i).alias("concept_idx"), F.lit(c).alias("concept"),
                                F.col(c).cast("double").alias("score")) for i, c in enumerate(concepts)])
-    return scores.select(entity, F.explode(cells).alias("s")).select(entity, "s.*")
+    return scores.select(entity, F.explode(cells).alias("_cell")).select(entity, "_cell.*")
 
 
 def score_ranges(rows: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def cube_rows(df: DataFrame, entity: str, panels: Mapping[str, Sequence[str]]) -
     parts = F.array(*[F.struct(F.lit(i).alias("panel_idx"), F.lit(p).alias("panel"),
                                F.array(*[F.col(c).cast("double") for c in cols]).alias("vector"))
                       for i, (p, cols) in enumerate(panels.items())])
-    return df.select(entity, F.explode(parts).alias("p")).select(entity, "p.*")
+    return df.select(entity, F.explode(parts).alias("_cell")).select(entity, "_cell.*")
 
 
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "feature",

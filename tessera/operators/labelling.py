@@ -154,7 +154,7 @@ def deviation_profile(df: DataFrame, cluster: str, features: Sequence[str],
     cells = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("code"),
                                F.lit(labels.get(f, f)).alias("name"), F.col(f).alias("s"),
                                F.col(f"_n_{f}").alias("n")) for i, f in enumerate(features)])
-    rows = sums.select(cluster, "n_records", F.explode(cells).alias("c")).select(cluster, "n_records", "c.*")
+    rows = sums.select(cluster, "n_records", F.explode(cells).alias("_cell")).select(cluster, "n_records", "_cell.*")
     whole = Window.partitionBy("code")
     rows = rows.withColumn("dev", F.try_divide("s", "n")).withColumn(
         "pop", F.try_divide(F.sum("s").over(whole), F.sum("n").over(whole)))

@@ -30,8 +30,8 @@ def enrichment(assigned: DataFrame, clusters: Sequence[str], flags: Sequence[str
     """
     panels = F.array(*[F.struct(F.lit(c).alias("panel"), F.col(c).cast("int").alias("cluster_id"))
                        for c in clusters])
-    out = (assigned.select(F.explode(panels).alias("p"), *flags, *means)
-           .select("p.*", *flags, *means).groupBy("panel", "cluster_id")
+    out = (assigned.select(F.explode(panels).alias("_cell"), *flags, *means)
+           .select("_cell.*", *flags, *means).groupBy("panel", "cluster_id")
            .agg(F.count(F.lit(1)).alias("n"),
                 *[F.count_if(F.col(f).eqNullSafe(F.lit(1))).alias(f"_{f}") for f in flags],
                 *[F.avg(m).alias(f"mean_{m}") for m in means]))
@@ -222,7 +222,7 @@ def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     sides = conf.select(F.explode(F.array(
         F.struct(F.col("t").alias("class"), F.col("n").alias("sup"), F.lit(0).cast("long").alias("prd"), hit.alias("tp")),
         F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("sup"), F.col("n").alias("prd"),
-                 F.lit(0).cast("long").alias("tp")))).alias("s")).select("s.*")
+                 F.lit(0).cast("long").alias("tp")))).alias("_cell")).select("_cell.*")
     per = (sides.groupBy("class").agg(F.sum("sup").alias("support"), F.sum("prd").alias("_prd"),
                                       F.sum("tp").alias("_tp"))
            .withColumn("precision", _ratio(F.col("_tp"), F.col("_prd")))
@@ -242,7 +242,7 @@ def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
                  F.col("macro_recall").alias("recall"), F.col("macro_f1").alias("f1"), "support"),
         F.struct(F.lit("weighted avg").alias("class"), F.col("weighted_precision").alias("precision"),
                  F.col("weighted_recall").alias("recall"), F.col("weighted_f1").alias("f1"), "support"),
-    )).alias("r")).select("r.*")
+    )).alias("_cell")).select("_cell.*")
     cols = ["class", "precision", "recall", "f1", "support"]
     return per.select(*cols).unionByName(rows.select(*cols))
 
@@ -256,7 +256,7 @@ def one_vs_rest_auc(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFr
     cells = F.array(*[F.struct(F.lit(c).alias("class"), F.col(col).cast("double").alias("score"),
                                (F.col(truth).cast("string") == F.lit(c)).alias("hit"))
                       for c, col in scores.items()])
-    merged = (df.select(F.explode(cells).alias("s")).select("s.*").groupBy("class", "score")
+    merged = (df.select(F.explode(cells).alias("_cell")).select("_cell.*").groupBy("class", "score")
               .agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg")))
     below = exclusive_sums(merged, ["class"], "score", ["neg"])
     won = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0))
