@@ -29,24 +29,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _keyed(df: DataFrame, date: str) -> DataFrame:
+    """Record keys; grouping by both lets the join reuse the aggregation's shuffle."""
+    year = F.year(date).cast("string")
+    return df.withColumn("record_id", F.concat_ws("_", year, "o_custkey")).withColumn("cycle_year", year)
+
+
 def panel_a(spark: SparkSession, sf: str) -> DataFrame:
-    year = F.year("o_orderdate").cast("string")
-    return (table(spark, sf, "orders").groupBy(year.alias("cycle_year"), "o_custkey")
+    return (_keyed(table(spark, sf, "orders"), "o_orderdate").groupBy(*KEYS)
             .agg(F.count(F.lit(1)).cast("double").alias("n_orders"),
-                 F.avg("o_totalprice").alias("avg_total"), F.max("o_totalprice").alias("max_total"))
-            .select(F.concat_ws("_", "cycle_year", "o_custkey").alias("record_id"), "cycle_year",
-                    *PANELS["panel_a"]))
+                 F.avg("o_totalprice").alias("avg_total"), F.max("o_totalprice").alias("max_total")))
 
 
 def panel_b(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    year = F.year("l_shipdate").cast("string")
-    return (table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(year.alias("cycle_year"), "o_custkey")
+    rows = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return (_keyed(rows, "l_shipdate").groupBy(*KEYS)
             .agg(F.avg("l_quantity").alias("avg_qty"), F.avg("l_discount").alias("avg_disc"),
-                 F.avg("l_tax").alias("avg_tax"), F.avg("l_extendedprice").alias("avg_ext"))
-            .select(F.concat_ws("_", "cycle_year", "o_custkey").alias("record_id"), "cycle_year",
-                    *PANELS["panel_b"]))
+                 F.avg("l_tax").alias("avg_tax"), F.avg("l_extendedprice").alias("avg_ext")))
 
 
 def lab(spark: SparkSession, sf: str) -> DataFrame:

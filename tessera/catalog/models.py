@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,8 @@ def panel_gmm(spark: SparkSession, sf: str) -> DataFrame:
 def logreg_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome from deviations: split, fit on the training part, report on the test part."""
     out = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("y")).filter("y >= 0")
-    data = stratified_split(deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5).join(out, "record_id"), "y", "record_id", 42)
+    rows = deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5).join(out, "record_id")
+    data = stratified_split(rows.persist(StorageLevel.MEMORY_AND_DISK), "y", "record_id", 42)
     model = classify.fit_linear(data.filter(~F.col("is_test")), "y", FEATURES, CLASSES, balanced=True, standardize=True, max_iter=50)
     names = F.array(*[F.lit(c) for c in CLASSES])
     scored = model.score(data.filter("is_test")).withColumn("truth", names[F.col("y")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -360,7 +361,7 @@ _THREE = """CASE WHEN diq IS NOT DISTINCT FROM 1 THEN 0 WHEN bpq IS NOT DISTINCT
 
 def _three_class(spark: SparkSession, sf: str) -> DataFrame:
     rows = outcomes(spark, sf).withColumn("y", bands.three_class_outcome("diq", "bpq"))
-    return rows.filter("y >= 0").select("record_id", "y")
+    return rows.filter("y >= 0").select("record_id", "y").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 _Y = f"SELECT record_id, y FROM (SELECT record_id, {_THREE} AS y FROM outcomes) WHERE y >= 0"

@@ -82,7 +82,7 @@ def balanced_weights(df: DataFrame, label: str) -> Column:
 
 
 def fit_linear(df: DataFrame, label: str, concepts: Sequence[str], classes: Sequence[str], *,
-               c: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, standardize: bool = False,
+               c: float = 1.0, max_iter: int = 1000, tol: float = 1e-6, standardize: bool = False,
                balanced: bool = False) -> LinearModel:
     """Multinomial logistic regression with an L2 penalty of strength ``1 / c``.
 

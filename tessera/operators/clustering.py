@@ -79,23 +79,31 @@ class DiagonalMixture:
                    np.array([r["variance"] for r in rows]), rows[0]["bound"])
 
 
-def _summed(stats: DataFrame, runs: int, k: int) -> tuple[np.ndarray, ...]:
-    """Per-partition sums -> totals by (run, component); combined on executors."""
-    rows = (stats.groupBy("run", "comp").agg(
-        F.sum("n").alias("n"), F.sum("ll").alias("ll"), F.sum("rows").alias("rows"),
-        vector_to_array(Summarizer.sum(array_to_vector("sx"))).alias("sx"),
-        vector_to_array(Summarizer.sum(array_to_vector("sxx"))).alias("sxx")).collect())
-    d = len(rows[0]["sx"])
+def _summed(stats: DataFrame, runs: int, k: int, width: int, parts: int) -> tuple[np.ndarray, ...]:
+    """Per-partition sums -> totals by (run, component).
+
+    Few partitions send their small sums directly; many are added up on executors
+    first, so what reaches the driver does not grow with the data.
+    """
+    if parts * runs * k * width * 16 > _DIRECT_BYTES:
+        stats = stats.groupBy("run", "comp").agg(
+            F.sum("n").alias("n"), F.sum("ll").alias("ll"), F.sum("rows").alias("rows"),
+            vector_to_array(Summarizer.sum(array_to_vector("sx"))).alias("sx"),
+            vector_to_array(Summarizer.sum(array_to_vector("sxx"))).alias("sxx"))
+    got = stats.toArrow()
+    run, comp = (got.column(c).to_numpy() for c in ("run", "comp"))
     n, ll, count = np.zeros((runs, k)), np.zeros(runs), np.zeros(runs)
-    sx, sxx = np.zeros((runs, k, d)), np.zeros((runs, k, d))
-    for r in rows:
-        i, c = r["run"], r["comp"]
-        n[i, c], sx[i, c], sxx[i, c] = r["n"], r["sx"], r["sxx"]
-        ll[i] += r["ll"]
-        count[i] += r["rows"]
+    sx, sxx = np.zeros((runs, k, width)), np.zeros((runs, k, width))
+    np.add.at(n, (run, comp), got.column("n").to_numpy())
+    np.add.at(ll, run, got.column("ll").to_numpy())
+    np.add.at(count, run, got.column("rows").to_numpy())
+    np.add.at(sx, (run, comp), to_matrix(got.column("sx"))[0])
+    np.add.at(sxx, (run, comp), to_matrix(got.column("sxx"))[0])
     return n, sx, sxx, ll, count
 
 
+_DIRECT_BYTES = 64 << 20
+_SEED_ROWS = 4096
 _STATS = "run int, comp int, n double, ll double, rows double, sx array<double>, sxx array<double>"
 
 
@@ -107,9 +115,8 @@ def _partial_sums(data: DataFrame, assign, runs: Sequence[int]) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             x, _ = to_matrix(batch.column(0))
-            extra = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else None
             for run in runs:
-                resp, ll = assign(run, x, extra)
+                resp, ll = assign(run, x)
                 part = [resp.sum(axis=0), resp.T @ x, resp.T @ (x * x), ll, float(len(x))]
                 acc[run] = part if run not in acc else [a + b for a, b in zip(acc[run], part)]
         for run, (n, sx, sxx, ll, rows) in acc.items():
@@ -134,49 +141,56 @@ def _maximise(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, floor: float) -> D
 
 def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
                 fit_sample: int | None = None, n_init: int = 3, max_iter: int = 200,
-                tol: float = 1e-3, floor: float = 1e-6, seed: int = 42) -> DiagonalMixture:
+                tol: float = 1e-3, floor: float = 1e-6, lloyd_steps: int = 10,
+                seed: int = 42) -> DiagonalMixture:
     """Diagonal Gaussian mixture by distributed expectation maximisation.
 
     Every iteration is one pass: executors compute responsibilities per Arrow batch
     and keep only weighted sums, which are added up before ``k`` rows per restart
     reach the driver. All restarts share the pass until each has converged; the one
-    with the best mean log-likelihood wins. Restarts begin from k-means partitions.
+    with the best mean log-likelihood wins. Restarts begin from partitions around
+    spread-out seeds, refined by a few shared k-means passes.
     """
     data = df if fit_sample is None else seeded_sample(df.select(row_id, vec), row_id, fit_sample, seed)
     data = (data.select(F.col(vec).cast("array<double>").alias("x"))
             .filter(F.col("x").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        points = data.select("x", array_to_vector("x").alias("features"))
-        models: list[DiagonalMixture] = []
-        for run in range(n_init):
-            km = KMeans(k=k, seed=seed + run, maxIter=20).fit(points)
-            centres = np.array(km.clusterCenters())
-
-            def hard(_run, x, _extra, c=centres):
-                d = (x * x).sum(axis=1)[:, None] - 2.0 * x @ c.T + (c * c).sum(axis=1)
-                return np.eye(len(c))[d.argmin(axis=1)], 0.0
-
-            n, sx, sxx, _, _ = _summed(_partial_sums(data, hard, [0]), 1, len(centres))
-            models.append(_maximise(n[0], sx[0], sxx[0], floor))
+        drawn, _ = to_matrix(data.orderBy(F.xxhash64("x", F.lit(seed))).limit(_SEED_ROWS).toArrow().column("x"))
+        width, parts, runs = drawn.shape[1], data.rdd.getNumPartitions(), list(range(n_init))
+        centres = [_spread_seeds(drawn, k, np.random.default_rng(seed + r)) for r in runs]
+        for _ in range(lloyd_steps + 1):
+            current = [c.copy() for c in centres]
+
+            def hard(run, x, c=current):
+                d = (c[run] * c[run]).sum(axis=1) - 2.0 * x @ c[run].T
+                return np.eye(len(c[run]))[d.argmin(axis=1)], 0.0
+
+            n, sx, sxx, _, _ = _summed(_partial_sums(data, hard, runs), n_init, k, width, parts)
+            moved = [np.where(n[r][:, None] > 0, sx[r] / np.maximum(n[r], 1.0)[:, None], centres[r]) for r in runs]
+            still = max(np.abs(m - c).max() for m, c in zip(moved, centres)) < 1e-4
+            centres = moved
+            if still:
+                break
+        models = [_maximise(n[r], sx[r], sxx[r], floor) for r in runs]
         bounds = [-np.inf] * n_init
-        active = list(range(n_init))
+        active = runs
         for step in range(1, max_iter + 1):
-            current = list(models)
+            mixes = list(models)
 
-            def soft(run, x, _extra, m=current):
+            def soft(run, x, m=mixes):
                 resp, ll = m[run].responsibilities(x)
                 return resp, float(ll.sum())
 
-            n, sx, sxx, ll, rows = _summed(_partial_sums(data, soft, active), n_init, models[0].k)
-            still = []
+            n, sx, sxx, ll, rows = _summed(_partial_sums(data, soft, active), n_init, k, width, parts)
+            open_runs = []
             for run in active:
                 bound = ll[run] / rows[run]
                 new = _maximise(n[run], sx[run], sxx[run], floor)
                 models[run] = DiagonalMixture(new.weights, new.means, new.variances, bound, step)
                 if abs(bound - bounds[run]) >= tol:
-                    still.append(run)
+                    open_runs.append(run)
                 bounds[run] = bound
-            active = still
+            active = open_runs
             if not active:
                 break
         return max(models, key=lambda m: m.bound)
@@ -184,6 +198,18 @@ def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
         data.unpersist()
 
 
+def _spread_seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` seeds from a bounded draw of rows, each far from those before it."""
+    picked = [rows[rng.integers(len(rows))]]
+    gap = ((rows - picked[0]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        total = gap.sum()
+        at = rng.choice(len(rows), p=gap / total) if total > 0 else rng.integers(len(rows))
+        picked.append(rows[at])
+        gap = np.minimum(gap, ((rows - rows[at]) ** 2).sum(axis=1))
+    return np.array(picked)
+
+
 def fit_kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, n_init: int = 1,
                max_iter: int = 100):
     """k-means with the lowest cost over ``n_init`` seeds (parallel seeding)."""

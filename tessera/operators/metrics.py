@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -251,13 +252,15 @@ def one_vs_rest_auc(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFr
     """Exact ROC area per class (``scores``: class -> score column), ties counted half.
 
     Equal scores are merged first, then positives meet the number of negatives
-    below them by bucketed running sums; no class is sorted in one task.
+    below them by bucketed running sums; no class is sorted in one task. The merged
+    scores are scanned three times and stay persisted.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("class"), F.col(col).cast("double").alias("score"),
                                (F.col(truth).cast("string") == F.lit(c)).alias("hit"))
                       for c, col in scores.items()])
     merged = (df.select(F.explode(cells).alias("_cell")).select("_cell.*").groupBy("class", "score")
-              .agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg")))
+              .agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     below = exclusive_sums(merged, ["class"], "score", ["neg"])
     won = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0))
     return below.groupBy("class").agg(

@@ -5,7 +5,7 @@ fails once a class holds a large share of the rows. Here rows first get a bucket
 whose order agrees with the wanted order; buckets are counted (with map-side
 combine), and the counts, a small table, are accumulated. A row's rank is the
 offset of its bucket plus its rank inside the bucket, so a task only ever sees one
-bucket. Cutting at rank k ranks nothing but the one bucket the cut falls into.
+bucket. Cutting at rank k sorts nothing but the one bucket with the k-th row.
 
 * Pseudo-random order: the bucket is a prefix of the seeded md5 digest.
 * Order by value: buckets lie between approximate quantiles of the group. A value
@@ -73,25 +73,39 @@ def rank_rows(bucketed: DataFrame, by: Sequence[str], name: str = "rank") -> Dat
         name, (F.col("_before") + F.row_number().over(inside)).cast("long")))
 
 
+def _cuts(bucketed: DataFrame, by: Sequence[str], k: Column,
+          totals: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Order key of the k-th row of each group (groups with ``k < 1`` are absent)."""
+    table = _offsets(bucketed, by)
+    if totals is not None:
+        table = totals(table)
+    table = table.withColumn("_k", F.least(k.cast("long"), F.col("_total")))
+    holds = (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") >= F.col("_k"))
+    cut = small_side(table.filter(holds).select(*by, "_b", "_s", "_before", "_k"), 500_000)
+    inside = Window.partitionBy(*by, "_b", "_s").orderBy(*_ORDER)
+    edge = bucketed.select(*by, "_b", "_s", *_ORDER).join(cut, [*by, "_b", "_s"])
+    return (edge.withColumn("_r", F.col("_before") + F.row_number().over(inside))
+            .filter(F.col("_r") == F.col("_k")).select(*by, F.col("_v").alias("_cv"), F.col("_h").alias("_ch")))
+
+
 def flag_first(bucketed: DataFrame, by: Sequence[str], k: Column, name: str = "picked",
                totals: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Flag the first ``k`` rows of each group.
+    """Flag the first ``k`` rows of each group; row keys must be unique.
 
     ``k`` may use ``_total``, the size of the group, and whatever ``totals`` adds to
-    the small bucket table. Buckets wholly on one side of the cut need no sort; only
-    the bucket containing the cut is ranked.
+    the small bucket table. Only the bucket with the k-th row is sorted, to find that
+    row's order key; all rows are then compared with the key of their group, without
+    a shuffle. The input is scanned three times: persist it if it is costly.
     """
-    table = _offsets(bucketed, by)
-    if totals is not None:
-        table = totals(table)
-    table = table.withColumn("_k", k.cast("long"))
-    joined = bucketed.join(small_side(table, 500_000), [*by, "_b", "_s"])
-    cut_here = (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") > F.col("_k"))
-    sure = joined.filter(~cut_here).withColumn(name, F.col("_before") < F.col("_k"))
-    inside = Window.partitionBy(*by, "_b", "_s").orderBy(*_ORDER)
-    edge = (joined.filter(cut_here).withColumn("_r", F.row_number().over(inside))
-            .withColumn(name, F.col("_before") + F.col("_r") <= F.col("_k")).drop("_r"))
-    return _clean(sure.unionByName(edge))
+    cuts = _cuts(bucketed, by, k, totals)
+    if by:
+        joined = bucketed.join(small_side(cuts, 500_000), list(by), "left")
+    else:
+        cut = cuts.first()
+        joined = (bucketed.withColumn("_cv", F.lit(cut["_cv"] if cut else None).cast("double"))
+                  .withColumn("_ch", F.lit(cut["_ch"] if cut else None).cast("string")))
+    first = (F.col("_v") < F.col("_cv")) | ((F.col("_v") == F.col("_cv")) & (F.col("_h") <= F.col("_ch")))
+    return _clean(joined.withColumn(name, F.coalesce(first, F.lit(False))).drop("_cv", "_ch"))
 
 
 def take_first(bucketed: DataFrame, by: Sequence[str], k: Column,
