@@ -29,28 +29,37 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _keyed(df: DataFrame, date: str) -> DataFrame:
-    """Record keys; grouping by both lets the join reuse the aggregation's shuffle."""
-    year = F.year(date).cast("string")
-    return df.withColumn("record_id", F.concat_ws("_", year, "o_custkey")).withColumn("cycle_year", year)
-
-
-def panel_a(spark: SparkSession, sf: str) -> DataFrame:
-    return (_keyed(table(spark, sf, "orders"), "o_orderdate").groupBy(*KEYS)
+def _orders_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    return (table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("_y"), F.col("o_custkey").alias("_c"))
             .agg(F.count(F.lit(1)).cast("double").alias("n_orders"),
                  F.avg("o_totalprice").alias("avg_total"), F.max("o_totalprice").alias("max_total")))
 
 
-def panel_b(spark: SparkSession, sf: str) -> DataFrame:
+def _items_by_year(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     rows = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return (_keyed(rows, "l_shipdate").groupBy(*KEYS)
+    return (rows.groupBy(F.year("l_shipdate").alias("_y"), F.col("o_custkey").alias("_c"))
             .agg(F.avg("l_quantity").alias("avg_qty"), F.avg("l_discount").alias("avg_disc"),
                  F.avg("l_tax").alias("avg_tax"), F.avg("l_extendedprice").alias("avg_ext")))
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """Text keys from the numeric ones, after all grouping and joining."""
+    return df.select(F.concat_ws("_", "_y", "_c").alias("record_id"), F.col("_y").cast("string").alias("cycle_year"),
+                     *[c for c in df.columns if c not in ("_y", "_c")])
+
+
+def panel_a(spark: SparkSession, sf: str) -> DataFrame:
+    return _named(_orders_by_year(spark, sf))
+
+
+def panel_b(spark: SparkSession, sf: str) -> DataFrame:
+    return _named(_items_by_year(spark, sf))
+
+
 def lab(spark: SparkSession, sf: str) -> DataFrame:
-    return outer_fold([panel_a(spark, sf), panel_b(spark, sf)], KEYS)
+    """Both panels merged; the join reuses the shuffles of the two aggregations."""
+    return _named(outer_fold([_orders_by_year(spark, sf), _items_by_year(spark, sf)], ["_y", "_c"]))
 
 
 def outcome_of(cust: DataFrame) -> DataFrame:

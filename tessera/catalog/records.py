@@ -237,7 +237,7 @@ def median_impute(spark: SparkSession, sf: str) -> DataFrame:
       "FROM lab WHERE cycle_year < '2000'"))
 def scoring_impute(spark: SparkSession, sf: str) -> DataFrame:
     """New records filled with training medians; a missing column is created."""
-    rows, cols = lab(spark, sf), ["n_orders", "avg_qty", "avg_ext"]
+    rows, cols = lab(spark, sf).persist(StorageLevel.MEMORY_AND_DISK), ["n_orders", "avg_qty", "avg_ext"]
     train = prepare.medians(rows.filter("cycle_year < '2000'"), cols)
     new = rows.filter("cycle_year >= '2000'").select("record_id", "n_orders", "avg_qty")
     return _rounded(prepare.impute(new, cols, train))
@@ -279,7 +279,8 @@ def zscore_transfer(spark: SparkSession, sf: str) -> DataFrame:
     FROM lab, q""", "lab",
     q="SELECT " + ", ".join(f"quantile_cont({f}, [0.25, 0.5, 0.75]) AS q_{f}" for f in FEATURES) + " FROM lab"))
 def robust_scale(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(prepare.robust_scale(lab(spark, sf).drop("cycle_year"), FEATURES))
+    rows = lab(spark, sf).drop("cycle_year").persist(StorageLevel.MEMORY_AND_DISK)
+    return _rounded(prepare.robust_scale(rows, FEATURES))
 
 
 @query("range_flag", """

@@ -158,19 +158,19 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """Exact interpolated quantiles of whole columns; one row, arrays by column.
 
     ``percentile`` brings every distinct value of a column into one task, which is
-    fine only while there are few. For more than ``2 * accuracy`` values a first scan
+    fine only while there are few. For more than ``2 * accuracy`` values a scan
     brackets each wanted order statistic with a mergeable sketch of bounded size;
     then the values below each bracket are counted and only those inside it (about
     ``4 / accuracy`` of the rows) are combined by value and shuffled. The input is
-    scanned three times: persist it if it is costly to compute.
+    scanned several times: persist it if it is costly to compute.
     """
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    if max(sizes) <= 2 * accuracy:
+        return df.agg(*[F.percentile(c, [float(p) for p in probs]).alias(c) for c in columns])
     margin = 2.0 / accuracy
     edges = [p for q in probs for p in (max(0.0, q - margin), min(1.0, q + margin))]
     grid = F.array(*map(F.lit, edges))
-    sketch = df.agg(*[F.percentile_approx(c, grid, F.lit(accuracy)).alias(c) for c in columns],
-                    *[F.count(c).alias(f"_n_{c}") for c in columns]).first()
-    if max(sketch[f"_n_{c}"] for c in columns) <= 2 * accuracy:
-        return df.agg(*[F.percentile(c, [float(p) for p in probs]).alias(c) for c in columns])
+    sketch = df.agg(*[F.percentile_approx(c, grid, F.lit(accuracy)).alias(c) for c in columns]).first()
     cells, below = [], []
     for ci, c in enumerate(columns):
         x = F.col(c).cast("double")
@@ -178,9 +178,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             if sketch[c] is None:
                 continue
             lo, hi = float(sketch[c][2 * pi]), float(sketch[c][2 * pi + 1])
-            if sketch[f"_n_{c}"] <= 2 * accuracy:
+            if sizes[c] <= 2 * accuracy:
                 lo, hi = float("-inf"), float("inf")
-            pos = (sketch[f"_n_{c}"] - 1) * float(p)
+            pos = (sizes[c] - 1) * float(p)
             cells.append((F.count_if(x < lo), F.when((x >= lo) & (x <= hi), F.struct(
                 F.lit(ci).alias("ci"), F.lit(pi).alias("pi"), x.alias("x"))), ci, pi, pos))
     below = df.agg(*[c[0].alias(f"b{i}") for i, c in enumerate(cells)]).first()
