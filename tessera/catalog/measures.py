@@ -75,7 +75,7 @@ def intra_inter(spark: SparkSession, sf: str) -> DataFrame:
     return _round(metrics.intra_inter(patches(spark, sf), "cid", "f"), "intra_mean", "inter_mean", "intra_inter_ratio")
 
 
-def _sil_sql(dist: str, n: int) -> str:
+def _sil_sql(dist: str) -> str:
     return f"""
     SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
         SELECT vec_id, any_value(size) AS size, sum(CASE WHEN own THEN s END) / greatest(any_value(CASE WHEN own THEN cnt END) - 1, 1) AS a,
@@ -89,13 +89,13 @@ _SMP = "SELECT vec_id, cid, f FROM patches ORDER BY md5(concat(cast(vec_id AS va
 _EUC = "list_distance(a.f, b.f)"
 
 
-@query("silhouette_exact", sql(_sil_sql(_EUC, 400), "patches", smp=_SMP.format(400)))
+@query("silhouette_exact", sql(_sil_sql(_EUC), "patches", smp=_SMP.format(10_000)))
 def silhouette_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """Euclidean silhouette over a seeded sample (here 400 rows; a sampling metric)."""
-    return _round(metrics.silhouette(patches(spark, sf), "cid", "f", "vec_id", 400), "silhouette")
+    """Euclidean silhouette over the metric's seeded sample of 10,000 rows."""
+    return _round(metrics.silhouette(patches(spark, sf), "cid", "f", "vec_id"), "silhouette")
 
 
-@query("silhouette_squared", sql(_sil_sql(f"{_EUC} * {_EUC}", 0), "patches", smp="SELECT vec_id, cid, f FROM patches"))
+@query("silhouette_squared", sql(_sil_sql(f"{_EUC} * {_EUC}"), "patches", smp="SELECT vec_id, cid, f FROM patches"))
 def silhouette_squared(spark: SparkSession, sf: str) -> DataFrame:
     """Squared-Euclidean silhouette of all rows from cluster sums."""
     value = metrics.silhouette_squared(patches(spark, sf), "cid", "f")
@@ -164,15 +164,16 @@ def pearson_corr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("pearson_p_value", """
-    SELECT g, r, n, p_value FROM (
+    SELECT g, n, r, round(CASE n WHEN 3 THEN 1 - 2 / pi() * asin(a) WHEN 4 THEN 1 - a
+        WHEN 5 THEN 1 - 2 / pi() * (asin(a) + a * sqrt(1 - a * a)) WHEN 6 THEN 1 - a * (3 - a * a) / 2
+        WHEN 7 THEN 1 - 2 / pi() * (asin(a) + a * sqrt(1 - a * a) * (1 + 2 * (1 - a * a) / 3)) END, 4) AS p_value FROM (
         SELECT l_orderkey AS g, count(*) AS n, round(corr(l_quantity, l_extendedprice), 4) AS r,
-               round(1 - abs(corr(l_quantity, l_extendedprice)), 4) AS p_value FROM lineitem GROUP BY 1
-        HAVING stddev_pop(l_quantity) > 0 AND stddev_pop(l_extendedprice) > 0)
-    WHERE n = 4""")
+               least(abs(corr(l_quantity, l_extendedprice)), 1.0::double) AS a FROM lineitem GROUP BY 1
+        HAVING stddev_pop(l_quantity) > 0 AND stddev_pop(l_extendedprice) > 0 AND count(*) BETWEEN 3 AND 7)""")
 def pearson_p_value(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of four points, where the p-value is ``1 - |r|``."""
+    """Correlation per order; up to seven lines the p-value has a closed form."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), "l_quantity", "l_extendedprice")
-    out = metrics.pearson(rows, "l_quantity", "l_extendedprice", ["g"]).filter("n = 4 and r is not null")
+    out = metrics.pearson(rows, "l_quantity", "l_extendedprice", ["g"]).filter("n between 3 and 7 and r is not null")
     return _round(out, "r", "p_value", places=4)
 
 
@@ -399,40 +400,37 @@ def best_setting(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- memberships with fixed parameters ---------------------------------------------------------
 
-def _mixture() -> DiagonalMixture:
-    """Three fixed components over the first four dimensions."""
+def _mixture(width: int) -> DiagonalMixture:
+    """Three components whose parameters follow a rule."""
     import numpy as np
-    return DiagonalMixture(np.array([0.5, 0.3, 0.2]),
-                           np.array([[0.1, 0.0, -0.1, 0.0], [-0.1, 0.1, 0.0, 0.05], [0.0, -0.1, 0.1, 0.0]]),
-                           np.array([[0.02, 0.01, 0.02, 0.03], [0.01, 0.02, 0.01, 0.02], [0.03, 0.01, 0.01, 0.01]]))
+    c, d = np.arange(3)[:, None], np.arange(1, width + 1)[None, :]
+    return DiagonalMixture(np.array([0.5, 0.3, 0.2]), ((c * 7 + d * 3) % 5 - 2) / 40.0, 0.01 + ((c + d) % 3) / 100.0)
 
 
-def _member_view(lo: int) -> str:
-    m = _mixture()
-    joint = ", ".join(
-        f"ln({m.weights[c]}) - 0.5::double * (" + " + ".join(
-            f"(f[{lo + i}] - ({m.means[c][i]}::double)) ** 2 / {m.variances[c][i]}::double + ln(2 * pi() * {m.variances[c][i]}::double)"
-            for i in range(4)) + ")" for c in range(3))
+def _member_view(lo: int, width: int) -> str:
+    joint = ", ".join(f"""ln({w}::double) - 0.5::double * list_sum(list_transform(generate_series(1, {width}), lambda i:
+        (f[{lo - 1} + i] - (({c * 7} + i * 3) % 5 - 2) / 40.0::double) ** 2 / (0.01::double + (({c} + i) % 3) / 100.0::double)
+        + ln(2 * pi() * (0.01::double + (({c} + i) % 3) / 100.0::double))))""" for c, w in enumerate((0.5, 0.3, 0.2)))
     return f"""SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (
         SELECT vec_id, list_transform(j, lambda x: exp(x - list_max(j))) AS e FROM (SELECT vec_id, [{joint}] AS j FROM patches))"""
 
 
 @query("soft_membership", sql("""
     SELECT vec_id, list_transform(p, lambda x: round(x, 6)) AS p, cast(list_position(p, list_max(p)) - 1 AS int) AS cluster_id FROM m""",
-    "patches", m=_member_view(1)))
+    "patches", m=_member_view(1, 64)))
 def soft_membership(spark: SparkSession, sf: str) -> DataFrame:
-    mix = _mixture()
-    d = patches(spark, sf).select("vec_id", F.slice("f", 1, 4).alias("x"))
-    return d.select("vec_id", _r6(mix.membership("x")).alias("p"), mix.predict("x").alias("cluster_id"))
+    mix = _mixture(64)
+    return patches(spark, sf).select("vec_id", _r6(mix.membership("f")).alias("p"), mix.predict("f").alias("cluster_id"))
 
 
 @query("membership_matrix", sql("""
     SELECT vec_id, list_transform(list_concat(a.p, b.p), lambda x: round(x, 6)) AS scores FROM ma a JOIN mb b USING (vec_id)""",
-    "patches", ma=_member_view(1), mb=_member_view(5)))
+    "patches", ma=_member_view(1, 32), mb=_member_view(33, 32)))
 def membership_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    mix = _mixture()
+    """The two halves of the vectors play two panels of one record."""
+    mix = _mixture(32)
     p = patches(spark, sf)
-    blocks = [p.select("vec_id", mix.membership(F.slice("f", s, 4)).alias("p")) for s in (1, 5)]
+    blocks = [p.select("vec_id", mix.membership(F.slice("f", s, 32)).alias("p")) for s in (1, 33)]
     return membership_matrix(blocks, "vec_id", ["p", "p"]).select("vec_id", _r6("scores").alias("scores"))
 
 

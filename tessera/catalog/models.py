@@ -64,7 +64,7 @@ def _panel_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("panel_gmm")
 def panel_gmm(spark: SparkSession, sf: str) -> DataFrame:
     long = _panel_rows(spark, sf)
-    models = fit_panels(long, "panel", "vector", list(PANELS), 4, row_id="record_id", fit_sample=5_000,
+    models = fit_panels(long, "panel", "vector", list(PANELS), 4, row_id="record_id", fit_sample=50_000,
                         n_init=1, max_iter=20)
     return assign_panels(long, "panel", "vector", models).groupBy("panel", "cluster_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.aggregate("membership", F.lit(0.0), lambda a, x: a + x)).alias("min_sum"))
@@ -103,7 +103,7 @@ def one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("k_sweep")
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return k_sweep(patches(spark, sf), "f", "vec_id", [2, 4, 6], sample=2_000)
+    return k_sweep(patches(spark, sf), "f", "vec_id", [2, 4, 6])
 
 
 @query("ablation")
@@ -112,8 +112,7 @@ def ablation(spark: SparkSession, sf: str) -> DataFrame:
     f = F.col("f")
     variants = [Variant("A", f, k=5, dims=8), Variant("B", last_block("f", 16), k=5, dims=8),
                 Variant("C", f, keep=F.col("patch_id") != 12, k=5, dims=8, grid=GRID)]
-    return run_variants(patches(spark, sf), variants, "vec_id", "label", "patch_id", fit_sample=20_000,
-                        silhouette_sample=2_000, n_init=1, max_iter=20)
+    return run_variants(patches(spark, sf), variants, "vec_id", "label", "patch_id", n_init=1, max_iter=20)
 
 
 @query("variant_correlation")
@@ -124,7 +123,7 @@ def variant_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scorer(spark: SparkSession, sf: str) -> RecordScorer:
     y = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
-    return fit_scorer(lab(spark, sf), PANELS, RANGES, 3, min_ratio=0.5, fit_sample=5_000, n_init=1, max_iter=15,
+    return fit_scorer(lab(spark, sf), PANELS, RANGES, 3, min_ratio=0.5, n_init=1, max_iter=15,
                       outcome=y, classes=CLASSES)
 
 

@@ -88,9 +88,9 @@ def mean_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("panel_pool", sql("""
     SELECT image_id, list(round(m, 6) ORDER BY layer, d) AS v FROM (
-        SELECT image_id, patch_id % 3 AS layer, d, avg(x) AS m FROM px WHERE d <= 8 GROUP BY 1, 2, 3) GROUP BY 1""", "px"))
+        SELECT image_id, patch_id % 3 AS layer, d, avg(x) AS m FROM px GROUP BY 1, 2, 3) GROUP BY 1""", "px"))
 def panel_pool(spark: SparkSession, sf: str) -> DataFrame:
-    rows = patches(spark, sf).select("image_id", (F.col("patch_id") % 3).alias("layer"), F.slice("f", 1, 8).alias("v"))
+    rows = patches(spark, sf).select("image_id", (F.col("patch_id") % 3).alias("layer"), F.col("f").alias("v"))
     return pool_layers(rows, ["image_id"], "layer", [0, 1, 2], "v").select("image_id", _r6("v").alias("v"))
 
 
@@ -269,9 +269,11 @@ def majority_smoothing_all(spark: SparkSession, sf: str) -> DataFrame:
 @query("part_map", sql("""
     SELECT image_id, cast(patch_id // 5 AS int) AS grid_row, """ + ", ".join(
         f"max(cid) FILTER (patch_id % 5 = {c}) AS c{c}" for c in range(5)) + """
-    FROM patches WHERE patch_id <> 7 GROUP BY 1, 2""", "patches"))
+    FROM patches WHERE abs(f[1]) >= 0.05::double GROUP BY 1, 2""", "patches"))
 def part_map(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.part_map(patches(spark, sf).filter("patch_id <> 7"), "image_id", "patch_id", "cid", GRID)
+    """Only foreground patches have a cell; the others stay NULL."""
+    fg = patches(spark, sf).filter(F.abs(F.col("f")[0]) >= 0.05)
+    return ops.part_map(fg, "image_id", "patch_id", "cid", GRID)
 
 
 @query("square_box", sql("""

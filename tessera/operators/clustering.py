@@ -155,7 +155,9 @@ def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
     data = (data.select(F.col(vec).cast("array<double>").alias("x"))
             .filter(F.col("x").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        drawn, _ = to_matrix(data.orderBy(F.xxhash64("x", F.lit(seed))).limit(_SEED_ROWS).toArrow().column("x"))
+        rows = data.count()
+        some = data if rows <= _SEED_ROWS else data.sample(min(1.0, 2.0 * _SEED_ROWS / rows), seed)
+        drawn, _ = to_matrix(some.limit(_SEED_ROWS).toArrow().column("x"))
         width, parts, runs = drawn.shape[1], data.rdd.getNumPartitions(), list(range(n_init))
         centres = [_spread_seeds(drawn, k, np.random.default_rng(seed + r)) for r in runs]
         for _ in range(lloyd_steps + 1):

@@ -12,6 +12,7 @@ from tessera.functions.grid import centre_distance
 from tessera.functions.vectors import l2_normalize
 from tessera.operators.ordering import top_k
 from tessera.operators.vectors import mean_vectors, own_similarity
+from tessera.session import small_side
 
 # Cluster labels that mean "nothing to see".
 NOISE_LABELS = ("noise", "background", "bg", "—", "")
@@ -49,21 +50,23 @@ def core_and_boundary(df: DataFrame, cluster: str, vec: str, row_id: str, n: int
 
     ``max(6, n - 3)`` core rows by similarity to the mean of the whole cluster; the
     other ``n`` minus that are the least similar rows, if the pool is larger than
-    the core. A row may be both. Both cuts are limited before the shuffle.
+    the core. A row may be both. Similarities are computed once; each row competes
+    from both ends and is cut before the shuffle. One row beyond the core tells
+    whether the pool is larger.
     """
     n_core = max(6, n - 3)
     n_edge = max(0, n - n_core)
     sims = own_similarity(df, vec, cluster, mean_vectors(df, [cluster], vec))
-    good = sims.filter(quality) if quality is not None else sims
-    core = top_k(good, [cluster], [F.col("similarity").desc(), F.col(row_id)], n_core)
-    core = core.select(cluster, row_id, "similarity", "rank", F.lit(False).alias("is_boundary"))
-    if n_edge == 0:
-        return core
-    pool = good.groupBy(cluster).agg(F.count(F.lit(1)).alias("_pool"))
-    edge = top_k(good, [cluster], [F.col("similarity").asc(), F.col(row_id).desc()], n_edge)
-    edge = (edge.join(pool, cluster).filter(F.col("_pool") > n_core)
-            .select(cluster, row_id, "similarity", "rank", F.lit(True).alias("is_boundary")))
-    return core.unionByName(edge)
+    good = sims if quality is None else sims.filter(quality)
+    ends = good.select(cluster, row_id, "similarity", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_boundary"))
+    edge = F.col("is_boundary")
+    order = [F.when(edge, -F.col("similarity")).otherwise(F.col("similarity")).desc(),
+             F.when(~edge, F.col(row_id)).asc(), F.when(edge, F.col(row_id)).desc()]
+    best = top_k(ends, [cluster, "is_boundary"], order, max(n_core + 1, n_edge))
+    reach = F.max(F.when(~edge, F.col("rank"))).over(Window.partitionBy(cluster))
+    best = best.withColumn("_reach", reach)
+    keep = F.when(edge, (F.col("rank") <= n_edge) & (F.col("_reach") > n_core)).otherwise(F.col("rank") <= n_core)
+    return best.filter(keep).select(cluster, row_id, "similarity", "rank", "is_boundary")
 
 
 def class_distribution(df: DataFrame, cluster: str, label: str, classes: Sequence,
@@ -92,7 +95,7 @@ def distinctiveness(centres: DataFrame, key: str, vec: str = "vector") -> DataFr
 
     from tessera.functions.vectors import vector_norm
 
-    units = centres.select(key, F.col(vec), l2_normalize(vec).alias("_u"))
+    units = small_side(centres).select(key, F.col(vec), l2_normalize(vec).alias("_u"))
     total = units.agg(vector_to_array(Summarizer.sum(array_to_vector("_u"))).alias("s"),
                       F.count(F.lit(1)).alias("k")).select(F.struct("s", "k")).scalar()
     dot = F.aggregate(F.zip_with("_u", F.col("_t.s"), lambda a, b: a * b), F.lit(0.0),

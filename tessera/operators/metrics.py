@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from tessera.functions.hashing import seeded_hash
 from tessera.functions.vectors import cosine
-from tessera.operators.ordering import exclusive_sums
+from tessera.operators.ordering import exclusive_sums, hash_buckets, rank_rows, take_first
+from tessera.session import small_side
 from tessera.operators.vectors import (centre_gaps, euclidean_silhouette, mean_vectors,
                                        own_distance)
 
@@ -100,7 +101,7 @@ def mutual_information(df: DataFrame, cluster: str, label: str, by: Sequence[str
 
 def intra_inter(df: DataFrame, cluster: str, vec: str, centres: DataFrame | None = None) -> DataFrame:
     """Mean distance to the own centre over mean distance between centres; one row."""
-    centres = mean_vectors(df, [cluster], vec) if centres is None else centres
+    centres = small_side(mean_vectors(df, [cluster], vec) if centres is None else centres)
     inter = centre_gaps(centres, cluster).select("inter_mean").scalar()
     intra = own_distance(df, vec, cluster, centres, "_d").agg(F.avg("_d").alias("intra_mean"))
     return (intra.withColumn("inter_mean", inter)
@@ -123,8 +124,12 @@ def silhouette_squared(df: DataFrame, cluster: str, vec: str) -> float:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:
-    """Exactly ``n`` rows (or all) in seeded random order; top-n per task, then merged."""
-    return df.withColumn("_h", seeded_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+    """The first ``n`` rows (or all) in seeded random order.
+
+    The order key of the n-th row is found from bucket counts; the rows are then
+    filtered where they are, however large ``n`` is.
+    """
+    return take_first(hash_buckets(df, key, seed), [], F.lit(n))
 
 
 def seeded_pairs(df: DataFrame, key: str, cluster: str, vec: str, n_pairs: int, seed: int) -> DataFrame:
@@ -133,8 +138,6 @@ def seeded_pairs(df: DataFrame, key: str, cluster: str, vec: str, n_pairs: int,
     Rows are numbered by the seeded order; each pair is two seeded numbers, matched
     by two equi-joins of the small pair table with the rows.
     """
-    from tessera.operators.ordering import hash_buckets, rank_rows
-
     rows = rank_rows(hash_buckets(df.select(key, cluster, vec), key, seed), [], "_pos")
     total = F.lit(df.count())
 
