@@ -141,7 +141,7 @@ def _maximise(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, floor: float) -> D
 
 def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
                 fit_sample: int | None = None, n_init: int = 3, max_iter: int = 200,
-                tol: float = 1e-3, floor: float = 1e-6, lloyd_steps: int = 10,
+                tol: float = 1e-3, floor: float = 1e-6, lloyd_steps: int = 5,
                 seed: int = 42) -> DiagonalMixture:
     """Diagonal Gaussian mixture by distributed expectation maximisation.
 

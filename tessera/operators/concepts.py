@@ -90,7 +90,10 @@ def similarity_scores(df: DataFrame, entity: str, vec: str, targets: DataFrame,
         raise ValueError("too many concepts for score columns")
     ids = [int(i) for i in table.ids]
     sims = (df.select(entity, *([row_key] if row_key else []), similarities(table)(vec).alias("_s"))
-            .select(entity, *([row_key] if row_key else []), F.posexplode("_s").alias("_i", "_sim")))
+            # The outer form keeps Spark from testing the array, and so from running
+            # the Python function twice.
+            .select(entity, *([row_key] if row_key else []), F.posexplode_outer("_s").alias("_i", "_sim"))
+            .filter(F.col("_i").isNotNull()))
     if how == "max":
         scored = sims.groupBy(entity, "_i").agg(F.max("_sim").alias("score"))
     else:

@@ -325,3 +325,59 @@ def test_prep_of_zero_vector(spark):
 def test_kmeans_restarts(spark):
     df = spark.createDataFrame([([float(i // 10 * 10 + i % 3), 0.0],) for i in range(30)], "v array<double>")
     assert fit_kmeans(df, "v", 3, n_init=3).summary.trainingCost < 40
+
+
+def _ibm(x):
+    """IBM hexadecimal double of a number; a point marks a missing value."""
+    if x is None:
+        return b"." + bytes(7)
+    if x == 0:
+        return bytes(8)
+    sign, x, e = (0x80 if x < 0 else 0), abs(x), 64
+    while x >= 1:
+        x, e = x / 16, e + 1
+    while x < 1 / 16:
+        x, e = x * 16, e - 1
+    return bytes([sign | e]) + int(x * 2 ** 56).to_bytes(7, "big")
+
+
+def _transport(names, rows):
+    """Minimal SAS transport file with numeric columns."""
+    import struct
+
+    def head(kind, tail="0" * 30):
+        return f"HEADER RECORD*******{kind:8s}HEADER RECORD!!!!!!!{tail}  ".encode()
+    when = b"01JAN20:00:00:00"
+    out = head("LIBRARY ") + b"SAS     SAS     SASLIB  9.1     LINUX   ".ljust(64) + when + when.ljust(80)
+    out += head("MEMBER  ", "000000000000000001600000000140") + head("DSCRPTR ")
+    out += b"SAS     TEST    SASDATA 9.1     LINUX   ".ljust(64) + when + when.ljust(80)
+    out += head("NAMESTR ", f"000000{len(names):04d}00000000000000000000")
+    body = b"".join(struct.pack(">hhhh8s40s8shhh2s8shhl52s", 1, 0, 8, i + 1, n.encode().ljust(8), b" " * 40, b" " * 8, 0, 0, 0,
+                                b"  ", b" " * 8, 0, 0, i * 8, bytes(52)) for i, n in enumerate(names))
+    out += body + b" " * (-len(body) % 80) + head("OBS     ")
+    data = b"".join(_ibm(v) for r in rows for v in r)
+    return out + data + b" " * (-len(data) % 80)
+
+
+def test_transport_files(spark, tmp_path):
+    for i, name in enumerate(("CBC_J", "CBC_I")):
+        (tmp_path / f"{name}.xpt").write_bytes(_transport(["SEQN", "LBXHGB"], [(1.0 + i, 13.5), (7.0, None), (9.0, -0.25)]))
+    (tmp_path / "HDL_J.xpt").write_bytes(_transport(["SEQN", "LBDHDD"], [(7.0, 50.0)]))
+    lab, _, _ = tables.load_cycles(spark, [{"year": "2017", "suffix": "_J"}, {"year": "2015", "suffix": "_I"}], str(tmp_path),
+                                   {"cbc": "CBC", "hdl": "HDL"}, ["LBXHGB", "LBDHDD"], suffix=".xpt")
+    got = {r["record_id"]: (r["LBXHGB"], r["LBDHDD"]) for r in lab.collect()}
+    assert got == {"2017_1": (13.5, None), "2017_7": (None, 50.0), "2017_9": (-.25, None),
+                   "2015_2": (13.5, None), "2015_7": (None, None), "2015_9": (-.25, None)}
+
+
+def test_similarities_run_once(spark):
+    df = spark.createDataFrame([(1, i, [float(i), 1.0]) for i in range(5)], "im int, id int, v array<double>")
+    targets = spark.createDataFrame([(0, [1.0, 0.0])], "k int, vector array<double>")
+    plan = concepts.similarity_scores(df, "im", "v", targets, "k", row_key="id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_title_name(spark):
+    from tessera.functions.bands import title_name
+    got = spark.createDataFrame([("cat_left_ear",)], "n string").select(title_name("n"), title_name("n", 8)).first()
+    assert tuple(got) == ("Cat Left Ear", "Cat Left")
