@@ -18,7 +18,7 @@ from tessera.operators.clustering import (assign_panels, fit_kmeans, fit_mixture
                                           load_mixture, nearest_centre, save_mixture)
 from tessera.operators.concepts import cube_rows
 from tessera.operators.sampling import stratified_split
-from tessera.operators.vectors import batched, fit_projection
+from tessera.operators.vectors import fit_projection, model_column
 from tessera.plans.records import RecordScorer, deviation_table, fit_scorer
 from tessera.plans.variants import Variant, k_sweep, run_variants
 
@@ -64,7 +64,7 @@ def _panel_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("panel_gmm")
 def panel_gmm(spark: SparkSession, sf: str) -> DataFrame:
     long = _panel_rows(spark, sf)
-    models = fit_panels(long, "panel", "vector", list(PANELS), 4, row_id="record_id", fit_sample=50_000,
+    models = fit_panels(long, "panel", "vector", {p: len(fs) for p, fs in PANELS.items()}, 4, row_id="record_id", fit_sample=50_000,
                         n_init=1, max_iter=20)
     return assign_panels(long, "panel", "vector", models).groupBy("panel", "cluster_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.aggregate("membership", F.lit(0.0), lambda a, x: a + x)).alias("min_sum"))
@@ -154,5 +154,5 @@ def embed_hook(spark: SparkSession, sf: str) -> DataFrame:
         low = texts.str.lower()
         return [[float(len(t)), float(n)] for t, n in zip(texts, sum(low.str.count(v) for v in "aeiou"))]
 
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return batched(model, "text", "embedding", "array<double>")(docs).drop("text")
+    embed = model_column(model, "array<double>")
+    return table(spark, sf, "documents").select("doc_id", embed("text").alias("embedding"))

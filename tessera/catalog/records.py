@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from tessera.functions import bands
 from tessera.operators import labelling, plan_rows, prepare, sampling
 from tessera.operators.concepts import concept_profiles, cube_rows, melt
 from tessera.operators.metrics import enrichment
+from tessera.session import shared_folder
 from tessera.sources import settings, sinks, tables
 
 R6 = ", ".join(f"round({f}, 6) AS {f}" for f in FEATURES)
@@ -33,10 +34,7 @@ def panel_outer_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """New folder below the session's shared checkpoint folder."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
 _CYCLES = [{"year": str(y), "suffix": f"_{y}"} for y in range(1995, 2002)]

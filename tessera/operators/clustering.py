@@ -261,27 +261,26 @@ def fit_prep(df: DataFrame, vec: str, dims: int | None, grid: int | None = None,
     return FeaturePrep(fit_projection(units, "_u", dims), grid, weight)
 
 
-def fit_panels(long: DataFrame, panel: str, vec: str, panels: Sequence[str], k: int, *,
-               dims: int = 50, row_id: str | None = None, fit_sample: int | None = None,
-               n_init: int = 3, max_iter: int = 200,
-               seed: int = 42) -> dict[str, tuple[FeaturePrep, DiagonalMixture]]:
-    """One projection and one mixture per panel; each fit runs on the whole cluster.
+PanelModel = tuple[FeaturePrep, DiagonalMixture]
 
-    The number of panels is part of the configuration.
-    """
-    models = {}
-    for p in panels:
-        rows = long.filter(F.col(panel) == p)
-        width = rows.select(F.size(vec)).first()[0]
-        prep = fit_prep(rows, vec, min(dims, max(1, width - 1)))
-        ready = rows.withColumn("_x", prep.apply(vec))
-        models[p] = (prep, fit_mixture(ready, "_x", k, row_id=row_id, fit_sample=fit_sample,
-                                       n_init=n_init, max_iter=max_iter, seed=seed))
-    return models
+
+def fit_panel(rows: DataFrame, vec: str, width: int, k: int, *, dims: int = 50, row_id: str | None = None,
+              fit_sample: int | None = None, n_init: int = 3, max_iter: int = 200, seed: int = 42) -> PanelModel:
+    """Projection to at most ``width - 1`` dimensions and mixture of one panel's vectors."""
+    prep = fit_prep(rows, vec, min(dims, max(1, width - 1)))
+    ready = rows.withColumn("_x", prep.apply(vec))
+    return prep, fit_mixture(ready, "_x", k, row_id=row_id, fit_sample=fit_sample, n_init=n_init,
+                             max_iter=max_iter, seed=seed)
+
+
+def fit_panels(long: DataFrame, panel: str, vec: str, widths: dict[str, int], k: int,
+               **options) -> dict[str, PanelModel]:
+    """One model per panel (``widths``: panel -> vector length); each fit runs on the whole cluster."""
+    return {p: fit_panel(long.filter(F.col(panel) == p), vec, w, k, **options) for p, w in widths.items()}
 
 
 def assign_panels(long: DataFrame, panel: str, vec: str,
-                  models: dict[str, tuple[FeaturePrep, DiagonalMixture]]) -> DataFrame:
+                  models: dict[str, PanelModel]) -> DataFrame:
     """Membership array and cluster of each (entity, panel) row."""
     # Panels differ in width: each model sees NULL for the rows of other panels.
     parts = [mix.membership(prep.apply(F.when(F.col(panel) == p, F.col(vec))))

@@ -24,6 +24,7 @@ from tessera.functions.hashing import seeded_hash
 from tessera.session import small_side
 
 _ORDER = ["_v", "_h"]
+GROUP_LIMIT = 1000
 
 
 def hash_buckets(df: DataFrame, key: str | Column, seed: int | str, digits: int = 3) -> DataFrame:
@@ -114,24 +115,33 @@ def take_first(bucketed: DataFrame, by: Sequence[str], k: Column,
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
-          name: str = "rank", salt_key: str | None = None, salts: int = 64) -> DataFrame:
+          name: str = "rank") -> DataFrame:
     """First ``k`` rows of each group for a small constant ``k``.
 
-    Spark limits each map task to ``k`` rows per group before the shuffle (window
-    group limit) up to its threshold of 1000; for larger ``k`` the group is first cut
-    to ``k`` rows per salt, so that no task sorts a whole hot group.
+    Spark cuts each map task to ``k`` rows per group before the shuffle (window group
+    limit, up to 1000 rows), so no task sorts a whole hot group. Use :func:`first_n`
+    for more.
     """
-    if k > 1000:
-        if salt_key is None:
-            raise ValueError("k above 1000 needs salt_key")
-        salt = F.pmod(F.xxhash64(salt_key), F.lit(salts))
-        df = df.withColumn("_salt", salt)
-        part = Window.partitionBy(*by, "_salt").orderBy(*order)
-        df = df.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= k).drop("_r", "_salt")
+    if k > GROUP_LIMIT:
+        raise ValueError(f"k above {GROUP_LIMIT}: use first_n")
     return (df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
             .filter(F.col(name) <= k).withColumn(name, F.col(name).cast("long")))
 
 
+def first_n(df: DataFrame, by: Sequence[str], key: str, n: int, name: str = "rank") -> DataFrame:
+    """First ``n`` rows of each group by a unique numeric key, for any ``n``.
+
+    Beyond the window group limit the n-th key of each group is found from bucket
+    counts and the rows are filtered where they are; only ``n`` rows per group are
+    left to number.
+    """
+    if n <= GROUP_LIMIT:
+        return top_k(df, by, [F.col(key)], n, name)
+    some = take_first(value_buckets(df, by, key, key), by, F.lit(n))
+    order = Window.partitionBy(*by).orderBy(key)
+    return some.withColumn(name, F.row_number().over(order).cast("long"))
+
+
 def exclusive_sums(df: DataFrame, by: Sequence[str], value: str, columns: Sequence[str],
                    buckets: int = 64) -> DataFrame:
     """Sum of ``columns`` over all rows of the group with a smaller ``value``.

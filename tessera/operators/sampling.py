@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import (flag_first, hash_buckets, rank_rows, take_first, top_k,
+from tessera.operators.ordering import (first_n, flag_first, hash_buckets, rank_rows, take_first,
                                         value_buckets)
 
 
@@ -18,16 +18,16 @@ def first_per_class(df: DataFrame, label: str, key: str, n: int, keep: Column |
     Adds ``pos`` (from 0) and ``split``.
     """
     rows = df if keep is None else df.filter(keep)
-    best = top_k(rows, [label], [F.col(key)], n, "_r", salt_key=key)
-    return (best.withColumn("pos", F.col("_r") - 1).drop("_r")
+    best = first_n(rows, [label], key, n, "pos")
+    return (best.withColumn("pos", F.col("pos") - 1)
             .withColumn("split", F.when(F.col("pos") % val_every == 0, "val").otherwise("train")))
 
 
 def gated_candidates(df: DataFrame, label: str, key: str, n: int, gate: Column,
                      oversample: int = 3) -> DataFrame:
     """First ``n`` rows per class that pass the gate among its first ``oversample * n``."""
-    pool = top_k(df, [label], [F.col(key)], oversample * n, "_c", salt_key=key).drop("_c")
-    return top_k(pool.filter(gate), [label], [F.col(key)], n, "rank", salt_key=key)
+    pool = first_n(df, [label], key, oversample * n, "_pos").drop("_pos")
+    return first_n(pool.filter(gate), [label], key, n)
 
 
 def top_fraction(df: DataFrame, by: Sequence[str], score: str, key: str, fraction: float,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -281,18 +282,14 @@ def euclidean_silhouette(sample: DataFrame, vec: str, cluster: str,
     return sample.withColumn("silhouette", silhouette(F.col(vec).cast("array<double>"), cluster))
 
 
-def batched(model, column: str, name: str, ddl: str):
-    """``mapInPandas`` body that adds ``model(series)`` as a column, batch by batch.
+def model_column(model: Callable, ddl: str):
+    """Column function around a user model, applied batch by batch on executors.
 
-    Hook for user models (text or image encoders): ``model`` maps a pandas Series to
-    a list-like of results.
+    ``model`` maps a pandas Series (texts, prompts, encoded images) to a list-like of
+    results of the given type. Only the input column is sent to Python.
     """
-    def run(batches: Iterator):
-        for pdf in batches:
-            yield pdf.assign(**{name: list(model(pdf[column]))})
+    @F.pandas_udf(ddl)
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(list(model(values)))
 
-    def apply(df: DataFrame) -> DataFrame:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInPandas(run, f"{fields}, `{name}` {ddl}")
-
-    return apply
+    return run

@@ -26,17 +26,17 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; a new local one only where none is set."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+            or tempfile.mkdtemp(prefix="tessera-"))
 
-    Only where the session names no folder (tests on one machine) a new
-    temporary one is set.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder of the session."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -145,9 +145,9 @@ def attach_context(lab: DataFrame, demographics: DataFrame | None,
 def read_scoring_csv(spark: SparkSession, path: str, features: Sequence[str]) -> DataFrame:
     """Records to score: header upper-cased, absent features added as NULL."""
     raw = upper_header(spark.read.csv(path, header=True))
-    return raw.select(*[c for c in raw.columns if c not in features],
-                      *[(F.expr(f"try_cast(`{f}` AS double)") if f in raw.columns
-                         else F.lit(None).cast("double")).alias(f) for f in features])
+    return nan_to_null(raw.select(*[c for c in raw.columns if c not in features],
+                                  *[(F.expr(f"try_cast(`{f}` AS double)") if f in raw.columns
+                                     else F.lit(None).cast("double")).alias(f) for f in features]))
 
 
 def missing_columns(df: DataFrame, expected: Sequence[str]) -> DataFrame:

@@ -95,7 +95,9 @@ def test_quantiles_of_empty_column(spark):
 
 def test_top_k_above_window_limit(skewed):
     df, rows = skewed
-    got = o.top_k(df, ["cls"], [F.col("id")], 1200, salt_key="id")
+    with pytest.raises(ValueError):
+        o.top_k(df, ["cls"], [F.col("id")], 1200)
+    got = o.first_n(df, ["cls"], "id", 1200)
     assert got.filter("cls = 'hot'").count() == 1200
     assert got.filter("cls = 'hot'").agg(F.max("id")).first()[0] == sorted(r[0] for r in rows if r[1] == "hot")[1199]
 
