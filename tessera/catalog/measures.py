@@ -12,7 +12,6 @@ from tessera.operators import classify, metrics
 from tessera.operators.clustering import DiagonalMixture
 from tessera.operators.concepts import membership_matrix, score_rows
 from tessera.operators.labelling import parse_answer
-from tessera.operators.vectors import euclidean_silhouette
 
 
 def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:

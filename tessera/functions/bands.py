@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# All thresholds and texts of the bands below.
+
+
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -28,6 +28,11 @@ SECTIONS = {
     "mildly_low": "MILDLY LOW",
 }
 
+# Formats of the profile text.
+PROFILE_HEAD = ("Cluster of ", " patients with the following lab pattern:\n")
+PROFILE_LINE = ("    • ", "  (deviation ", " from normal midpoint)")
+PROFILE_NORMAL = "\n  WITHIN NORMAL RANGE: "
+
 
 def representatives(df: DataFrame, by: Sequence[str], vec: str, row_id: str, k: int = 10) -> DataFrame:
     """The ``k`` rows of each cluster closest to its mean direction, with their rank."""
@@ -175,9 +180,8 @@ def profile_text(profile: DataFrame, cluster: str, max_normal: int = 6) -> DataF
     def lines(band: str) -> Column:
         rows = F.array_sort(F.collect_list(F.when(F.col("band") == band, F.struct(
             (-F.abs("deviation")).alias("k"), F.col("ord"), F.concat(
-                F.lit("    • "), F.col("label"), F.lit("  (deviation "),
-                one_decimal(F.col("deviation"), signed=True),
-                F.lit(" from normal midpoint)")).alias("t")))))
+                F.lit(PROFILE_LINE[0]), F.col("label"), F.lit(PROFILE_LINE[1]),
+                one_decimal(F.col("deviation"), signed=True), F.lit(PROFILE_LINE[2])).alias("t")))))
         body = F.concat_ws("\n", F.transform(rows, lambda r: r["t"]))
         return F.when(body != "", F.concat(F.lit(f"  {SECTIONS[band]}:\n"), body))
 
@@ -189,9 +193,8 @@ def profile_text(profile: DataFrame, cluster: str, max_normal: int = 6) -> DataF
     more = F.when(F.size("_normal") > max_normal,
                   F.concat(F.lit(", +"), (F.size("_normal") - max_normal).cast("string"), F.lit(" more")))
     listed = F.concat(F.array_join(F.slice("_normal", 1, max_normal), ", "), F.coalesce(more, F.lit("")))
-    tail = F.when(F.size("_normal") > 0, F.concat(F.lit("\n  WITHIN NORMAL RANGE: "), listed))
-    head = F.concat(F.lit("Cluster of "), F.col("n_records").cast("string"),
-                    F.lit(" patients with the following lab pattern:\n"))
+    tail = F.when(F.size("_normal") > 0, F.concat(F.lit(PROFILE_NORMAL), listed))
+    head = F.concat(F.lit(PROFILE_HEAD[0]), F.col("n_records").cast("string"), F.lit(PROFILE_HEAD[1]))
     return grouped.select(cluster, F.concat_ws("\n", head, *[F.col(f"_{b}") for b in SECTIONS],
                                                tail).alias("profile"))
 

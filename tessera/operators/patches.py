@@ -14,6 +14,9 @@ from tessera.functions.grid import grid_col, grid_row
 from tessera.functions.vectors import scatter, to_matrix
 from tessera.session import checkpoint
 
+# Names of the gate's verdicts, in the order of the checks.
+REASONS = ("high_entropy_uniform", "low_max_over_mean", "low_peakiness", "low_fg_ratio", "ok")
+
 STATS = "struct<fg_ratio:double,peakiness:double,entropy:double,max_over_mean:double>"
 
 
@@ -57,10 +60,10 @@ def quality_score(stats: Column) -> Column:
 def gate_reason(stats: Column, max_entropy: float, min_max_over_mean: float,
                 min_peakiness: float, min_fg_ratio: float) -> Column:
     """First failing check, or ``ok``."""
-    return (F.when(stats.getField("entropy") > max_entropy, "high_entropy_uniform")
-            .when(stats.getField("max_over_mean") < min_max_over_mean, "low_max_over_mean")
-            .when(stats.getField("peakiness") < min_peakiness, "low_peakiness")
-            .when(stats.getField("fg_ratio") < min_fg_ratio, "low_fg_ratio").otherwise("ok"))
+    return (F.when(stats.getField("entropy") > max_entropy, REASONS[0])
+            .when(stats.getField("max_over_mean") < min_max_over_mean, REASONS[1])
+            .when(stats.getField("peakiness") < min_peakiness, REASONS[2])
+            .when(stats.getField("fg_ratio") < min_fg_ratio, REASONS[3]).otherwise(REASONS[4]))
 
 
 def fraction_above(threshold: float, inclusive: bool = False):
