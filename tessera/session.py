@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +27,17 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; a new local one only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-            or tempfile.mkdtemp(prefix="tessera-"))
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local master keeps intermediate data in its warehouse; a
+    cluster has to name the folder, since no other is known to be shared.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
