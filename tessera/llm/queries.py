@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.blockmax import exact_top_k, multiples
+from tessera.llm.frames import read_frames, write_frames
 from tessera.llm.hamming import hamming_search
 from tessera.llm.mixture import mix_sources
+from tessera.llm.packing import pack_documents
+from tessera.llm.tokencount import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +28,20 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    """The pre-token pattern that belongs to the byte-level files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +51,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search(table(spark, sf_dir, "embeddings"), multiples(20), k=20)
 
 
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), split_pattern(), limit=512)
+
+
+@query("op4_token_frames")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_frames(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return read_frames(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_histogram_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, size=1024,
+                            payload={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @query("op9_block_max_top_k", """
     with ok as (
         select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
