@@ -12,6 +12,7 @@ from tessera.llm.frames import read_frames, write_frames
 from tessera.llm.hamming import hamming_search
 from tessera.llm.mixture import mix_sources
 from tessera.llm.packing import pack_documents
+from tessera.llm.substrings import remove_repeats
 from tessera.llm.tokencount import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op6_doubling_windows", """
+    with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
+    starts as (select doc_id, ws, unnest(generate_series(1, len(ws) - 19)) s from w),
+    windows as (select doc_id, s, array_to_string(ws[s:s + 19], ' ') k from starts),
+    later as (select doc_id, s from windows qualify row_number() over (partition by k order by doc_id, s) > 1),
+    gone as (select distinct doc_id, unnest(generate_series(s, s + 19)) i from later),
+    places as (select doc_id, unnest(ws) word, unnest(generate_series(1, len(ws))) i from w),
+    kept as (select p.doc_id, string_agg(p.word, ' ' order by p.i) kept, count(*) n from places p anti join gone g on p.doc_id = g.doc_id and p.i = g.i group by p.doc_id)
+    select w.doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256
+    from w left join kept on w.doc_id = kept.doc_id""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (remove_repeats(table(spark, sf_dir, "documents"), window=20)
+            .select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")))
+
+
 @query("op9_block_max_top_k", """
     with ok as (
         select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
