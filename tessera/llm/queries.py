@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.blockmax import exact_top_k, multiples
+from tessera.llm.dartminhash import near_duplicates
 from tessera.llm.frames import read_frames, write_frames
 from tessera.llm.hamming import hamming_search
+from tessera.llm.langid import identify_languages
 from tessera.llm.mixture import mix_sources
 from tessera.llm.packing import pack_documents
+from tessera.llm.pseudonyms import pseudonymise
 from tessera.llm.substrings import remove_repeats
 from tessera.llm.tokencount import count_tokens
 
@@ -43,6 +46,10 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: Key of the registered queries; a real run takes its own from a secret store.
+DEMO_KEY = b"registered queries only"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +59,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search(table(spark, sf_dir, "embeddings"), multiples(20), k=20)
 
 
+@query("op2_rank_order_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), size=400, longest=3)
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), split_pattern(), limit=512)
@@ -85,6 +97,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")))
 
 
+@query("op7_dart_minhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, size=5, bands=20, each=6)
+
+
+@query("op8_feistel_pseudonyms")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY).select("doc_id", "text", "private", F.size("private").alias("n_private"))
+
+
 @query("op9_block_max_top_k", """
     with ok as (
         select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings

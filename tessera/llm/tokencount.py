@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices
-from tessera.llm.tokens import CACHE_CHUNKS, Chunks
+from tessera.llm.tokens import CACHE_CHUNKS, Chunks, Seen
 
 _NONE = np.int64(1) << 40
+#: Distinct chunks whose pre-tokens are merged in one array.
+COUNT_AT_ONCE = 100_000
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -51,7 +53,7 @@ class Merger:
         self.pattern = regex.compile(pattern)
         special = sorted((t["content"] for t in content["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.known: dict[bytes, int] = {}
+        self.seen, self.totals = Seen(), np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Merger:
@@ -131,11 +133,11 @@ class Merger:
             ranks[touched] = self.rank(ids[touched], ids[touched + 1])
         return counts
 
-    def count_chunks(self, chunks: list[bytes]) -> np.ndarray:
-        """Tokens of each chunk, special strings one token each."""
+    def _count_new(self, chunks: list[bytes]) -> np.ndarray:
         totals = np.zeros(len(chunks), np.int64)
-        pretokens: dict[bytes, int] = {}
-        places: list[tuple[int, int]] = []
+        pretokens: dict[str, int] = {}
+        owners: list[int] = []
+        codes: list[int] = []
         for i, chunk in enumerate(chunks):
             text = chunk.decode("utf-8", "replace")
             parts = [text]
@@ -144,17 +146,21 @@ class Merger:
                 parts = self.special.split(text)
             for part in parts:
                 for token in self.pattern.findall(part):
-                    places.append((i, pretokens.setdefault(token.encode(), len(pretokens))))
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        new = [t for t in pretokens if t not in self.known]
-        self.known.update(zip(new, self.count(new).tolist()))
-        by_token = np.fromiter(map(self.known.__getitem__, pretokens), np.int64, len(pretokens))
-        if places:
-            where = np.array(places, np.int64)
-            np.add.at(totals, where[:, 0], by_token[where[:, 1]])
+                    owners.append(i)
+                    codes.append(pretokens.setdefault(token, len(pretokens)))
+        by_token = self.count([t.encode() for t in pretokens])
+        np.add.at(totals, np.array(owners, np.int64), by_token[np.array(codes, np.int64)])
         return totals
 
+    def count_chunks(self, chunks: list[bytes]) -> np.ndarray:
+        """Tokens of each chunk, special strings one token each; chunks met before are remembered."""
+        if len(self.totals) > CACHE_CHUNKS:
+            self.seen, self.totals = Seen(), np.zeros(0, np.int64)
+        rows, new = self.seen.rows(chunks)
+        counted = [self._count_new([chunks[i] for i in new[at:at + COUNT_AT_ONCE]]) for at in range(0, len(new), COUNT_AT_ONCE)]
+        self.totals = np.concatenate([self.totals, *counted])
+        return self.totals[rows]
+
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every whole text, as the library counts with default settings.

@@ -14,6 +14,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from tessera.llm.common import byte_buffer, cut, ranges
 
@@ -22,7 +23,8 @@ _PUNCTUATION[np.frombuffer(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~', np.uint8)] = True
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)] = True
 #: Distinct chunks a worker remembers; beyond, it starts anew.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 2_000_000
+ENCODE_AT_ONCE = 10_000
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -58,6 +60,31 @@ class Chunks:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
+class Seen:
+    """Rows of the chunks a worker has met, by a 128-bit hash; 24 bytes for each."""
+
+    def __init__(self) -> None:
+        self.high, self.low, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def rows(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each chunk, and the positions of those that are new (numbered on from the last)."""
+        if not chunks:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chunks)), ">u8").astype(np.uint64).reshape(-1, 2)
+        high, low = keys[:, 0], keys[:, 1]
+        at = np.searchsorted(self.high, high)
+        near = np.minimum(at, max(0, len(self.high) - 1))
+        rows = np.full(len(chunks), -1, np.int64)
+        if len(self.high):
+            found = (self.high[near] == high) & (self.low[near] == low)
+            rows[found] = self.row[near[found]]
+        new = np.flatnonzero(rows < 0)
+        rows[new] = len(self.row) + np.arange(len(new))
+        order = new[np.argsort(high[new], kind="stable")]
+        self.high, self.low, self.row = (np.insert(old, at[order], values[order]) for old, values in ((self.high, high), (self.low, low), (self.row, rows)))
+        return rows, new
+
+
 class Encoder:
     """A tokenizer of this worker with the ids of chunks it has met."""
 
@@ -79,32 +106,31 @@ class Encoder:
         return cls._loaded[path]
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.seen = Seen()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.counts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.counts, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     @staticmethod
     def _room(array: np.ndarray, need: int) -> np.ndarray:
-        return array if need <= len(array) else np.concatenate([array, np.zeros(max(need, len(array)), array.dtype)])
+        return array if need <= len(array) else np.concatenate([array, np.zeros(max(need - len(array), len(array) // 2), array.dtype)])
 
     def rows(self, chunks: list[bytes]) -> np.ndarray:
         """Row of each chunk in ``starts`` and ``counts``; chunks not met before are encoded."""
-        if len(self.known) > CACHE_CHUNKS:
+        if self.known > CACHE_CHUNKS:
             self._forget()
-        missing = [c for c in chunks if c not in self.known]
-        if missing:
-            first = len(self.known)
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in missing], add_special_tokens=False)]
+        rows, new = self.seen.rows(chunks)
+        for begin in range(0, len(new), ENCODE_AT_ONCE):
+            texts = [chunks[i].decode("utf-8", "replace") for i in new[begin:begin + ENCODE_AT_ONCE]]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(counts.sum())
+            total, known = int(counts.sum()), self.known + len(ids)
             self.pool = self._room(self.pool, self.used + total)
             self.pool[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
-            self.starts, self.counts = self._room(self.starts, first + len(ids)), self._room(self.counts, first + len(ids))
-            self.starts[first:first + len(ids)] = self.used + np.cumsum(counts) - counts
-            self.counts[first:first + len(ids)] = counts
-            self.used += total
-            self.known.update(zip(missing, range(first, first + len(ids))))
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+            self.starts, self.counts = self._room(self.starts, known), self._room(self.counts, known)
+            self.starts[self.known:known] = self.used + np.cumsum(counts) - counts
+            self.counts[self.known:known] = counts
+            self.used, self.known = self.used + total, known
+        return rows
 
     def encode(self, column: pa.ChunkedArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with ``end_id`` after it, and their offsets (rows + 1)."""
