@@ -236,10 +236,10 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
             held = next(taken)
         if start < done or start >= held[1]:
             continue
-        begin = start - 2 if start > 1 and text[start - 2:start].isupper() else start - (text[max(0, start - 1):start] == "(")
-        begin -= text[begin - 1:begin] == "+" if begin else 0
+        begin = start - (text[max(0, start - 1):start] == "(")
+        begin -= text[max(0, begin - 1):begin] == "+"
         for kind, shape in NUMBER:
-            match = shape.match(text, begin)
+            match = shape.match(text, max(0, start - 2) if kind == "iban" else begin)
             new = pseudonym(kind, match.group(), key, back) if match and match.end() <= held[1] else None
             if new is not None:
                 spans.append((kind, *match.span(), new))
