@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tessera.llm.common import byte_buffer, slices
 
@@ -277,6 +278,6 @@ def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text") -> Data
                 columns = [pa.array(texts, pa.string()) if c == text_column else part[c] for c in kept]
                 yield from pa.table([*columns, pa.array(found, spans)], names=[*kept, "private"]).to_batches()
 
-    schema = rows.schema.add("private", "array<struct<kind: string, start: int, end: int>>")
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("private array<struct<kind: string, start: int, end: int>>").fields])
     return rows.mapInArrow(run, schema)
 
