@@ -8,8 +8,11 @@ and dictionary encoded, so per-string work runs once for each distinct string.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +101,19 @@ def _spaces(data: np.ndarray) -> np.ndarray:
     return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
 
 
+def kept_by_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps between tasks, made on first use.
+
+    The package travels to workers by value, with each task anew; what is to stay (loaded
+    vocabularies, bounded caches) hangs on a module of the worker's own.
+    """
+    module = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
+    held = module.__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 class Words:
     """Words of a slice: ``distinct`` byte strings, ``codes`` by position, ``bounds`` by text (rows + 1)."""
 

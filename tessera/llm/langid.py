@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, ranges, slices
+from tessera.llm.common import Words, kept_by_worker, ranges, slices
 from tessera.llm.tokens import Seen
 
 #: Distinct words a worker remembers, and cells of the documents x n-grams count matrix.
@@ -27,8 +27,6 @@ CACHE_WORDS, CELLS = 500_000, 1 << 22
 class Grams:
     """Letter n-grams (1 to ``longest``, runs padded with ``_``) of the words a worker has met."""
 
-    _loaded: dict[int, Grams] = {}
-
     def __init__(self, longest: int):
         import regex
 
@@ -37,9 +35,7 @@ class Grams:
 
     @classmethod
     def of(cls, longest: int) -> Grams:
-        if longest not in cls._loaded:
-            cls._loaded[longest] = cls(longest)
-        grams = cls._loaded[longest]
+        grams = kept_by_worker(("grams", longest), lambda: cls(longest))
         if len(grams.counts) > CACHE_WORDS:
             grams._forget()
         return grams

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import kept_by_worker, slices
 from tessera.llm.tokens import CACHE_CHUNKS, Chunks, Seen
 
 _NONE = np.int64(1) << 40
@@ -34,8 +34,6 @@ def _byte_symbols() -> dict[int, str]:
 class Merger:
     """Merge table of a byte-level BPE file, for counting."""
 
-    _loaded: dict[tuple[str, str], Merger] = {}
-
     def __init__(self, path: str, pattern: str):
         import regex
 
@@ -57,9 +55,7 @@ class Merger:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Merger:
-        if (path, pattern) not in cls._loaded:
-            cls._loaded[path, pattern] = cls(path, pattern)
-        return cls._loaded[path, pattern]
+        return kept_by_worker(("merger", path, pattern), lambda: cls(path, pattern))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.table_bits).astype(np.int64)

@@ -16,14 +16,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from tessera.llm.common import byte_buffer, cut, ranges
+from tessera.llm.common import byte_buffer, cut, kept_by_worker, ranges
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[np.frombuffer(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~', np.uint8)] = True
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)] = True
 #: Distinct chunks a worker remembers; beyond, it starts anew.
-CACHE_CHUNKS = 2_000_000
+CACHE_CHUNKS = 1_500_000
 ENCODE_AT_ONCE = 10_000
 
 
@@ -88,8 +88,6 @@ class Seen:
 class Encoder:
     """A tokenizer of this worker with the ids of chunks it has met."""
 
-    _loaded: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallel work
         from tokenizers import Tokenizer
@@ -101,9 +99,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        return kept_by_worker(("encoder", path), lambda: cls(path))
 
     def _forget(self) -> None:
         self.seen = Seen()
