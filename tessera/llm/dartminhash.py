@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Words, mix, ranges, slices, stored
@@ -29,8 +28,10 @@ from tessera.llm.substrings import NULL_ID, fold
 LOW_CELLS = [(0.0, 4.0 ** -8), *((4.0 ** -j, 4.0 ** -(j - 1)) for j in range(8, 0, -1))]
 #: Darts of the documents that are drawn together, about.
 DARTS_AT_ONCE = 1 << 20
-#: Members of a bucket that serve as hubs in one round.
-HUBS = 16
+#: Buckets up to this size compare the members of different groups as pairs, larger ones block by block.
+SMALL_BUCKET = 32
+#: Members of one block of a large bucket, on either side.
+BLOCK_FEW, BLOCK_MANY = 256, 1024
 
 
 def _uniform(hashes: np.ndarray) -> np.ndarray:
@@ -181,6 +182,65 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "doc long, hub long")
 
 
+def cross_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between groups inside large buckets (``band, doc, label``); pairs never become rows.
+
+    Every pair of different groups has a side outside the bucket's largest group. Those members, in blocks,
+    meet all members, in blocks; a task counts shared shingles array by array and returns the
+    links that join groups it has not joined yet.
+    """
+    sizes = members.groupBy("band", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+    held = (members.select("band", "doc", "label").join(main, "band").join(sets, "doc")
+            .withColumn("many", F.ceil(F.col("n") / BLOCK_MANY).cast("int"))
+            .withColumn("few", F.ceil((F.col("n") - F.col("largest")) / BLOCK_FEW).cast("int")))
+
+    def block(count: str, seed: int):
+        return F.pmod(F.xxhash64("doc", F.lit(seed)), F.col(count)).cast("int")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    columns = ["band", "i", "j", "doc", "label", "elements"]
+    few = held.filter("label <> main").withColumn("i", block("few", 1)).withColumn("j", every("many")).select(*columns).toDF(*columns)
+    many = held.withColumn("i", every("few")).withColumn("j", block("many", 2)).select(*columns).toDF(*columns)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            docs, labels = right["doc"].to_pylist(), right["label"].to_numpy()
+            lists = right["elements"].combine_chunks()
+            lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            names, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            present = np.zeros(len(names), np.int64)
+            for doc, label, elements in zip(left["doc"].to_pylist(), left["label"].to_pylist(), left["elements"]):
+                own = elements.values.to_numpy()
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                at = at[names[at] == own]
+                present[at] = 1
+                shared = np.add.reduceat(present[codes], starts)
+                present[at] = 0
+                near = (shared >= threshold * (len(own) + sizes - shared)) & (labels != label)
+                for i in np.flatnonzero(near).tolist():
+                    a, b = root(label), root(int(labels[i]))
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        found.append((max(doc, docs[i]), min(doc, docs[i])))
+        return pa.table({"doc": pa.array([f[0] for f in found], pa.int64()), "hub": pa.array([f[1] for f in found], pa.int64())})
+
+    cells = ["band", "i", "j"]
+    return few.groupBy(*cells).cogroup(many.groupBy(*cells)).applyInArrow(compare, "doc long, hub long")
+
+
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``doc, label``: the smallest id of each connected component of ``links`` (``doc, hub``).
 
@@ -210,11 +270,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 
     Two documents are linked if the weighted Jaccard similarity of their shingles of ``size`` words is at least ``threshold``;
     groups are the connected components. Equal word sequences form a class of
-    which one takes part. Members of a band bucket are compared with its hub, all of
-    them; while a bucket spans several groups, further members become hubs and are
-    compared with the members of other groups, until one group holds the bucket or
-    every member has been a hub. So no link of a bucket that joins two groups is lost and no
-    bucket makes all its pairs. A link of similarity s is found with probability ``1 - (1 - s**each)**bands``.
+    which one takes part. First, all members of a band bucket are compared with one of
+    them, its hub. Then, where a bucket still spans several groups, its members of different groups
+    are compared with each other: as pairs in small buckets, in large ones block by block
+    within tasks. So every link in a bucket that joins two groups is found. A link of similarity s is found with probability ``1 - (1 - s**each)**bands``.
 
     A text of fewer words than a shingle is one shingle. Texts without words (null, empty) are linked to nothing. Rows that
     share an id (null is an id) are one document, linked by any of their texts. An empty table gives no rows. Other columns are not looked at.
@@ -234,25 +293,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     tried = stored(members.filter("doc <> hub").select("doc", "hub").distinct(), "pairs")
     links = stored(similar(tried, sets, threshold), "links")
     labels = components(links)
-    turn = 0
-    while True:
-        named = members.join(labels, "doc", "left").select("band", "doc", "n", F.coalesce("label", "doc").alias("label"))
-        mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-        still = stored(named.filter(F.col("n") > turn * HUBS).join(mixed, "band", "left_semi"), "mixed")
-        by_hash = W.partitionBy("band").orderBy(F.xxhash64("doc"), "doc")
-        hubs = (still.withColumn("turn", F.row_number().over(by_hash)).filter(F.col("turn") <= (turn + 1) * HUBS).filter(F.col("turn") > turn * HUBS)
-                .select("band", F.col("doc").alias("hub"), F.col("label").alias("hub_label")))
-        pairs = (still.join(hubs, "band").filter(F.col("label") != F.col("hub_label"))
-                 .select(F.greatest("doc", "hub").alias("doc"), F.least("doc", "hub").alias("hub")).distinct())
-        fresh = stored(pairs.join(tried, ["doc", "hub"], "left_anti"), "pairs")
-        if fresh.isEmpty() and still.filter(F.col("n") > (turn + 1) * HUBS).isEmpty():
-            break
-        tried = tried.unionByName(fresh)
-        found = stored(similar(fresh, sets, threshold), "links")
-        links = links.unionByName(found)
-        if not found.isEmpty():
-            labels = components(links, labels)
-        turn += 1
+    named = stored(members.join(labels, "doc", "left").select("band", "doc", "n", F.coalesce("label", "doc").alias("label")), "named")
+    mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
+    still = stored(named.join(mixed, "band", "left_semi"), "mixed")
+    small = still.filter(F.col("n") <= SMALL_BUCKET)
+    other = small.select("band", F.col("doc").alias("hub"), F.col("label").alias("hub_label"))
+    pairs = (small.join(other, "band").filter((F.col("label") != F.col("hub_label")) & (F.col("doc") > F.col("hub")))
+             .select("doc", "hub").distinct().join(tried, ["doc", "hub"], "left_anti"))
+    crossing = stored(similar(pairs, sets, threshold).unionByName(cross_links(still.filter(F.col("n") > SMALL_BUCKET), sets, threshold)), "links")
+    labels = components(links.unionByName(crossing), labels)
     named = copies.select("doc", "hub").unionByName(rows.select("doc", F.col("doc").alias("hub"))).groupBy("doc").agg(F.min("hub").alias("hub"))
     classes = named.join(labels.select(F.col("doc").alias("hub"), "label"), "hub", "left")
     return classes.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), F.coalesce("label", "hub").alias("class")).select(
