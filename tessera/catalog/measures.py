@@ -84,13 +84,12 @@ def _sil_sql(dist: str) -> str:
               FROM smp a, smp b GROUP BY 1, 2, 3) GROUP BY 1)"""
 
 
-_SMP = "SELECT vec_id, cid, f FROM patches ORDER BY md5(concat(cast(vec_id AS varchar), '|42')), vec_id LIMIT {0}"
 _EUC = "list_distance(a.f, b.f)"
 
 
-@query("silhouette_exact", sql(_sil_sql(_EUC), "patches", smp=_SMP.format(10_000)))
+@query("silhouette_exact", sql(_sil_sql(_EUC), "patches", smp="SELECT vec_id, cid, f FROM patches"))
 def silhouette_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """Euclidean silhouette over the metric's seeded sample of 10,000 rows."""
+    """Euclidean silhouette over all rows."""
     return _round(metrics.silhouette(patches(spark, sf), "cid", "f", "vec_id"), "silhouette")
 
 
@@ -113,10 +112,17 @@ def pair_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return _round(metrics.pair_consistency(a.join(b, "k")), "loss")
 
 
-@query("sampled_pair_consistency")
+@query("sampled_pair_consistency", sql("""
+    SELECT count(*) AS n_pairs, round(avg(CASE WHEN a.cid = b.cid THEN 1 - s ELSE greatest(s - 0.5::double, 0) END), 6) AS loss FROM (
+        SELECT a.cid, b.cid AS cb, list_inner_product(a.f, b.f) / sqrt(list_inner_product(a.f, a.f)) / sqrt(list_inner_product(b.f, b.f)) AS s
+        FROM draws JOIN rk a ON a.pos = pa JOIN rk b ON b.pos = pb)""".replace("a.cid = b.cid THEN", "cid = cb THEN"), "patches",
+    rk="SELECT *, row_number() OVER (ORDER BY md5(concat(cast(vec_id AS varchar), '|42'))) AS pos FROM patches",
+    draws="""SELECT 1 + ('0x' || substr(md5(concat(cast(range AS varchar), '|42a')), 1, 12))::bigint % n AS pa,
+                    1 + ('0x' || substr(md5(concat(cast(range AS varchar), '|42b')), 1, 12))::bigint % n AS pb
+             FROM range(512), (SELECT count(*) AS n FROM patches)"""))
 def sampled_pair_consistency(spark: SparkSession, sf: str) -> DataFrame:
     pairs = metrics.seeded_pairs(patches(spark, sf), "vec_id", "cid", "f", 512, 42)
-    return metrics.pair_consistency(pairs)
+    return _round(metrics.pair_consistency(pairs), "loss")
 
 
 @query("seeded_sample", """
@@ -163,16 +169,17 @@ def pearson_corr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("pearson_p_value", """
-    SELECT g, n, r, round(CASE n WHEN 3 THEN 1 - 2 / pi() * asin(a) WHEN 4 THEN 1 - a
-        WHEN 5 THEN 1 - 2 / pi() * (asin(a) + a * sqrt(1 - a * a)) WHEN 6 THEN 1 - a * (3 - a * a) / 2
-        WHEN 7 THEN 1 - 2 / pi() * (asin(a) + a * sqrt(1 - a * a) * (1 + 2 * (1 - a * a) / 3)) END, 4) AS p_value FROM (
+    SELECT g, n, CASE WHEN ok THEN r END AS r, round(CASE WHEN NOT ok THEN NULL WHEN n < 3 THEN NULL ELSE CASE n % 2 WHEN 0
+        THEN 1 - a * list_sum(list_transform(generate_series(0, (n - 4) // 2), lambda k: factorial(cast(2 * k AS int)) / (pow(4, k) * pow(factorial(cast(k AS int)), 2)) * pow(1 - a * a, k)))
+        ELSE 1 - 2 / pi() * (asin(a) + a * sqrt(1 - a * a) * coalesce(list_sum(list_transform(generate_series(0, (n - 5) // 2),
+             lambda k: pow(4, k) * pow(factorial(cast(k AS int)), 2) / factorial(cast(2 * k + 1 AS int)) * pow(1 - a * a, k))), 0)) END END, 4) AS p_value FROM (
         SELECT l_orderkey AS g, count(*) AS n, round(corr(l_quantity, l_extendedprice), 4) AS r,
-               least(abs(corr(l_quantity, l_extendedprice)), 1.0::double) AS a FROM lineitem GROUP BY 1
-        HAVING stddev_pop(l_quantity) > 0 AND stddev_pop(l_extendedprice) > 0 AND count(*) BETWEEN 3 AND 7)""")
+               least(abs(corr(l_quantity, l_extendedprice)), 1.0::double) AS a,
+               stddev_pop(l_quantity) > 0 AND stddev_pop(l_extendedprice) > 0 AS ok FROM lineitem GROUP BY 1)""")
 def pearson_p_value(spark: SparkSession, sf: str) -> DataFrame:
-    """Correlation per order; up to seven lines the p-value has a closed form."""
+    """Correlation per order; for whole numbers of pairs the p-value is a finite sum."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), "l_quantity", "l_extendedprice")
-    out = metrics.pearson(rows, "l_quantity", "l_extendedprice", ["g"]).filter("n between 3 and 7 and r is not null")
+    out = metrics.pearson(rows, "l_quantity", "l_extendedprice", ["g"])
     return _round(out, "r", "p_value", places=4)
 
 

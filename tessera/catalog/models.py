@@ -52,9 +52,9 @@ def gmm_fit(spark: SparkSession, sf: str) -> DataFrame:
     p = patches(spark, sf)
     prep = fit_prep(p, "f", 8)
     x = p.select("vec_id", prep.apply("f").alias("x"))
-    mix = fit_mixture(x, "x", 5, n_init=2, max_iter=30)
+    mix = fit_mixture(x, "x", 5)
     return x.withColumn("cluster_id", mix.predict("x")).groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n")).withColumn("bound", F.lit(mix.bound))
+        F.count(F.lit(1)).alias("n")).withColumn("bound", F.lit(mix.bound)).withColumn("converged", F.lit(mix.converged))
 
 
 def _panel_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +64,7 @@ def _panel_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("panel_gmm")
 def panel_gmm(spark: SparkSession, sf: str) -> DataFrame:
     long = _panel_rows(spark, sf)
-    models = fit_panels(long, "panel", "vector", {p: len(fs) for p, fs in PANELS.items()}, 4, row_id="record_id", fit_sample=50_000,
-                        n_init=1, max_iter=20)
+    models = fit_panels(long, "panel", "vector", {p: len(fs) for p, fs in PANELS.items()}, 4, n_init=1)
     return assign_panels(long, "panel", "vector", models).groupBy("panel", "cluster_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.aggregate("membership", F.lit(0.0), lambda a, x: a + x)).alias("min_sum"))
 
@@ -76,7 +75,7 @@ def logreg_fit(spark: SparkSession, sf: str) -> DataFrame:
     out = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("y")).filter("y >= 0")
     rows = deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5).join(out, "record_id")
     data = stratified_split(rows.persist(StorageLevel.MEMORY_AND_DISK), "y", "record_id", 42)
-    model = classify.fit_linear(data.filter(~F.col("is_test")), "y", FEATURES, CLASSES, balanced=True, standardize=True, max_iter=50)
+    model = classify.fit_linear(data.filter(~F.col("is_test")), "y", FEATURES, CLASSES, balanced=True, standardize=True)
     names = F.array(*[F.lit(c) for c in CLASSES])
     scored = model.score(data.filter("is_test")).withColumn("truth", names[F.col("y")])
     return metrics.classification_report(scored, "truth", "prediction")
@@ -112,7 +111,7 @@ def ablation(spark: SparkSession, sf: str) -> DataFrame:
     f = F.col("f")
     variants = [Variant("A", f, k=5, dims=8), Variant("B", last_block("f", 16), k=5, dims=8),
                 Variant("C", f, keep=F.col("patch_id") != 12, k=5, dims=8, grid=GRID)]
-    return run_variants(patches(spark, sf), variants, "vec_id", "label", "patch_id", n_init=1, max_iter=20)
+    return run_variants(patches(spark, sf), variants, "vec_id", "label", "patch_id", n_init=1)
 
 
 @query("variant_correlation")
@@ -123,7 +122,7 @@ def variant_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scorer(spark: SparkSession, sf: str) -> RecordScorer:
     y = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
-    return fit_scorer(lab(spark, sf), PANELS, RANGES, 3, min_ratio=0.5, n_init=1, max_iter=15,
+    return fit_scorer(lab(spark, sf), PANELS, RANGES, 3, min_ratio=0.5, n_init=1,
                       outcome=y, classes=CLASSES)
 
 
@@ -133,16 +132,17 @@ def score_records(spark: SparkSession, sf: str) -> DataFrame:
     return _scorer(spark, sf).apply(lab(spark, sf)).select("record_id", "scores", "prediction", "confidence")
 
 
-@query("model_round_trip")
+@query("model_round_trip", "SELECT vec_id, true AS same FROM embeddings")
 def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Saved and reloaded parameters score as the fitted ones do."""
     p = patches(spark, sf)
     prep = fit_prep(p, "f", 8)
-    mix = fit_mixture(p.select(prep.apply("f").alias("x")), "x", 4, n_init=1, max_iter=10)
+    mix = fit_mixture(p.select(prep.apply("f").alias("x")), "x", 4, n_init=1)
     path = _scratch(spark)
     save_mixture(spark, path, prep, mix)
     prep2, mix2 = load_mixture(spark, path)
-    return p.select("vec_id", mix.predict(prep.apply("f")).alias("before"), mix2.predict(prep2.apply("f")).alias("after"))
+    both = p.select("vec_id", mix.predict(prep.apply("f")).alias("before"), mix2.predict(prep2.apply("f")).alias("after"))
+    return both.select("vec_id", (F.col("before") == F.col("after")).alias("same"))
 
 
 @query("embed_hook", """

@@ -37,9 +37,6 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-_CYCLES = [{"year": str(y), "suffix": f"_{y}"} for y in range(1995, 2002)]
-
-
 @query("cycle_load", sql("""
     SELECT record_id, cycle_year, round(avg_total, 6) AS avg_total, round(avg_qty, 6) AS avg_qty,
            c_nationkey AS nation, CASE WHEN cycle_year >= '1998' THEN diq END AS diq
@@ -67,7 +64,8 @@ def cycle_load(spark: SparkSession, sf: str) -> DataFrame:
         df.write.partitionBy("cycle_year").parquet(f"{root}/{name}")
     # A cycle's file of a panel is the partition folder of that cycle.
     bases = {"orders": "orders/cycle_year=", "items": "items/cycle_year=", "demographics": "DEMO/cycle_year="}
-    cycles = [{"year": c["year"], "suffix": c["year"]} for c in _CYCLES]
+    years = [r["cycle_year"] for r in base.select("cycle_year").distinct().orderBy("cycle_year").collect()]
+    cycles = [{"year": y, "suffix": y} for y in years]
     features = ["AVG_TOTAL", "AVG_QTY", "ABSENT"]
     lab_df, demo_df, val_df = tables.load_cycles(
         spark, cycles, root, bases, features, ["NATION"],
@@ -525,7 +523,13 @@ def profile_text(spark: SparkSession, sf: str) -> DataFrame:
     return labelling.profile_text(cluster_profile(spark, sf), "panel_b")
 
 
-@query("label_prompt")
+def _prompt_sql() -> str:
+    keys = ", ".join(labelling.ANSWER_KEYS)
+    head, tail = labelling.PROMPT_HEAD.replace("'", "''"), (labelling.PROMPT_TAIL + keys + ".").replace("'", "''")
+    return f"SELECT panel_b, concat('{head}', profile, '{tail}') AS prompt FROM tx"
+
+
+@query("label_prompt", sql(_prompt_sql(), "clustered", **_PROFILE_VIEWS, pr=_PROFILE, tx=_text_sql()))
 def label_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return profile_text(spark, sf).select("panel_b", labelling.label_prompt().alias("prompt"))
 

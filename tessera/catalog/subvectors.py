@@ -476,8 +476,10 @@ def core_boundary(spark: SparkSession, sf: str) -> DataFrame:
         f"avg(CASE WHEN label = {i} THEN 1.0::double ELSE 0.0::double END)" for i in range(10)) + """] AS fr
           FROM patches GROUP BY 1)""", "patches"))
 def class_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    d = labelling.class_distribution(patches(spark, sf), "cid", "label", range(10))
-    return d.select("cid", "n", *[F.round(f"frac_{i}", 6).alias(f"frac_{i}") for i in range(10)], "dominant", "is_mixed")
+    p = patches(spark, sf)
+    classes = [r["label"] for r in p.select("label").distinct().orderBy("label").collect()]
+    d = labelling.class_distribution(p, "cid", "label", classes)
+    return d.select("cid", "n", *[F.round(f"frac_{i}", 6).alias(f"frac_{i}") for i in classes], "dominant", "is_mixed")
 
 
 _DIST = """

@@ -16,13 +16,35 @@ from pyspark.sql import types as T
 
 
 def to_matrix(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """List array -> (matrix of the valid rows, validity mask)."""
+    """List array -> (matrix of the valid rows, validity mask); rows of unequal length are refused."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     valid = arr.is_valid().to_numpy(zero_copy_only=False)
     rows = arr if arr.null_count == 0 else arr.drop_null()
+    sizes = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of unequal length: {sizes.min()} to {sizes.max()}")
     flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(rows), -1) if len(rows) else flat.reshape(0, 0), valid
+    return flat.reshape(len(rows), -1 if len(flat) else 0) if len(rows) else flat.reshape(0, 0), valid
+
+
+def to_segments(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """List array -> (values end to end, length of each valid row, validity mask); lengths may differ."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    valid = arr.is_valid().to_numpy(zero_copy_only=False)
+    rows = arr if arr.null_count == 0 else arr.drop_null()
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat, pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64), valid
+
+
+def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of each row's values; 0 for an empty row."""
+    out = np.zeros(len(sizes))
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
 
 
 def from_matrix(matrix: np.ndarray, valid: np.ndarray) -> pa.Array:
@@ -48,14 +70,20 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def l2_normalize(v: pa.Array) -> pa.Array:
-    m, valid = to_matrix(v)
-    return from_matrix(unit_rows(m), valid)
+    """Each row scaled to length one, whatever its dimension; zero rows stay zero."""
+    flat, sizes, valid = to_segments(v)
+    norm = np.sqrt(segment_sums(flat * flat, sizes))
+    full = np.zeros(len(valid), np.int64)
+    full[valid] = sizes
+    offsets = np.concatenate([[0], np.cumsum(full)]).astype(np.int32)
+    scaled = flat / np.repeat(np.where(norm == 0.0, 1.0, norm), sizes)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scaled), mask=None if valid.all() else pa.array(~valid))
 
 
 @F.arrow_udf(T.DoubleType())
 def vector_norm(v: pa.Array) -> pa.Array:
-    m, valid = to_matrix(v)
-    return scatter(np.sqrt((m * m).sum(axis=1)), valid)
+    flat, sizes, valid = to_segments(v)
+    return scatter(np.sqrt(segment_sums(flat * flat, sizes)), valid)
 
 
 def _pairwise(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

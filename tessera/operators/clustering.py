@@ -29,6 +29,7 @@ class DiagonalMixture:
     variances: np.ndarray
     bound: float = float("nan")
     iterations: int = 0
+    converged: bool = False
 
     @property
     def k(self) -> int:
@@ -155,9 +156,8 @@ def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
     data = (data.select(F.col(vec).cast("array<double>").alias("x"))
             .filter(F.col("x").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        rows = data.count()
-        some = data if rows <= _SEED_ROWS else data.sample(min(1.0, 2.0 * _SEED_ROWS / rows), seed)
-        drawn, _ = to_matrix(some.limit(_SEED_ROWS).toArrow().column("x"))
+        # A bounded draw over all rows, wherever they lie: those of smallest hash.
+        drawn, _ = to_matrix(data.orderBy(F.xxhash64("x", F.lit(seed))).limit(_SEED_ROWS).toArrow().column("x"))
         width, parts, runs = drawn.shape[1], data.rdd.getNumPartitions(), list(range(n_init))
         centres = [_spread_seeds(drawn, k, np.random.default_rng(seed + r)) for r in runs]
         for _ in range(lloyd_steps + 1):
@@ -188,8 +188,9 @@ def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
             for run in active:
                 bound = ll[run] / rows[run]
                 new = _maximise(n[run], sx[run], sxx[run], floor)
-                models[run] = DiagonalMixture(new.weights, new.means, new.variances, bound, step)
-                if abs(bound - bounds[run]) >= tol:
+                still = abs(bound - bounds[run]) < tol
+                models[run] = DiagonalMixture(new.weights, new.means, new.variances, bound, step, still)
+                if not still:
                     open_runs.append(run)
                 bounds[run] = bound
             active = open_runs
@@ -200,6 +201,19 @@ def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
         data.unpersist()
 
 
+def mixture_step(df: DataFrame, vec: str, mix: DiagonalMixture, floor: float = 1e-6) -> DiagonalMixture:
+    """One expectation and maximisation step over all rows; ``bound`` is the mean log-likelihood before it."""
+    data = df.select(F.col(vec).cast("array<double>").alias("x")).filter(F.col("x").isNotNull())
+
+    def soft(run, x):
+        resp, ll = mix.responsibilities(x)
+        return resp, float(ll.sum())
+
+    n, sx, sxx, ll, rows = _summed(_partial_sums(data, soft, [0]), 1, mix.k, mix.means.shape[1], data.rdd.getNumPartitions())
+    new = _maximise(n[0], sx[0], sxx[0], floor)
+    return DiagonalMixture(new.weights, new.means, new.variances, ll[0] / rows[0], mix.iterations + 1)
+
+
 def _spread_seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """``k`` seeds from a bounded draw of rows, each far from those before it."""
     picked = [rows[rng.integers(len(rows))]]

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.bands import dimension_label
-from tessera.functions.vectors import l2_normalize
-from tessera.operators.ordering import top_k
-from tessera.operators.vectors import VectorTable, mean_vectors, similarities
+from tessera.functions.vectors import l2_normalize, to_matrix, unit_rows
+from tessera.operators.vectors import VectorTable, mean_vectors
 from tessera.session import small_side
 
 
@@ -54,12 +58,13 @@ def score_columns(assigned: DataFrame, entity: str, cluster: str, concepts: Mapp
                   entities: DataFrame | None = None) -> DataFrame:
     """Share of each entity's rows in every concept's cluster; one column each.
 
-    One aggregation with partial sums; no pivot over discovered values. Entities
+    One aggregation with partial sums; no pivot over discovered values. Rows without a
+    cluster count among the entity's rows. Entities
     without rows get zeros when an entity table is given.
     """
     out = assigned.groupBy(entity).agg(
         F.count(F.lit(1)).alias("n_patches"),
-        *[F.avg((F.col(cluster) == cid).cast("double")).alias(name) for name, cid in concepts.items()])
+        *[(F.count_if(F.col(cluster) == cid) / F.count(F.lit(1))).alias(name) for name, cid in concepts.items()])
     if entities is not None:
         out = (entities.select(entity).join(out, entity, "left")
                .fillna(0, subset=["n_patches"]).fillna(0.0, subset=list(concepts)))
@@ -82,26 +87,33 @@ def similarity_scores(df: DataFrame, entity: str, vec: str, targets: DataFrame,
                       how: str = "top", k: int = 10, row_key: str | None = None) -> DataFrame:
     """Cosine-based concept score per entity: mean of the ``k`` best rows, or the best.
 
-    Similarities are computed where the vectors lie; only one number per row and
-    concept moves on, cut to ``k`` per entity before the shuffle.
+    An entity (image) has at most one row per grid cell, so its rows are one bounded
+    array; one row per vector moves, and each (entity, block of targets) is a matrix product. ``row_key``
+    is not needed: rows that tie have equal scores.
     """
-    table = VectorTable.of(targets, key, "vector")
-    if table is None:
-        raise ValueError("too many concepts for score columns")
-    ids = [int(i) for i in table.ids]
-    sims = (df.select(entity, *([row_key] if row_key else []), similarities(table)(vec).alias("_s"))
-            # The outer form keeps Spark from testing the array, and so from running
-            # the Python function twice.
-            .select(entity, *([row_key] if row_key else []), F.posexplode_outer("_s").alias("_i", "_sim"))
-            .filter(F.col("_i").isNotNull()))
-    if how == "max":
-        scored = sims.groupBy(entity, "_i").agg(F.max("_sim").alias("score"))
-    else:
-        order = [F.col("_sim").desc()] + ([F.col(row_key)] if row_key else [])
-        best = top_k(sims, [entity, "_i"], order, k)
-        scored = best.groupBy(entity, "_i").agg(F.avg("_sim").alias("score"))
-    lookup = F.array(*[F.lit(i) for i in ids])
-    return scored.select(entity, lookup[F.col("_i")].alias(key), "score")
+    result = T.StructType([T.StructField(entity, df.schema[entity].dataType), T.StructField(key, targets.schema[key].dataType),
+                           T.StructField("score", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in result.fields]
+
+    def scorer(block: VectorTable):
+        units, ids = unit_rows(block.matrix), block.ids
+
+        def score(group: pa.Table) -> pa.Table:
+            m, _ = to_matrix(group.column(vec))
+            if not len(m):
+                return pa.table([pa.array([], t) for t in kinds], names=result.names)
+            sims = unit_rows(m) @ units.T
+            best = sims.max(axis=0) if how == "max" else -np.sort(-sims, axis=0)[:k].mean(axis=0)
+            who = pa.repeat(group.column(entity)[0], len(ids))
+            return pa.table([who.cast(kinds[0]), pa.array(ids).cast(kinds[1]), pa.array(best)], names=result.names)
+
+        return score
+
+    parts = [df.select(entity, F.col(vec).cast("array<double>").alias(vec)).groupBy(entity).applyInArrow(scorer(block), result)
+             for block in VectorTable.blocks(targets, key, "vector")]
+    if not parts:
+        return df.sparkSession.createDataFrame([], result)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def membership_matrix(blocks: Sequence[DataFrame], entity: str, names: Sequence[str]) -> DataFrame:

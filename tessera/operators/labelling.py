@@ -34,6 +34,11 @@ PROFILE_LINE = ("    • ", "  (deviation ", " from normal midpoint)")
 PROFILE_NORMAL = "\n  WITHIN NORMAL RANGE: "
 
 
+PROMPT_HEAD = "The following laboratory pattern describes one cluster of records that was found without using any diagnosis.\n\n"
+PROMPT_TAIL = ("\n\nName the pattern with a short snake_case label, state how confident you are (high, medium or low), say which findings "
+               "decided it, list alternatives and add one sentence for the reviewing expert.\nAnswer with a JSON object with the keys ")
+
+
 def representatives(df: DataFrame, by: Sequence[str], vec: str, row_id: str, k: int = 10) -> DataFrame:
     """The ``k`` rows of each cluster closest to its mean direction, with their rank."""
     cluster = by[0] if len(by) == 1 else "_cluster"
@@ -79,8 +84,9 @@ def class_distribution(df: DataFrame, cluster: str, label: str, classes: Sequenc
     """Class fractions per cluster, the dominant class and whether it is mixed.
 
     ``classes`` is in priority order: the first of equally frequent classes dominates.
+    Rows without a class count among the cluster's rows.
     """
-    share = [F.avg((F.col(label) == c).cast("double")).alias(f"frac_{c}") for c in classes]
+    share = [(F.count_if(F.col(label) == c) / F.count(F.lit(1))).alias(f"frac_{c}") for c in classes]
     out = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *share)
     names = F.array(*[F.lit(str(c)) for c in classes])
     fracs = F.array(*[F.col(f"frac_{c}") for c in classes])
@@ -93,7 +99,7 @@ def distinctiveness(centres: DataFrame, key: str, vec: str = "vector") -> DataFr
     """Foreground score: distance from the other centres, and length.
 
     The mean cosine to the others is the product with the sum of all unit centres
-    minus the centre's own 1, so no pair of centres is formed.
+    minus the centre's own 1 (0 for a zero centre), so no pair of centres is formed.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -106,7 +112,7 @@ def distinctiveness(centres: DataFrame, key: str, vec: str = "vector") -> DataFr
     dot = F.aggregate(F.zip_with("_u", F.col("_t.s"), lambda a, b: a * b), F.lit(0.0),
                       lambda acc, x: acc + x)
     return (units.withColumn("_t", total)
-            .withColumn("distinctiveness", 1.0 - (dot - 1.0) / F.col("_t.k"))
+            .withColumn("distinctiveness", 1.0 - (dot - (vector_norm(vec) > 0).cast("double")) / F.col("_t.k"))
             .withColumn("fg_score", F.col("distinctiveness") * 0.6
                         + F.least(vector_norm(vec) / 10.0, F.lit(1.0)) * 0.4)
             .drop("_u", "_t", vec))
@@ -203,12 +209,7 @@ def label_prompt(profile: str | Column = "profile") -> Column:
     """Question to a language model about one profile, answerable as JSON."""
     body = F.col(profile) if isinstance(profile, str) else profile
     keys = ", ".join(ANSWER_KEYS)
-    return F.concat(
-        F.lit("The following laboratory pattern describes one cluster of records that was "
-              "found without using any diagnosis.\n\n"), body,
-        F.lit("\n\nName the pattern with a short snake_case label, state how confident you are "
-              "(high, medium or low), say which findings decided it, list alternatives and add "
-              f"one sentence for the reviewing expert.\nAnswer with a JSON object with the keys {keys}."))
+    return F.concat(F.lit(PROMPT_HEAD), body, F.lit(f"{PROMPT_TAIL}{keys}."))
 
 
 def parse_answer(text: str | Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.hashing import seeded_hash
-from tessera.functions.vectors import cosine
+from tessera.functions.vectors import cosine, scatter
 from tessera.operators.ordering import exclusive_sums, hash_buckets, rank_rows, take_first
 from tessera.session import small_side
 from tessera.operators.vectors import (centre_gaps, euclidean_silhouette, mean_vectors,
@@ -109,10 +110,11 @@ def intra_inter(df: DataFrame, cluster: str, vec: str, centres: DataFrame | None
                         F.col("intra_mean") / F.greatest(F.col("inter_mean"), F.lit(1e-9))))
 
 
-def silhouette(df: DataFrame, cluster: str, vec: str, row_id: str, sample: int = 10_000,
+def silhouette(df: DataFrame, cluster: str, vec: str, row_id: str, sample: int | None = None,
                seed: int = 42) -> DataFrame:
-    """Mean Euclidean silhouette over a seeded sample of bounded size; one row."""
-    drawn = seeded_sample(df.select(row_id, cluster, vec), row_id, sample, seed)
+    """Mean Euclidean silhouette over all rows, or over a seeded sample if one is asked for; one row."""
+    rows = df.select(row_id, cluster, vec)
+    drawn = rows if sample is None else seeded_sample(rows, row_id, sample, seed)
     return euclidean_silhouette(drawn, vec, cluster).agg(F.avg("silhouette").alias("silhouette"))
 
 
@@ -160,45 +162,53 @@ def pair_consistency(pairs: DataFrame, margin: float = 0.5) -> DataFrame:
     return sim.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(loss).alias("loss"))
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by Lentz's continued fraction."""
-    from math import exp, lgamma, log, log1p
-
-    if x <= 0.0 or x >= 1.0:
-        return min(max(x, 0.0), 1.0)
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _incomplete_beta(b, a, 1.0 - x)
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
+def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta by Lentz's continued fraction, over arrays, for x below the turning point."""
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    f = d
+    guard = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones_like(x), 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
+    f = d.copy()
     for m in range(1, 500):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        step = 1.0
+        step = np.ones_like(x)
         for coef in (even, odd):
-            d = 1.0 + coef * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + coef / c
-            c = c if abs(c) > tiny else tiny
+            d = 1.0 / guard(1.0 + coef * d)
+            c = guard(1.0 + coef / c)
             step = c * d
-            f *= step
-        if abs(step - 1.0) < 1e-15:
+            f = f * step
+        if (np.abs(step - 1.0) < 1e-15).all():
             break
-    return front * f
+    log_beta = np.array([lgamma(p + b) - lgamma(p) for p in np.unique(a)])[np.unique(a, return_inverse=True)[1]] - lgamma(b)
+    with np.errstate(divide="ignore"):
+        return np.where(x > 0, np.exp(log_beta + a * np.log(np.maximum(x, tiny)) + b * np.log1p(-np.minimum(x, 1 - 1e-16))) / a * f, 0.0)
 
 
 @F.arrow_udf(T.DoubleType())
 def pearson_p(r: pa.Array, n: pa.Array) -> pa.Array:
-    """Two-sided p-value of a correlation, one call per result row."""
-    out = []
-    for rv, nv in zip(r.to_pylist(), n.to_pylist()):
-        if rv is None or nv is None or nv < 3 or np.isnan(rv):
-            out.append(None)
-        else:
-            out.append(_incomplete_beta((nv - 2) / 2.0, 0.5, max(0.0, 1.0 - rv * rv)))
-    return pa.array(out, pa.float64())
+    """Two-sided p-value of a correlation, a whole batch at once; NULL below three pairs."""
+    rs, ns = (c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in (r, n))
+    known = (ns >= 3) & np.isfinite(rs)
+    a, x = (ns[known] - 2) / 2.0, np.maximum(0.0, 1.0 - rs[known] ** 2)
+    near = x <= (a + 1.0) / (a + 2.5)
+    p = np.empty(len(x))
+    p[near] = _incomplete_beta(a[near], 0.5, x[near])
+    # Beyond the turning point the mirrored fraction converges: I_x(a, b) = 1 - I_(1-x)(b, a).
+    p[~near] = 1.0 - _mirrored_beta(a[~near], 1.0 - x[~near])
+    return scatter(np.clip(p, 0.0, 1.0), known)
+
+
+def _mirrored_beta(b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``I_x(1/2, b)`` for arrays of ``b``, by the series of positive terms."""
+    term, total = np.ones_like(x), np.ones_like(x)
+    for i in range(1, 20_000):
+        term = term * x * (0.5 + b + i - 1) / (0.5 + i)
+        total = total + term
+        if not len(x) or (term < 1e-17 * total).all():
+            break
+    log_front = np.array([lgamma(0.5 + v) - lgamma(v) for v in b]) - lgamma(0.5)
+    with np.errstate(divide="ignore"):
+        return np.where(x > 0, np.exp(log_front + 0.5 * np.log(np.maximum(x, 1e-300)) + b * np.log1p(-np.minimum(x, 1 - 1e-16))) * 2.0 * total, 0.0)
 
 
 def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

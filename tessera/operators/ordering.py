@@ -15,35 +15,53 @@ bucket. Cutting at rank k sorts nothing but the one bucket with the k-th row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import seeded_hash
-from tessera.session import small_side
+from tessera.session import checkpoint, small_side
 
 _ORDER = ["_v", "_h"]
 GROUP_LIMIT = 1000
 
 
-def hash_buckets(df: DataFrame, key: str | Column, seed: int | str, digits: int = 3) -> DataFrame:
-    """Buckets for the seeded random order; ``16 ** digits`` of them per group."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet; the keys of the right side are dropped."""
+    named = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
+    return left.join(right.withColumnsRenamed(named), on, how).drop(*named.values())
+
+
+def bucket_rows(df: DataFrame) -> int:
+    """Buckets for a table, so that one holds about 50,000 rows; 64 to 4,096."""
+    return min(4096, max(64, df.count() // 50_000))
+
+
+def hash_buckets(df: DataFrame, key: str | Column, seed: int | str, digits: int | None = None) -> DataFrame:
+    """Buckets for the seeded random order; ``16 ** digits`` of them per group, by default as the rows need."""
+    digits = digits or max(3, math.ceil(math.log(bucket_rows(df), 16)) + 1)
     return (df.withColumn("_h", seeded_hash(key, seed)).withColumn("_v", F.lit(0.0))
             .withColumn("_b", F.lit(0)).withColumn("_s", F.substring("_h", 1, digits)))
 
 
 def value_buckets(df: DataFrame, by: Sequence[str], value: str, key: str | Column,
-                  descending: bool = False, buckets: int = 64, seed: int | str = 0,
+                  descending: bool = False, buckets: int | None = None, seed: int | str = 0,
                   digits: int = 2) -> DataFrame:
-    """Buckets for the order by ``value`` (not NULL), ties by the digest of ``key``."""
+    """Buckets for the order by ``value`` (not NULL), ties by the digest of ``key``.
+
+    Their number follows the rows of the table unless it is given. Rows of a NULL group are a group.
+    """
+    buckets = buckets or bucket_rows(df)
     v = F.col(value).cast("double")
     df = df.withColumn("_v", -v if descending else v).withColumn("_h", seeded_hash(key, seed))
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = F.array_sort(F.array_distinct(F.percentile_approx("_v", probs, F.lit(20 * buckets))))
     if by:
         splits = df.groupBy(*by).agg(cuts.alias("_cuts"))
-        df = df.join(small_side(splits), list(by))
+        df = null_safe_join(df, small_side(splits), by)
     else:
         df = df.withColumn("_cuts", df.agg(cuts.alias("_cuts")).scalar())
     below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
@@ -69,7 +87,7 @@ def _clean(df: DataFrame) -> DataFrame:
 def rank_rows(bucketed: DataFrame, by: Sequence[str], name: str = "rank") -> DataFrame:
     """Exact 1-based rank of every row in its group, in bucket order."""
     inside = Window.partitionBy(*by, "_b", "_s").orderBy(*_ORDER)
-    joined = bucketed.join(small_side(_offsets(bucketed, by), 500_000), [*by, "_b", "_s"])
+    joined = null_safe_join(bucketed, small_side(_offsets(bucketed, by), 500_000), [*by, "_b", "_s"])
     return _clean(joined.withColumn(
         name, (F.col("_before") + F.row_number().over(inside)).cast("long")))
 
@@ -84,11 +102,16 @@ def _cuts(bucketed: DataFrame, by: Sequence[str], k: Column,
     holds = (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") >= F.col("_k"))
     cut = small_side(table.filter(holds).select(*by, "_b", "_s", "_before", "_k"), 500_000)
     inside = Window.partitionBy(*by, "_b", "_s").orderBy(*_ORDER)
-    edge = bucketed.select(*by, "_b", "_s", *_ORDER).join(cut, [*by, "_b", "_s"])
+    edge = null_safe_join(bucketed.select(*by, "_b", "_s", *_ORDER), cut, [*by, "_b", "_s"])
     return (edge.withColumn("_r", F.col("_before") + F.row_number().over(inside))
             .filter(F.col("_r") == F.col("_k")).select(*by, F.col("_v").alias("_cv"), F.col("_h").alias("_ch")))
 
 
+def order_statistic(bucketed: DataFrame, by: Sequence[str], k: Column) -> DataFrame:
+    """``value`` of the k-th row of each group by ascending value (``k`` may use ``_total``)."""
+    return _cuts(bucketed, by, k, None).select(*by, F.col("_cv").alias("value"))
+
+
 def flag_first(bucketed: DataFrame, by: Sequence[str], k: Column, name: str = "picked",
                totals: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Flag the first ``k`` rows of each group; row keys must be unique.
@@ -96,11 +119,11 @@ def flag_first(bucketed: DataFrame, by: Sequence[str], k: Column, name: str = "p
     ``k`` may use ``_total``, the size of the group, and whatever ``totals`` adds to
     the small bucket table. Only the bucket with the k-th row is sorted, to find that
     row's order key; all rows are then compared with the key of their group, without
-    a shuffle. The input is scanned three times: persist it if it is costly.
+    a shuffle. The input is scanned four times: persist it if it is costly.
     """
     cuts = _cuts(bucketed, by, k, totals)
     if by:
-        joined = bucketed.join(small_side(cuts, 500_000), list(by), "left")
+        joined = null_safe_join(bucketed, small_side(cuts, 500_000), by, "left")
     else:
         cut = cuts.first()
         joined = (bucketed.withColumn("_cv", F.lit(cut["_cv"] if cut else None).cast("double"))
@@ -116,34 +139,44 @@ def take_first(bucketed: DataFrame, by: Sequence[str], k: Column,
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
           name: str = "rank") -> DataFrame:
-    """First ``k`` rows of each group for a small constant ``k``.
+    """First ``k`` rows of each group.
 
-    Spark cuts each map task to ``k`` rows per group before the shuffle (window group
-    limit, up to 1000 rows), so no task sorts a whole hot group. Use :func:`first_n`
-    for more.
+    Up to 1000 Spark cuts each map task to ``k`` rows per group before the shuffle
+    (window group limit), so no task sorts a whole hot group. For more, rows are dealt to
+    ranges of (group, order), which split a hot group; ranges are counted, and a
+    row's rank is the rows of its group in earlier ranges plus its rank in its own. Both compare in
+    the own types of the columns and give the same rows.
     """
-    if k > GROUP_LIMIT:
-        raise ValueError(f"k above {GROUP_LIMIT}: use first_n")
-    return (df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-            .filter(F.col(name) <= k).withColumn(name, F.col(name).cast("long")))
+    if k <= GROUP_LIMIT:
+        return (df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+                .filter(F.col(name) <= k).withColumn(name, F.col(name).cast("long")))
+    dealt = checkpoint(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(*by).orderBy("_p") if by else Window.orderBy("_p")
+    early = counts.withColumn("_before", F.sum("_n").over(run) - F.col("_n")).filter(F.col("_before") < k).drop("_n")
+    inside = Window.partitionBy(*by, "_p").orderBy(*order)
+    return (null_safe_join(dealt, small_side(early, 500_000), [*by, "_p"])
+            .withColumn(name, (F.col("_before") + F.row_number().over(inside)).cast("long"))
+            .filter(F.col(name) <= k).drop("_p", "_before"))
 
 
 def first_n(df: DataFrame, by: Sequence[str], key: str, n: int, name: str = "rank") -> DataFrame:
-    """First ``n`` rows of each group by a unique numeric key, for any ``n``.
+    """First ``n`` rows of each group by a unique key of any ordered type."""
+    return top_k(df, by, [F.col(key)], n, name)
 
-    Beyond the window group limit the n-th key of each group is found from bucket
-    counts and the rows are filtered where they are; only ``n`` rows per group are
-    left to number.
-    """
-    if n <= GROUP_LIMIT:
-        return top_k(df, by, [F.col(key)], n, name)
-    some = take_first(value_buckets(df, by, key, key), by, F.lit(n))
-    order = Window.partitionBy(*by).orderBy(key)
-    return some.withColumn(name, F.row_number().over(order).cast("long"))
+
+def number_rows(df: DataFrame, order: Sequence[str], name: str, start: int = 0) -> DataFrame:
+    """Consecutive numbers from ``start`` in the order of the columns, without sorting the table in one task."""
+    dealt = checkpoint(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
+    inside = Window.partitionBy("_p").orderBy(*order)
+    return (dealt.join(small_side(before, 500_000), "_p")
+            .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1 + start).drop("_p", "_before"))
 
 
 def exclusive_sums(df: DataFrame, by: Sequence[str], value: str, columns: Sequence[str],
-                   buckets: int = 64) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Sum of ``columns`` over all rows of the group with a smaller ``value``.
 
     ``value`` must be distinct within a group (aggregate ties first). Adds
@@ -154,7 +187,7 @@ def exclusive_sums(df: DataFrame, by: Sequence[str], value: str, columns: Sequen
     run = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
     for c in columns:
         sums = sums.withColumn(f"_o_{c}", F.sum(f"_t_{c}").over(run) - F.col(f"_t_{c}"))
-    joined = b.join(small_side(sums), [*by, "_b"])
+    joined = null_safe_join(b, small_side(sums), [*by, "_b"])
     inside = (Window.partitionBy(*by, "_b").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for c in columns:
@@ -167,32 +200,36 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                     accuracy: int = 50_000) -> DataFrame:
     """Exact interpolated quantiles of whole columns; one row, arrays by column.
 
-    ``percentile`` brings every distinct value of a column into one task, which is
-    fine only while there are few. For more than ``2 * accuracy`` values a scan
-    brackets each wanted order statistic with a mergeable sketch of bounded size;
+    A scan brackets each wanted order statistic with a mergeable sketch of bounded size;
     then the values below each bracket are counted and only those inside it (about
-    ``4 / accuracy`` of the rows) are combined by value and shuffled. The input is
-    scanned several times: persist it if it is costly to compute.
+    ``4 / accuracy`` of the rows) are combined by value and shuffled. A bracket that
+    should miss its statistic fails the query. Columns without a value give NULLs. The input is
+    scanned four times: persist it if it is costly to compute.
     """
-    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    if max(sizes) <= 2 * accuracy:
-        return df.agg(*[F.percentile(c, [float(p) for p in probs]).alias(c) for c in columns])
     margin = 2.0 / accuracy
-    edges = [p for q in probs for p in (max(0.0, q - margin), min(1.0, q + margin))]
-    grid = F.array(*map(F.lit, edges))
-    sketch = df.agg(*[F.percentile_approx(c, grid, F.lit(accuracy)).alias(c) for c in columns]).first()
-    cells, below = [], []
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+
+    def edges(n: int) -> Column:
+        """Shares of ``n`` values that hold both neighbours of every wanted position between them."""
+        spots = [((n - 1) * float(p), float(p)) for p in probs]
+        return F.array(*[F.lit(min(1.0, max(0.0, e))) for at, _ in spots
+                         for e in ((math.floor(at) - 1) / n - margin, (math.ceil(at) + 2) / n + margin)])
+
+    some = [c for c in columns if sizes[c]]
+    sketch = df.agg(*[F.percentile_approx(c, edges(sizes[c]), F.lit(accuracy)).alias(c) for c in some]).first() if some else {}
+    cells = []
     for ci, c in enumerate(columns):
         x = F.col(c).cast("double")
         for pi, p in enumerate(probs):
-            if sketch[c] is None:
+            if c not in some:
                 continue
-            lo, hi = float(sketch[c][2 * pi]), float(sketch[c][2 * pi + 1])
-            if sizes[c] <= 2 * accuracy:
-                lo, hi = float("-inf"), float("inf")
+            # A little wider: an input that is computed anew may differ in its last bits.
+            lo, hi = (float(v) + side * 1e-9 * (abs(float(v)) + 1e-9) for side, v in zip((-1, 1), sketch[c][2 * pi:2 * pi + 2]))
             pos = (sizes[c] - 1) * float(p)
             cells.append((F.count_if(x < lo), F.when((x >= lo) & (x <= hi), F.struct(
                 F.lit(ci).alias("ci"), F.lit(pi).alias("pi"), x.alias("x"))), ci, pi, pos))
+    if not cells:
+        return df.sparkSession.createDataFrame([([None] * len(probs),) * len(columns)], ", ".join(f"`{c}` array<double>" for c in columns))
     below = df.agg(*[c[0].alias(f"b{i}") for i, c in enumerate(cells)]).first()
     lookup = df.sparkSession.createDataFrame(
         [(c[2], c[3], c[4], int(below[f"b{i}"])) for i, c in enumerate(cells)],
@@ -211,8 +248,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     f, c = F.floor("pos"), F.ceil("pos")
     found = ranked.groupBy("ci", "pi").agg(at(f).alias("xf"), at(c).alias("xc"),
                                            F.max(F.col("pos") - f).alias("w"))
-    value = F.col("xf") + (F.col("xc") - F.col("xf")) * F.col("w")
+    held = F.col("xf").isNotNull() & F.col("xc").isNotNull()
+    value = F.when(held, F.col("xf") + (F.col("xc") - F.col("xf")) * F.col("w")).otherwise(
+        F.raise_error(F.lit("quantile bracket missed its order statistic")).cast("double"))
     by_col = found.select("ci", F.struct("pi", value.alias("q")).alias("s"))
+    none = F.array(*[F.lit(None).cast("double") for _ in probs])
+    known = {c[2] for c in cells}
     return by_col.groupBy().agg(*[
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("ci") == ci, F.col("s")))),
-                    lambda s: s["q"]).alias(c) for ci, c in enumerate(columns)])
+        (F.transform(F.array_sort(F.collect_list(F.when(F.col("ci") == ci, F.col("s")))),
+                     lambda s: s["q"]) if ci in known else none).alias(c) for ci, c in enumerate(columns)])

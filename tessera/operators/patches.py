@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.grid import grid_col, grid_row
-from tessera.functions.vectors import scatter, to_matrix
+from tessera.functions.vectors import scatter, segment_sums, to_matrix, to_segments
 from tessera.session import checkpoint
 
 # Names of the gate's verdicts, in the order of the checks.
@@ -67,12 +67,12 @@ def gate_reason(stats: Column, max_entropy: float, min_max_over_mean: float,
 
 
 def fraction_above(threshold: float, inclusive: bool = False):
-    """Column function: share of a mask array above (or at) a threshold."""
+    """Column function: share of a mask array above (or at) a threshold; masks may differ in size, an empty one has share 0."""
     @F.arrow_udf("double")
     def share(mask: pa.Array) -> pa.Array:
-        m, valid = to_matrix(mask)
-        hit = m >= threshold if inclusive else m > threshold
-        return scatter(hit.mean(axis=1) if len(m) else np.zeros(0), valid)
+        flat, sizes, valid = to_segments(mask)
+        hit = flat >= threshold if inclusive else flat > threshold
+        return scatter(segment_sums(hit.astype(np.float64), sizes) / np.maximum(sizes, 1), valid)
 
     return share
 

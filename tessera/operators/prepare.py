@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.bands import one_decimal, range_flag
-from tessera.operators.ordering import exact_quantiles
+from tessera.operators.ordering import exact_quantiles, null_safe_join, order_statistic, value_buckets
+from tessera.session import small_side
 
 Ranges = Mapping[str, tuple[float, float]]
 
@@ -31,8 +32,25 @@ def medians(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def group_medians(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Median per group (e.g. per cycle) for many groups of bounded size."""
-    return df.groupBy(*by).agg(*[F.percentile(f, 0.5).alias(f) for f in features])
+    """Exact median per group (e.g. per cycle), NULLs skipped; a group without values gets NULL.
+
+    The two middle values are found from bucket counts, so a large group is not
+    sorted in one task. A NULL group is a group.
+    """
+    rows = df.select(*by, *[F.col(f).cast("double").alias(f) for f in features])
+    long = rows.unpivot(list(by), list(features), "_f", "_x").filter(F.col("_x").isNotNull())
+    buckets = value_buckets(long, [*by, "_f"], "_x", F.xxhash64(*[F.col(c) for c in long.columns]))
+    middle = [order_statistic(buckets, [*by, "_f"], F.floor((F.col("_total") + i) / 2)) for i in (1, 2)]
+    means = middle[0].unionByName(middle[1]).groupBy(*by, "_f").agg(F.avg("value").alias("_m"))
+    wide = means.groupBy(*by).agg(*[F.max(F.when(F.col("_f") == f, F.col("_m"))).alias(f) for f in features])
+    return null_safe_join(rows.select(*by).distinct(), wide, by, "left")
+
+
+def impute_by_group(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Fill NULLs with the median of the row's group; a group without values stays NULL."""
+    fill = group_medians(df, features, by).withColumnsRenamed({f: f"_fill_{f}" for f in features})
+    joined = null_safe_join(df, small_side(fill), by)
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"_fill_{c}")).alias(c) if c in features else F.col(c) for c in df.columns])
 
 
 def impute(df: DataFrame, features: Sequence[str], fill: DataFrame,

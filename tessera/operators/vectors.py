@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.vectors import (cosine, euclidean, from_matrix, l2_normalize, scatter,
                                        to_matrix, unit_rows)
@@ -45,6 +49,20 @@ class VectorTable:
         rows = df.select(key, vec).limit(max_rows + 1).toArrow()
         if rows.num_rows > max_rows or rows.nbytes > max_bytes:
             return None
+        return cls.from_rows(rows, key, vec)
+
+    @classmethod
+    def blocks(cls, df: DataFrame, key: str, vec: str) -> Iterator[VectorTable]:
+        """The whole table in blocks of about half the bound each, by a hash of the key."""
+        head = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(vec)), F.lit(0)).alias("cells")).first()
+        n = max(1, -(-head["n"] // (TABLE_ROWS // 2)), -(-head["cells"] * 8 // (TABLE_BYTES // 2))) if head["n"] > TABLE_ROWS or head["cells"] * 8 > TABLE_BYTES else 1
+        for b in range(n):
+            block = cls.from_rows(df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b).select(key, vec).toArrow(), key, vec)
+            if len(block.ids):
+                yield block
+
+    @classmethod
+    def from_rows(cls, rows: pa.Table, key: str, vec: str) -> VectorTable:
         rows = rows.sort_by(key)
         matrix, valid = to_matrix(rows.column(vec).combine_chunks())
         ids = rows.column(key).combine_chunks().filter(pa.array(valid)).to_numpy(zero_copy_only=False)
@@ -91,86 +109,79 @@ def own_distance(df: DataFrame, vec: str, cluster: str, centres: DataFrame,
     return _own(df, vec, cluster, centres, name, "euclidean")
 
 
-def similarities(table: VectorTable):
-    """Column function: cosines of a vector to every row of the table."""
-    units = unit_rows(table.matrix)
-
-    @F.arrow_udf("array<double>")
-    def sims(v: pa.Array) -> pa.Array:
-        m, valid = to_matrix(v)
-        return from_matrix(unit_rows(m) @ units.T if len(m) else m, valid)
-
-    return sims
-
-
 def nearest(df: DataFrame, vec: str, targets: DataFrame, key: str,
             id_name: str = "nearest", sim_name: str = "similarity") -> DataFrame:
     """Most similar row of ``targets`` for each row; the lowest key wins ties.
 
-    The targets are few (named clusters) and travel as one matrix. A larger target
-    table is taken in key ranges of bounded size, keeping the best of each range.
+    The targets are few (named clusters) and travel as matrices of bounded size; the
+    best of each block is kept. Similarities that agree in twelve places tie, within a
+    block and between blocks. Keys may have any ordered type.
     """
-    table = VectorTable.of(targets, key, "vector")
-    if table is not None:
-        return _nearest_block(df, vec, table, id_name, sim_name)
-    n = targets.count()
-    blocks = -(-n // (TABLE_ROWS // 2)) * 2
-    block = F.pmod(F.xxhash64(key), F.lit(blocks))
-    best = None
-    for b in range(blocks):
-        part = VectorTable.of(targets.filter(block == b), key, "vector", max_rows=1 << 20,
-                              max_bytes=1 << 30)
-        if part is None or len(part.ids) == 0:
-            continue
-        df = _nearest_block(df, vec, part, f"_i{b}", f"_s{b}")
-        cand = F.struct(F.col(f"_s{b}").alias("s"), (-F.col(f"_i{b}")).alias("i"))
-        best = cand if best is None else F.greatest(best, cand)
-    out = df.withColumn("_best", best)
-    return (out.withColumn(id_name, -F.col("_best.i")).withColumn(sim_name, F.col("_best.s"))
-            .drop("_best", *[c for c in df.columns if c.startswith(("_i", "_s"))]))
-
-
-def _nearest_block(df: DataFrame, vec: str, table: VectorTable, id_name: str, sim_name: str) -> DataFrame:
-    units, ids = unit_rows(table.matrix), table.ids.astype(np.int64)
-
-    @F.arrow_udf("struct<id:bigint,sim:double>")
+    kind = targets.schema[key].dataType
+    names, best = [], None
+    for block in VectorTable.blocks(targets, key, "vector"):
+        names.append(f"_near_{uuid.uuid4().hex}")
+        df = df.withColumn(names[-1], _nearest_in(block, kind)(vec))
+        here = F.col(names[-1])
+        if best is None:
+            best = here
+        else:
+            better = (here["tie"] > best["tie"]) | ((here["tie"] == best["tie"]) & (here["id"] < best["id"]))
+            best = F.when(better, here).otherwise(best)
+    if best is None:
+        return df.withColumn(id_name, F.lit(None).cast(kind)).withColumn(sim_name, F.lit(None).cast("double"))
+    kept = [F.col(c) for c in df.columns if c not in (*names, id_name, sim_name)]
+    return df.select(*kept, best["id"].alias(id_name), best["sim"].alias(sim_name))
+
+
+def _nearest_in(table: VectorTable, kind: T.DataType):
+    units, ids = unit_rows(table.matrix), table.ids
+    result = T.StructType([T.StructField("id", kind), T.StructField("sim", T.DoubleType()), T.StructField("tie", T.DoubleType())])
+    arrow = to_arrow_type(kind)
+
+    @F.arrow_udf(result)
     def pick(v: pa.Array) -> pa.Array:
         m, valid = to_matrix(v)
         sims = unit_rows(m) @ units.T if len(m) else np.zeros((0, len(ids)))
         # Equal similarities may differ in the last bit between matrix layouts.
-        arg = np.round(sims, 12).argmax(axis=1) if len(m) else np.zeros(0, dtype=int)
-        return pa.StructArray.from_arrays(
-            [scatter(ids[arg], valid), scatter(sims[np.arange(len(arg)), arg], valid)],
-            names=["id", "sim"])
+        ties = np.round(sims, 12)
+        arg = ties.argmax(axis=1) if len(m) else np.zeros(0, dtype=int)
+        rows = np.arange(len(arg))
+        at = np.full(len(valid), -1)
+        at[valid] = arg
+        picked = pa.array(ids).take(pa.array(at, mask=~valid)).cast(arrow)
+        return pa.StructArray.from_arrays([picked, scatter(sims[rows, arg], valid), scatter(ties[rows, arg], valid)], names=["id", "sim", "tie"])
 
-    return (df.withColumn("_near", pick(vec)).withColumn(id_name, F.col("_near.id"))
-            .withColumn(sim_name, F.col("_near.sim")).drop("_near"))
+    return pick
 
 
 def centre_gaps(centres: DataFrame, key: str) -> DataFrame:
     """Mean distance between distinct centres; one row ``inter_mean``.
 
-    Centres are compared with the matrix of all centres on the executors; no pair
-    is ever a row.
+    Centres are compared with matrices of the centres on the executors, block by
+    block; no pair is ever a row.
     """
-    table = VectorTable.of(centres, key, "vector", max_rows=1 << 16, max_bytes=1 << 30)
-    if table is None:
-        raise ValueError("centre table too large for a mean of pairwise distances")
-    ids, matrix = table.ids, table.matrix
+    def later(block: VectorTable):
+        ids, matrix = block.ids, block.matrix
 
-    @F.arrow_udf("struct<s:double,n:bigint>")
-    def later(v: pa.Array, k: pa.Array) -> pa.Array:
-        m, _ = to_matrix(v)
-        at = k.to_numpy(zero_copy_only=False)
-        sums, counts = np.zeros(len(m)), np.zeros(len(m), dtype=np.int64)
-        for i, row in enumerate(m):
-            rest = matrix[ids > at[i]]
-            sums[i] = np.sqrt(((rest - row) ** 2).sum(axis=1)).sum()
-            counts[i] = len(rest)
-        return pa.StructArray.from_arrays([pa.array(sums), pa.array(counts)], names=["s", "n"])
+        @F.arrow_udf("struct<s:double,n:bigint>")
+        def gaps(v: pa.Array, k: pa.Array) -> pa.Array:
+            m, _ = to_matrix(v)
+            at = k.to_numpy(zero_copy_only=False)
+            sums, counts = np.zeros(len(m)), np.zeros(len(m), dtype=np.int64)
+            for i, row in enumerate(m):
+                rest = matrix[ids > at[i]]
+                sums[i] = np.sqrt(((rest - row) ** 2).sum(axis=1)).sum()
+                counts[i] = len(rest)
+            return pa.StructArray.from_arrays([pa.array(sums), pa.array(counts)], names=["s", "n"])
 
-    return (centres.select(later("vector", key).alias("d"))
-            .agg((F.sum("d.s") / F.sum("d.n")).alias("inter_mean")))
+        return gaps("vector", key)
+
+    parts = [later(block).alias(f"d{i}") for i, block in enumerate(VectorTable.blocks(centres, key, "vector"))]
+    if not parts:
+        return centres.agg(F.lit(None).cast("double").alias("inter_mean"))
+    total = lambda field: sum((F.sum(F.col(f"d{i}")[field]) for i in range(1, len(parts))), F.sum(F.col("d0")[field]))
+    return centres.select(*parts).agg((total("s") / total("n")).alias("inter_mean"))
 
 
 @dataclass(frozen=True)
@@ -206,7 +217,14 @@ class Projection:
 
 def fit_projection(df: DataFrame, vec: str, dims: int) -> Projection:
     """Principal components of a vector column, at most ``min(dims, D, N - 1)``."""
-    vectors = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    vectors = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _principal(vectors, dims)
+    finally:
+        vectors.unpersist()
+
+
+def _principal(vectors: DataFrame, dims: int) -> Projection:
     head = vectors.agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("v")).alias("m")).first()
     mean = head["m"].toArray()
     k = max(1, min(dims, len(mean), head["n"] - 1))
@@ -240,11 +258,13 @@ def euclidean_silhouette(sample: DataFrame, vec: str, cluster: str,
 
     The sample is shipped once as a matrix; each task compares its rows with it
     block by block, so the quadratic work is spread and nothing is shuffled.
-    Adds ``silhouette``; members of single-row clusters get 0.
+    Adds ``silhouette``; members of single-row clusters get 0, and so does every row if
+    there is one cluster only. The size is measured before anything is fetched.
     """
-    packed = sample.select(cluster, F.col(vec).cast("array<double>").alias(vec)).toArrow()
-    if packed.nbytes > max_bytes:
+    head = sample.agg(F.coalesce(F.sum(F.size(vec)), F.lit(0)).alias("cells"), F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("k")).first()
+    if 8 * (head["cells"] + head["n"] * head["k"]) > max_bytes:
         raise ValueError("sample exceeds the broadcast bound; draw a smaller one")
+    packed = sample.select(cluster, F.col(vec).cast("array<double>").alias(vec)).toArrow()
     matrix, _ = to_matrix(packed.column(vec).combine_chunks())
     labels = packed.column(cluster).to_numpy()
     ids, code = np.unique(labels, return_inverse=True)
@@ -270,7 +290,7 @@ def euclidean_silhouette(sample: DataFrame, vec: str, cluster: str,
             others[rows, own] = np.inf
             b = others.min(axis=1)
             top = np.maximum(a, b)
-            value = np.where(top > 0, (b - a) / np.where(top > 0, top, 1.0), 0.0)
+            value = np.where((top > 0) & np.isfinite(b), (np.where(np.isfinite(b), b, 0.0) - a) / np.where((top > 0) & np.isfinite(top), top, 1.0), 0.0)
             out[s:s + 512] = np.where(size[own] > 1, value, 0.0)
         return out
 

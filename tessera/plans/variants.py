@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +28,8 @@ class Variant:
     weight: float = 0.4
 
 
-def variant_grid(names: Iterable[str], ks: Sequence[int]) -> list[tuple[str, int]]:
-    """All (variant, parameter) settings to run."""
-    return [(n, k) for n in names for k in ks]
-
-
 def run_variant(df: DataFrame, v: Variant, row_id: str, label: str, patch: str | None = None, *,
-                fit_sample: int | None = 300_000, silhouette_sample: int = 50_000, n_init: int = 3,
+                fit_sample: int | None = None, silhouette_sample: int | None = None, n_init: int = 3,
                 max_iter: int = 200, seed: int = 42) -> DataFrame:
     """Cluster one variant and measure it; one row of metrics.
 
@@ -73,21 +68,21 @@ def run_variants(df: DataFrame, variants: Sequence[Variant], row_id: str, label:
     return out
 
 
-def k_sweep(df: DataFrame, vec: str, row_id: str, ks: Sequence[int], *, sample: int = 10_000,
+def k_sweep(df: DataFrame, vec: str, row_id: str, ks: Sequence[int], *, sample: int | None = None,
             n_init: int = 1, seed: int = 42) -> DataFrame:
-    """Cost and silhouette for each number of clusters, with a quality band.
+    """Cost and silhouette (of all rows or a seeded sample) for each number of clusters, with a quality band.
 
     ``best`` marks the first ``k`` with the highest silhouette.
     """
     data = df.select(row_id, F.col(vec).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    drawn = seeded_sample(data, row_id, sample, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    drawn = (data if sample is None else seeded_sample(data, row_id, sample, seed)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
         for k in ks:
             model = fit_kmeans(data, "x", k, seed, n_init)
             labelled = drawn.withColumn("cluster_id", nearest_centre(np.array(model.clusterCenters()), "x"))
             several = labelled.select("cluster_id").distinct().count() > 1
-            sil = silhouette(labelled, "cluster_id", "x", row_id, sample, seed).first()[0] if several else -1.0
+            sil = silhouette(labelled, "cluster_id", "x", row_id).first()[0] if several else -1.0
             rows.append((k, float(model.summary.trainingCost), float(sil),
                          "good" if sil > 0.25 else "fair" if sil > 0.15 else "weak"))
     finally:

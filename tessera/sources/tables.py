@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.ordering import number_rows, top_k
+
 LABEL_SCHEMA = "map<string, struct<label:string, include:boolean, confidence:int, notes:string>>"
 
 # Image file endings.
@@ -163,11 +165,16 @@ def split_bad_rows(df: DataFrame, is_good: Column, name: str = "good") -> DataFr
     return df.withColumn(name, F.coalesce(is_good, F.lit(False)))
 
 
+def first_failures(df: DataFrame, is_good: Column, by: Sequence[str], key: str, n: int) -> DataFrame:
+    """Quarantine: the rows that fail the check (a NULL verdict fails), the first ``n`` of each group by key, with ``rank``."""
+    return top_k(df.filter(~F.coalesce(is_good, F.lit(False))), by, [F.col(key)], n)
+
+
 def image_catalogue(spark: SparkSession, root: str, classes: Sequence[str] | None = None) -> DataFrame:
     """Files under ``root/<class>/`` with a class id from the sorted class names.
 
     Only file metadata is read. The class table has one row per folder, so the
-    ranking over it is small by construction; ids of files follow (class, path).
+    ranking over it is small by construction; ``image_id`` numbers the files by (class, path).
     """
     from pyspark.sql import Window
 
@@ -181,17 +188,18 @@ def image_catalogue(spark: SparkSession, root: str, classes: Sequence[str] | Non
         files = files.filter(F.col("class_name").isin(*classes))
     ids = (files.select("class_name").distinct()
            .withColumn("label", (F.dense_rank().over(Window.orderBy("class_name")) - 1).cast("int")))
-    return files.join(small_side(ids), "class_name").select("path", "length", "label", "class_name")
+    named = files.join(small_side(ids), "class_name").select("path", "length", "label", "class_name")
+    return number_rows(named, ["label", "path"], "image_id")
 
 
-def label_rows(df: DataFrame, json_col: str, included_only: bool = True) -> DataFrame:
-    """Label dictionary (JSON text) -> one row per key.
+def label_rows(df: DataFrame, json_col: str, included_only: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """Label dictionary (JSON text) -> one row per key, with the columns to ``keep``.
 
     Blank and excluded entries are dropped unless asked for; ``include`` and
     ``confidence`` get their defaults and labels are trimmed.
     """
-    rows = (df.select(F.explode(F.from_json(json_col, LABEL_SCHEMA)).alias("key", "meta"))
-            .select("key", F.trim("meta.label").alias("label"),
+    rows = (df.select(*keep, F.explode(F.from_json(json_col, LABEL_SCHEMA)).alias("key", "meta"))
+            .select(*keep, "key", F.trim("meta.label").alias("label"),
                     F.coalesce("meta.include", F.lit(True)).alias("include"),
                     F.coalesce("meta.confidence", F.lit(2)).alias("confidence"),
                     F.coalesce("meta.notes", F.lit("")).alias("notes")))

@@ -8,11 +8,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tessera.session import build_session
 
     session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="8",
-                            spark__ui__enabled="false", spark__driver__memory="8g",
+                            spark__ui__enabled="false", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__driver__memory="8g",
                             spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("OFF")
     yield session

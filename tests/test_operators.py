@@ -110,7 +110,6 @@ def test_nearest_in_blocks_equals_one_block(spark, monkeypatch):
     targets = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "k int, vector array<double>")
     want = {r["id"]: (r["nearest"], round(r["similarity"], 9)) for r in vectors.nearest(pts, "v", targets, "k").collect()}
     monkeypatch.setattr(vectors, "TABLE_ROWS", 8)
-    monkeypatch.setattr(vectors.VectorTable.of.__func__, "__defaults__", (8, 64 << 20))
     got = {r["id"]: (r["nearest"], round(r["similarity"], 9)) for r in vectors.nearest(pts, "v", targets, "k").collect()}
     assert got == want
 
@@ -370,11 +369,14 @@ def test_transport_files(spark, tmp_path):
                    "2015_2": (13.5, None), "2015_7": (None, None), "2015_9": (-.25, None)}
 
 
-def test_similarities_run_once(spark):
+def test_similarities_move_one_row_per_vector(spark):
     df = spark.createDataFrame([(1, i, [float(i), 1.0]) for i in range(5)], "im int, id int, v array<double>")
-    targets = spark.createDataFrame([(0, [1.0, 0.0])], "k int, vector array<double>")
-    plan = concepts.similarity_scores(df, "im", "v", targets, "k", row_key="id")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
+    targets = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "k int, vector array<double>")
+    out = concepts.similarity_scores(df, "im", "v", targets, "k", k=2)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["score"] for r in out.collect()}
+    unit = [(i / (i * i + 1) ** .5, 1 / (i * i + 1) ** .5) for i in range(5)]
+    assert got[0] == pytest.approx((unit[3][0] + unit[4][0]) / 2) and got[1] == pytest.approx((unit[0][1] + unit[1][1]) / 2)
 
 
 def test_title_name(spark):

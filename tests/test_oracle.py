@@ -4,9 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from tessera import catalog
 
 SF = "/root/testdata/sf0.001"
-MODELS = {n for n in entry.queries() if n not in entry.oracle_sql()}
+# The optional part brings its own tests.
+OWN = set(catalog.QUERIES)
+MODELS = {n for n in OWN if n not in catalog.ORACLES}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +17,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_matches_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
 
@@ -27,6 +30,6 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(MODELS - {"ablation", "variant_correlation", "score_records", "panel_gmm", "gmm_fit"}))
+@pytest.mark.parametrize("name", sorted(MODELS))
 def test_has_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0

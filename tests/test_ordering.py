@@ -90,16 +90,59 @@ def test_quantiles_of_large_columns(spark):
 def test_quantiles_of_empty_column(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     got = o.exact_quantiles(df, ["a", "b"], [0.5]).first()
-    assert got["b"] == [1.0] and not got["a"]
+    assert got["b"] == [1.0] and got["a"] == [None]
 
 
 def test_top_k_above_window_limit(skewed):
     df, rows = skewed
-    with pytest.raises(ValueError):
-        o.top_k(df, ["cls"], [F.col("id")], 1200)
     got = o.first_n(df, ["cls"], "id", 1200)
-    assert got.filter("cls = 'hot'").count() == 1200
-    assert got.filter("cls = 'hot'").agg(F.max("id")).first()[0] == sorted(r[0] for r in rows if r[1] == "hot")[1199]
+    hot = sorted(r[0] for r in rows if r[1] == "hot")[:1200]
+    assert {r["id"]: r["rank"] for r in got.filter("cls = 'hot'").collect()} == {i: n + 1 for n, i in enumerate(hot)}
+
+
+@pytest.mark.parametrize("n", [900, 1500])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_first_n_in_the_keys_own_type(spark, n, kind):
+    base = spark.range(4000).select(F.when(F.col("id") % 10 < 8, F.lit("hot")).alias("cls"), ((1 << 60) + F.col("id")).cast(kind).alias("k"))
+    got = {(r["cls"], r["k"]): r["rank"] for r in o.first_n(base, ["cls"], "k", n).collect()}
+    want = {}
+    for cls in ("hot", None):
+        keys = sorted(r["k"] for r in base.collect() if r["cls"] == cls)
+        want |= {(cls, k): i + 1 for i, k in enumerate(keys[:n])}
+    assert got == want
+
+
+def test_null_group_keeps_its_rows(spark):
+    df = spark.range(40).select("id", F.when(F.col("id") % 4 > 0, F.lit("a")).alias("cls"), F.col("id").cast("double").alias("v"))
+    ranked = o.rank_rows(o.value_buckets(df, ["cls"], "v", "id"), ["cls"])
+    assert ranked.count() == 40 and ranked.filter("cls is null").agg(F.max("rank")).first()[0] == 10
+    assert flag_top_fraction(df, ["cls"], "v", "id", 0.5, F.col("v") >= 0).groupBy("kept").count().count() == 2
+    assert class_cap(df, "cls", "id", 1).filter("cls is null").count() == 10
+
+
+def test_group_medians_of_a_hot_and_a_null_group(spark):
+    from tessera.operators.prepare import group_medians, impute_by_group
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 10 else None, float(rng.integers(0, 50)) if i % 7 else None, None if i % 10 else 1.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    got = {r["g"]: (r["a"], r["b"]) for r in group_medians(df, ["a", "b"], ["g"]).collect()}
+    for g, b in (("hot", None), (None, 1.0)):
+        assert got[g] == (np.median([r[1] for r in rows if r[0] == g and r[1] is not None]), b)
+    assert impute_by_group(df, ["a", "b"], ["g"]).filter("a is null").count() == 0
+
+
+def test_quantile_of_a_null_column_beside_a_long_one(spark):
+    df = spark.range(150_000).select(F.col("id").cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    got = o.exact_quantiles(df, ["a", "b"], [0.5]).first()
+    assert got["a"] == [74999.5] and got["b"] == [None]
+
+
+def test_no_task_holds_a_large_share_of_a_group(spark):
+    df = spark.range(200_000).select("id", F.lit("one").alias("cls"), (F.col("id") % 3).cast("double").alias("v"))
+    b = o.value_buckets(df, ["cls"], "v", "id")
+    assert b.groupBy("cls", "_b", "_s").count().agg(F.max("count")).first()[0] < 4000
+    big = o.top_k(df, ["cls"], [F.col("id").desc()], 150_000)
+    assert big.count() == 150_000 and big.agg(F.min("id")).first()[0] == 50_000
 
 
 def test_class_cap_golden(spark):
