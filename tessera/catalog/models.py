@@ -1,4 +1,4 @@
-"""Queries that fit models: rows and invariants are checked, not values."""
+"""Queries that fit models; their SQL states what holds for every right fit."""
 
 from __future__ import annotations
 
@@ -8,65 +8,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcomes, patches, table
+from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcomes, patches, sql, table
 from tessera.catalog.records import _scratch
 from tessera.catalog.subvectors import CONCEPTS, _scores
 from tessera.functions.bands import three_class_outcome
-from tessera.functions.vectors import last_block
+from tessera.functions.vectors import euclidean, last_block, vector_norm
 from tessera.operators import classify, metrics
 from tessera.operators.clustering import (assign_panels, fit_kmeans, fit_mixture, fit_panels, fit_prep,
-                                          load_mixture, nearest_centre, save_mixture)
+                                          load_mixture, mixture_step, nearest_centre, save_mixture)
 from tessera.operators.concepts import cube_rows
 from tessera.operators.sampling import stratified_split
-from tessera.operators.vectors import fit_projection, model_column
+from tessera.operators.vectors import fit_projection, mean_vectors, model_column
 from tessera.plans.records import RecordScorer, deviation_table, fit_scorer
 from tessera.plans.variants import Variant, k_sweep, run_variants
 
 CLASSES = ("first", "second", "neither")
 
 
-@query("pca_embed")
+@query("pca_embed", "SELECT vec_id, 8 AS dims, 1.0::double AS norm FROM embeddings")
 def pca_embed(spark: SparkSession, sf: str) -> DataFrame:
+    """Projected rows have length one."""
     p = patches(spark, sf)
-    proj = fit_projection(p, "f", 8)
-    return p.select("vec_id", proj.apply("f").alias("x"))
+    x = p.select("vec_id", fit_projection(p, "f", 8).apply("f").alias("x"))
+    return x.select("vec_id", F.size("x").alias("dims"), F.round(vector_norm("x"), 9).alias("norm"))
 
 
-@query("feature_prep")
+@query("feature_prep", "SELECT vec_id, 10 AS dims, 1.0::double AS norm FROM embeddings")
 def feature_prep(spark: SparkSession, sf: str) -> DataFrame:
     """Normalise, project to 8 dimensions, append the grid position, normalise."""
     p = patches(spark, sf)
-    return p.select("vec_id", fit_prep(p, "f", 8, GRID, 0.4).apply("f", "patch_id").alias("x"))
+    x = p.select("vec_id", fit_prep(p, "f", 8, GRID, 0.4).apply("f", "patch_id").alias("x"))
+    return x.select("vec_id", F.size("x").alias("dims"), F.round(vector_norm("x"), 9).alias("norm"))
 
 
-@query("kmeans_fit")
+@query("kmeans_fit", "SELECT cast(range AS int) AS cluster_id, true AS settled FROM range(6)")
 def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """At the end each centre is the mean of its rows."""
     p = patches(spark, sf)
     model = fit_kmeans(p, "f", 6)
-    out = p.withColumn("cluster_id", nearest_centre(np.array(model.clusterCenters()), "f"))
-    return out.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    centres = np.array(model.clusterCenters())
+    means = mean_vectors(p.withColumn("cluster_id", nearest_centre(centres, "f")), ["cluster_id"], "f")
+    held = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster_id int, centre array<double>")
+    return means.join(held, "cluster_id").select("cluster_id", (euclidean("vector", "centre") < 0.02).alias("settled"))
 
 
-@query("gmm_fit")
+@query("gmm_fit", "SELECT true AS converged, true AS settled, count(*) AS n FROM embeddings")
 def gmm_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The bound has settled: one more step raises it by less than the tolerance."""
     p = patches(spark, sf)
     prep = fit_prep(p, "f", 8)
     x = p.select("vec_id", prep.apply("f").alias("x"))
     mix = fit_mixture(x, "x", 5)
-    return x.withColumn("cluster_id", mix.predict("x")).groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n")).withColumn("bound", F.lit(mix.bound)).withColumn("converged", F.lit(mix.converged))
+    gain = mixture_step(x, "x", mix).bound - mix.bound
+    return x.withColumn("cluster_id", mix.predict("x")).filter("cluster_id between 0 and 4").agg(
+        F.lit(mix.converged).alias("converged"), F.lit(bool(-1e-9 < gain < 1e-3)).alias("settled"), F.count(F.lit(1)).alias("n"))
 
 
 def _panel_rows(spark: SparkSession, sf: str) -> DataFrame:
     return cube_rows(deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5), "record_id", PANELS)
 
 
-@query("panel_gmm")
+@query("panel_gmm", sql("SELECT panel, count(*) AS n, 1.0::double AS least, 1.0::double AS most FROM dev, (SELECT unnest(['panel_a', 'panel_b']) AS panel) GROUP BY 1", "dev"))
 def panel_gmm(spark: SparkSession, sf: str) -> DataFrame:
     long = _panel_rows(spark, sf)
     models = fit_panels(long, "panel", "vector", {p: len(fs) for p, fs in PANELS.items()}, 4, n_init=1)
-    return assign_panels(long, "panel", "vector", models).groupBy("panel", "cluster_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.aggregate("membership", F.lit(0.0), lambda a, x: a + x)).alias("min_sum"))
+    total = F.round(F.aggregate("membership", F.lit(0.0), lambda a, x: a + x), 9)
+    return assign_panels(long, "panel", "vector", models).filter("cluster_id between 0 and 3").groupBy("panel").agg(
+        F.count(F.lit(1)).alias("n"), F.min(total).alias("least"), F.max(total).alias("most"))
 
 
 @query("logreg_fit")
@@ -126,10 +134,13 @@ def _scorer(spark: SparkSession, sf: str) -> RecordScorer:
                       outcome=y, classes=CLASSES)
 
 
-@query("score_records")
+@query("score_records", sql("SELECT record_id, 2.0::double AS total, 6 AS concepts, true AS known FROM lab", "lab"))
 def score_records(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on complete enough records, then score all of them, gaps included."""
-    return _scorer(spark, sf).apply(lab(spark, sf)).select("record_id", "scores", "prediction", "confidence")
+    scored = _scorer(spark, sf).apply(lab(spark, sf))
+    total = F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 9)
+    return scored.select("record_id", total.alias("total"), F.size("scores").alias("concepts"),
+                         (F.col("prediction").isin(*CLASSES) & F.col("confidence").between(0, 1)).alias("known"))
 
 
 @query("model_round_trip", "SELECT vec_id, true AS same FROM embeddings")
