@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.catalog.fixtures import FEATURES, KEYS, lab, patches, sql, table
 from tessera.functions.bands import title_name
-from tessera.functions.vectors import vector_norm
-from tessera.operators import concepts, labelling, prepare
+from tessera.functions.vectors import softmax, vector_norm
+from tessera.operators import classify, concepts, labelling, metrics, prepare
 from tessera.operators.clustering import DiagonalMixture, mixture_step, nearest_centre
 from tessera.operators.patches import fraction_above
+from tessera.operators.sampling import stratified_split
 from tessera.operators.vectors import fit_projection, mean_vectors
 from tessera.sources import tables
 
@@ -93,6 +94,31 @@ def region_labels(spark: SparkSession, sf: str) -> DataFrame:
     return tables.label_rows(texts, "j", keep=["r_name"])
 
 
+@query("ranked_probabilities", sql("""
+    SELECT vec_id, r AS rank, c AS class, round(p, 6) AS probability FROM (
+        SELECT vec_id, c, p, cast(row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, c) AS int) AS r FROM (
+            SELECT vec_id, unnest(['first', 'neither', 'second']) AS c,
+                   unnest([exp(f[1]) / t, exp(f[2]) / t, exp(f[3]) / t]) AS p
+            FROM (SELECT vec_id, f, exp(f[1]) + exp(f[2]) + exp(f[3]) AS t FROM patches)))""", "patches"))
+def ranked_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    p = patches(spark, sf).select("vec_id", softmax(F.slice("f", 1, 3)).alias("p"))
+    rows = p.select("vec_id", F.posexplode(labelling.ranked_probabilities("p", ["first", "neither", "second"])).alias("r", "c"))
+    return rows.select("vec_id", (F.col("r") + 1).alias("rank"), "c.class", F.round("c.probability", 6).alias("probability"))
+
+
+@query("one_vs_rest_projected", sql("""
+    SELECT y AS class, cast(round(count(*) * 0.2::double) AS bigint) AS support, true AS bounded
+    FROM (SELECT cast(label % 3 AS varchar) AS y FROM patches) GROUP BY 1""", "patches"))
+def one_vs_rest_projected(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw-vector baseline: scaler, projection and one-class model of each class; the report's rates lie between 0 and 1."""
+    rows = patches(spark, sf).select("vec_id", (F.col("label") % 3).cast("string").alias("y"), "f")
+    split = stratified_split(rows, "y", "vec_id", 42)
+    out = classify.one_vs_rest_projected(split.filter("not is_test"), split.filter("is_test"), "y", "f", ["0", "1", "2"], dims=6)
+    report = metrics.classification_report(out, "y", "predicted").filter(F.col("class").isin("0", "1", "2"))
+    rates = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1")]
+    return report.select("class", "support", (rates[0] & rates[1] & rates[2]).alias("bounded"))
+
+
 # --- single steps of iterative fits, from fixed parameters ------------------------------------------
 
 @query("pca_norms", sql("""

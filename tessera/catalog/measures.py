@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.catalog.fixtures import clustered, outcomes, patches, sql, table
+from tessera.catalog.fixtures import clustered, patches, sql, table
 from tessera.catalog.subvectors import CONCEPTS, _r6, _scores
 from tessera.operators import classify, metrics
 from tessera.operators.clustering import DiagonalMixture

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -18,6 +19,7 @@ from tessera.functions.bands import push_label
 from tessera.functions.vectors import argmax, scatter, softmax, to_matrix
 from tessera.operators.concepts import fill_model_order
 from tessera.operators.ordering import exact_quantiles, top_k
+from tessera.operators.vectors import fit_projection, fit_scaler
 
 
 @dataclass(frozen=True)
@@ -273,6 +275,33 @@ def one_vs_rest_one_class(train: DataFrame, test: DataFrame, label: str, concept
     return out.withColumn("predicted", names[argmax(scores)])
 
 
+def one_vs_rest_projected(train: DataFrame, test: DataFrame, label: str, vec: str, classes: Sequence[str],
+                          dims: int = 50, nu: float = 0.1) -> DataFrame:
+    """One-class model per class over raw vectors, each with a scaler and a projection of its own class.
+
+    The class with the highest score is ``predicted``, the first one on ties.
+    """
+    out = test
+    for i, c in enumerate(classes):
+        rows = train.filter(F.col(label) == c).select(vec)
+        scaler = fit_scaler(rows, vec)
+        projection = fit_projection(rows.select(scaler.apply(vec).alias("_z")), "_z", dims)
+        names = [f"_x{j}" for j in range(projection.components.shape[1])]
+
+        def project(df: DataFrame, scaler=scaler, projection=projection, names=names) -> DataFrame:
+            spread = df.withColumn("_x", projection.apply(scaler.apply(vec), normalize=False))
+            return spread.select(*df.columns, *[F.col("_x")[j].alias(n) for j, n in enumerate(names)])
+
+        inside = project(rows).select(*names).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = fit_one_class(inside, names, nu)
+        finally:
+            inside.unpersist()
+        out = project(out).withColumn(f"score_{i}", model._expr("score")).drop(*names)
+    scores = F.array(*[F.col(f"score_{i}") for i in range(len(classes))])
+    return out.withColumn("predicted", F.array(*[F.lit(c) for c in classes])[argmax(scores)])
+
+
 def two_prompt_gate(df: DataFrame, label: str, gated: str, logit_a: str | Column, logit_b: str | Column,
                     threshold: float = 0.55) -> DataFrame:
     """Keep rows of one class whose softmax share of the first logit is high enough.

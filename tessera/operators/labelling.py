@@ -227,6 +227,14 @@ def parse_answer(text: str | Column) -> Column:
                     F.when(bad, F.lit("unparsable answer")).alias("error"))
 
 
+def ranked_probabilities(probabilities: str | Column, classes: Sequence[str]) -> Column:
+    """Classes with their probability, the likeliest first; equal ones in the order of ``classes``."""
+    probs = F.col(probabilities) if isinstance(probabilities, str) else probabilities
+    names = F.array(*[F.lit(c) for c in classes])
+    cells = F.transform(probs, lambda p, i: F.struct((-p).alias("k"), i.alias("i")))
+    return F.transform(F.array_sort(cells), lambda c: F.struct(F.element_at(names, c["i"] + 1).alias("class"), (-c["k"]).alias("probability")))
+
+
 def activation_sentence(rows: DataFrame, entity: str, threshold: float = 0.5, k: int = 3) -> DataFrame:
     """Up to ``k`` strongest concepts above the threshold, as one phrase per entity."""
     best = top_k(rows.filter(F.col("score") > threshold), [entity],

@@ -184,6 +184,33 @@ def centre_gaps(centres: DataFrame, key: str) -> DataFrame:
     return centres.select(*parts).agg((total("s") / total("n")).alias("inter_mean"))
 
 
+@dataclass(frozen=True)
+class Scaler:
+    """Mean and population spread of every component; a constant component divides by one."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+
+    def apply(self, vec: str | Column) -> Column:
+        mean, spread = self.mean, self.spread
+
+        @F.arrow_udf("array<double>")
+        def scaled(v: pa.Array) -> pa.Array:
+            m, valid = to_matrix(v)
+            return from_matrix((m - mean) / spread if len(m) else m, valid)
+
+        return scaled(vec)
+
+
+def fit_scaler(df: DataFrame, vec: str) -> Scaler:
+    """Moments of a vector column in one pass."""
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    head = df.agg(Summarizer.metrics("mean", "variance", "count").summary(v).alias("s")).first()["s"]
+    n = max(1, head["count"])
+    spread = np.sqrt(head["variance"].toArray() * (n - 1) / n)
+    return Scaler(head["mean"].toArray(), np.where(spread > 0, spread, 1.0))
+
+
 @dataclass(frozen=True)
 class Projection:
     """Centred principal components; results are normalised again."""
