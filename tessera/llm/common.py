@@ -23,7 +23,7 @@ from tessera.session import shared_folder
 
 #: A word is a longest run of bytes outside space and tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -58,6 +58,7 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = SLICE_BYT
         return
     ends = np.cumsum(lengths(table[column]))
     start = 0
+    pa.default_memory_pool().release_unused()
     while start < table.num_rows:
         done = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
@@ -102,7 +103,7 @@ def _spaces(data: np.ndarray) -> np.ndarray:
 
 
 def kept_by_worker(key: tuple, make: Callable[[], Any]) -> Any:
-    """An object that a Python worker keeps between tasks, made on first use.
+    """An object that a Python worker keeps between tasks, made on first use; a worker keeps one.
 
     The package travels to workers by value, with each task anew; what is to stay (loaded
     vocabularies, bounded caches) hangs on a module of the worker's own.
@@ -110,6 +111,7 @@ def kept_by_worker(key: tuple, make: Callable[[], Any]) -> Any:
     module = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
     held = module.__dict__.setdefault("held", {})
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]
 

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import scratch_path, slices, stored
-from tessera.llm.tokens import Encoder, binary
+from tessera.llm.tokens import Encoder
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_FOOTER, WITH_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80

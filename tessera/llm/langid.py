@@ -21,7 +21,9 @@ from tessera.llm.common import Words, kept_by_worker, ranges, slices
 from tessera.llm.tokens import Seen
 
 #: Distinct words a worker remembers, and cells of the documents x n-grams count matrix.
-CACHE_WORDS, CELLS = 500_000, 1 << 22
+CACHE_WORDS, CELLS = 500_000, 1 << 21
+#: Bytes of text that are looked at together; an n-gram takes a few dozen bytes for each of them.
+PART_BYTES, WORDS_AT_ONCE = 2 << 20, 20_000
 
 
 class Grams:
@@ -61,8 +63,8 @@ class Grams:
     def rows(self, words: list[bytes]) -> np.ndarray:
         """Row of each word in ``starts`` and ``counts``."""
         rows, new = self.seen.rows(words)
-        if len(new):
-            found = [self._of_word(words[i].decode("utf-8", "replace").lower()) for i in new]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            found = [self._of_word(words[i].decode("utf-8", "replace").lower()) for i in new[at:at + WORDS_AT_ONCE]]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((g for f in found for g in f), np.int32, int(counts.sum()))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
@@ -84,7 +86,7 @@ def gram_counts(docs: DataFrame, longest: int) -> DataFrame:
             sums.clear()
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 grams, words = Grams.of(longest), Words(part["text"])
                 rows = grams.rows(words.distinct)
                 starts, counts = grams.starts[rows], grams.counts[rows]
@@ -196,7 +198,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[str]], size: int
         matcher = Matcher(profiles, size, longest)
         names = np.array([*matcher.langs, "und"], object)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", PART_BYTES):
                 lang, score = matcher.match(part["_text"]) if matcher.langs else (np.full(part.num_rows, -1), np.zeros(part.num_rows))
                 columns = [part[c] for c in kept]
                 yield from pa.table([*columns, pa.array(names[lang], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"]).to_batches()
