@@ -13,12 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
-from tessera.llm.dartminhash import near_duplicates
+from tessera.llm.dartminhash import text_groups
 from tessera.llm.langid import held_out, learn_profiles, predict_languages
 from tessera.llm.mixture import mix_sources, repeat_taken
 from tessera.llm.packing import pack_documents
 from tessera.llm.pseudonyms import pseudonymise
 from tessera.llm.queries import DEMO_KEY, tokenizer_file
+from tessera.llm.substrings import NULL_ID
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,14 +33,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; rows that share an id are one document."""
-    others = near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"))
-    kept = docs.join(others, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    copies = kept.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
-    single = kept.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    repeated = kept.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return single.unionByName(repeated.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"))
+    """One text of each group of near duplicates, that of the smallest id (null is the smallest).
+
+    Texts are compared, whatever their ids: different texts that share an id, or have none, stay. Of rows equal in id and text one stays.
+    """
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_key")]
+    groups = text_groups(docs)
+    first = groups.groupBy("label").agg(F.min(F.struct("doc", "key")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    others = groups.join(first, "label").filter(F.struct("doc", "key") != F.col("first")).select(F.col("doc").alias("_id"), F.col("key").alias("_key"))
+    kept = docs.select("*", *keys).join(others, ["_id", "_key"], "left_anti")
+    copies = kept.groupBy("_id", "_key").count().filter("count > 1").select("_id", "_key")
+    single = kept.join(copies, ["_id", "_key"], "left_anti")
+    order = W.partitionBy("_id", "_key").orderBy(F.xxhash64(*docs.columns))
+    repeated = kept.join(copies, ["_id", "_key"], "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,11 +121,12 @@ def signatures(shingles: Shingles, k: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_column).alias("text"))
+    """``doc, key, text``: the id (null is the smallest), a hash of the text and the text."""
+    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
 
 
 def sketches(rows: DataFrame, size: int, bands: int, each: int) -> DataFrame:
-    """``doc, c1, c2, bands``: a 128-bit digest of the word sequence and the band keys of every text that has words."""
+    """``doc, key, node, bands``: a 64-bit digest of the word sequence and the band keys of every text that has words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -134,19 +135,21 @@ def sketches(rows: DataFrame, size: int, bands: int, each: int) -> DataFrame:
                 if not len(held):
                     continue
                 place = np.arange(len(words.codes)) - np.repeat(words.bounds[:-1], np.diff(words.bounds))
-                digest = [np.add.reduceat(mix(words.hashes(seed), place.astype(np.uint64)), words.bounds[held]).view(np.int64) for seed in (0, 1)]
+                first, second = (np.add.reduceat(mix(words.hashes(seed), place.astype(np.uint64)), words.bounds[held]) for seed in (0, 1))
+                node = mix(first, second).view(np.int64)
                 found = signatures(Shingles(words, size), bands * each)[held].reshape(len(held), bands, each)
                 keys = np.tile(np.arange(bands, dtype=np.uint64), (len(held), 1))
                 for i in range(each):
                     keys = mix(keys, found[:, :, i])
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.reshape(-1).view(np.int64))
-                yield from pa.table([part["doc"].take(pa.array(held)), *map(pa.array, digest), lists], names=["doc", "c1", "c2", "bands"]).to_batches()
+                own = [part[c].take(pa.array(held)) for c in ("doc", "key")]
+                yield from pa.table([*own, pa.array(node), lists], names=["doc", "key", "node", "bands"]).to_batches()
 
-    return rows.mapInArrow(run, "doc long, c1 long, c2 long, bands array<long>")
+    return rows.mapInArrow(run, "doc long, key long, node long, bands array<long>")
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """``doc, elements``: the sorted 32-bit names of a text's weighted shingles."""
+    """``doc, elements``: the sorted 32-bit names of a text's weighted shingles, each once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -154,7 +157,10 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
                 names = (shingles.element >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 row = np.repeat(np.arange(part.num_rows), np.diff(shingles.bounds))
                 names = names[np.lexsort((names, row))]
-                yield from pa.table([part["doc"], pa.ListArray.from_arrays(shingles.bounds.astype(np.int32), names)], names=["doc", "elements"]).to_batches()
+                new = np.ones(len(names), bool)
+                new[1:] = (names[1:] != names[:-1]) | (row[1:] != row[:-1])
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=part.num_rows))])
+                yield from pa.table([part["doc"], pa.ListArray.from_arrays(bounds.astype(np.int32), names[new])], names=["doc", "elements"]).to_batches()
 
     return rows.mapInArrow(run, "doc long, elements array<int>")
 
@@ -264,32 +270,26 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 20, each: int = 6,
-                    id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, class_id``: one row per id, with the smallest id of its group of near duplicates.
+def text_groups(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 20, each: int = 6,
+                id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc, key, label``: the group of near duplicates of every distinct pair of id and text that has words.
 
-    Two documents are linked if the weighted Jaccard similarity of their shingles of ``size`` words is at least ``threshold``;
-    groups are the connected components. Equal word sequences form a class of
-    which one takes part. First, all members of a band bucket are compared with one of
+    ``doc`` is the id (``NULL_ID`` for null), ``key`` is ``xxhash64`` of the text. Texts of one id are compared
+    like those of different ids: what they share is the id only. Equal word sequences (by a 64-bit digest) are one node, of
+    which one text takes part. First, all members of a band bucket are compared with one of
     them, its hub. Then, where a bucket still spans several groups, its members of different groups
     are compared with each other: as pairs in small buckets, in large ones block by block
-    within tasks. So every link in a bucket that joins two groups is found. A link of similarity s is found with probability ``1 - (1 - s**each)**bands``.
-
-    A text of fewer words than a shingle is one shingle. Texts without words (null, empty) are linked to nothing. Rows that
-    share an id (null is an id) are one document, linked by any of their texts. An empty table gives no rows. Other columns are not looked at.
+    within tasks. So every link in a bucket that joins two groups is found.
     """
     rows = _keyed(docs, id_column, text_column)
     sketched = stored(sketches(rows, size, bands, each), "sketches")
-    equal = sketched.groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = sketched.select("doc", "c1", "c2").join(equal, ["c1", "c2"]).filter("doc <> first").select("doc", F.col("first").alias("hub")).distinct()
-    copies = stored(copies, "copies")
-    unlike = sketched.join(copies.select("doc").distinct(), "doc", "left_anti")
-    buckets = unlike.select("doc", F.explode("bands").alias("band")).distinct()
+    buckets = sketched.select(F.col("node").alias("doc"), F.explode("bands").alias("band")).distinct()
     shared = buckets.groupBy("band").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = stored(buckets.join(shared, "band"), "members")
-    sets = rows.join(members.select("doc").distinct().hint("shuffle_hash"), "doc")
-    sets = stored(shingle_sets(sets, size).groupBy("doc").agg(F.flatten(F.collect_list("elements")).alias("elements"))
-                  .withColumn("elements", F.array_sort(F.array_distinct("elements"))), "shingles")
+    one = sketched.groupBy("node").agg(F.min(F.struct("doc", "key")).alias("one")).select("node", "one.doc", "one.key")
+    taking = one.join(members.select(F.col("doc").alias("node")).distinct(), "node")
+    texts = rows.join(taking.hint("shuffle_hash"), ["doc", "key"]).select(F.col("node").alias("doc"), "text")
+    sets = stored(shingle_sets(texts, size).groupBy("doc").agg(F.first("elements").alias("elements")), "shingles")
     tried = stored(members.filter("doc <> hub").select("doc", "hub").distinct(), "pairs")
     links = stored(similar(tried, sets, threshold), "links")
     labels = components(links)
@@ -302,7 +302,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
              .select("doc", "hub").distinct().join(tried, ["doc", "hub"], "left_anti"))
     crossing = stored(similar(pairs, sets, threshold).unionByName(cross_links(still.filter(F.col("n") > SMALL_BUCKET), sets, threshold)), "links")
     labels = components(links.unionByName(crossing), labels)
-    named = copies.select("doc", "hub").unionByName(rows.select("doc", F.col("doc").alias("hub"))).groupBy("doc").agg(F.min("hub").alias("hub"))
-    classes = named.join(labels.select(F.col("doc").alias("hub"), "label"), "hub", "left")
-    return classes.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), F.coalesce("label", "hub").alias("class")).select(
-        "doc_id", F.when(F.col("class") != NULL_ID, F.col("class")).alias("class_id"))
+    held = sketched.select("doc", "key", "node").distinct()
+    return stored(held.join(labels.select(F.col("doc").alias("node"), "label"), "node", "left").select("doc", "key", F.coalesce("label", "node").alias("label")), "groups")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 20, each: int = 6,
+                    id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, class_id``: one row per id, with the smallest id of its group of near duplicates.
+
+    Two texts are linked if the weighted Jaccard similarity of their shingles of ``size`` words is at least ``threshold``
+    (``text_groups``), two ids if any of their texts are; groups are the connected
+    components. A link of similarity s is found with probability ``1 - (1 - s**each)**bands``.
+
+    A text of fewer words than a shingle is one shingle. Texts without words (null, empty) are linked to nothing. Rows that
+    share an id (null is an id) are one document, linked by any of their texts, each with a signature and shingles of
+    its own. An empty table gives no rows. Other columns are not looked at.
+    """
+    held = text_groups(docs, threshold, size, bands, each, id_column, text_column).select("doc", "label")
+    several = held.groupBy("doc").agg(F.min("label").alias("hub"), F.max("label").alias("high")).filter("hub <> high").drop("high")
+    ties = held.join(several, "doc").filter("label <> hub").select(F.col("label").alias("doc"), "hub").distinct()
+    whole = components(stored(ties, "ties")).select(F.col("doc").alias("label"), F.col("label").alias("whole"))
+    held = held.join(whole, "label", "left").select("doc", F.coalesce("whole", "label").alias("label"))
+    least = held.groupBy("label").agg(F.min("doc").alias("class"), F.max("doc").alias("last")).filter("class <> last").drop("last")
+    own = _keyed(docs, id_column, text_column).select("doc", F.col("doc").alias("class"))
+    classes = own.unionByName(held.join(least, "label").select("doc", "class")).groupBy("doc").agg(F.min("class").alias("class"))
+    return classes.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), F.when(F.col("class") != NULL_ID, F.col("class")).alias("class_id"))

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 from llm.frames import edge_docs, edge_rows
-from llm.test_text import plain_groups
+from llm.test_text import plain_groups, repeated_ids
 from llm.test_tokens import BYTE, library
 from pyspark.sql import functions as F
 
@@ -43,6 +43,18 @@ def test_stages_on_edges(spark):
         assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_different_texts_of_null_and_repeated_ids_stay(spark):
+    """One row of each group of texts; the ids decide only which row that is."""
+    rows = repeated_ids()
+    groups = plain_groups([(i, r[1]) for i, r in enumerate(rows)])
+    want = {}
+    for i, r in enumerate(rows):
+        want.setdefault(groups[i], []).append((r[0] is not None, r[0] or 0, r[1]))
+    got = collections.Counter((r["doc_id"], r["text"]) for r in pipeline.deduplicate(spark, edge_docs(spark, rows).select(*COLUMNS), "").collect())
+    assert got == collections.Counter((rank[1] if rank[0] else None, rank[2]) for rank in map(min, want.values()))
+    assert [i for i, _ in got].count(None) == 3 and [i for i, _ in got].count(31) == 2
+
+
 def test_run_packs_what_the_stages_keep(spark, monkeypatch):
     """Row by row: the packed pieces of run() against the library on the mixed documents."""
     sf = "/root/testdata/sf0.001"

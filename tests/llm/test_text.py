@@ -92,6 +92,25 @@ def test_near_duplicates(spark):
     assert near_duplicates(edge_docs(spark).limit(0)).count() == 0
 
 
+def repeated_ids():
+    """Rows with null and repeated ids: near copies of one of several texts, different texts, equal rows, texts whose union is like another's."""
+    rng = random.Random(21)
+    a, b, c, d, e, f, half, rest = (words(rng, 60, 5000).split() for _ in range(8))
+
+    def near(text):
+        return text[:30] + ["changed"] + text[31:]
+
+    texts = [(None, a), (None, b), (None, c), (1, near(a)), (20, d), (20, e), (21, near(e)), (5, d), (30, f), (30, f), (31, half), (31, rest), (32, half + rest), (33, near(f)), (40, near(near(d)))]
+    return [(i, " ".join(t), "xx", "a") for i, t in texts]
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rows = repeated_ids()
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(edge_docs(spark, rows)).collect()}
+    assert got == plain_groups(rows)
+    assert got[1] is None and got[20] == got[21] == got[40] == 5 and got[32] == 32 and got[31] == 31
+
+
 def test_signatures_estimate_weighted_similarity():
     import pyarrow as pa
 
