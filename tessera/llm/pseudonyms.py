@@ -32,11 +32,20 @@ SHAPES = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z-])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9A-Za-z/-])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9A-SU-Za-z/-]|T(?![0-9]))",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:"
+             r"\+1[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|"
+             r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,5}\)[ .-]?[0-9]{1,8}|[ .-][0-9]{1,8})(?:[ .-][0-9]{1,8}){0,11}(?![0-9A-Za-z]|[.:/-][0-9])|"
+             r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|"
+             r"\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9A-Za-z])|\+[0-9]{8,15}(?![0-9A-Za-z]))",
 }
 NUMBER = [(kind, re.compile(shape)) for kind, shape in SHAPES.items()]
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {country: int(n) for n, countries in (held.split(":") for held in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,DZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA "
+    "30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for country in countries.split(",")}
 DIGIT_RUN = re.compile("[0-9]+")
 HEX_RUN = re.compile("(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])")
 CREDENTIAL = re.compile(r"(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?$", re.IGNORECASE)
@@ -221,6 +230,22 @@ def _named(text: str) -> Iterator[tuple[str, int, int]]:
             yield "secret", *run.span()
 
 
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a value of the shape found at ``start`` to ``end`` may end, best first: shapes also take words or numbers that follow."""
+    if kind == "iban":
+        stops = [i for i in range(end, start, -1) if i == end or text[i] == " "]
+        length = IBAN_LENGTH.get(text[start:start + 2])
+        fit = [i for i in stops if i - start - text.count(" ", start, i) == length]
+        return [*fit, end] if length else stops
+    if kind == "phone" and text[start] == "+":
+        stops = [i for i in range(end, start, -1) if i == end or text[i] in " .-" and text[i - 1] in DIGITS]
+        for run in DIGIT_RUN.finditer(text, start + 1, end):
+            if any((match := shape.match(text, run.start())) and KINDS[other](match.group(), b"", False) for other, shape in NUMBER if other in ("ip", "card", "date", "ssn")):
+                return [i for i in stops if i < run.start()] + [i for i in stops if i >= run.start()]
+        return stops
+    return [end]
+
+
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """Text with pseudonyms, and kind and span (characters of the input) of each value."""
     spans: list[tuple[str, int, int, str]] = []
@@ -239,10 +264,12 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
         begin -= text[max(0, begin - 1):begin] == "+"
         for kind, shape in NUMBER:
             match = shape.match(text, max(0, start - 2) if kind == "iban" else begin)
-            new = pseudonym(kind, match.group(), key, back) if match and match.end() <= held[1] else None
-            if new is not None:
-                spans.append((kind, *match.span(), new))
-                done = match.end()
+            ends = _ends(kind, text, *match.span()) if match else []
+            found = ((end, pseudonym(kind, text[match.start():end], key, back)) for end in ends if end <= held[1])
+            done_here = next((f for f in found if f[1] is not None), None)
+            if done_here:
+                spans.append((kind, match.start(), *done_here))
+                done = done_here[0]
                 break
     spans.sort(key=lambda s: s[1])
     out, done = [], 0
@@ -255,6 +282,9 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
 def pseudonymise(docs: DataFrame, key: bytes, text_column: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text and a column ``private``: kind, start and end of each value in the input.
 
+    An IBAN ends where the length of its country says; where the country is unknown, at the last group end that passes
+    mod 97. Phone numbers have a country code (groups of 1 to 8 digits, 8 to 15 in all; numbers that follow and could belong
+    are taken too, other valid values are not) or the form 3-3-4; other national forms stay in clear, and so do times of day after a date.
     Texts without such values come back unchanged, null stays null. Numbers that fail their check (Luhn, mod
     97, ranges, calendar) stay. Rows are taken one by one and keep all columns; an input column
     ``private`` is replaced. An empty table gives no rows. Nothing is shuffled.

@@ -163,6 +163,30 @@ def test_pseudonyms_keep_format_and_invert(kind, value):
     assert [f[0] for f in found] == [kind]
 
 
+SENTENCES = [("iban", "BE68 5390 0754 7034", "pay {} EUR now"), ("iban", "BE68539007547034", "{} BIC GKCC"), ("iban", "ES91 2100 0418 4502 0005 1332", "IBAN {} BIC"),
+             ("iban", "ES91 2100 0418 4502 0005 1332", "to {} BANK AG"), ("iban", "AT61 1904 3002 3457 3201", "konto {} 100 EUR"), ("iban", "NO93 8601 1117 947", "on {} OK"),
+             ("date", "2021-03-04", "at {}T10:00:00Z."), ("phone", "+33 1 23 45 67 89", "tel. {}, merci"), ("phone", "+49 170 1234567", "ruf {} an"),
+             ("phone", "+49 30 123456", "Tel: {}."), ("phone", "212 555 0199", "call {} today"), ("phone", "+44 (0)20 7946 0958", "call {} today"),
+             ("phone", "+1 212 555 0199", "{} 4111"), ("phone", "+33 12 34 56 78 9", "au {}!")]
+
+
+@pytest.mark.parametrize("kind,value,sentence", SENTENCES)
+def test_values_inside_sentences(kind, value, sentence):
+    text = sentence.format(value)
+    new, found = replace(text, KEY)
+    at = text.index(value)
+    assert found == [(kind, at, at + len(value))]
+    assert new == sentence.format(pseudonym(kind, value, KEY)) and replace(new, KEY, True)[0] == text
+
+
+def test_phone_leaves_the_values_that_follow():
+    text = "+33 1 23 45 67 89 4111 1111 1111 1111, +33 1 23 45 67 89 2024-05-01, +33 1 23 45 67 89 10.0.255.1"
+    new, found = replace(text, KEY)
+    assert [f[0] for f in found] == ["phone", "card", "phone", "date", "phone", "ip"] and replace(new, KEY, True)[0] == text
+    assert len({text[a:b] for kind, a, b in found if kind == "phone"}) == 1
+    assert replace("2021-03-04Total 2021-03-04Tx", KEY)[1] == []
+
+
 def test_permutation_has_no_collisions():
     from tessera.llm.pseudonyms import permute, permute_number
     assert len({permute(f"{i:03d}", "0123456789", KEY, "t") for i in range(1000)}) == 1000
