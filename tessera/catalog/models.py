@@ -71,7 +71,7 @@ def _panel_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("panel_gmm", sql("SELECT panel, count(*) AS n, 1.0::double AS least, 1.0::double AS most FROM dev, (SELECT unnest(['panel_a', 'panel_b']) AS panel) GROUP BY 1", "dev"))
 def panel_gmm(spark: SparkSession, sf: str) -> DataFrame:
     long = _panel_rows(spark, sf)
-    models = fit_panels(long, "panel", "vector", {p: len(fs) for p, fs in PANELS.items()}, 4, n_init=1)
+    models = fit_panels(long, "panel", "vector", {p: len(fs) for p, fs in PANELS.items()}, 4)
     total = F.round(F.aggregate("membership", F.lit(0.0), lambda a, x: a + x), 9)
     return assign_panels(long, "panel", "vector", models).filter("cluster_id between 0 and 3").groupBy("panel").agg(
         F.count(F.lit(1)).alias("n"), F.min(total).alias("least"), F.max(total).alias("most"))
@@ -119,7 +119,7 @@ def ablation(spark: SparkSession, sf: str) -> DataFrame:
     f = F.col("f")
     variants = [Variant("A", f, k=5, dims=8), Variant("B", last_block("f", 16), k=5, dims=8),
                 Variant("C", f, keep=F.col("patch_id") != 12, k=5, dims=8, grid=GRID)]
-    return run_variants(patches(spark, sf), variants, "vec_id", "label", "patch_id", n_init=1)
+    return run_variants(patches(spark, sf), variants, "vec_id", "label", "patch_id")
 
 
 @query("variant_correlation")
@@ -130,7 +130,7 @@ def variant_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scorer(spark: SparkSession, sf: str) -> RecordScorer:
     y = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
-    return fit_scorer(lab(spark, sf), PANELS, RANGES, 3, min_ratio=0.5, n_init=1,
+    return fit_scorer(lab(spark, sf), PANELS, RANGES, 3, min_ratio=0.5,
                       outcome=y, classes=CLASSES)
 
 
@@ -148,7 +148,7 @@ def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Saved and reloaded parameters score as the fitted ones do."""
     p = patches(spark, sf)
     prep = fit_prep(p, "f", 8)
-    mix = fit_mixture(p.select(prep.apply("f").alias("x")), "x", 4, n_init=1)
+    mix = fit_mixture(p.select(prep.apply("f").alias("x")), "x", 4)
     path = _scratch(spark)
     save_mixture(spark, path, prep, mix)
     prep2, mix2 = load_mixture(spark, path)

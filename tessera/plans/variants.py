@@ -33,7 +33,7 @@ def run_variant(df: DataFrame, v: Variant, row_id: str, label: str, patch: str |
                 max_iter: int = 200, seed: int = 42) -> DataFrame:
     """Cluster one variant and measure it; one row of metrics.
 
-    The assignment is computed once and kept for the four metrics.
+    The assignment is computed once and kept for the four metrics. ``converged`` tells whether the mixture's bound settled.
     """
     rows = df if v.keep is None else df.filter(v.keep)
     rows = rows.withColumn("_vec", v.vector)
@@ -53,9 +53,9 @@ def run_variant(df: DataFrame, v: Variant, row_id: str, label: str, patch: str |
     finally:
         assigned.unpersist()
     order = ["silhouette", "class_purity", "nmi", "intra_mean", "inter_mean", "intra_inter_ratio"]
-    row = (v.name, *[round(float(values[m]), 4) for m in order], int(values["n_patches"]), v.k)
+    row = (v.name, *[round(float(values[m]), 4) for m in order], int(values["n_patches"]), v.k, bool(mix.converged))
     return df.sparkSession.createDataFrame([row], ", ".join(
-        ["variant string", *[f"{m} double" for m in order], "n_patches long", "n_clusters int"]))
+        ["variant string", *[f"{m} double" for m in order], "n_patches long", "n_clusters int", "converged boolean"]))
 
 
 def run_variants(df: DataFrame, variants: Sequence[Variant], row_id: str, label: str,
@@ -69,10 +69,11 @@ def run_variants(df: DataFrame, variants: Sequence[Variant], row_id: str, label:
 
 
 def k_sweep(df: DataFrame, vec: str, row_id: str, ks: Sequence[int], *, sample: int | None = None,
-            n_init: int = 1, seed: int = 42) -> DataFrame:
+            n_init: int = 10, seed: int = 42) -> DataFrame:
     """Cost and silhouette (of all rows or a seeded sample) for each number of clusters, with a quality band.
 
-    ``best`` marks the first ``k`` with the highest silhouette.
+    Each ``k`` has the lowest cost over ``n_init`` seeds; ``converged`` tells whether that fit settled before its last
+    iteration. ``best`` marks the first ``k`` with the highest silhouette.
     """
     data = df.select(row_id, F.col(vec).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     drawn = (data if sample is None else seeded_sample(data, row_id, sample, seed)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -84,11 +85,12 @@ def k_sweep(df: DataFrame, vec: str, row_id: str, ks: Sequence[int], *, sample:
             several = labelled.select("cluster_id").distinct().count() > 1
             sil = silhouette(labelled, "cluster_id", "x", row_id).first()[0] if several else -1.0
             rows.append((k, float(model.summary.trainingCost), float(sil),
-                         "good" if sil > 0.25 else "fair" if sil > 0.15 else "weak"))
+                         "good" if sil > 0.25 else "fair" if sil > 0.15 else "weak",
+                         bool(model.summary.numIter < model.getMaxIter())))
     finally:
         data.unpersist()
         drawn.unpersist()
     top = max(r[2] for r in rows)
     best = next(r[0] for r in rows if r[2] == top)
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows],
-                                           "k int, inertia double, silhouette double, quality string, best boolean")
+                                           "k int, inertia double, silhouette double, quality string, converged boolean, best boolean")
