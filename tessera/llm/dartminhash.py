@@ -321,8 +321,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     held = text_groups(docs, threshold, size, bands, each, id_column, text_column).select("doc", "label")
     several = held.groupBy("doc").agg(F.min("label").alias("hub"), F.max("label").alias("high")).filter("hub <> high").drop("high")
     ties = held.join(several, "doc").filter("label <> hub").select(F.col("label").alias("doc"), "hub").distinct()
-    whole = components(stored(ties, "ties")).select(F.col("doc").alias("label"), F.col("label").alias("whole"))
-    held = held.join(whole, "label", "left").select("doc", F.coalesce("whole", "label").alias("label"))
+    ties = stored(ties, "ties")
+    if not ties.isEmpty():
+        whole = components(ties).select(F.col("doc").alias("label"), F.col("label").alias("whole"))
+        held = held.join(whole, "label", "left").select("doc", F.coalesce("whole", "label").alias("label"))
     least = held.groupBy("label").agg(F.min("doc").alias("class"), F.max("doc").alias("last")).filter("class <> last").drop("last")
     own = _keyed(docs, id_column, text_column).select("doc", F.col("doc").alias("class"))
     classes = own.unionByName(held.join(least, "label").select("doc", "class")).groupBy("doc").agg(F.min("class").alias("class"))
