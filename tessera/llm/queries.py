@@ -14,6 +14,7 @@ from tessera.llm.hamming import hamming_search
 from tessera.llm.langid import identify_languages
 from tessera.llm.mixture import mix_sources
 from tessera.llm.packing import pack_documents
+from tessera.llm.periods import periodic_runs, repeating, run_digests
 from tessera.llm.pseudonyms import pseudonymise
 from tessera.llm.substrings import remove_repeats
 from tessera.llm.tokencount import count_tokens
@@ -151,3 +152,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.0, max_repeat=3)
     return mixed.select("doc_id", "size", "source_size", "target", F.col("taken"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(repeating(table(spark, sf_dir, "documents")), least=6, exponent=4))
