@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.alignment import align_tokens
 from tessera.llm.blockmax import exact_top_k, multiples
 from tessera.llm.dartminhash import near_duplicates
 from tessera.llm.frames import read_frames, write_frames
+from tessera.llm.gridorder import near_vectors
 from tessera.llm.hamming import hamming_search
 from tessera.llm.langid import identify_languages
 from tessera.llm.mixture import mix_sources
@@ -154,6 +156,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", F.col("taken"))
 
 
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op12_grid_order_join", """
+    with recursive ok as (
+        select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    pairs as materialized (
+        select a.vec_id a, b.vec_id b from ok a join ok b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.95),
+    walk as (select distinct a start, a here from pairs union select w.start, p.b from walk w join pairs p on w.here = p.a),
+    least as (select start, min(here) component_id from walk group by start),
+    counts as (select a, count(*) n_links from pairs group by a)
+    select e.vec_id, cast(coalesce(n_links, 0) as bigint) n_links, coalesce(component_id, e.vec_id) component_id, e.vec_id = coalesce(component_id, e.vec_id) kept
+    from embeddings e left join counts on e.vec_id = counts.a left join least on e.vec_id = least.start""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(repeating(table(spark, sf_dir, "documents")), least=6, exponent=4))
