@@ -17,6 +17,7 @@ def plain(rows, threshold):
     for size in {len(rows[i][1]) for i in good}:
         at = [i for i in good if len(rows[i][1]) == size]
         x = np.array([rows[i][1] for i in at])
+        x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         for a, b in np.argwhere(x @ x.T >= threshold):
             if a != b:
