@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_buffer, cut, kept_by_worker, ranges, slices, stored
+from tessera.llm.common import byte_buffer, cut, kept_by_worker, mix, ranges, slices, stored
 from tessera.llm.linking import join_unique
 from tessera.llm.tokencount import _byte_symbols
 from tessera.llm.tokens import Seen
@@ -34,7 +34,7 @@ from tessera.llm.tokens import Seen
 PART_BYTES = 4 << 20
 #: What a worker remembers: distinct chunks and windows, ids of chunks, bytes of aligned windows. Beyond, it starts anew.
 CACHE_ITEMS, CACHE_IDS, CACHE_BYTES = 1_000_000, 8_000_000, 64 << 20
-ENCODE_AT_ONCE = 10_000
+ENCODE_AT_ONCE, JOINED = 20_000, 500
 SPACE = 0x20
 
 
@@ -76,6 +76,7 @@ class ByteLevel:
             self.pieces[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
 
     def encode(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of each text; a text may be several chunks end to end."""
         return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
 
 
@@ -92,6 +93,7 @@ class Pieces:
         self.space = self.model.piece_to_id("▁")
 
     def encode(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of each text; a text may be several chunks end to end."""
         found = self.model.encode([c[1:].decode("utf-8", "replace") for c in chunks], num_threads=1)
         return [ids if ids else [self.space] for ids in found]
 
@@ -130,28 +132,78 @@ class Side:
     def __init__(self, tokenizer: ByteLevel | Pieces):
         self.tokenizer = tokenizer
         self.sizes = np.array([len(p) for p in tokenizer.pieces], np.int64)
+        self.spelling = np.frombuffer(b"".join(tokenizer.pieces), np.uint8)
+        self.spelling_at = np.cumsum(self.sizes) - self.sizes
         self.spaced = np.array([p[:1] == b" " for p in tokenizer.pieces])
+        digits = [str(i).encode() for i in range(len(self.sizes))]
+        self.digits, self.digit_counts = np.frombuffer(b"".join(digits), np.uint8), np.array(list(map(len, digits)), np.int64)
+        self.digits_at = np.cumsum(self.digit_counts) - self.digit_counts
         self._forget()
 
     def _forget(self) -> None:
         self.held = Remembered({"ids": np.int32, "same": np.bool_})
 
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of all ids, end to end."""
+        return self.spelling[ranges(self.spelling_at[ids], self.sizes[ids])]
+
     def tokens(self, chunks: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all chunks end to end, their number by chunk, and whether the ids spell the chunk."""
         if len(self.held.seen.row) > CACHE_ITEMS or self.held.size > 4 * CACHE_IDS:
             self._forget()
         rows, new = self.held.rows(chunks)
         for at in range(0, len(new), ENCODE_AT_ONCE):
-            batch = [chunks[i] for i in new[at:at + ENCODE_AT_ONCE]]
-            found = self.tokenizer.encode(batch)
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            self.held.add("ids", np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts.sum())), counts)
-            spelt = [b"".join(map(self.tokenizer.pieces.__getitem__, ids)) == c for ids, c in zip(found, batch)]
-            self.held.add("same", np.array(spelt, bool), np.ones(len(batch), np.int64))
+            ids, counts, same = self._encode([chunks[i] for i in new[at:at + ENCODE_AT_ONCE]])
+            self.held.add("ids", ids, counts)
+            self.held.add("same", same, np.ones(len(counts), np.int64))
         flat, starts, counts = self.held.column("ids")
         at = rows[codes]
         return gathered(flat, starts, counts, at), counts[at], self.held.column("same")[0][at]
 
+    def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids end to end, number and whether they spell it, of each chunk.
+
+        Chunks go to the library many at a time, as one text, since no token crosses the start of one that follows a visible
+        character; the ids are cut where chunks end. Where the library spells a joined text otherwise, its chunks go one by one.
+        """
+        safe = [0x20 < c[-1] < 0x7F for c in chunks]
+        texts, members, open_ = [], [], False
+        for i, chunk in enumerate(chunks):
+            if open_ and len(members[-1]) < JOINED:
+                members[-1].append(i)
+            else:
+                members.append([i])
+            open_ = safe[i]
+        texts = [b"".join([chunks[i] for i in m]) for m in members]
+        found = self.tokenizer.encode(texts)
+        again = [len(m) > 1 and b"".join(map(self.tokenizer.pieces.__getitem__, ids)) != t for m, ids, t in zip(members, found, texts)]
+        if any(again):
+            single = [i for m, bad in zip(members, again) if bad for i in m]
+            by_one = iter(self.tokenizer.encode([chunks[i] for i in single]))
+            found = [ids for m, old, bad in zip(members, found, again) for ids in ([next(by_one) for _ in m] if bad else [old])]
+            members = [part for m, bad in zip(members, again) for part in ([[i] for i in m] if bad else [m])]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts.sum()))
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        alone = np.fromiter((len(m) == 1 for m in members), bool, len(members))
+        first = np.fromiter((m[0] for m in members), np.int64, len(members))
+        # by joined text: tokens up to the end of each chunk
+        ends = np.cumsum(self.sizes[ids])
+        start = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
+        owner = np.repeat(np.arange(len(members)), np.fromiter(map(len, members), np.int64, len(members)))
+        chunk_ends = np.cumsum(sizes) - (np.cumsum(sizes) - sizes)[first][owner] + start[owner]
+        upto = np.searchsorted(ends, chunk_ends, side="right")
+        upto[first[alone]] = np.cumsum(counts)[alone]  # a text of its own has all its ids, whatever they spell
+        held = np.diff(upto, prepend=0)
+        spelt = np.add.reduceat(self.sizes[ids], np.minimum(upto - held, max(0, len(ids) - 1))) if len(ids) else np.zeros(len(chunks), np.int64)
+        same = (spelt == sizes) & (held > 0)
+        stay = np.repeat(same, held)
+        equal = np.frombuffer(b"".join([c for c, s in zip(chunks, same.tolist()) if s]), np.uint8) == self.spell(ids[stay])
+        if len(equal):
+            at = np.flatnonzero(same)
+            same[at] = np.logical_and.reduceat(equal, np.cumsum(sizes[at]) - sizes[at])
+        return ids, held, same
+
 
 class Aligner:
     """Both tokenizers and the alignments of windows that this worker has met."""
@@ -203,18 +255,13 @@ class Aligner:
         if len(self.windows.seen.row) > CACHE_ITEMS or self.windows.size > CACHE_BYTES:
             self._forget()
         n_a, n_b = np.diff(a_bounds), np.diff(b_bounds)
-        room = n_a + n_b + 1  # a tuple's ids, a mark, the other's ids
-        ends = np.cumsum(room)
-        keys = np.full(int(ends[-1]) if len(ends) else 0, -1, "<i4")
-        keys[ranges(ends - room, n_a)] = a_ids
-        keys[ranges(ends - n_b, n_b)] = b_ids
-        distinct, codes = cut(keys.view(np.uint8), (ends - room) * 4)
-        rows, new = self.windows.rows(distinct)
+        if len(n_a) == 0:
+            return n_a
+        names = [tuple_hash(a_ids, n_a, 2 * seed) + tuple_hash(b_ids, n_b, 2 * seed + 1) for seed in range(2)]
+        rows, new = self.windows.seen.places(*names)
         if len(new):
-            order = np.argsort(codes, kind="stable")
-            some = order[np.searchsorted(codes[order], new)]  # one window of each new kind
-            self._align(a_ids[ranges(a_bounds[some], n_a[some])], n_a[some], b_ids[ranges(b_bounds[some], n_b[some])], n_b[some])
-        return rows[codes]
+            self._align(a_ids[ranges(a_bounds[new], n_a[new])], n_a[new], b_ids[ranges(b_bounds[new], n_b[new])], n_b[new])
+        return rows
 
     def _align(self, a_ids: np.ndarray, n_a: np.ndarray, b_ids: np.ndarray, n_b: np.ndarray) -> None:
         """Groups and links of windows."""
@@ -243,23 +290,40 @@ class Aligner:
         new[1:] = (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])
         heads = np.flatnonzero(new)
         held = np.bincount(owner[heads], minlength=count)
-        texts = self._texts(a_ids, a_group, b_ids, b_group, of_group, count)
+        text, text_counts = self._texts(a_ids, a_group, b_ids, b_group, of_group, count)
         ones = np.ones(count, np.int64)
         for column, flat, counts in (("pairs", pair[heads], held), ("times", np.add.reduceat(times, heads), held), ("groups", groups, ones),
-                                     ("links", per_window, ones), ("text", np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, count))):
+                                     ("links", per_window, ones), ("text", text, text_counts)):
             self.windows.add(column, flat, counts)
 
-    @staticmethod
-    def _texts(a_ids: np.ndarray, a_group: np.ndarray, b_ids: np.ndarray, b_group: np.ndarray, of_group: np.ndarray, count: int) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` of each window."""
-        sides = []
-        for ids, group in ((a_ids, a_group), (b_ids, b_group)):
-            bounds = np.searchsorted(group, np.arange(len(of_group) + 1)).tolist()
-            names = list(map(str, ids.tolist()))
-            sides.append([",".join(names[i:j]) for i, j in zip(bounds, bounds[1:])])
-        both = [f"{a}|{b}" for a, b in zip(*sides)]
-        bounds = np.searchsorted(of_group, np.arange(count + 1)).tolist()
-        return [";".join(both[i:j]).encode() for i, j in zip(bounds, bounds[1:])]
+    def _texts(self, a_ids: np.ndarray, a_group: np.ndarray, b_ids: np.ndarray, b_group: np.ndarray, of_group: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """``a1,a2|b1;a3|b2,b3;`` of the windows end to end, and the bytes of each.
+
+        Every id is written with the sign that follows it: a comma within its side of the group, else a bar after A's side and a semicolon after B's.
+        """
+        group = np.concatenate([a_group, b_group])
+        order = np.argsort(group, kind="stable")  # within a group A's ids come first
+        sizes = np.concatenate([self.a.digit_counts[a_ids], self.b.digit_counts[b_ids]])[order] + 1
+        starts = np.concatenate([self.a.digits_at[a_ids], self.b.digits_at[b_ids] + len(self.a.digits)])[order]
+        sign = np.full(len(group), ord(","), np.uint8)
+        sign[np.searchsorted(a_group, np.arange(len(of_group)), side="right") - 1] = ord("|")
+        sign[len(a_group) + np.searchsorted(b_group, np.arange(len(of_group)), side="right") - 1] = ord(";")
+        digits = np.concatenate([self.a.digits, self.b.digits, [0]])
+        out = digits[ranges(starts, sizes)].astype(np.uint8)  # one byte too many for each id, where its sign goes
+        out[np.cumsum(sizes) - 1] = sign[order]
+        return out, np.bincount(of_group[group[order]], weights=sizes, minlength=count).astype(np.int64)
+
+
+def tuple_hash(ids: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash of each run of ids and their places."""
+    if len(ids) == 0:
+        return np.zeros(len(counts), np.uint64)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+    mixed = mix(mix(ids.astype(np.uint64) + np.uint64(1), place.astype(np.uint64)), np.full(len(ids), seed + 1, np.uint64))
+    total = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(mixed, out=total[1:])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 def counted(group: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,12 +347,12 @@ class Aligned:
     def texts(self) -> Iterator[bytes]:
         """Groups of each document as text; empty without tokens."""
         flat, starts, counts = self.windows.column("text")
-        used, codes = np.unique(self.rows, return_inverse=True)
-        data = flat.tobytes()
-        names = [data[i:i + n] for i, n in zip(starts[used].tolist(), counts[used].tolist())]
-        codes = codes.tolist()
-        for i, j in zip(self.bounds.tolist(), self.bounds[1:].tolist()):
-            yield b";".join([names[c] for c in codes[i:j]])
+        data = gathered(flat, starts, counts, self.rows).tobytes()
+        ends = np.zeros(len(self.rows) + 1, np.int64)
+        np.cumsum(counts[self.rows], out=ends[1:])
+        places = ends[self.bounds].tolist()
+        for i, j in zip(places, places[1:]):
+            yield data[i:max(i, j - 1)]  # without the last semicolon
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, pair and number of links, distinct, by document."""
@@ -296,7 +360,9 @@ class Aligned:
         pair = gathered(flat, starts, counts, self.rows)
         times = gathered(self.windows.column("times")[0], starts, counts, self.rows)
         doc = np.repeat(np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds)), counts[self.rows])
-        order = np.lexsort((pair, doc))
+        # pairs by number in the slice, so that document and pair fit one sorted key
+        distinct, number = np.unique(pair, return_inverse=True)
+        order = np.argsort(doc * max(1, len(distinct)) + number, kind="stable")
         doc, pair, times = doc[order], pair[order], times[order]
         new = np.ones(len(pair), bool)
         new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])

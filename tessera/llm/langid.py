@@ -12,107 +12,186 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, kept_by_worker, ranges, slices
-from tessera.llm.tokens import Seen
+from tessera.llm.common import byte_buffer, kept_by_worker, slices
 
-#: Distinct words a worker remembers, and cells of the documents x n-grams count matrix.
-CACHE_WORDS, CELLS = 500_000, 1 << 21
+#: Bits of a code point, and what stands for any character that is no letter.
+BITS, OUTSIDE = 21, 1
+#: Letters with a place in the direct table, n-grams a worker numbers before it starts anew, cells of a count matrix.
+DIRECT, KNOWN_GRAMS, CELLS = 128, 400_000, 1 << 22
 #: Bytes of text that are looked at together; an n-gram takes a few dozen bytes for each of them.
-PART_BYTES, WORDS_AT_ONCE = 2 << 20, 20_000
+PART_BYTES = 1 << 20
+
+
+def _lower(point: int) -> int:
+    """Lower case of a character, alone; its first character where there are several."""
+    return ord(chr(point).lower()[0])
+
+
+def gram_code(gram: str) -> int:
+    """Number of an n-gram of 1 to 3 characters, ``_`` for what is no letter."""
+    code = 0
+    for c in gram:
+        code = code << BITS | (OUTSIDE if c == "_" else ord(c))
+    return code
 
 
 class Grams:
-    """Letter n-grams (1 to ``longest``, runs padded with ``_``) of the words a worker has met."""
+    """Letter n-grams (1 to ``longest``) of the texts a worker has met, as numbers.
 
-    def __init__(self, longest: int):
-        import regex
+    Characters are lower-cased one by one; whatever is no letter is one mark, at the ends of a text too. An n-gram holds
+    a letter, a 3-gram has one in the middle. Its code is the code points side by side. Letters get small
+    numbers as they are met; n-grams of the first ``DIRECT`` letters are looked up in a table, those with other
+    letters (of large alphabets) by sorting their codes.
+    """
 
-        self.longest, self.letters = longest, regex.compile(r"\p{L}+")
+    def __init__(self, longest: int):
+        if not 1 <= longest <= 3:
+            raise ValueError("n-grams have 1 to 3 characters")
+        self.longest = longest
+        self.lower = np.zeros(0x110000, np.int32)  # 0: not met yet; OUTSIDE: no letter
         self._forget()
 
     @classmethod
     def of(cls, longest: int) -> Grams:
         grams = kept_by_worker(("grams", longest), lambda: cls(longest))
-        if len(grams.counts) > CACHE_WORDS:
+        if len(grams.codes) > KNOWN_GRAMS:
             grams._forget()
         return grams
 
     def _forget(self) -> None:
-        self.seen = Seen()
-        self.ids: dict[str, int] = {}
-        self.names: list[str] = []
-        self.order = np.zeros(0, np.int64)  # ranks n-grams of equal count alike in every worker
-        self.pool = np.zeros(0, np.int32)
-        self.counts = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-
-    def _of_word(self, word: str) -> list[int]:
-        out = []
-        for run in self.letters.findall(word):
-            padded = f"_{run}_"
-            for n in range(1, self.longest + 1):
-                for gram in [padded[i:i + n] for i in range(len(padded) - n + 1)] if n > 1 else run:
-                    out.append(self.ids.setdefault(gram, len(self.ids)))
-        return out
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """Row of each word in ``starts`` and ``counts``."""
-        rows, new = self.seen.rows(words)
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            found = [self._of_word(words[i].decode("utf-8", "replace").lower()) for i in new[at:at + WORDS_AT_ONCE]]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((g for f in found for g in f), np.int32, int(counts.sum()))
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
-            self.pool, self.counts = np.concatenate([self.pool, flat]), np.concatenate([self.counts, counts])
-            fresh = list(self.ids)[len(self.names):]
-            self.names.extend(fresh)
-            self.order = np.concatenate([self.order, np.fromiter((xxhash.xxh32_intdigest(g) for g in fresh), np.int64, len(fresh))])
-        return rows
+        self.codes = np.zeros(0, np.int64)
+        self.small = np.zeros(0x110000, np.int16)  # 0: none; letters from 2 on
+        self.small[OUTSIDE] = 1
+        self.letters = 2
+        self.direct = np.full(DIRECT ** 3, -1, np.int32)
+        self.others: dict[int, int] = {}
+
+    def _points(self, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower-cased letters of all texts, a mark before and after each, and where each text begins (rows + 1)."""
+        data, offsets = byte_buffer(column)
+        try:
+            points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            before = np.zeros(len(data) + 1, np.int64)
+            np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+            bounds = before[offsets]
+        except UnicodeDecodeError:
+            texts = [data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(offsets.tolist(), offsets[1:].tolist())]
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        new = np.flatnonzero(np.bincount(points[self.lower[points] == 0])) if len(points) else []
+        for point in new:
+            low = _lower(int(point))
+            self.lower[point] = low if chr(low).isalpha() and chr(int(point)).isalpha() else OUTSIDE
+        return np.insert(self.lower[points], bounds, OUTSIDE), bounds + np.arange(len(bounds))
+
+    def of_texts(self, column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of every n-gram of the texts, end to end, and the text that holds it."""
+        points, bounds = self._points(column)
+        new = np.flatnonzero(np.bincount(points[self.small[points] == 0]))
+        take = new[:max(0, DIRECT - self.letters)]
+        self.small[take] = np.arange(self.letters, self.letters + len(take))
+        self.letters += len(take)
+        small, letter = self.small[points].astype(np.int32), points != OUTSIDE
+        owner = np.repeat(np.arange(len(bounds)), np.diff(np.append(bounds, len(points))))
+        numbers, owners = [], []
+        for n in range(1, self.longest + 1):
+            size = max(0, len(points) - n + 1)
+            if n == 1:
+                held = np.flatnonzero(letter)
+            elif n == 2:
+                held = np.flatnonzero(letter[:-1] | letter[1:])
+            else:
+                held = np.flatnonzero(letter[1:-1])
+            held = held[held < size]
+            index = small[held]
+            rare = index == 0
+            for i in range(1, n):
+                step = small[held + i]
+                rare |= step == 0
+                index = index * DIRECT + step
+            number = np.empty(len(held), np.int32)
+            near = np.flatnonzero(~rare) if rare.any() else slice(None)
+            number[near] = self._direct(index[near], n)
+            if rare.any():
+                at = held[rare]
+                code = points[at].astype(np.int64)
+                for i in range(1, n):
+                    code = code << BITS | points[at + i]
+                number[rare] = self._sorted(code)
+            numbers.append(number)
+            owners.append(owner[held])  # the mark before a text belongs to it
+        return np.concatenate(numbers), np.concatenate(owners)
+
+    def _direct(self, index: np.ndarray, n: int) -> np.ndarray:
+        """Numbers of n-grams of letters with small numbers; an index of fewer letters has zeros in front."""
+        found = self.direct[index]
+        new = np.flatnonzero(np.bincount(index[found < 0])) if (found < 0).any() else np.zeros(0, np.int64)
+        if len(new):
+            point = np.zeros(DIRECT, np.int64)
+            held = np.flatnonzero(self.small)
+            point[self.small[held]] = held
+            code = np.zeros(len(new), np.int64)
+            for i in reversed(range(n)):
+                code = code << BITS | point[new // DIRECT ** i % DIRECT]
+            self.direct[new] = self._number(code)
+            found = self.direct[index]
+        return found
+
+    def _sorted(self, code: np.ndarray) -> np.ndarray:
+        distinct, back = np.unique(code, return_inverse=True)
+        known = np.array([self.others.get(c, -1) for c in distinct.tolist()], np.int64)
+        new = known < 0
+        known[new] = self._number(distinct[new])
+        self.others.update(zip(distinct[new].tolist(), known[new].tolist()))
+        return known[back]
+
+    def _number(self, code: np.ndarray) -> np.ndarray:
+        first = len(self.codes)
+        self.codes = np.concatenate([self.codes, code])
+        return np.arange(first, len(self.codes))
 
 
 def gram_counts(docs: DataFrame, longest: int) -> DataFrame:
-    """``lang, gram, n`` over the whole texts of ``docs`` (``lang, text``)."""
+    """``lang, gram, n`` over the whole texts of ``docs`` (``lang, text``); n-grams by their code."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, dict[str, int]] = {}
+        sums: dict[str, np.ndarray] = {}
+        codes = np.zeros(0, np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, by_gram in sums.items():
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(by_gram), "gram": list(by_gram), "n": pa.array(by_gram.values(), pa.int64())})
+            for lang, total in sums.items():
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(used), "gram": codes[used], "n": total[used]})
             sums.clear()
 
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
-                grams, words = Grams.of(longest), Words(part["text"])
-                rows = grams.rows(words.distinct)
-                starts, counts = grams.starts[rows], grams.counts[rows]
+                grams = Grams.of(longest)
+                if len(grams.codes) < len(codes):  # numbers begin anew
+                    yield from flush()
+                number, owner = grams.of_texts(part["text"])
+                codes, width = grams.codes, len(grams.codes)
                 langs = part["lang"].combine_chunks().dictionary_encode()
                 langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
-                owner = np.repeat(langs.indices.to_numpy(), np.diff(words.bounds))
-                for code, lang in enumerate(langs.dictionary.to_pylist()):
-                    times = np.bincount(words.codes[owner == code], minlength=len(rows))
-                    used = np.flatnonzero(times)
-                    each = np.bincount(grams.pool[ranges(starts[used], counts[used])], weights=np.repeat(times[used], counts[used]))
-                    total = sums.setdefault(lang, {})
-                    for i in np.flatnonzero(each).tolist():
-                        gram = grams.names[i]
-                        total[gram] = total.get(gram, 0) + int(each[i])
-            if sum(map(len, sums.values())) > 1_000_000:
-                yield from flush()
+                code = langs.indices.to_numpy()[owner]
+                for i, lang in enumerate(langs.dictionary.to_pylist()):
+                    total = np.bincount(number[code == i], minlength=width)
+                    old = sums.get(lang, np.zeros(0, np.int64))
+                    total[:len(old)] += old
+                    sums[lang] = total
         yield from flush()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn_profiles(docs: DataFrame, size: int = 400, longest: int = 3) -> dict[str, list[str]]:
-    """The ``size`` most frequent n-grams of each language by falling count; ``docs`` has ``lang`` (not null) and ``text``."""
+def learn_profiles(docs: DataFrame, size: int = 400, longest: int = 3) -> dict[str, list[int]]:
+    """The codes of the ``size`` most frequent n-grams of each language by falling count; ``docs`` has ``lang`` (not null) and ``text``."""
     by_count = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = gram_counts(docs, longest).withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= size)
-    profiles: dict[str, list[str]] = {}
+    profiles: dict[str, list[int]] = {}
     for r in sorted(top.select("lang", "rank", "gram").collect(), key=lambda r: (r["lang"], r["rank"])):
         profiles.setdefault(r["lang"], []).append(r["gram"])
     return profiles
@@ -121,61 +200,55 @@ def learn_profiles(docs: DataFrame, size: int = 400, longest: int = 3) -> dict[s
 class Matcher:
     """Out-of-place distances of the texts of a slice to all profiles."""
 
-    def __init__(self, profiles: dict[str, list[str]], size: int, longest: int):
+    def __init__(self, profiles: dict[str, list[int]], size: int, longest: int):
         self.langs, self.size, self.longest = sorted(profiles), size, longest
         self.profiles = profiles
 
-    def ranks(self, grams: Grams) -> np.ndarray:
-        table = np.full((len(self.langs), len(grams.names)), self.size, np.int64)
+    def _ranks(self, codes: np.ndarray) -> np.ndarray:
+        """Rank of each n-gram (codes ascending) in each profile, ``size`` where it is absent."""
+        table = np.full((len(self.langs), len(codes)), self.size, np.int64)
         for row, lang in zip(table, self.langs):
-            for rank, gram in enumerate(self.profiles[lang]):
-                i = grams.ids.get(gram)
-                if i is not None:
-                    row[i] = rank
+            profile = np.array(self.profiles[lang], np.int64)
+            at = np.minimum(np.searchsorted(codes, profile), max(0, len(codes) - 1))
+            here = codes[at] == profile if len(codes) else np.zeros(len(profile), bool)
+            row[at[here]] = np.flatnonzero(here)
         return table
 
     def match(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """Position of the nearest language (-1: no letter) and score of each text.
 
-        The score is 1 for equal ranks throughout and 0 if no n-gram occurs in the profile.
+        The score is 1 for equal ranks throughout and 0 if no n-gram occurs in the profile. N-grams of equal count
+        rank by code.
         """
-        grams, words = Grams.of(self.longest), Words(texts)
-        rows = grams.rows(words.distinct)
-        table = self.ranks(grams)
-        starts, counts = grams.starts[rows][words.codes], grams.counts[rows][words.codes]
-        before = np.zeros(len(counts) + 1, np.int64)
-        np.cumsum(counts, out=before[1:])
-        size = len(words.bounds) - 1
-        lang, score = np.full(size, -1), np.zeros(size)
-        width, at = len(grams.names), 0
-        while at < size:
-            upto = min(size, at + max(1, CELLS // max(1, width)))
-            a, b = words.bounds[at], words.bounds[upto]
-            ids = grams.pool[ranges(starts[a:b], counts[a:b])]
-            held = np.diff(before[words.bounds[at:upto + 1]])
-            if upto == at + 1 and len(ids) < width // 4:
-                seen, times = np.unique(ids, return_counts=True)
-                matrix = None
-            else:
-                owner = np.repeat(np.arange(upto - at), held)
-                matrix = np.bincount(owner * width + ids, minlength=(upto - at) * width).reshape(upto - at, width)
-            for i in range(upto - at):
-                if not held[i]:
-                    continue
-                if matrix is not None:
-                    seen = np.flatnonzero(matrix[i])
-                    times = matrix[i][seen]
-                key = (times << 32) | grams.order[seen]
-                if len(key) > self.size:
-                    top = np.argpartition(-key, self.size)[:self.size]
-                    seen, key = seen[top], key[top]
-                profile = seen[np.argsort(-key, kind="stable")]
-                distance = np.abs(table[:, profile] - np.arange(len(profile))).clip(max=self.size)
-                distance[table[:, profile] == self.size] = self.size
-                total = distance.sum(axis=1)
-                lang[at + i] = int(np.argmin(total))
-                score[at + i] = 1.0 - total.min() / (len(profile) * self.size)
-            at = upto
+        number, owner = (grams := Grams.of(self.longest)).of_texts(texts)
+        rows, width = len(texts), max(1, len(grams.codes))
+        order = np.argsort(grams.codes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ranks = self._ranks(grams.codes[order])
+        lang, score = np.full(rows, -1), np.zeros(rows)
+        key = owner * width + place[number]
+        step = max(1, CELLS // width)
+        by_step = np.argsort(owner // step, kind="stable") if rows > step else np.arange(len(owner))
+        bounds = np.searchsorted((owner // step)[by_step], np.arange(-(-rows // step) + 1)) if rows else []
+        for n, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            first = n * step
+            times = np.bincount(key[by_step[i:j]] - first * width) if j > i else np.zeros(0, np.int64)
+            cell = np.flatnonzero(times)
+            if len(cell) == 0:
+                continue
+            doc, times = cell // width, times[cell]
+            ranked = np.argsort((doc << 40) - times, kind="stable")  # cells come by document and code
+            doc, gram = doc[ranked], (cell % width)[ranked]
+            heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            rank = np.arange(len(doc)) - np.repeat(heads, np.diff(np.append(heads, len(doc))))
+            top = rank < self.size
+            doc, gram, rank = doc[top], gram[top], rank[top]
+            heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            known = ranks[:, gram]
+            total = np.add.reduceat(np.where(known < self.size, np.abs(known - rank), self.size), heads, axis=1)
+            lang[first + doc[heads]] = total.argmin(axis=0)
+            score[first + doc[heads]] = 1.0 - total.min(axis=0) / (np.diff(np.append(heads, len(doc))) * self.size)
         return lang, score
 
 
@@ -184,11 +257,11 @@ def held_out(id_column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % 4 == 2
 
 
-def predict_languages(docs: DataFrame, profiles: dict[str, list[str]], size: int = 400, longest: int = 3, text_column: str = "text") -> DataFrame:
+def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400, longest: int = 3, text_column: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) added; nothing but the text is looked at, and nothing is shuffled.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if no language was learned.
-    Of equally near languages the first by name is taken. Columns of these two names are replaced.
+    Of equally near languages the first by name is taken. Texts are never cut, however long. Columns of these two names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*kept, F.col(text_column).alias("_text"))

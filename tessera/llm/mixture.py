@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a 48-bit hash of its id. Words are summed by source and by
+Every document has a 48-bit hash of its id and text. Words are summed by source and by
 the first 12 bits of the hash; the bucket in which a source's budget ends is the
 only one that is looked at again, by the next 12 bits, and so on. What comes out
 is one threshold per source, and a document is taken once more if its hash lies
@@ -81,20 +81,23 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return bound.select("source", F.col("prefix").alias("last"), F.col("below").alias("taken_below"), (2 * (F.col("rest") - F.col("below")) >= F.col("size")).alias("also"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.0, max_repeat: int = 3,
-                id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """How often each document is taken so that every source comes near its target.
+def document_hash(id_column: str, text_column: str) -> Column:
+    """48 bits of a digest of id and text; null and empty are alike."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_column, text_column)]
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", *parts)), 1, 12), 16, 10).cast("long")
 
-    Returns ``doc_id, source, size, source_size, target, copies, taken``. Size is the
-    number of words. A target of ``f`` times a source takes every document ``floor(f)``
-    times and those below the source's hash threshold once more. Rows of equal
-    id share a hash and are taken alike. Null and empty texts have size 0 and add nothing;
-    they are taken with the others below the threshold. A null source is one source,
-    sorted last. An empty table gives no rows. Other columns are not looked at.
+
+def document_sizes(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """``doc_id, source, size, hash`` of every row, written once."""
+    return stored(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), words(text_column).alias("size"),
+                              document_hash(id_column, text_column).alias("hash")), "mixture-sizes")
+
+
+def source_plan(sizes: DataFrame, weights: Sequence[float], share: float, max_repeat: int) -> DataFrame:
+    """``source, source_size, target, full, last, also``: one row per source.
+
+    Its documents are taken ``full`` times, and once more if their hash lies below ``last``, or equals it and ``also`` is true.
     """
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = stored(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), words(text_column).alias("size"))
-                   .withColumn("hash", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")), "mixture-sizes")
     targets = source_targets(sizes, weights, share, max_repeat)
     whole = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeat)
     budgets = (targets.withColumn("whole", whole)
@@ -102,15 +105,41 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
                .withColumn("rest", F.col("whole") - F.col("full") * F.col("source_size")))
     budgets = stored(budgets, "mixture-budgets")
     cuts = thresholds(sizes, budgets).withColumnRenamed("source", "_source")
-    plan = budgets.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").select(F.col("source").alias("_source"), "source_size", "target", "full", "last", "also")
+    return (budgets.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left")
+            .select("source", "source_size", "target", "full", "last", "also"))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (with ``source`` and ``hash``) joined to the plan of their source, and ``copies``."""
+    side = small_side(plan.withColumnRenamed("source", "_source"))
     once_more = F.coalesce((F.col("hash") < F.col("last")) | ((F.col("hash") == F.col("last")) & F.col("also")), F.lit(False))
-    return (sizes.join(small_side(plan), F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("copies", F.col("full") + once_more.cast("long"))
+    return rows.join(side, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.col("full") + once_more.cast("long"))
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.0, max_repeat: int = 3,
+                id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """How often each document is taken so that every source comes near its target.
+
+    Returns ``doc_id, source, size, source_size, target, copies, taken``. Size is the
+    number of words of the whole text. A target of ``f`` times a source takes every document ``floor(f)``
+    times and those below the source's hash threshold once more. Rows of a source that are equal in
+    id and text share a hash and are taken alike; different texts that share an id, or have none, are not tied. Null and empty
+    texts have size 0 and add nothing; they are taken with the others below the threshold. A null source is one source,
+    sorted last. An empty table gives no rows. Other columns are not looked at.
+    """
+    sizes = document_sizes(docs, id_column, text_column, source_column)
+    return (with_copies(sizes, source_plan(sizes, weights, share, max_repeat))
             .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 
-def repeat_taken(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` as often as ``mixed`` takes them; ids are unique or rows of one id are taken alike."""
-    copies = mixed.filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, F.col(id_column).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.0, max_repeat: int = 3,
+                    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """Rows of ``docs`` as often as ``mix_sources`` takes them.
+
+    Every row is judged by its own source, id and text, so nothing but the plan of the sources is joined. Columns are those of ``docs``, whatever
+    their names; edges are those of ``mix_sources``.
+    """
+    plan = source_plan(document_sizes(docs, id_column, text_column, source_column), weights, share, max_repeat)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_column).alias("source"), document_hash(id_column, text_column).alias("hash"))
+    taken = with_copies(rows, plan).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return taken.select("row.*")

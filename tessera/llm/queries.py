@@ -127,7 +127,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mix", """
     with sizes as (
         select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) size,
-               cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) h
+               cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ' ' || coalesce(text, '')), 1, 12) as bigint) h
         from documents),
     caps as (
         select source, cast(sum(size) as bigint) source_size, cast(3 * sum(size) as double) cap,

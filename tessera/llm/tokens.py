@@ -71,10 +71,23 @@ class Seen:
         if not chunks:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chunks)), ">u8").astype(np.uint64).reshape(-1, 2)
-        high, low = keys[:, 0], keys[:, 1]
+        return self._found(keys[:, 0], keys[:, 1])
+
+    def places(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for 128-bit names that may repeat: row of each, and one position of each new name in the order of their rows."""
+        order = np.lexsort((low, high))
+        first = np.ones(len(order), bool)
+        first[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        one = order[first]
+        rows, new = self._found(high[one], low[one])
+        out = np.empty(len(order), np.int64)
+        out[order] = rows[np.cumsum(first) - 1]
+        return out, one[new]
+
+    def _found(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.high, high)
         near = np.minimum(at, max(0, len(self.high) - 1))
-        rows = np.full(len(chunks), -1, np.int64)
+        rows = np.full(len(high), -1, np.int64)
         if len(self.high):
             found = (self.high[near] == high) & (self.low[near] == low)
             rows[found] = self.row[near[found]]

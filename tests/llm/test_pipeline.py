@@ -29,8 +29,11 @@ def test_stages_on_edges(spark):
     assert all(r["lang"] for r in kept.collect())
 
     single = pipeline.deduplicate(spark, kept, "").collect()
-    groups = plain_groups(lettered)
-    assert collections.Counter(r["doc_id"] for r in single) == collections.Counter(set(groups.values()))
+    groups, members = plain_groups([(i, r[1]) for i, r in enumerate(lettered)]), collections.defaultdict(list)
+    for i, r in enumerate(lettered):
+        members[groups[i]].append((r[0] is not None, r[0] or 0, r[1]))
+    first = [min(m) for m in members.values()]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in single) == collections.Counter((i if known else None, t) for known, i, t in first)
 
     clean = pipeline.private(spark, docs, "").collect()
     want = collections.Counter((r[0], replace(r[1], pipeline.DEMO_KEY)[0] if r[1] else r[1]) for r in rows)
@@ -55,6 +58,25 @@ def test_different_texts_of_null_and_repeated_ids_stay(spark):
     assert [i for i, _ in got].count(None) == 3 and [i for i, _ in got].count(31) == 2
 
 
+def test_no_language_can_be_learned(spark):
+    docs = edge_docs(spark).select(*COLUMNS).withColumn("lang", F.lit(None).cast("string"))
+    kept = pipeline.language(spark, docs, "").collect()
+    assert collections.Counter(r["text"] for r in kept) == collections.Counter(r[1] for r in edge_rows() if any(c.isalpha() for c in r[1] or ""))
+    assert all(r["lang"] is None for r in kept)
+
+
+def test_columns_of_any_name_pass_unchanged(spark):
+    names = "score lang_pred private row text_ _id _key doc key label copies hash source_size _source n first".split()
+    docs = edge_docs(spark).select(*COLUMNS).select("*", *[F.lit(f"own {n}").alias(n) for n in names], F.lit(1).alias("a.b"))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        held = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in held] == [tuple(f"own {n}" for n in names)], name
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.drop("n_chars"), "").count() > 0, name
+
+
 def test_run_packs_what_the_stages_keep(spark, monkeypatch):
     """Row by row: the packed pieces of run() against the library on the mixed documents."""
     sf = "/root/testdata/sf0.001"

@@ -12,7 +12,7 @@ from oracle import compare, connect
 from tessera.llm import queries as llm
 from tessera.llm.blockmax import BlockIndex, exact_top_k, multiples
 from tessera.llm.hamming import SubstringIndex, hamming_search
-from tessera.llm.mixture import mix_sources, repeat_taken
+from tessera.llm.mixture import mix_sources, mixed_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -132,11 +132,31 @@ def test_mix_reaches_targets(spark):
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]], rel=1e-9)
     assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in sizes)
     docs = edge_docs(spark, rows)
-    repeated = repeat_taken(docs, mix_sources(docs))
+    repeated = mixed_documents(docs)
     assert repeated.columns == docs.columns
+    want = collections.Counter()
+    for r in got:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    held = collections.Counter((r["doc_id"], r["source"], len((r["text"] or "").encode().split())) for r in repeated.collect())
+    assert held == +want
     assert mix_sources(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_mix_of_ids_shared_by_sources(spark):
+    """Each source takes what its plan says, though ids are shared between sources or null."""
+    rng = random.Random(12)
+    sizes = {"a": 300, "b": 200, "c": 400}
+    rows = [(i if i % 4 else None, " ".join(f"{s}{rng.randrange(900)}" for _ in range(rng.randrange(5, 25))), "xx", s) for s, n in sizes.items() for i in range(n)]
+    words = collections.Counter()
+    for r in rows:
+        words[r[3]] += len(r[1].split())
+    want = plain_targets(dict(words), (5, 2, 1), 3)
+    taken = collections.Counter()
+    for r in mixed_documents(edge_docs(spark, rows)).collect():
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[s] - want[s]) <= 13 for s in sizes)
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
