@@ -31,12 +31,12 @@ from tessera.llm.common import Words, mix, slices, stored
 
 #: Different stretches of one anchor that a slice sends to the bucket; more go to the window level.
 MANY = 64
-#: Buckets for each shuffle partition, so that partitions even out.
-BUCKETS_EACH = 4
+#: Least buckets for each shuffle partition, so that partitions even out, and bytes of text whose stretches share a bucket, about.
+BUCKETS_EACH, BUCKET_BYTES = 4, 4 << 20
 NULL_ID = -(1 << 63)
 
-_SENT = "bucket int, kind byte, anchor array<long>, digest array<long>, extended array<long>, doc array<long>, at array<long>, n array<int>"
-_KEPT = "doc long, at long, n int, compare boolean"
+_SENT = "bucket int, kind byte, anchor array<long>, digest array<long>, extended array<long>, doc array<long>, version array<long>, start array<int>, n array<int>"
+_KEPT = "doc long, version long, start int, n int, compare boolean"
 
 
 def fold(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -108,7 +108,8 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def _arrays(rows: list[dict]) -> pa.RecordBatch:
-    schema = {"bucket": pa.int32(), "kind": pa.int8(), **{c: pa.list_(pa.int64()) for c in ("anchor", "digest", "extended", "doc", "at")}, "n": pa.list_(pa.int32())}
+    schema = {"bucket": pa.int32(), "kind": pa.int8(), **{c: pa.list_(pa.int64()) for c in ("anchor", "digest", "extended", "doc", "version")},
+              **{c: pa.list_(pa.int32()) for c in ("start", "n")}}
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in schema.items()], names=list(schema))
 
 
@@ -116,16 +117,16 @@ def _send(part: pa.Table, base: int, buckets: int) -> pa.RecordBatch:
     """Step 1 for a slice: kept stretches by bucket (kind 0), repeats (kind 1), windows to compare (kind 2)."""
     s = Stretches(Words(part["text"]), base)
     doc = part["doc"].to_numpy()[s.row]
-    at = (part["version"].to_numpy().astype(np.int64)[s.row] << 32) | s.start
-    order = np.lexsort((at, doc, s.digest, s.anchor))
-    anchor, digest, extended, doc, at, n = (x[order] for x in (s.anchor, s.digest, s.extended, doc, at, s.n))
+    version = part["version"].to_numpy()[s.row]
+    order = np.lexsort((s.start, version, doc, s.digest, s.anchor))
+    anchor, digest, extended, doc, version, start, n = (x[order] for x in (s.anchor, s.digest, s.extended, doc, version, s.start, s.n))
     rows: list[dict] = []
     if not len(anchor):
         return _arrays(rows)
     equal = _groups(anchor, digest)
     first = np.r_[True, np.diff(equal) > 0]
     heads = np.flatnonzero(first)[equal]
-    repeat = (doc != doc[heads]) | (at != at[heads])
+    repeat = (doc != doc[heads]) | (version != version[heads]) | (start != start[heads])
     by_anchor = _groups(anchor)
     hot = np.bincount(by_anchor, weights=first)[by_anchor] > MANY
     empty = np.zeros(0, np.int64)
@@ -134,7 +135,7 @@ def _send(part: pa.Table, base: int, buckets: int) -> pa.RecordBatch:
         if len(rows_):
             values = (anchor, digest, extended) if kind == 0 else (empty.astype(np.uint64),) * 3
             rows.append(dict(zip(("anchor", "digest", "extended"), (v[rows_].view(np.int64) if len(v) else empty for v in values)),
-                             bucket=bucket, kind=kind, doc=doc[rows_], at=at[rows_], n=np.full(len(rows_), -1) if note else n[rows_]))
+                             bucket=bucket, kind=kind, doc=doc[rows_], version=version[rows_], start=start[rows_], n=np.full(len(rows_), -1) if note else n[rows_]))
 
     spread = int(np.uint64(doc[0]) % np.uint64(buckets))
     add(1, spread, np.flatnonzero(repeat))
@@ -158,34 +159,34 @@ def _decide(group: pa.Table) -> pa.Table:
     out = []
     for kind in (1, 2):
         passed = group.filter(pc.equal(group["kind"], kind))
-        rows = [flat(passed, c) for c in ("doc", "at", "n")]
+        rows = [flat(passed, c) for c in ("doc", "version", "start", "n")]
         out.append((*rows, np.full(len(rows[0]), kind == 2)))
     asked = group.filter(pc.equal(group["kind"], 0))
-    anchor, digest, extended, doc, at, n = (flat(asked, c) for c in ("anchor", "digest", "extended", "doc", "at", "n"))
-    order = np.lexsort((at, doc, digest, anchor))
-    anchor, digest, extended, doc, at, n = (x[order] for x in (anchor, digest, extended, doc, at, n))
+    anchor, digest, extended, doc, version, start, n = (flat(asked, c) for c in ("anchor", "digest", "extended", "doc", "version", "start", "n"))
+    order = np.lexsort((start, version, doc, digest, anchor))
+    anchor, digest, extended, doc, version, start, n = (x[order] for x in (anchor, digest, extended, doc, version, start, n))
     if len(anchor):
         by_anchor = _groups(anchor)
         noted = np.bincount(by_anchor, weights=n < 0)[by_anchor] > 0
         stay = (n >= 0) & ((np.bincount(by_anchor)[by_anchor] > 1) | noted)
-        anchor, digest, extended, doc, at, n, noted = (x[stay] for x in (anchor, digest, extended, doc, at, n, noted))
+        anchor, digest, extended, doc, version, start, n, noted = (x[stay] for x in (anchor, digest, extended, doc, version, start, n, noted))
         longer = noted.copy()
         code = extended.view(np.uint64)
         for side in (code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)):
             _, inverse, counts = np.unique(mix(anchor.view(np.uint64), side), return_inverse=True, return_counts=True)
             longer |= (side != 0) & (counts[inverse] > 1)
-        anchor, digest, doc, at, n, noted = (x[longer] for x in (anchor, digest, doc, at, n, noted))
+        anchor, digest, doc, version, start, n, noted = (x[longer] for x in (anchor, digest, doc, version, start, n, noted))
     if len(anchor):
         equal = _groups(anchor, digest)
         first = np.r_[True, np.diff(equal) > 0]
         heads = np.flatnonzero(first)[equal]
-        repeat = (doc != doc[heads]) | (at != at[heads])
+        repeat = (doc != doc[heads]) | (version != version[heads]) | (start != start[heads])
         by_anchor = _groups(anchor)
         compare = first & ((np.bincount(by_anchor, weights=first)[by_anchor] > 1) | noted)
         for chosen, flag in ((repeat, False), (compare, True)):
-            out.append((doc[chosen], at[chosen], n[chosen], np.full(int(chosen.sum()), flag)))
-    doc, at, n, flag = (np.concatenate(c) for c in zip(*out))
-    return pa.table({"doc": doc, "at": at, "n": n.astype(np.int32), "compare": flag})
+            out.append((doc[chosen], version[chosen], start[chosen], n[chosen], np.full(int(chosen.sum()), flag)))
+    doc, version, start, n, flag = (np.concatenate(c) for c in zip(*out))
+    return pa.table({"doc": doc, "version": version, "start": start.astype(np.int32), "n": n.astype(np.int32), "compare": flag})
 
 
 def _spans(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,13 +206,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
     words joined by one space. Windows are judged on the input.
 
     Null and empty texts have no words. Documents shorter than a window lose
-    nothing. A null id counts as the smallest. Rows that share an id are ordered by a hash of their text, and rows equal in both are
+    nothing. A null id counts as the smallest. Rows that share an id are ordered by a 64-bit hash of their text, and rows equal in both are
     one document with a result each. An empty table gives no rows. Other columns are not looked at.
     """
     base = window // 4
-    buckets = BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.coalesce(F.hash("text"), F.lit(0)).alias("version"), "text")
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("version"), "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = max(BUCKETS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,8 +229,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
                 row = np.repeat(row, n)
                 place = words.bounds[row] + starts
                 keys = [double(double(fold(words.hashes(seed), base), base), 2 * base)[place].view(np.int64) for seed in (0, 1)]
-                at = (part["version"].to_numpy().astype(np.int64)[row] << 32) | starts
-                yield from pa.table([*keys, part["doc"].to_numpy()[row], at], names=["k1", "k2", "doc", "at"]).to_batches()
+                held = [part[c].to_numpy()[row] for c in ("doc", "version")]
+                yield from pa.table([*keys, *held, starts.astype(np.int32)], names=["k1", "k2", "doc", "version", "start"]).to_batches()
 
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,18 +254,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id",
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "text"]).to_batches()
 
-    start = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    version = F.shiftright("at", 32).cast("int").alias("version")
-
     def by_document(marks: DataFrame) -> DataFrame:
-        return marks.groupBy("doc", version).agg(F.collect_list(F.struct(start.alias("start"), "n")).alias("spans")).hint("shuffle_hash")
+        return marks.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash")
 
+    place = ["doc", "version", "start"]
     judged = stored(rows.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(_decide, _KEPT), "stretches")
     asked = by_document(judged.filter("compare"))
     compared = stored(rows.join(asked, ["doc", "version"]).select("doc", "version", "text", "spans")
-                      .mapInArrow(windows, "k1 long, k2 long, doc long, at long"), "windows")
-    firsts = compared.groupBy("k1", "k2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    later = compared.join(firsts, ["k1", "k2"]).filter(F.struct("doc", "at") != F.col("first")).select("doc", "at", F.lit(1).alias("n"))
-    marks = by_document(judged.filter(~F.col("compare")).select("doc", "at", "n").unionByName(later))
+                      .mapInArrow(windows, "k1 long, k2 long, doc long, version long, start int"), "windows")
+    firsts = compared.groupBy("k1", "k2").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    later = compared.join(firsts, ["k1", "k2"]).filter(F.struct(*place) != F.col("first")).select(*place, F.lit(1).alias("n"))
+    marks = by_document(judged.filter(~F.col("compare")).select(*place, "n").unionByName(later))
     return (rows.join(marks, ["doc", "version"], "left").select("doc_id", "text", "spans")
             .mapInArrow(clear, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, text string"))
