@@ -332,9 +332,14 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_column: str = "ve
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         return linked_nodes(left, right, basis, threshold, epsilon)
 
-    columns = ["i", "j", "node", "n", "vec"]
-    left = pairs.join(blocks.withColumnRenamed("block", "i"), "i").select(*columns).toDF(*columns)
-    right = pairs.filter("i < j").join(blocks.withColumnRenamed("block", "j"), "j").select(*columns).toDF(*columns)
+    cells = stored(pairs.select(F.col("i").alias("block"), F.struct(F.lit(True).alias("left"), "i", "j").alias("cell"))
+                   .unionByName(pairs.filter("i < j").select(F.col("j").alias("block"), F.struct(F.lit(False).alias("left"), "i", "j").alias("cell")))
+                   .groupBy("block").agg(F.collect_list("cell").alias("cells")), "cells")
+    def dealt(side: bool) -> DataFrame:
+        own = F.explode(F.filter("cells", lambda c: c["left"] == side)).alias("cell")
+        return blocks.join(cells, "block").select("node", "n", "vec", own).select("cell.i", "cell.j", "node", "n", "vec").toDF("i", "j", "node", "n", "vec")
+
+    left, right = dealt(True), dealt(False)
     found = stored(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(answer, "node long, links long, hub long"), "links")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = component_labels(found.filter("node <> hub").select("node", "hub"))
