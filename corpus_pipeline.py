@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored
 from tessera.llm.dartminhash import text_groups
 from tessera.llm.langid import held_out, learn_profiles, predict_languages
+from tessera.llm.linking import join_unique
 from tessera.llm.mixture import mixed_documents
 from tessera.llm.packing import pack_documents
 from tessera.llm.pseudonyms import pseudonymise
@@ -58,7 +59,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = aside(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("key"))
     groups = text_groups(docs)
     first = groups.groupBy("label").agg(F.min(F.struct("doc", "key")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    others = groups.join(first, "label").filter(F.struct("doc", "key") != F.col("first")).select("doc", "key")
+    others = join_unique(groups, first, ["label"], "inner").filter(F.struct("doc", "key") != F.col("first")).select("doc", "key")
     kept = keyed.join(others, ["doc", "key"], "left_anti")
     copies = kept.groupBy("doc", "key").count().filter("count > 1").select("doc", "key")
     single = kept.join(copies, ["doc", "key"], "left_anti")

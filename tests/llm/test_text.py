@@ -3,11 +3,13 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from llm.frames import edge_docs, edge_rows, words
 
 from tessera.llm import substrings
-from tessera.llm.dartminhash import Shingles, near_duplicates, signatures
+from tessera.llm.common import mix
+from tessera.llm.dartminhash import Cells, Shingles, near_duplicates, signatures
 from tessera.llm.langid import identify_languages
 from tessera.llm.pseudonyms import luhn_digit, pseudonym, pseudonymise, replace
 
@@ -15,7 +17,7 @@ from tessera.llm.pseudonyms import luhn_digit, pseudonym, pseudonymise, replace
 def text_order(spark, rows):
     """Order of rows as the operator defines it: id (null first), then the hash of the text."""
     frame = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows)], "i long, text string")
-    hashed = {r["i"]: r["h"] for r in frame.selectExpr("i", "coalesce(hash(text), 0) h").collect()}
+    hashed = {r["i"]: r["h"] for r in frame.selectExpr("i", "xxhash64(text) h").collect()}
     return sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, hashed[i]))
 
 
@@ -53,6 +55,15 @@ def test_repeated_windows_of_another_length(spark):
     assert substrings.remove_repeats(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_texts_of_one_id_whose_short_hashes_collide(spark):
+    """Two texts of id 5 with the same 32-bit hash: what repeats in one of them is not taken from the other."""
+    texts = [r["t"] for r in spark.range(200_000).selectExpr("concat_ws(' ', transform(sequence(1, 31), i -> concat('w', id, 'x', i))) t", "hash(concat_ws(' ', transform(sequence(1, 31), i -> concat('w', id, 'x', i)))) h")
+             .selectExpr("*", "count(*) over (partition by h) n").filter("n > 1").orderBy("h").limit(2).collect()]
+    rows = [(5, texts[0], "xx", "a"), (5, texts[1], "xx", "a"), (1, texts[0], "xx", "a")]
+    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in substrings.remove_repeats(edge_docs(spark, rows)).collect()}
+    assert got == {(5, ""): 31, (5, texts[1]): 0, (1, texts[0]): 0}
+
+
 def weighted(text, size=5):
     held = (text or "").encode().split()
     if len(held) < size:
@@ -126,6 +137,37 @@ def test_signatures_estimate_weighted_similarity():
     assert (made > 0).all()
 
 
+def test_signatures_of_real_weights():
+    """Agreement of coordinates estimates weighted Jaccard similarity for weights of any size; equal inputs agree whatever else is drawn with them."""
+    import types
+
+    rng = np.random.default_rng(8)
+    rows = [{e: w for e, w in zip(range(60), np.exp(rng.normal(0, 2, 60)))}]
+    rows += [{e: w * f for e, w in rows[0].items()} for f in (0.5, 1.7)]
+    rows += [{e + (30 if e > 40 else 0): w * rng.uniform(0.6, 1.5) for e, w in rows[0].items()}, {5: 1e-3}, {5: 2e-3, 6: 3e4}, {7: 40.0, 8: 0.02}]
+    names = mix(np.arange(200, dtype=np.uint64), np.full(200, 77, np.uint64))
+
+    def made(chosen, unit):
+        flat = [(names[e], w) for r in chosen for e, w in sorted(r.items())]
+        held = types.SimpleNamespace(element=np.array([f[0] for f in flat], np.uint64), weight=np.array([f[1] for f in flat]), bounds=np.cumsum([0, *map(len, chosen)]))
+        return signatures(held, 1024, unit)
+
+    for unit in (1.0, 0.01):
+        got = made(rows, unit)
+        for i in range(len(rows)):
+            for j in range(i):
+                low = sum(min(w, rows[j].get(e, 0.0)) for e, w in rows[i].items())
+                assert abs((got[i] == got[j]).mean() - low / (sum(rows[i].values()) + sum(rows[j].values()) - low)) < 0.06
+        assert (made(rows[3:4], unit)[0] == got[3]).all()
+
+
+def test_heavy_shingles_cost_few_cells():
+    cells = Cells(np.arange(3, dtype=np.uint64), np.array([1.0, 1e6, 0.25]), 1.0)
+    assert np.bincount(cells.at).tolist() == [1, 21, 1] and cells.whole.tolist() == [True] + [True] * 20 + [False, False]
+    exact = Cells(np.zeros(40, np.uint64), 2.0 ** np.arange(40), 1.0)
+    assert np.bincount(exact.at).tolist() == [max(1, i + 1) for i in range(40)] and exact.whole.all()
+
+
 def test_language_identification(spark):
     rng = random.Random(4)
     speech = {"aa": "ka lo mi tu ra".split(), "bb": "sch ein der ung ich".split(), "cc": "que les eau ment ée".split()}
