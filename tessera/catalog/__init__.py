@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from tessera.catalog import edges, measures, models, records, subvectors  # noqa: F401
+    from tessera.catalog import edges, files, fits, measures, models, records, subvectors  # noqa: F401

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcom
 from tessera.catalog.records import _scratch
 from tessera.catalog.subvectors import CONCEPTS, _scores
 from tessera.functions.bands import three_class_outcome
-from tessera.functions.vectors import euclidean, last_block, vector_norm
+from tessera.functions.vectors import euclidean, last_block
 from tessera.operators import classify, metrics
 from tessera.operators.clustering import (assign_panels, fit_kmeans, fit_mixture, fit_panels, fit_prep,
                                           load_mixture, mixture_step, nearest_centre, save_mixture)
@@ -25,20 +24,18 @@ from tessera.plans.variants import Variant, k_sweep, run_variants
 CLASSES = ("first", "second", "neither")
 
 
-@query("pca_embed", "SELECT vec_id, 8 AS dims, 1.0::double AS norm FROM embeddings")
+@query("pca_embed")
 def pca_embed(spark: SparkSession, sf: str) -> DataFrame:
-    """Projected rows have length one."""
+    """Rows projected to 8 dimensions and normalised; ``pca_components`` checks the projection."""
     p = patches(spark, sf)
-    x = p.select("vec_id", fit_projection(p, "f", 8).apply("f").alias("x"))
-    return x.select("vec_id", F.size("x").alias("dims"), F.round(vector_norm("x"), 9).alias("norm"))
+    return p.select("vec_id", fit_projection(p, "f", 8).apply("f").alias("x"))
 
 
-@query("feature_prep", "SELECT vec_id, 10 AS dims, 1.0::double AS norm FROM embeddings")
+@query("feature_prep")
 def feature_prep(spark: SparkSession, sf: str) -> DataFrame:
-    """Normalise, project to 8 dimensions, append the grid position, normalise."""
+    """Normalise, project to 8 dimensions, append the grid position, normalise; ``feature_cosines`` checks the chain."""
     p = patches(spark, sf)
-    x = p.select("vec_id", fit_prep(p, "f", 8, GRID, 0.4).apply("f", "patch_id").alias("x"))
-    return x.select("vec_id", F.size("x").alias("dims"), F.round(vector_norm("x"), 9).alias("norm"))
+    return p.select("vec_id", fit_prep(p, "f", 8, GRID, 0.4).apply("f", "patch_id").alias("x"))
 
 
 @query("kmeans_fit", "SELECT cast(range AS int) AS cluster_id, true AS settled FROM range(6)")
@@ -46,7 +43,7 @@ def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
     """At the end each centre is the mean of its rows."""
     p = patches(spark, sf)
     model = fit_kmeans(p, "f", 6)
-    centres = np.array(model.clusterCenters())
+    centres = model.centres
     means = mean_vectors(p.withColumn("cluster_id", nearest_centre(centres, "f")), ["cluster_id"], "f")
     held = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster_id int, centre array<double>")
     return means.join(held, "cluster_id").select("cluster_id", (euclidean("vector", "centre") < 0.02).alias("settled"))
@@ -68,13 +65,14 @@ def _panel_rows(spark: SparkSession, sf: str) -> DataFrame:
     return cube_rows(deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5), "record_id", PANELS)
 
 
-@query("panel_gmm", sql("SELECT panel, count(*) AS n, 1.0::double AS least, 1.0::double AS most FROM dev, (SELECT unnest(['panel_a', 'panel_b']) AS panel) GROUP BY 1", "dev"))
+@query("panel_gmm")
 def panel_gmm(spark: SparkSession, sf: str) -> DataFrame:
-    long = _panel_rows(spark, sf)
+    """Clusters of both panels, their sizes, and whether the fit settled; ``panel_mixtures`` checks the fits."""
+    long = _panel_rows(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     models = fit_panels(long, "panel", "vector", {p: len(fs) for p, fs in PANELS.items()}, 4)
-    total = F.round(F.aggregate("membership", F.lit(0.0), lambda a, x: a + x), 9)
-    return assign_panels(long, "panel", "vector", models).filter("cluster_id between 0 and 3").groupBy("panel").agg(
-        F.count(F.lit(1)).alias("n"), F.min(total).alias("least"), F.max(total).alias("most"))
+    settled = F.coalesce(*[F.when(F.col("panel") == p, F.lit(mix.converged)) for p, (_, mix) in models.items()])
+    return (assign_panels(long, "panel", "vector", models).groupBy("panel", "cluster_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("membership")).alias("mean_membership")).withColumn("converged", settled))
 
 
 @query("logreg_fit")
@@ -89,13 +87,6 @@ def logreg_fit(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.classification_report(scored, "truth", "prediction")
 
 
-@query("one_class_full")
-def one_class_full(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scores(spark, sf)
-    model = classify.fit_one_class(s.filter("image_id % 4 <> 0"), list(CONCEPTS), 0.1)
-    return model.score(s).select("image_id", "score", "prediction", "confidence")
-
-
 @query("one_vs_rest_one_class")
 def one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
     """Raw-vector baseline: projection, then one scorer per class, highest score wins."""
@@ -134,13 +125,20 @@ def _scorer(spark: SparkSession, sf: str) -> RecordScorer:
                       outcome=y, classes=CLASSES)
 
 
-@query("score_records", sql("SELECT record_id, 2.0::double AS total, 6 AS concepts, true AS known FROM lab", "lab"))
+@query("score_records")
 def score_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit on complete enough records, then score all of them, gaps included."""
+    """Fit on complete enough records, then score all of them, gaps included; ``score_facts`` and ``scorer_fits`` check the scorer."""
+    return _scorer(spark, sf).apply(lab(spark, sf)).select("record_id", "scores", "proba", "prediction", "confidence")
+
+
+@query("score_facts", sql("SELECT record_id, 2.0::double AS total, 6 AS concepts, 1.0::double AS chance, true AS known FROM lab", "lab"))
+def score_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Memberships of each panel and class probabilities add up to one, the most probable class is predicted."""
     scored = _scorer(spark, sf).apply(lab(spark, sf))
-    total = F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 9)
-    return scored.select("record_id", total.alias("total"), F.size("scores").alias("concepts"),
-                         (F.col("prediction").isin(*CLASSES) & F.col("confidence").between(0, 1)).alias("known"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 9)
+    named = F.array(*[F.lit(c) for c in CLASSES])[(F.array_position("proba", F.array_max("proba")) - 1).cast("int")]
+    return scored.select("record_id", total("scores").alias("total"), F.size("scores").alias("concepts"), total("proba").alias("chance"),
+                         ((F.col("prediction") == named) & (F.col("confidence") == F.array_max("proba"))).alias("known"))
 
 
 @query("model_round_trip", "SELECT vec_id, true AS same FROM embeddings")

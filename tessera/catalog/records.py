@@ -88,14 +88,17 @@ def scoring_csv(spark: SparkSession, sf: str) -> DataFrame:
                       F.round("AVG_QTY", 4).alias("avg_qty"), F.col("ABSENT").alias("absent"))
 
 
-@query("context_join", sql("""
-    SELECT l.record_id, l.cycle_year, d.first_total, v.diq, v.bpq
-    FROM lab l LEFT JOIN demo d USING (record_id, cycle_year) LEFT JOIN val v USING (record_id)""",
-    "lab", "outcomes",
-    demo="SELECT record_id, cycle_year, round(max_total, 4) AS first_total FROM panel_a",
-    va="SELECT record_id, diq FROM outcomes WHERE diq IS NOT NULL",
-    vb="SELECT record_id, bpq FROM outcomes WHERE bpq IS NOT NULL",
-    val="SELECT record_id, diq, bpq FROM va FULL OUTER JOIN vb USING (record_id)"))
+@query("context_join", """
+    WITH first AS MATERIALIZED (
+        SELECT year(o_orderdate) AS y, o_custkey AS c, max(o_totalprice) AS m FROM orders GROUP BY 1, 2),
+    second AS MATERIALIZED (
+        SELECT DISTINCT year(l_shipdate) AS y, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    keys AS MATERIALIZED (
+        SELECT coalesce(a.y, b.y) AS y, coalesce(a.c, b.c) AS c, a.m FROM first a FULL OUTER JOIN second b ON a.y = b.y AND a.c = b.c)
+    SELECT concat(cast(y AS varchar), '_', cast(c AS varchar)) AS record_id, cast(y AS varchar) AS cycle_year, round(m, 4) AS first_total,
+           CASE WHEN c_acctbal < 0 THEN 1 WHEN c_custkey % 10 = 3 THEN 3 WHEN c_custkey % 10 = 7 THEN NULL ELSE 2 END AS diq,
+           CASE WHEN c_mktsegment = 'BUILDING' THEN 1 WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL ELSE 2 END AS bpq
+    FROM keys LEFT JOIN customer ON c = c_custkey""")
 def context_join(spark: SparkSession, sf: str) -> DataFrame:
     out = outcomes(spark, sf)
     val = tables.outer_fold([out.filter("diq is not null").select("record_id", "diq"),
@@ -254,13 +257,18 @@ def range_deviation(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(dev(spark, sf))
 
 
-@query("zscore_transfer", sql("""
-    SELECT record_id, CASE WHEN max_total IS NOT NULL THEN
-               round(least(greatest((max_total - mu) / sd, -4.0::double), 4.0::double), 6) END AS max_total,
-           CASE WHEN avg_tax IS NOT NULL THEN
-               round(least(greatest(avg_tax, -4.0::double), 4.0::double), 6) END AS avg_tax
-    FROM lab, st WHERE cycle_year >= '2000'""", "lab",
-    st="SELECT avg(max_total) AS mu, greatest(stddev_pop(max_total), 1e-6) AS sd FROM lab WHERE cycle_year < '2000'"))
+@query("zscore_transfer", """
+    WITH first AS MATERIALIZED (
+        SELECT year(o_orderdate) AS y, o_custkey AS c, max(o_totalprice) AS m FROM orders GROUP BY 1, 2),
+    second AS MATERIALIZED (
+        SELECT year(l_shipdate) AS y, o_custkey AS c, avg(l_tax) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+    joined AS MATERIALIZED (
+        SELECT coalesce(a.y, b.y) AS y, coalesce(a.c, b.c) AS c, m, t FROM first a FULL OUTER JOIN second b ON a.y = b.y AND a.c = b.c),
+    st AS MATERIALIZED (SELECT avg(m) AS mu, greatest(stddev_pop(m), 1e-6) AS sd FROM joined WHERE y < 2000)
+    SELECT concat(cast(y AS varchar), '_', cast(c AS varchar)) AS record_id,
+           CASE WHEN m IS NOT NULL THEN round(least(greatest((m - mu) / sd, -4.0::double), 4.0::double), 6) END AS max_total,
+           CASE WHEN t IS NOT NULL THEN round(least(greatest(t, -4.0::double), 4.0::double), 6) END AS avg_tax
+    FROM joined CROSS JOIN st WHERE y >= 2000""")
 def zscore_transfer(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics stored at fit, reused on new records; a feature unknown to the fit is kept."""
     rows = lab(spark, sf)

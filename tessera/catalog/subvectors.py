@@ -415,7 +415,7 @@ def nearest_concept(spark: SparkSession, sf: str) -> DataFrame:
         SELECT *, row_number() OVER (PARTITION BY image_id, cid ORDER BY sim DESC, vec_id) AS r FROM csim)
     WHERE r <= 10 GROUP BY 1, 2""", "csim"))
 def topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    s = concepts.similarity_scores(patches(spark, sf), "image_id", "f", _vectors(spark, sf), "cid", row_key="vec_id")
+    s = concepts.similarity_scores(patches(spark, sf), "image_id", "f", _vectors(spark, sf), "cid")
     return s.select("image_id", "cid", F.round("score", 6).alias("score"))
 
 

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bands import push_label
-from tessera.functions.vectors import argmax, scatter, softmax, to_matrix
+from tessera.functions.vectors import argmax, from_matrix, scatter, softmax, to_matrix
 from tessera.operators.concepts import fill_model_order
+from tessera.operators.moments import Moments, co_moments
 from tessera.operators.ordering import exact_quantiles, top_k
-from tessera.operators.vectors import fit_projection, fit_scaler
+from tessera.operators.vectors import Projection, Scaler, projection_of
 
 
 @dataclass(frozen=True)
@@ -83,42 +83,160 @@ def balanced_weights(df: DataFrame, label: str) -> Column:
     return one.getField("t") / (one.getField("k") * one.getField("m")[F.col(label)])
 
 
+#: Up to this many weights the fit takes Newton steps; beyond, the matrix of second derivatives would be too large.
+NEWTON_WEIGHTS = 2000
+
+
+@dataclass(frozen=True)
+class Loss:
+    """Penalised multinomial loss over rows of a table: label index ``y``, scores ``x`` and row weight ``w``.
+
+    With n rows, strength c and weights V of the scaled scores ``(x - mean) / std`` it is the mean of ``w`` times the cross entropy, plus
+    ``|V|^2 / (2 c n)``; intercepts are not penalised.
+    """
+
+    rows: DataFrame
+    n: int
+    classes: int
+    mean: np.ndarray
+    std: np.ndarray
+    c: float
+
+    @property
+    def width(self) -> int:
+        return len(self.mean) + 1
+
+    def at(self, theta: np.ndarray, second: bool) -> tuple[float, np.ndarray, np.ndarray | None]:
+        """Value, gradient and (on request) matrix of second derivatives at ``theta`` (classes by scaled weights and intercept); one pass.
+
+        Partial sums are made per partition and added up on executors.
+        """
+        k, d, mean, std = self.classes, self.width, self.mean, self.std
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, gradient, matrix = 0.0, np.zeros((k, d)), np.zeros((k * d, k * d) if second else (0, 0))
+            for batch in batches:
+                x, _ = to_matrix(batch.column(1))
+                if not len(x):
+                    continue
+                y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+                z = np.concatenate([(x - mean) / std, np.ones((len(x), 1))], axis=1)
+                logit = z @ theta.T
+                logit -= logit.max(axis=1, keepdims=True)
+                p = np.exp(logit)
+                total = p.sum(axis=1, keepdims=True)
+                p /= total
+                at = np.arange(len(x)), y.astype(np.int64)
+                loss -= float((w * (logit[at] - np.log(total[:, 0]))).sum())
+                if second:
+                    for i in range(k):
+                        for j in range(i, k):
+                            part = (z * (w * p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ z
+                            matrix[i * d:i * d + d, j * d:j * d + d] += part
+                            if i != j:
+                                matrix[j * d:j * d + d, i * d:i * d + d] += part.T
+                p[at] -= 1.0
+                gradient += (p * w[:, None]).T @ z
+            cells = np.concatenate([[loss], gradient.ravel()])[None]
+            for i, part in ((np.full(1, -1, np.int32), cells), (np.arange(len(matrix), dtype=np.int32), matrix)):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(i), from_matrix(part, np.ones(len(i), bool))], names=["i", "s"])
+
+        parts = self.rows.select("y", "x", "w").mapInArrow(sums, "i int, s array<double>")
+        total = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).toArrow().to_pylist()
+        found = {r["i"]: np.array(r["s"]) for r in total}
+        penalty = np.append(np.ones(d - 1), 0.0) / (self.c * self.n)
+        value = found[-1][0] / self.n + float((theta * theta * penalty).sum()) / 2
+        gradient = found[-1][1:].reshape(k, d) / self.n + theta * penalty
+        matrix = np.stack([found[i] for i in range(k * d)]) / self.n + np.diag(np.tile(penalty, k)) if second else None
+        return value, gradient, matrix
+
+    def weights(self, model: LinearModel) -> np.ndarray:
+        """``theta`` of a model."""
+        return np.concatenate([model.weights * self.std, (model.intercepts + model.weights @ self.mean)[:, None]], axis=1)
+
+    def model(self, theta: np.ndarray, classes: Sequence[str], concepts: Sequence[str]) -> LinearModel:
+        w = theta[:, :-1] / self.std
+        return LinearModel(tuple(classes), tuple(concepts), w, theta[:, -1] - w @ self.mean)
+
+
+def linear_loss(df: DataFrame, label: str, concepts: Sequence[str], classes: Sequence[str], *, c: float = 1.0,
+                standardize: bool = False, balanced: bool = False) -> Loss:
+    """The loss that :func:`fit_linear` minimises over ``df``; its rows are persisted, the caller unpersists them."""
+    cols = [F.col(x).cast("double") for x in concepts]
+    weight = balanced_weights(df, label) if balanced else F.lit(1.0)
+    rows = df.select(F.col(label).cast("int").alias("y"), F.array(*cols).alias("x"), weight.alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+    if standardize:
+        v = array_to_vector(F.col("x"))
+        head = rows.agg(Summarizer.metrics("mean", "variance", "count").summary(v).alias("s")).first()["s"]
+        n, mean = head["count"], head["mean"].toArray()
+        std = np.sqrt(head["variance"].toArray() * (n - 1) / n)
+        return Loss(rows, n, len(classes), mean, np.where(std > 0, std, 1.0), c)
+    return Loss(rows, rows.count(), len(classes), np.zeros(len(cols)), np.ones(len(cols)), c)
+
+
 def fit_linear(df: DataFrame, label: str, concepts: Sequence[str], classes: Sequence[str], *,
-               c: float = 1.0, max_iter: int = 1000, tol: float = 1e-6, standardize: bool = False,
+               c: float = 1.0, max_iter: int = 1000, tol: float = 1e-8, standardize: bool = False,
                balanced: bool = False) -> LinearModel:
     """Multinomial logistic regression with an L2 penalty of strength ``1 / c``.
 
     ``label`` holds class indices. With ``standardize`` the scores are scaled first and
-    the weights are turned back to the raw scale.
+    the weights are turned back to the raw scale. Newton steps, one pass each and halved while the loss would rise, end once no entry of the gradient
+    exceeds ``tol``; a model of very many weights is fitted by a quasi-Newton method instead, to the same optimum.
     """
-    cols = list(concepts)
-    data = df.select(F.col(label).cast("double").alias("label"), *[F.col(x).cast("double") for x in cols])
-    if balanced:
-        data = data.withColumn("w", balanced_weights(data, "label"))
-    data = VectorAssembler(inputCols=cols, outputCol="features").transform(data)
-    keep = ["label", "features"] + (["w"] if balanced else [])
-    data = data.select(*keep).persist()
+    loss = linear_loss(df, label, concepts, classes, c=c, standardize=standardize, balanced=balanced)
     try:
-        n = data.count()
-        mean, std, reg = np.zeros(len(cols)), np.ones(len(cols)), 1.0 / (c * n)
-        fitted = data
-        if standardize:
-            scaler = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(data)
-            mean = scaler.mean.toArray()
-            std = np.where(scaler.std.toArray() > 0, scaler.std.toArray(), 1.0)
-            # The scaler divides by the sample deviation; the penalty is meant for
-            # scores divided by the population deviation.
-            reg *= (n - 1) / n
-            fitted = scaler.transform(data).drop("features").withColumnRenamed("z", "features")
-        lr = LogisticRegression(family="multinomial", regParam=reg, standardization=False,
-                                maxIter=max_iter, tol=tol)
-        if balanced:
-            lr = lr.setWeightCol("w")
-        fit = lr.fit(fitted)
-        w = fit.coefficientMatrix.toArray() / std
-        return LinearModel(tuple(classes), tuple(cols), w, fit.interceptVector.toArray() - w @ mean)
+        if loss.classes * loss.width > NEWTON_WEIGHTS:
+            return loss.model(_quasi_newton(loss, max_iter), classes, concepts)
+        theta = np.zeros((loss.classes, loss.width))
+        value, gradient, second = loss.at(theta, True)
+        for _ in range(max_iter):
+            if np.abs(gradient).max() <= tol:
+                break
+            # Adding one number to all intercepts changes nothing: the least step of the many.
+            step = np.linalg.lstsq(second, -gradient.ravel(), rcond=1e-12)[0].reshape(theta.shape)
+            size = 1.0
+            while True:
+                tried = loss.at(theta + size * step, True)
+                if tried[0] <= value + 1e-12 * abs(value) or size < 1e-6:
+                    break
+                size /= 2
+            if size < 1e-6:
+                break
+            theta = theta + size * step
+            value, gradient, second = tried
+        return loss.model(theta, classes, concepts)
     finally:
-        data.unpersist()
+        loss.rows.unpersist()
+
+
+def _quasi_newton(loss: Loss, max_iter: int) -> np.ndarray:
+    mean, std = loss.mean, loss.std
+
+    @F.arrow_udf("array<double>")
+    def scaled(v: pa.Array) -> pa.Array:
+        m, valid = to_matrix(v)
+        return from_matrix((m - mean) / std if len(m) else m, valid)
+
+    data = loss.rows.select(F.col("y").cast("double").alias("label"), array_to_vector(scaled("x")).alias("features"), "w")
+    fit = LogisticRegression(family="multinomial", regParam=1.0 / (loss.c * loss.n), standardization=False, maxIter=max_iter, tol=1e-9, weightCol="w").fit(data)
+    return np.concatenate([fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()[:, None]], axis=1)
+
+
+def linear_gradient(df: DataFrame, label: str, model: LinearModel, *, c: float = 1.0, standardize: bool = False, balanced: bool = False) -> DataFrame:
+    """``class, concept, weight, gradient``: slope of the penalised loss of :func:`fit_linear` in every coefficient (concept NULL: intercept).
+
+    Zero everywhere means that the model is the optimum, since the loss is convex. Slopes are by scaled weights if ``standardize``.
+    """
+    loss = linear_loss(df, label, model.concepts, model.classes, c=c, standardize=standardize, balanced=balanced)
+    try:
+        theta = loss.weights(model)
+        _, gradient, _ = loss.at(theta, False)
+    finally:
+        loss.rows.unpersist()
+    names = [*model.concepts, None]
+    rows = [(k, n, float(theta[i, j]), float(gradient[i, j])) for i, k in enumerate(model.classes) for j, n in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "class string, concept string, weight double, gradient double")
 
 
 def top_weights(coefs: DataFrame, k: int = 5) -> DataFrame:
@@ -165,8 +283,10 @@ class OneClassModel:
     precision: np.ndarray
     cut: float
     scale: float
+    rank: int = 0
+    condition: float = float("nan")
 
-    def _expr(self, which: str) -> Column:
+    def _expr(self, which: str, vec: Column | None = None) -> Column:
         mean, std, prec, cut, scale = self.mean, self.std, self.precision, self.cut, self.scale
 
         @F.arrow_udf("double")
@@ -178,11 +298,16 @@ class OneClassModel:
             d2 = ((z @ prec) * z).sum(axis=1)
             return scatter(d2 if which == "distance" else np.tanh((cut - d2) / scale), valid)
 
-        return value(F.array(*[F.col(c).cast("double") for c in self.concepts]))
+        return value(F.array(*[F.col(c).cast("double") for c in self.concepts]) if vec is None else vec)
 
     def distance(self) -> Column:
+        """Squared Mahalanobis distance."""
         return self._expr("distance")
 
+    def distance_of(self, vec: Column) -> Column:
+        """The same of an array of the concepts' scores."""
+        return self._expr("distance", vec)
+
     def score(self, df: DataFrame, target: str = "target") -> DataFrame:
         """Adds ``score`` in (-1, 1), ``prediction`` and ``confidence``."""
         return (df.withColumn("score", self._expr("score"))
@@ -200,30 +325,53 @@ class OneClassModel:
                 .withColumn("rank", F.row_number().over(order).cast("long")))
 
 
+def checked_inverse(correlation: np.ndarray, limit: float = 1e12) -> tuple[np.ndarray, int, float]:
+    """Inverse of a correlation matrix, its rank and condition number; directions beyond ``limit`` are left out, not blown up."""
+    values, vectors = np.linalg.eigh(correlation)
+    top = values.max()
+    kept = values > top / limit
+    return (vectors[:, kept] / values[kept]) @ vectors[:, kept].T, int(kept.sum()), float(top / max(values.min(), top / limit / 10))
+
+
+def fit_one_class_by(df: DataFrame, label: str | None, concepts: Sequence[str], classes: Sequence, nu: float = 0.1,
+                     diagonal: bool = False) -> dict[object, OneClassModel]:
+    """One model per class; ``label`` None takes the whole table as the one class given.
+
+    The moments of all classes come from one pair of passes, the squared Mahalanobis distances of all rows to their own class from another,
+    and the cuts, exact quantiles, from one job over a column for each class.
+    """
+    cols = list(concepts)
+    group = F.lit(0) if label is None else F.coalesce(*[F.when(F.col(label) == c, i) for i, c in enumerate(classes)])
+    rows = df.select(group.alias("_g"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")).filter("_g is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        moments, raw = co_moments(rows, "_x", "_g"), {}
+        for g, m in moments.items():
+            inverse, rank, condition = (np.eye(len(cols)), len(cols), 1.0) if diagonal else checked_inverse(m.correlation())
+            raw[g] = OneClassModel(tuple(cols), m.mean, m.spread, inverse, 0.0, 1.0, rank, condition)
+        distances = rows.select(*[F.when(F.col("_g") == g, m.distance_of(F.when(F.col("_g") == g, F.col("_x")))).alias(f"d{g}") for g, m in raw.items()]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            names = [f"d{g}" for g in raw]
+            cuts = exact_quantiles(distances, names, [1.0 - nu]).first()
+            spreads = distances.agg(*[F.stddev_pop(n).alias(n) for n in names]).first()
+        finally:
+            distances.unpersist()
+    finally:
+        rows.unpersist()
+    out = {}
+    for g, m in raw.items():
+        spread = spreads[f"d{g}"] or 0.0
+        out[classes[g]] = replace(m, cut=float(cuts[f"d{g}"][0]), scale=spread if spread > 1e-6 else 1.0)
+    return out
+
+
 def fit_one_class(df: DataFrame, concepts: Sequence[str], nu: float = 0.1,
                   diagonal: bool = False) -> OneClassModel:
     """Mean, spread and correlation of one class; the cut leaves a share ``nu`` outside.
 
-    Moments come from one aggregation; the cut is the exact quantile of the squared
-    Mahalanobis distance; ``tanh`` is scaled by the training spread of the decision.
+    The cut is the exact quantile of the squared Mahalanobis distance; ``tanh`` is scaled by the training spread of the decision.
+    ``rank`` and ``condition`` tell whether the correlation could be inverted in full.
     """
-    cols = list(concepts)
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    mean = np.array([row[f"m{i}"] for i in range(len(cols))])
-    std = np.array([row[f"s{i}"] or 0.0 for i in range(len(cols))])
-    std = np.where(std > 0, std, 1.0)
-    prec = np.eye(len(cols))
-    if not diagonal:
-        vec = df.select(array_to_vector(F.array(*[
-            (F.col(c) - float(mean[i])) / float(std[i]) for i, c in enumerate(cols)])).alias("v"))
-        corr = Correlation.corr(vec, "v").head()[0].toArray()
-        prec = np.linalg.pinv(np.where(np.isnan(corr), np.eye(len(cols)), corr))
-    raw = OneClassModel(tuple(cols), mean, std, prec, 0.0, 1.0)
-    dist = df.withColumn("_d2", raw.distance())
-    cut = exact_quantiles(dist, ["_d2"], [1.0 - nu]).first()["_d2"][0]
-    spread = dist.agg(F.stddev_pop("_d2").alias("s")).first()["s"] or 0.0
-    return OneClassModel(tuple(cols), mean, std, prec, float(cut), spread if spread > 1e-6 else 1.0)
+    return fit_one_class_by(df, None, concepts, ["target"], nu, diagonal)["target"]
 
 
 def nu_sweep(df: DataFrame, group: str, target: str, other: str, concepts: Sequence[str],
@@ -260,44 +408,53 @@ def best_row(df: DataFrame, score: str, tie: str, ascending_tie: bool = True) ->
     return df.orderBy(F.col(score).desc(), F.col(tie).asc() if ascending_tie else F.col(tie).desc()).limit(1)
 
 
+def one_vs_rest_scores(test: DataFrame, models: Mapping[object, OneClassModel]) -> DataFrame:
+    """``score_<i>`` of every class and ``predicted``, the class with the highest score (the first one on ties)."""
+    out = test.select("*", *[m._expr("score").alias(f"score_{i}") for i, m in enumerate(models.values())])
+    scores = F.array(*[F.col(f"score_{i}") for i in range(len(models))])
+    return out.withColumn("predicted", F.array(*[F.lit(c) for c in models])[argmax(scores)])
+
+
 def one_vs_rest_one_class(train: DataFrame, test: DataFrame, label: str, concepts: Sequence[str],
                           classes: Sequence[str], nu: float = 0.1) -> DataFrame:
-    """One one-class model per class; the class with the highest score is predicted.
+    """One one-class model per class, fitted in shared passes; the class with the highest score is predicted.
 
     The class list is part of the task, so each class contributes one score column.
     """
-    out = test
-    for i, c in enumerate(classes):
-        model = fit_one_class(train.filter(F.col(label) == c), concepts, nu)
-        out = out.withColumn(f"score_{i}", model._expr("score"))
-    scores = F.array(*[F.col(f"score_{i}") for i in range(len(classes))])
-    names = F.array(*[F.lit(c) for c in classes])
-    return out.withColumn("predicted", names[argmax(scores)])
+    models = fit_one_class_by(train, label, concepts, classes, nu)
+    return one_vs_rest_scores(test, {c: models[c] for c in classes})
 
 
 def one_vs_rest_projected(train: DataFrame, test: DataFrame, label: str, vec: str, classes: Sequence[str],
                           dims: int = 50, nu: float = 0.1) -> DataFrame:
     """One-class model per class over raw vectors, each with a scaler and a projection of its own class.
 
-    The class with the highest score is ``predicted``, the first one on ties.
+    Scalers and projections of all classes follow from one pair of passes over the training rows (the principal directions of
+    scaled rows are those of the correlation), and the models share theirs. The class with the highest score is ``predicted``, the first one on ties.
     """
-    out = test
-    for i, c in enumerate(classes):
-        rows = train.filter(F.col(label) == c).select(vec)
-        scaler = fit_scaler(rows, vec)
-        projection = fit_projection(rows.select(scaler.apply(vec).alias("_z")), "_z", dims)
-        names = [f"_x{j}" for j in range(projection.components.shape[1])]
+    inside = train.filter(F.col(label).isin(list(classes)))
+    moments = co_moments(inside, vec, label)
 
-        def project(df: DataFrame, scaler=scaler, projection=projection, names=names) -> DataFrame:
-            spread = df.withColumn("_x", projection.apply(scaler.apply(vec), normalize=False))
-            return spread.select(*df.columns, *[F.col("_x")[j].alias(n) for j, n in enumerate(names)])
+    def chain(m: Moments) -> tuple[Scaler, Projection]:
+        scaled = Moments(m.count, np.zeros(len(m.mean)), m.scatter / np.outer(m.spread, m.spread))
+        return Scaler(m.mean, m.spread), projection_of(scaled, dims)
 
-        inside = project(rows).select(*names).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = fit_one_class(inside, names, nu)
-        finally:
-            inside.unpersist()
-        out = project(out).withColumn(f"score_{i}", model._expr("score")).drop(*names)
+    chains = {c: chain(moments[c]) for c in classes}
+    width = {c: p.components.shape[1] for c, (_, p) in chains.items()}
+
+    def project(c: str, source: Column) -> Column:
+        scaler, projection = chains[c]
+        return projection.apply(scaler.apply(source), normalize=False)
+
+    own = F.coalesce(*[project(c, F.when(F.col(label) == c, F.col(vec))) for c in classes])
+    spread = inside.select(F.col(label).alias("_label"), own.alias("_x"))
+    out = test
+    for w in sorted(set(width.values())):  # classes of few rows have fewer directions
+        same = [c for c in classes if width[c] == w]
+        names = [f"_x{j}" for j in range(w)]
+        models = fit_one_class_by(spread.filter(F.col("_label").isin(same)).select("_label", *[F.col("_x")[j].alias(n) for j, n in enumerate(names)]), "_label", names, same, nu)
+        for c in same:
+            out = out.withColumn(f"score_{list(classes).index(c)}", models[c]._expr("score", project(c, F.col(vec))))
     scores = F.array(*[F.col(f"score_{i}") for i in range(len(classes))])
     return out.withColumn("predicted", F.array(*[F.lit(c) for c in classes])[argmax(scores)])
 

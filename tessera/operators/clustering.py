@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import append_position, from_matrix, l2_normalize, scatter, to_matrix
 from tessera.functions.grid import grid_col, grid_row
+from tessera.functions.hashing import seeded_pick
 from tessera.operators.metrics import seeded_sample
-from tessera.operators.vectors import Projection, fit_projection
+from tessera.operators.moments import co_moments
+from tessera.operators.passes import (Assign, Sums, closest, costs, drawn_rows, grouped_vectors, lloyd,
+                                      spread_seeds, weighted_sums)
+from tessera.operators.vectors import Projection, fit_projection, projection_of
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,14 @@ class DiagonalMixture:
         total = e.sum(axis=1, keepdims=True)
         return e / total, (top + np.log(total))[:, 0]
 
+    def expectation(self) -> Assign:
+        """Responsibilities of rows, and the sum of their log-likelihoods."""
+        def soft(x: np.ndarray) -> tuple[np.ndarray, float]:
+            weight, ll = self.responsibilities(x)
+            return weight, float(ll.sum())
+
+        return soft
+
     def membership(self, vec: str | Column) -> Column:
         """Posterior of every component, as an array."""
         @F.arrow_udf("array<double>")
@@ -80,162 +90,154 @@ class DiagonalMixture:
                    np.array([r["variance"] for r in rows]), rows[0]["bound"])
 
 
-def _summed(stats: DataFrame, runs: int, k: int, width: int, parts: int) -> tuple[np.ndarray, ...]:
-    """Per-partition sums -> totals by (run, component).
-
-    Few partitions send their small sums directly; many are added up on executors
-    first, so what reaches the driver does not grow with the data.
-    """
-    if parts * runs * k * width * 16 > _DIRECT_BYTES:
-        stats = stats.groupBy("run", "comp").agg(
-            F.sum("n").alias("n"), F.sum("ll").alias("ll"), F.sum("rows").alias("rows"),
-            vector_to_array(Summarizer.sum(array_to_vector("sx"))).alias("sx"),
-            vector_to_array(Summarizer.sum(array_to_vector("sxx"))).alias("sxx"))
-    got = stats.toArrow()
-    run, comp = (got.column(c).to_numpy() for c in ("run", "comp"))
-    n, ll, count = np.zeros((runs, k)), np.zeros(runs), np.zeros(runs)
-    sx, sxx = np.zeros((runs, k, width)), np.zeros((runs, k, width))
-    np.add.at(n, (run, comp), got.column("n").to_numpy())
-    np.add.at(ll, run, got.column("ll").to_numpy())
-    np.add.at(count, run, got.column("rows").to_numpy())
-    np.add.at(sx, (run, comp), to_matrix(got.column("sx"))[0])
-    np.add.at(sxx, (run, comp), to_matrix(got.column("sxx"))[0])
-    return n, sx, sxx, ll, count
-
-
-_DIRECT_BYTES = 64 << 20
-_SEED_ROWS = 4096
-_STATS = "run int, comp int, n double, ll double, rows double, sx array<double>, sxx array<double>"
-
-
-def _partial_sums(data: DataFrame, assign, runs: Sequence[int]) -> DataFrame:
-    """One small set of rows per partition: weighted sums for each run and component."""
-    def body(batches):
-        acc: dict[int, list] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x, _ = to_matrix(batch.column(0))
-            for run in runs:
-                resp, ll = assign(run, x)
-                part = [resp.sum(axis=0), resp.T @ x, resp.T @ (x * x), ll, float(len(x))]
-                acc[run] = part if run not in acc else [a + b for a, b in zip(acc[run], part)]
-        for run, (n, sx, sxx, ll, rows) in acc.items():
-            k = len(n)
-            zeros = np.zeros(k)
-            zeros[0] = 1.0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, run, dtype=np.int32)), pa.array(np.arange(k, dtype=np.int32)),
-                 pa.array(n), pa.array(zeros * ll), pa.array(zeros * rows),
-                 from_matrix(sx, np.ones(k, dtype=bool)), from_matrix(sxx, np.ones(k, dtype=bool))],
-                names=["run", "comp", "n", "ll", "rows", "sx", "sxx"])
-
-    return data.mapInArrow(body, _STATS)
-
-
-def _maximise(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, floor: float) -> DiagonalMixture:
-    n = n + 10 * np.finfo(float).eps
-    means = sx / n[:, None]
-    variances = np.maximum(sxx / n[:, None] - means ** 2, 0.0) + floor
+def _maximise(sums: Sums, floor: float) -> DiagonalMixture:
+    n = sums.n + 10 * np.finfo(float).eps
+    means = sums.sx / n[:, None]
+    variances = np.maximum(sums.sxx / n[:, None] - means ** 2, 0.0) + floor
     return DiagonalMixture(n / n.sum(), means, variances)
 
 
-def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
-                fit_sample: int | None = None, n_init: int = 3, max_iter: int = 200,
-                tol: float = 1e-3, floor: float = 1e-6, lloyd_steps: int = 5,
-                seed: int = 42) -> DiagonalMixture:
-    """Diagonal Gaussian mixture by distributed expectation maximisation.
-
-    Every iteration is one pass: executors compute responsibilities per Arrow batch
-    and keep only weighted sums, which are added up before ``k`` rows per restart
-    reach the driver. All restarts share the pass until each has converged; the one
+def fit_mixtures(data: DataFrame, k: Mapping[int, int], *, n_init: int = 3, max_iter: int = 200, tol: float = 1e-3,
+                 floor: float = 1e-6, lloyd_steps: int = 5, seed: int = 42) -> dict[int, DiagonalMixture]:
+    """Diagonal Gaussian mixtures of all groups of ``data`` (``g, x``, persisted) by distributed expectation maximisation.
+
+    Every iteration is one pass for all groups and restarts that are still open: executors compute responsibilities per Arrow batch
+    and keep only weighted sums, ``k`` rows for each of them. Of a group's restarts the one
     with the best mean log-likelihood wins. Restarts begin from partitions around
-    spread-out seeds, refined by a few shared k-means passes.
+    spread-out seeds, refined by a few shared k-means passes. Vectors of a group have one length.
     """
-    data = df if fit_sample is None else seeded_sample(df.select(row_id, vec), row_id, fit_sample, seed)
-    data = (data.select(F.col(vec).cast("array<double>").alias("x"))
-            .filter(F.col("x").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK))
+    parts, draw = data.rdd.getNumPartitions(), drawn_rows(data, seed)
+    seeds = {g * n_init + r: (g, spread_seeds(draw[g], k[g], np.random.default_rng(seed + r))) for g in k for r in range(n_init)}
+    shapes = {run: c.shape for run, (_, c) in seeds.items()}
+    refined = lloyd(data, seeds, lloyd_steps, 1e-4, parts)
+    hard = weighted_sums(data, {run: (seeds[run][0], closest(c)) for run, (c, _, _) in refined.items()}, shapes, parts)
+    models = {run: _maximise(s, floor) for run, s in hard.items()}
+    bounds, active = dict.fromkeys(seeds, -np.inf), list(seeds)
+    for step in range(1, max_iter + 1):
+        sums = weighted_sums(data, {run: (seeds[run][0], models[run].expectation()) for run in active}, shapes, parts)
+        still = []
+        for run in active:
+            bound = sums[run].value / sums[run].rows
+            new, settled = _maximise(sums[run], floor), bool(abs(bound - bounds[run]) < tol)
+            models[run] = replace(new, bound=bound, iterations=step, converged=settled)
+            if not settled:
+                still.append(run)
+            bounds[run] = bound
+        active = still
+        if not active:
+            break
+    return {g: max((models[g * n_init + r] for r in range(n_init)), key=lambda m: m.bound) for g in k}
+
+
+def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
+                fit_sample: int | None = None, seed: int = 42, **options) -> DiagonalMixture:
+    """Diagonal Gaussian mixture of one table (see :func:`fit_mixtures`); ``fit_sample`` asks for a seeded sample."""
+    rows = df if fit_sample is None else seeded_sample(df.select(row_id, vec), row_id, fit_sample, seed)
+    data = grouped_vectors(rows, vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # A bounded draw over all rows, wherever they lie: those of smallest hash.
-        drawn, _ = to_matrix(data.orderBy(F.xxhash64("x", F.lit(seed))).limit(_SEED_ROWS).toArrow().column("x"))
-        width, parts, runs = drawn.shape[1], data.rdd.getNumPartitions(), list(range(n_init))
-        centres = [_spread_seeds(drawn, k, np.random.default_rng(seed + r)) for r in runs]
-        for _ in range(lloyd_steps + 1):
-            current = [c.copy() for c in centres]
-
-            def hard(run, x, c=current):
-                d = (c[run] * c[run]).sum(axis=1) - 2.0 * x @ c[run].T
-                return np.eye(len(c[run]))[d.argmin(axis=1)], 0.0
-
-            n, sx, sxx, _, _ = _summed(_partial_sums(data, hard, runs), n_init, k, width, parts)
-            moved = [np.where(n[r][:, None] > 0, sx[r] / np.maximum(n[r], 1.0)[:, None], centres[r]) for r in runs]
-            still = max(np.abs(m - c).max() for m, c in zip(moved, centres)) < 1e-4
-            centres = moved
-            if still:
-                break
-        models = [_maximise(n[r], sx[r], sxx[r], floor) for r in runs]
-        bounds = [-np.inf] * n_init
-        active = runs
-        for step in range(1, max_iter + 1):
-            mixes = list(models)
-
-            def soft(run, x, m=mixes):
-                resp, ll = m[run].responsibilities(x)
-                return resp, float(ll.sum())
-
-            n, sx, sxx, ll, rows = _summed(_partial_sums(data, soft, active), n_init, k, width, parts)
-            open_runs = []
-            for run in active:
-                bound = ll[run] / rows[run]
-                new = _maximise(n[run], sx[run], sxx[run], floor)
-                still = abs(bound - bounds[run]) < tol
-                models[run] = DiagonalMixture(new.weights, new.means, new.variances, bound, step, still)
-                if not still:
-                    open_runs.append(run)
-                bounds[run] = bound
-            active = open_runs
-            if not active:
-                break
-        return max(models, key=lambda m: m.bound)
+        return fit_mixtures(data, {0: k}, seed=seed, **options)[0]
     finally:
         data.unpersist()
 
 
 def mixture_step(df: DataFrame, vec: str, mix: DiagonalMixture, floor: float = 1e-6) -> DiagonalMixture:
     """One expectation and maximisation step over all rows; ``bound`` is the mean log-likelihood before it."""
-    data = df.select(F.col(vec).cast("array<double>").alias("x")).filter(F.col("x").isNotNull())
-
-    def soft(run, x):
-        resp, ll = mix.responsibilities(x)
-        return resp, float(ll.sum())
-
-    n, sx, sxx, ll, rows = _summed(_partial_sums(data, soft, [0]), 1, mix.k, mix.means.shape[1], data.rdd.getNumPartitions())
-    new = _maximise(n[0], sx[0], sxx[0], floor)
-    return DiagonalMixture(new.weights, new.means, new.variances, ll[0] / rows[0], mix.iterations + 1)
-
-
-def _spread_seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """``k`` seeds from a bounded draw of rows, each far from those before it."""
-    picked = [rows[rng.integers(len(rows))]]
-    gap = ((rows - picked[0]) ** 2).sum(axis=1)
-    for _ in range(k - 1):
-        total = gap.sum()
-        at = rng.choice(len(rows), p=gap / total) if total > 0 else rng.integers(len(rows))
-        picked.append(rows[at])
-        gap = np.minimum(gap, ((rows - rows[at]) ** 2).sum(axis=1))
-    return np.array(picked)
-
-
-def fit_kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, n_init: int = 1,
-               max_iter: int = 100):
-    """k-means with the lowest cost over ``n_init`` seeds (parallel seeding)."""
-    points = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    data = grouped_vectors(df, vec)
+    sums = weighted_sums(data, {0: (0, mix.expectation())}, {0: mix.means.shape}, data.rdd.getNumPartitions())[0]
+    return replace(_maximise(sums, floor), bound=sums.value / sums.rows, iterations=mix.iterations + 1)
+
+
+@dataclass(frozen=True)
+class CentreFit:
+    """Centres of a k-means fit, their cost over all rows, and whether the iterations settled."""
+
+    centres: np.ndarray
+    cost: float
+    iterations: int
+    converged: bool
+
+
+def fit_centres(data: DataFrame, ks: Sequence[int], *, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, seed: int = 42) -> dict[int, CentreFit]:
+    """k-means for every ``k`` with ``n_init`` seeds each, all in shared passes over ``data`` (``g, x``, persisted, one group).
+
+    The fit of lowest cost over all rows is kept for each ``k``.
+    """
+    parts, draw = data.rdd.getNumPartitions(), drawn_rows(data, seed)[0]
+    seeds = {i * n_init + r: (0, spread_seeds(draw, k, np.random.default_rng(seed + r))) for i, k in enumerate(ks) for r in range(n_init)}
+    found = lloyd(data, seeds, max_iter, tol, parts)
+    cost = costs(data, {run: (0, c) for run, (c, _, _) in found.items()}, parts)
+    best = {k: min(range(i * n_init, (i + 1) * n_init), key=cost.__getitem__) for i, k in enumerate(ks)}
+    return {k: CentreFit(found[run][0], cost[run], *found[run][1:]) for k, run in best.items()}
+
+
+def fit_kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300) -> CentreFit:
+    """k-means with the lowest cost over ``n_init`` seeds; all restarts share their passes."""
+    data = grouped_vectors(df, vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(points) for i in range(n_init)]
-        return min(fits, key=lambda m: m.summary.trainingCost)
+        return fit_centres(data, [k], n_init=n_init, max_iter=max_iter, seed=seed)[k]
     finally:
-        points.unpersist()
+        data.unpersist()
+
+
+def batch_number(key: str, batches: int, seed: int | str) -> Column:
+    """The mini-batch of a row, by the seeded digest of its key."""
+    return seeded_pick(key, seed, batches)
+
+
+def mini_batch_update(centres: np.ndarray, counts: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray]:
+    """Centres after one batch, each moved by its own learning rate (the batch's share of all rows it has seen), and new counts."""
+    total = counts + sums.n
+    rate = np.where(sums.n > 0, 1.0 / np.maximum(total, 1.0), 0.0)
+    return centres + rate[:, None] * (sums.sx - sums.n[:, None] * centres), total
+
+
+def mini_batch_step(df: DataFrame, vec: str, key: str, centres: np.ndarray, counts: np.ndarray, batch: int, batches: int, seed: int | str) -> tuple[np.ndarray, np.ndarray]:
+    """One update of given centres from one batch of ``df``."""
+    data = grouped_vectors(df.filter(batch_number(key, batches, seed) == batch), vec)
+    sums = weighted_sums(data, {0: (0, closest(centres))}, {0: centres.shape}, data.rdd.getNumPartitions(), squares=False)[0]
+    return mini_batch_update(centres, counts, sums)
+
+
+def fit_mini_batch(df: DataFrame, vec: str, key: str, k: int, *, batch_rows: int = 4096, n_init: int = 10, max_iter: int = 300,
+                   patience: int = 10, tol: float = 1e-4, seed: int = 42) -> CentreFit:
+    """Mini-batch k-means: batches of about ``batch_rows`` rows drawn by the digest of ``key``, all restarts in one pass for each batch.
+
+    Every centre moves by its own learning rate, one over the rows it has seen. A restart stops once its cost per row, smoothed
+    over batches, has not fallen by a share of ``tol`` for ``patience`` batches, or after ``max_iter`` rounds of all
+    batches. The restart of lowest cost over all rows wins. Rows lie sorted by batch in the cache, so a batch reads little else.
+    """
+    rows = df.filter(F.col(vec).isNotNull() & F.col(key).isNotNull())
+    count = rows.count()
+    batches = max(1, -(-count // batch_rows))
+    dealt = grouped_vectors(rows, vec, None, batch_number(key, batches, seed).alias("b"))
+    data = (dealt.repartitionByRange("b").sortWithinPartitions("b") if batches > 1 else dealt).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        parts, draw = data.rdd.getNumPartitions(), drawn_rows(data, seed)[0]
+        state = {r: (spread_seeds(draw, k, np.random.default_rng(seed + r)), np.zeros(k)) for r in range(n_init)}
+        shapes = {r: c.shape for r, (c, _) in state.items()}
+        smooth, lowest, waited, steps = {}, dict.fromkeys(state, np.inf), dict.fromkeys(state, 0), dict.fromkeys(state, 0)
+        share = min(1.0, 2.0 * batch_rows / (count + 1))
+        order = np.random.default_rng(seed)
+        active = list(state)
+        for _ in range(max_iter):
+            for b in order.permutation(batches).tolist():
+                if not active:
+                    break
+                part = data.filter(F.col("b") == b)
+                for r, s in weighted_sums(part, {r: (0, closest(state[r][0])) for r in active}, shapes, parts, squares=False).items():
+                    if s.rows == 0:
+                        continue
+                    state[r] = mini_batch_update(*state[r], s)
+                    cost = s.value / s.rows
+                    smooth[r] = cost if r not in smooth else share * cost + (1 - share) * smooth[r]
+                    waited[r] = 0 if smooth[r] < lowest[r] * (1 - tol) else waited[r] + 1
+                    lowest[r], steps[r] = min(lowest[r], smooth[r]), steps[r] + 1
+                active = [r for r in active if waited[r] < patience]
+        cost = costs(data, {r: (0, c) for r, (c, _) in state.items()}, parts)
+        best = min(cost, key=cost.__getitem__)
+        return CentreFit(state[best][0], cost[best], steps[best], best not in active)
+    finally:
+        data.unpersist()
 
 
 def nearest_centre(centres: np.ndarray, vec: str | Column) -> Column:
@@ -287,10 +289,29 @@ def fit_panel(rows: DataFrame, vec: str, width: int, k: int, *, dims: int = 50,
                              max_iter=max_iter, seed=seed)
 
 
-def fit_panels(long: DataFrame, panel: str, vec: str, widths: dict[str, int], k: int,
-               **options) -> dict[str, PanelModel]:
-    """One model per panel (``widths``: panel -> vector length); each fit runs on the whole cluster."""
-    return {p: fit_panel(long.filter(F.col(panel) == p), vec, w, k, **options) for p, w in widths.items()}
+def fit_panels(long: DataFrame, panel: str, vec: str, widths: dict[str, int], k: int, *, dims: int = 50, row_id: str | None = None,
+               fit_sample: int | None = None, seed: int = 42, **options) -> dict[str, PanelModel]:
+    """One model per panel (``widths``: panel -> vector length), as :func:`fit_panel` would fit it, in passes that all panels share.
+
+    Moments of all panels come from one pair of passes, and every iteration of the mixtures is one pass
+    for all panels and restarts, though their vectors differ in length.
+    """
+    names = list(widths)
+    rows = long.filter(F.col(panel).isin(names))
+    if fit_sample is not None:
+        kept = [seeded_sample(rows.filter(F.col(panel) == p), row_id, fit_sample, seed) for p in names]
+        rows = reduce(DataFrame.unionByName, kept)
+    units = rows.select(F.col(panel).alias("panel"), l2_normalize(vec).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    preps = {p: FeaturePrep(projection_of(m, min(dims, max(1, widths[p] - 1)))) for p, m in co_moments(units, "x", "panel").items()}
+    number = F.coalesce(*[F.when(F.col("panel") == p, i) for i, p in enumerate(names)])
+    projected = F.coalesce(*[preps[p].projection.apply(F.when(F.col("panel") == p, F.col("x"))) for p in names if p in preps])
+    data = grouped_vectors(units.withColumn("_x", projected), "_x", number).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = fit_mixtures(data, {i: k for i, p in enumerate(names) if p in preps}, seed=seed, **options)
+        return {p: (preps[p], found[i]) for i, p in enumerate(names) if p in preps}
+    finally:
+        data.unpersist()
+        units.unpersist()
 
 
 def assign_panels(long: DataFrame, panel: str, vec: str,

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.bands import dimension_label
 from tessera.functions.vectors import l2_normalize, to_matrix, unit_rows
+from tessera.operators.blocks import best_scores, coded, meet_blocks
 from tessera.operators.vectors import VectorTable, mean_vectors
 from tessera.session import small_side
 
@@ -26,6 +27,14 @@ def name_clusters(assigned: DataFrame, labels: DataFrame, cluster: str = "cluste
             .withColumn(name, dimension_label("label", "include", cluster)).drop("label", "include"))
 
 
+def entity_rows(rows: DataFrame, entities: DataFrame, entity: str, how: str = "inner") -> DataFrame:
+    """Rows of an entity (patches of an image) with the columns of the entity table, which has one row per entity.
+
+    The table is broadcast if it is measured to be small. ``how`` is inner (rows of unknown entities go) or left.
+    """
+    return rows.join(small_side(entities), entity, how)
+
+
 def concept_vectors(assigned: DataFrame, labels: DataFrame, cluster: str, vec: str,
                     normalize: bool = True) -> DataFrame:
     """Mean vector of every named, included, non-empty cluster.
@@ -84,36 +93,45 @@ def score_ranges(rows: DataFrame) -> DataFrame:
 
 
 def similarity_scores(df: DataFrame, entity: str, vec: str, targets: DataFrame, key: str,
-                      how: str = "top", k: int = 10, row_key: str | None = None) -> DataFrame:
+                      how: str = "top", k: int = 10) -> DataFrame:
     """Cosine-based concept score per entity: mean of the ``k`` best rows, or the best.
 
-    An entity (image) has at most one row per grid cell, so its rows are one bounded
-    array; one row per vector moves, and each (entity, block of targets) is a matrix product. ``row_key``
-    is not needed: rows that tie have equal scores.
+    Every batch (or, with many targets, every block of rows and targets) keeps the ``k`` best scores of each entity in it to each
+    target; those states merge by entity and target, so an entity's rows never have to meet. Rows without a vector do not count; entities
+    without any have no scores.
     """
+    k = 1 if how == "max" else k
     result = T.StructType([T.StructField(entity, df.schema[entity].dataType), T.StructField(key, targets.schema[key].dataType),
                            T.StructField("score", T.DoubleType())])
     kinds = [to_arrow_type(f.dataType) for f in result.fields]
 
-    def scorer(block: VectorTable):
-        units, ids = unit_rows(block.matrix), block.ids
-
-        def score(group: pa.Table) -> pa.Table:
-            m, _ = to_matrix(group.column(vec))
-            if not len(m):
-                return pa.table([pa.array([], t) for t in kinds], names=result.names)
-            sims = unit_rows(m) @ units.T
-            best = sims.max(axis=0) if how == "max" else -np.sort(-sims, axis=0)[:k].mean(axis=0)
-            who = pa.repeat(group.column(entity)[0], len(ids))
-            return pa.table([who.cast(kinds[0]), pa.array(ids).cast(kinds[1]), pa.array(best)], names=result.names)
-
-        return score
-
-    parts = [df.select(entity, F.col(vec).cast("array<double>").alias(vec)).groupBy(entity).applyInArrow(scorer(block), result)
-             for block in VectorTable.blocks(targets, key, "vector")]
-    if not parts:
-        return df.sparkSession.createDataFrame([], result)
-    return reduce(DataFrame.unionByName, parts)
+    def state(rows: pa.Table, ids: pa.Array, units: np.ndarray) -> pa.Table:
+        names, code = coded(rows["_entity"])
+        who, which, score = best_scores(code, unit_rows(to_matrix(rows["_vec"])[0]) @ units.T, k)
+        columns = [names.take(pa.array(who)), ids.take(pa.array(which)), pa.array(score)]
+        return pa.table([c.cast(t) for c, t in zip(columns, kinds)], names=result.names)
+
+    rows = df.filter(F.col(vec).isNotNull()).select(F.col(entity).alias("_entity"), F.col(vec).cast("array<double>").alias("_vec"))
+    table = VectorTable.of(targets, key, "vector")
+    if table is None:
+        def cell(part: pa.Table, block: pa.Table) -> pa.Table:
+            block = block.filter(block["_vector"].is_valid())
+            return state(part, block["_key"].combine_chunks(), unit_rows(to_matrix(block["_vector"])[0]))
+
+        states = meet_blocks(rows.withColumn("_row", F.monotonically_increasing_id()), "_row", "_vec", targets, key, "vector", cell, result)
+    else:
+        ids, units = pa.array(table.ids, kinds[1]), unit_rows(table.matrix)
+
+        def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    yield from state(pa.Table.from_batches([batch]), ids, units).to_batches()
+
+        states = rows.mapInArrow(batchwise, result)
+    if k > 1:
+        place = F.row_number().over(W.partitionBy(entity, key).orderBy(F.desc("score")))
+        states = states.withColumn("_place", place).filter(F.col("_place") <= k)
+    return states.groupBy(entity, key).agg((F.max if k == 1 else F.avg)("score").alias("score"))
 
 
 def membership_matrix(blocks: Sequence[DataFrame], entity: str, names: Sequence[str]) -> DataFrame:

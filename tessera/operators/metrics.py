@@ -18,7 +18,8 @@ from tessera.functions.hashing import seeded_hash
 from tessera.functions.vectors import cosine, scatter
 from tessera.operators.ordering import exclusive_sums, hash_buckets, rank_rows, take_first
 from tessera.session import small_side
-from tessera.operators.vectors import (centre_gaps, euclidean_silhouette, mean_vectors,
+from tessera.operators.blocks import silhouettes
+from tessera.operators.vectors import (centre_gaps, mean_vectors,
                                        own_distance)
 
 
@@ -115,7 +116,7 @@ def silhouette(df: DataFrame, cluster: str, vec: str, row_id: str, sample: int |
     """Mean Euclidean silhouette over all rows, or over a seeded sample if one is asked for; one row."""
     rows = df.select(row_id, cluster, vec)
     drawn = rows if sample is None else seeded_sample(rows, row_id, sample, seed)
-    return euclidean_silhouette(drawn, vec, cluster).agg(F.avg("silhouette").alias("silhouette"))
+    return silhouettes(drawn, row_id, cluster, vec).agg(F.avg("silhouette").alias("silhouette"))
 
 
 def silhouette_squared(df: DataFrame, cluster: str, vec: str) -> float:

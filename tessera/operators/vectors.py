@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.vectors import (cosine, euclidean, from_matrix, l2_normalize, scatter,
                                        to_matrix, unit_rows)
+from tessera.operators.moments import Moments, co_moments
+from tessera.operators.blocks import mean_gap, nearest_in_blocks, silhouettes
 
 TABLE_ROWS = 4096
 TABLE_BYTES = 64 << 20
@@ -43,24 +44,15 @@ class VectorTable:
     matrix: np.ndarray
 
     @classmethod
-    def of(cls, df: DataFrame, key: str, vec: str, max_rows: int = TABLE_ROWS,
-           max_bytes: int = TABLE_BYTES) -> VectorTable | None:
+    def of(cls, df: DataFrame, key: str, vec: str, max_rows: int | None = None,
+           max_bytes: int | None = None) -> VectorTable | None:
         """Read the table, or ``None`` when it exceeds the bound."""
+        max_rows, max_bytes = max_rows or TABLE_ROWS, max_bytes or TABLE_BYTES
         rows = df.select(key, vec).limit(max_rows + 1).toArrow()
         if rows.num_rows > max_rows or rows.nbytes > max_bytes:
             return None
         return cls.from_rows(rows, key, vec)
 
-    @classmethod
-    def blocks(cls, df: DataFrame, key: str, vec: str) -> Iterator[VectorTable]:
-        """The whole table in blocks of about half the bound each, by a hash of the key."""
-        head = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(vec)), F.lit(0)).alias("cells")).first()
-        n = max(1, -(-head["n"] // (TABLE_ROWS // 2)), -(-head["cells"] * 8 // (TABLE_BYTES // 2))) if head["n"] > TABLE_ROWS or head["cells"] * 8 > TABLE_BYTES else 1
-        for b in range(n):
-            block = cls.from_rows(df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b).select(key, vec).toArrow(), key, vec)
-            if len(block.ids):
-                yield block
-
     @classmethod
     def from_rows(cls, rows: pa.Table, key: str, vec: str) -> VectorTable:
         rows = rows.sort_by(key)
@@ -113,30 +105,24 @@ def nearest(df: DataFrame, vec: str, targets: DataFrame, key: str,
             id_name: str = "nearest", sim_name: str = "similarity") -> DataFrame:
     """Most similar row of ``targets`` for each row; the lowest key wins ties.
 
-    The targets are few (named clusters) and travel as matrices of bounded size; the
-    best of each block is kept. Similarities that agree in twelve places tie, within a
-    block and between blocks. Keys may have any ordered type.
+    Few targets (named clusters, measured) travel as one matrix and nothing is shuffled. Beyond the
+    bound, blocks of rows meet blocks of targets on the executors and the best of each row is kept. Similarities that agree in
+    twelve places tie. Keys may have any ordered type. Rows without a vector, and all rows if there are no targets, get NULL.
     """
     kind = targets.schema[key].dataType
-    names, best = [], None
-    for block in VectorTable.blocks(targets, key, "vector"):
-        names.append(f"_near_{uuid.uuid4().hex}")
-        df = df.withColumn(names[-1], _nearest_in(block, kind)(vec))
-        here = F.col(names[-1])
-        if best is None:
-            best = here
-        else:
-            better = (here["tie"] > best["tie"]) | ((here["tie"] == best["tie"]) & (here["id"] < best["id"]))
-            best = F.when(better, here).otherwise(best)
-    if best is None:
-        return df.withColumn(id_name, F.lit(None).cast(kind)).withColumn(sim_name, F.lit(None).cast("double"))
-    kept = [F.col(c) for c in df.columns if c not in (*names, id_name, sim_name)]
-    return df.select(*kept, best["id"].alias(id_name), best["sim"].alias(sim_name))
+    table = VectorTable.of(targets, key, "vector")
+    if table is None:
+        return nearest_in_blocks(df, vec, targets, key, "vector", id_name, sim_name)
+    kept = [F.col(c) for c in df.columns if c not in (id_name, sim_name)]
+    if not len(table.ids):
+        return df.select(*kept, F.lit(None).cast(kind).alias(id_name), F.lit(None).cast("double").alias(sim_name))
+    name = f"_near_{uuid.uuid4().hex}"
+    return df.withColumn(name, _nearest_in(table, kind)(vec)).select(*kept, F.col(name)["id"].alias(id_name), F.col(name)["sim"].alias(sim_name))
 
 
 def _nearest_in(table: VectorTable, kind: T.DataType):
     units, ids = unit_rows(table.matrix), table.ids
-    result = T.StructType([T.StructField("id", kind), T.StructField("sim", T.DoubleType()), T.StructField("tie", T.DoubleType())])
+    result = T.StructType([T.StructField("id", kind), T.StructField("sim", T.DoubleType())])
     arrow = to_arrow_type(kind)
 
     @F.arrow_udf(result)
@@ -144,13 +130,12 @@ def _nearest_in(table: VectorTable, kind: T.DataType):
         m, valid = to_matrix(v)
         sims = unit_rows(m) @ units.T if len(m) else np.zeros((0, len(ids)))
         # Equal similarities may differ in the last bit between matrix layouts.
-        ties = np.round(sims, 12)
-        arg = ties.argmax(axis=1) if len(m) else np.zeros(0, dtype=int)
+        arg = np.round(sims, 12).argmax(axis=1) if len(m) else np.zeros(0, dtype=int)
         rows = np.arange(len(arg))
         at = np.full(len(valid), -1)
         at[valid] = arg
         picked = pa.array(ids).take(pa.array(at, mask=~valid)).cast(arrow)
-        return pa.StructArray.from_arrays([picked, scatter(sims[rows, arg], valid), scatter(ties[rows, arg], valid)], names=["id", "sim", "tie"])
+        return pa.StructArray.from_arrays([picked, scatter(sims[rows, arg], valid)], names=["id", "sim"])
 
     return pick
 
@@ -158,30 +143,9 @@ def _nearest_in(table: VectorTable, kind: T.DataType):
 def centre_gaps(centres: DataFrame, key: str) -> DataFrame:
     """Mean distance between distinct centres; one row ``inter_mean``.
 
-    Centres are compared with matrices of the centres on the executors, block by
-    block; no pair is ever a row.
+    Blocks of centres meet pairwise on the executors; no pair is ever a row.
     """
-    def later(block: VectorTable):
-        ids, matrix = block.ids, block.matrix
-
-        @F.arrow_udf("struct<s:double,n:bigint>")
-        def gaps(v: pa.Array, k: pa.Array) -> pa.Array:
-            m, _ = to_matrix(v)
-            at = k.to_numpy(zero_copy_only=False)
-            sums, counts = np.zeros(len(m)), np.zeros(len(m), dtype=np.int64)
-            for i, row in enumerate(m):
-                rest = matrix[ids > at[i]]
-                sums[i] = np.sqrt(((rest - row) ** 2).sum(axis=1)).sum()
-                counts[i] = len(rest)
-            return pa.StructArray.from_arrays([pa.array(sums), pa.array(counts)], names=["s", "n"])
-
-        return gaps("vector", key)
-
-    parts = [later(block).alias(f"d{i}") for i, block in enumerate(VectorTable.blocks(centres, key, "vector"))]
-    if not parts:
-        return centres.agg(F.lit(None).cast("double").alias("inter_mean"))
-    total = lambda field: sum((F.sum(F.col(f"d{i}")[field]) for i in range(1, len(parts))), F.sum(F.col("d0")[field]))
-    return centres.select(*parts).agg((total("s") / total("n")).alias("inter_mean"))
+    return mean_gap(centres, key, "vector")
 
 
 @dataclass(frozen=True)
@@ -242,21 +206,35 @@ class Projection:
                    np.array([r["explained"] for r in rows[1:]]))
 
 
+def projection_of(moments: Moments, dims: int) -> Projection:
+    """Principal components from the moments of a table, at most ``min(dims, D, N - 1)``; ``explained`` are shares of the variance."""
+    k = max(1, min(dims, len(moments.mean), moments.count - 1))
+    components, values = moments.principal(k)
+    total = values.sum()
+    return Projection(moments.mean, components, values[:k] / total if total > 0 else values[:k])
+
+
 def fit_projection(df: DataFrame, vec: str, dims: int) -> Projection:
-    """Principal components of a vector column, at most ``min(dims, D, N - 1)``."""
-    vectors = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    """Principal components of a vector column, at most ``min(dims, D, N - 1)``; two passes over the rows."""
+    vectors = df.select(F.col(vec).cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _principal(vectors, dims)
+        return projection_of(co_moments(vectors, "x")[None], dims)
     finally:
         vectors.unpersist()
 
 
-def _principal(vectors: DataFrame, dims: int) -> Projection:
-    head = vectors.agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("v")).alias("m")).first()
-    mean = head["m"].toArray()
-    k = max(1, min(dims, len(mean), head["n"] - 1))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-    return Projection(mean, model.pc.toArray(), np.array(model.explainedVariance.toArray()))
+def component_checks(df: DataFrame, vec: str, projection: Projection) -> DataFrame:
+    """``component, variance, residual, overlap``: how well each component is an eigenvector of the covariance of ``df``.
+
+    ``variance`` is that of the rows along the component, ``residual`` the length of ``C v - (v'C v) v``, ``overlap`` the largest
+    deviation of its inner products with all components from those of an orthonormal set.
+    """
+    c, v = co_moments(df, vec)[None].covariance, projection.components
+    values = np.einsum("ij,ij->j", v, c @ v)
+    residual = np.sqrt(((c @ v - v * values) ** 2).sum(axis=0))
+    overlap = np.abs(v.T @ v - np.eye(v.shape[1])).max(axis=1)
+    rows = [(i, float(a), float(r), float(o)) for i, (a, r, o) in enumerate(zip(values, residual, overlap))]
+    return df.sparkSession.createDataFrame(rows, "component int, variance double, residual double, overlap double")
 
 
 def layer_concat(layers: Sequence[DataFrame], keys: Sequence[str], vec: str) -> DataFrame:
@@ -279,54 +257,14 @@ def pool_layers(df: DataFrame, keys: Sequence[str], layer: str, layers: Sequence
     return df.groupBy(*keys).agg(F.concat(*means).alias(vec))
 
 
-def euclidean_silhouette(sample: DataFrame, vec: str, cluster: str,
-                         max_bytes: int = 1 << 30) -> DataFrame:
-    """Per-row Euclidean silhouette of a sample of bounded size.
+def euclidean_silhouette(rows: DataFrame, vec: str, cluster: str, row_id: str) -> DataFrame:
+    """``rows`` with ``silhouette``, the Euclidean one over all of them; row ids are unique.
 
-    The sample is shipped once as a matrix; each task compares its rows with it
-    block by block, so the quadratic work is spread and nothing is shuffled.
-    Adds ``silhouette``; members of single-row clusters get 0, and so does every row if
-    there is one cluster only. The size is measured before anything is fetched.
+    Blocks of rows meet pairwise and add up distances by row and cluster, so nothing passes through the driver and
+    no size is refused. Members of single-row clusters get 0, and so does every row if
+    there is one cluster only; rows without a vector or cluster take no part and get NULL.
     """
-    head = sample.agg(F.coalesce(F.sum(F.size(vec)), F.lit(0)).alias("cells"), F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("k")).first()
-    if 8 * (head["cells"] + head["n"] * head["k"]) > max_bytes:
-        raise ValueError("sample exceeds the broadcast bound; draw a smaller one")
-    packed = sample.select(cluster, F.col(vec).cast("array<double>").alias(vec)).toArrow()
-    matrix, _ = to_matrix(packed.column(vec).combine_chunks())
-    labels = packed.column(cluster).to_numpy()
-    ids, code = np.unique(labels, return_inverse=True)
-    onehot = np.eye(len(ids))[code]
-    sizes = onehot.sum(axis=0)
-    shared = sample.sparkSession.sparkContext.broadcast((matrix, onehot, sizes, ids))
-
-    def score(v: np.ndarray, c: np.ndarray) -> np.ndarray:
-        ref, hot, size, known = shared.value
-        out = np.zeros(len(v))
-        ref_sq = (ref * ref).sum(axis=1)
-        for s in range(0, len(v), 512):
-            x, own = v[s:s + 512], np.searchsorted(known, c[s:s + 512])
-            d2 = (x * x).sum(axis=1)[:, None] + ref_sq - 2.0 * (x @ ref.T)
-            sums = np.sqrt(np.maximum(d2, 0.0)) @ hot
-            rows = np.arange(len(x))
-            # The expanded square leaves rounding noise on the row's own zero.
-            self_d = np.sqrt(np.maximum(d2, 0.0))
-            same = (np.abs(d2) < 1e-12 * (1.0 + ref_sq)) * self_d
-            sums[rows, own] -= (same @ hot)[rows, own]
-            a = sums[rows, own] / np.maximum(size[own] - 1, 1)
-            others = sums / size
-            others[rows, own] = np.inf
-            b = others.min(axis=1)
-            top = np.maximum(a, b)
-            value = np.where((top > 0) & np.isfinite(b), (np.where(np.isfinite(b), b, 0.0) - a) / np.where((top > 0) & np.isfinite(top), top, 1.0), 0.0)
-            out[s:s + 512] = np.where(size[own] > 1, value, 0.0)
-        return out
-
-    @F.arrow_udf("double")
-    def silhouette(v: pa.Array, c: pa.Array) -> pa.Array:
-        m, valid = to_matrix(v)
-        return scatter(score(m, c.to_numpy(zero_copy_only=False)[valid]), valid)
-
-    return sample.withColumn("silhouette", silhouette(F.col(vec).cast("array<double>"), cluster))
+    return rows.join(silhouettes(rows, row_id, cluster, vec), row_id, "left")
 
 
 def model_column(model: Callable, ddl: str):

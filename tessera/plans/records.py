@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.classify import LinearModel, fit_linear
-from tessera.operators.clustering import (DiagonalMixture, FeaturePrep, fit_panel, load_mixture,
+from tessera.operators.clustering import (DiagonalMixture, FeaturePrep, fit_panels, load_mixture,
                                           save_mixture)
+from tessera.operators.concepts import cube_rows
 from tessera.operators.prepare import (deviation_column, deviations, fallback_stats, impute,
                                        keep_complete, medians, stats_map)
 
@@ -130,10 +131,9 @@ def fit_scorer(lab: DataFrame, panels: Mapping[str, Sequence[str]], ranges: Mapp
     stats = stats_map(fallback_stats(filled, features, ranges))
     scorer = RecordScorer(panels, dict(ranges), fills, stats, {}, names or {})
     encoded = scorer._encode(filled)
-    for p, fs in panels.items():
-        rows = encoded.select(entity, F.array(*[F.col(f) for f in fs]).alias("vector"))
-        scorer.models[p] = fit_panel(rows, "vector", len(fs), k, dims=dims, row_id=entity,
-                                     fit_sample=fit_sample, n_init=n_init, max_iter=max_iter, seed=seed)
+    fitted = fit_panels(cube_rows(encoded, entity, panels), "panel", "vector", {p: len(fs) for p, fs in panels.items()}, k, dims=dims,
+                        row_id=entity, fit_sample=fit_sample, n_init=n_init, max_iter=max_iter, seed=seed)
+    scorer.models.update({p: fitted[p] for p in panels})
     if outcome is not None:
         train = scorer.apply(kept).join(outcome.select(entity, label), entity)
         scorer.linear = fit_linear(train, label, scorer.score_columns(), classes)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import itertools
+import uuid
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
-import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.clustering import fit_kmeans, fit_mixture, fit_prep, nearest_centre
+from tessera.operators.blocks import silhouettes_of
+from tessera.operators.clustering import fit_centres, fit_mixture, fit_prep, nearest_centre
 from tessera.operators.metrics import (class_purity, intra_inter, mutual_information, seeded_sample,
                                        silhouette)
+from tessera.sources.sinks import upsert, write_table
 
 
 @dataclass(frozen=True)
@@ -68,28 +72,80 @@ def run_variants(df: DataFrame, variants: Sequence[Variant], row_id: str, label:
     return out
 
 
+def variant_grid(spark: SparkSession, variants: Sequence[str], **parameters: Sequence) -> DataFrame:
+    """``key, variant`` and one column per parameter: every combination of the listed settings, a row each.
+
+    The lists are part of the experiment's configuration. ``key`` names the combination and is what results are stored under.
+    """
+    names = ["variant", *parameters]
+    rows = [(";".join(f"{n}={v}" for n, v in zip(names, combination)), *combination) for combination in itertools.product(variants, *parameters.values())]
+    return spark.createDataFrame(rows, ["key", *names])
+
+
+def open_cells(grid: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Rows of the grid whose key has no result yet."""
+    return grid if done is None else grid.join(done.select("key"), "key", "left_anti")
+
+
+def run_grid(df: DataFrame, grid: DataFrame, variants: Mapping[str, Variant], path: str, row_id: str, label: str,
+             patch: str | None = None, **options) -> DataFrame:
+    """Results of every cell of ``grid``, kept under ``path`` so that a rerun fits only what is missing.
+
+    A cell is the variant of its name with the row's ``k``, ``dims`` and ``weight`` where the grid has them. Each result is upserted by
+    key into a new version of the table as soon as it is there; the newest complete version counts, so a run that stops in between
+    loses the cell it was at and no other.
+    """
+    spark = df.sparkSession
+    done, version = stored_results(spark, path)
+    for cell in open_cells(grid, done).orderBy("key").collect():  # a configuration's rows, not data
+        own = {n: cell[n] for n in ("k", "dims", "weight") if n in grid.columns}
+        row = run_variant(df, replace(variants[cell["variant"]], **own), row_id, label, patch, **options).withColumn("key", F.lit(cell["key"]))
+        whole = row if done is None else upsert(done, row, "key")
+        version += 1
+        place = f"{path}/version={version}/{uuid.uuid4().hex}"
+        write_table(whole.coalesce(1), place)  # one file, which appears as a whole
+        done = spark.read.parquet(place)
+    return grid.select("key") if done is None else done.join(grid.select("key"), "key", "left_semi")
+
+
+def stored_results(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The newest complete version of a result table and its number; none and 0 if there is none."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        number = F.regexp_extract("path", r"/version=(\d+)/[^/]+/[^/]+$", 1)
+        newest = files.filter(number != "").agg(F.max(F.struct(number.cast("int").alias("version"), "path")).alias("f")).first()["f"]
+    except AnalysisException as err:
+        if err.getCondition() == "PATH_NOT_FOUND":
+            return None, 0
+        raise
+    return (None, 0) if newest is None else (spark.read.parquet(newest["path"]), newest["version"])
+
+
 def k_sweep(df: DataFrame, vec: str, row_id: str, ks: Sequence[int], *, sample: int | None = None,
-            n_init: int = 10, seed: int = 42) -> DataFrame:
+            n_init: int = 10, max_iter: int = 300, seed: int = 42) -> DataFrame:
     """Cost and silhouette (of all rows or a seeded sample) for each number of clusters, with a quality band.
 
-    Each ``k`` has the lowest cost over ``n_init`` seeds; ``converged`` tells whether that fit settled before its last
-    iteration. ``best`` marks the first ``k`` with the highest silhouette.
+    All numbers and restarts share their passes: one scan of the rows for each iteration, and one computation of distances for all
+    silhouettes. Each ``k`` has the lowest cost over ``n_init`` seeds; ``converged`` tells whether that fit settled within
+    ``max_iter``. ``best`` marks the first ``k`` with the highest silhouette.
     """
-    data = df.select(row_id, F.col(vec).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    drawn = (data if sample is None else seeded_sample(data, row_id, sample, seed)).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+    data = df.select(row_id, F.col(vec).cast("array<double>").alias("x")).filter(F.col("x").isNotNull()).withColumn("g", F.lit(0)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for k in ks:
-            model = fit_kmeans(data, "x", k, seed, n_init)
-            labelled = drawn.withColumn("cluster_id", nearest_centre(np.array(model.clusterCenters()), "x"))
-            several = labelled.select("cluster_id").distinct().count() > 1
-            sil = silhouette(labelled, "cluster_id", "x", row_id).first()[0] if several else -1.0
-            rows.append((k, float(model.summary.trainingCost), float(sil),
-                         "good" if sil > 0.25 else "fair" if sil > 0.15 else "weak",
-                         bool(model.summary.numIter < model.getMaxIter())))
+        fits = fit_centres(data, ks, n_init=n_init, max_iter=max_iter, seed=seed)
+        drawn = data if sample is None else seeded_sample(data, row_id, sample, seed)
+        labelled = drawn.select(row_id, "x", *[nearest_centre(fits[k].centres, "x").alias(f"k{k}") for k in ks]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            groups = labelled.agg(*[F.count_distinct(f"k{k}").alias(f"k{k}") for k in ks]).first()
+            means = silhouettes_of(labelled, row_id, [f"k{k}" for k in ks], "x").groupBy("labelling").agg(F.avg("silhouette").alias("s")).collect()
+        finally:
+            labelled.unpersist()
     finally:
         data.unpersist()
-        drawn.unpersist()
+    mean = {r["labelling"]: r["s"] for r in means}
+    rows = []
+    for k in ks:
+        sil = mean[f"k{k}"] if groups[f"k{k}"] > 1 else -1.0
+        rows.append((k, float(fits[k].cost), float(sil), "good" if sil > 0.25 else "fair" if sil > 0.15 else "weak", fits[k].converged))
     top = max(r[2] for r in rows)
     best = next(r[0] for r in rows if r[2] == top)
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows],

@@ -160,6 +160,14 @@ def missing_columns(df: DataFrame, expected: Sequence[str]) -> DataFrame:
     return want.exceptAll(have)
 
 
+def missing_values(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """``column_name, n_missing``: NULLs of each expected column in one scan; a column that the frame lacks misses in every row."""
+    have = set(df.columns)
+    counts = df.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), (F.count_if(F.col(c).isNull()) if c in have else F.count(F.lit(1))).alias("n_missing"))
+                              for c in expected]).alias("c"))
+    return counts.select(F.explode("c").alias("c")).select("c.*")
+
+
 def split_bad_rows(df: DataFrame, is_good: Column, name: str = "good") -> DataFrame:
     """Tag rows as readable or not; NULL verdicts count as unreadable."""
     return df.withColumn(name, F.coalesce(is_good, F.lit(False)))

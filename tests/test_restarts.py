@@ -15,13 +15,11 @@ class Fitted(Exception):
 
 @pytest.mark.parametrize("name", ["panel_gmm", "ablation", "score_records", "model_round_trip"])
 def test_queries_fit_with_all_restarts(spark, monkeypatch, name):
-    def stop(df, vec, k, *, n_init=3, **options):
+    def stop(data, k, *, n_init=3, **options):
         raise Fitted(n_init)
 
     catalog.load_all()
-    from tessera.catalog import models
-    for module in (clustering, variants, models):
-        monkeypatch.setattr(module, "fit_mixture", stop)
+    monkeypatch.setattr(clustering, "fit_mixtures", stop)
     with pytest.raises(Fitted) as seen:
         catalog.QUERIES[name](spark, SF)
     assert seen.value.args == (3,)
@@ -30,9 +28,9 @@ def test_queries_fit_with_all_restarts(spark, monkeypatch, name):
 def test_sweep_fits_with_all_restarts(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i % 3), float(i % 5)]) for i in range(60)], "i int, v array<double>")
     seen = []
-    fit = variants.fit_kmeans
-    monkeypatch.setattr(variants, "fit_kmeans", lambda d, v, k, seed, n_init: seen.append(n_init) or fit(d, v, k, seed, n_init))
-    assert all(r["converged"] is True for r in variants.k_sweep(df, "v", "i", [2]).collect()) and seen == [10]
+    fit = variants.fit_centres
+    monkeypatch.setattr(variants, "fit_centres", lambda d, ks, *, n_init, max_iter, seed: seen.append((n_init, max_iter)) or fit(d, ks, n_init=n_init, max_iter=max_iter, seed=seed))
+    assert all(r["converged"] is True for r in variants.k_sweep(df, "v", "i", [2, 3]).collect()) and seen == [(10, 300)]
 
 
 def test_ablation_returns_converged(spark):
