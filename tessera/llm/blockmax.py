@@ -59,16 +59,23 @@ def exact_top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = 256
 
     Components become ``floor(scale * x)``. ``is_query`` is a condition on ``vec_id``. A
     query's own id is no candidate; rows that share an id count one by one. Equal
-    scores go to the smaller id. Vectors that are null, empty, of an unusual length or hold null
-    or non-finite components take no part; an empty table gives no rows. Sums are 64-bit integers.
+    scores go to the smaller id. Vectors are compared with those of their own length. Vectors that are null, empty or hold null
+    or non-finite components and rows without an id take no part; an empty table gives no rows. Scores are 64-bit integers: where
+    components are so large that a score could exceed them, the query fails and says so.
     """
+    def whole(vectors: np.ndarray) -> np.ndarray:
+        scaled = np.floor(vectors * scale)
+        if scaled.size and float((scaled * scaled).sum(axis=1).max()) >= 2.0 ** 62:
+            raise ValueError("components are too large: an inner product could exceed 64 bits")
+        return scaled.astype(np.int64)
+
     def answer(rows: pa.Table, queries: pa.Table) -> pa.Table:
         ids, vectors = matrix(rows)
         query_ids, wanted = matrix(queries)
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
         if len(ids) and len(query_ids):
-            index = BlockIndex(ids, np.floor(vectors * scale).astype(np.int64))
-            for query_id, query in zip(query_ids, np.floor(wanted * scale).astype(np.int64)):
+            index = BlockIndex(ids, whole(vectors))
+            for query_id, query in zip(query_ids, whole(wanted)):
                 found, scores = index.top(query_id, query, k)
                 for column, values in zip(out, (np.full(len(found), query_id), found, scores)):
                     column.append(values)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import best, matrix, search, usable
+from tessera.llm.vectors import best, common_length, matrix, search, usable
 
 SUBSTRING = 8
 KEYS = np.arange(1 << SUBSTRING, dtype=np.uint8)
@@ -113,15 +113,18 @@ def hamming_search(table: DataFrame, is_query: Column, k: int = 20, bits: int =
     sample; neighbours among more rows are nearer still. A query for which fewer than
     ``k`` codes of a shard lie within the radius takes a doubled radius there, up to all rows,
     so a small table is answered in full. A query's own id is no candidate, equal scores go to the smaller id, rows
-    that share an id count one by one. Vectors that are null, zero, empty, of an
-    unusual length or hold null or non-finite components take no part. An empty table gives no rows.
+    that share an id count one by one. Vectors are compared with those of their own length; where that is not the
+    most frequent one, a shard is scored in full. Vectors that are null, zero, empty or hold null or non-finite components
+    and rows without an id take no part. An empty table gives no rows.
     """
     rows = usable(table, id_column, vector_column, drop_zero=True)
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(fit_rows).toArrow()
+    length = common_length(rows)
+    usual = rows.filter(F.size("vec") == length)
+    sample = usual.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(fit_rows).toArrow()
     schema = "query_id long, vec_id long, score double"
     if sample.num_rows == 0:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    largest = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
+    largest = usual.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     coder = fit_coder(matrix(sample)[1], largest, k, bits, coverage=coverage)
 
     def answer(shard: pa.Table, queries: pa.Table) -> pa.Table:
@@ -129,12 +132,14 @@ def hamming_search(table: DataFrame, is_query: Column, k: int = 20, bits: int =
         query_ids, wanted = matrix(queries)
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if len(ids) and len(query_ids):
-            index = SubstringIndex(coder.codes(vectors))
-            for query_id, query, code in zip(query_ids, wanted, coder.codes(wanted, query=True)):
+            coded = vectors.shape[1] == length
+            index = SubstringIndex(coder.codes(vectors)) if coded else None
+            codes = coder.codes(wanted, query=True) if coded else [None] * len(wanted)
+            for query_id, query, code in zip(query_ids, wanted, codes):
                 radius = coder.radius
-                found = index.within(code, radius)
+                found = index.within(code, radius) if coded else np.arange(len(ids))
                 found = found[ids[found] != query_id]
-                while len(found) < k and radius < bits:
+                while coded and len(found) < k and radius < bits:
                     radius = min(bits, 2 * radius + 1)
                     found = index.within(code, radius)
                     found = found[ids[found] != query_id]

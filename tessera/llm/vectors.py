@@ -24,22 +24,24 @@ def usable(table: DataFrame, id_column: str, vector_column: str, drop_zero: bool
     """``vec_id, vec`` (doubles) of the vectors that take part.
 
     Null vectors, vectors with null or non-finite components, empty ones and (on
-    request) zero vectors do not; of several lengths the most frequent one stays (the
-    longest of equals), and so do rows with an id.
+    request) zero vectors do not, nor do rows without an id.
     """
     rows = (table.select(F.col(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vec"))
             .filter(F.col("vec_id").isNotNull() & finite(F.col("vec"))))
-    if drop_zero:
-        rows = rows.filter(F.exists("vec", lambda x: x != 0))
+    return rows.filter(F.exists("vec", lambda x: x != 0)) if drop_zero else rows
+
+
+def common_length(rows: DataFrame) -> int:
+    """The most frequent length of ``vec`` (the longest of equals); 0 without rows."""
     common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.filter(F.size("vec") == (common["n"] if common else 0))
+    return common["n"] if common else 0
 
 
 def search(rows: DataFrame, is_query: Column, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, k: int) -> DataFrame:
     """Best ``k`` rows of every query over all rows; ``fn`` answers a block of queries from a shard of rows.
 
-    Rows are dealt to shards and queries to blocks by hash; each (shard, block) cell is one
-    group. Rows travel once for each block and queries once for each shard, never pairs.
+    Rows are dealt to shards and queries to blocks by hash; each (length, shard, block) cell is one
+    group, so that vectors meet those of their own length only. Rows travel once for each block and queries once for each shard, never pairs.
     ``fn`` returns at most ``k`` rows for each query (``query_id, vec_id, score``).
     """
     n = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(is_query.cast("long")), F.lit(0)).alias("queries")).first()
@@ -48,9 +50,11 @@ def search(rows: DataFrame, is_query: Column, fn: Callable[[pa.Table, pa.Table],
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    rows = rows.withColumn("length", F.size("vec"))
     left = rows.withColumn("shard", shard).withColumn("block", every(blocks))
     right = rows.filter(is_query).withColumn("block", block).withColumn("shard", every(shards))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(fn, schema)
+    cell = ["length", "shard", "block"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(fn, schema)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -42,6 +42,27 @@ def plain_top(rows, every, k, measure, zero):
     return out
 
 
+def test_vectors_meet_those_of_their_length(spark):
+    rng = random.Random(18)
+    rows = vector_rows(200) + [(20_000 + i, [rng.gauss(0, 1) for _ in range(7)]) for i in range(60)] + [(30_000, [1.0, 2.0])]
+    short = [(i, v) for i, v in rows if v and len(v) == 7]
+    scores = {(a, b): sum(x * y for x, y in zip(u, v)) for a, u in short for b, v in short if a != b}
+    got = by_query(hamming_search(vector_table(spark, rows), multiples(20), k=5))
+    exact = by_query(exact_top_k(vector_table(spark, rows), multiples(20), k=5))
+    assert 30_000 not in got and 30_000 not in exact  # nothing else of its length
+    for q in (20_000, 20_020, 20_040):
+        assert [i for i, _ in got[q]] == sorted((b for a, b in scores if a == q), key=lambda b: (-scores[q, b], b))[:5]
+        assert len(exact[q]) == 5 and all(i >= 20_000 for i, _ in exact[q])
+    assert all(i < 20_000 for q in got if q < 20_000 for i, _ in got[q])
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    table = spark.createDataFrame([(i, [3e6] * 64 if i < 2 else [1e9] * 64) for i in range(4)], "vec_id long, embedding array<double>")
+    assert by_query(exact_top_k(table.filter("vec_id < 2"), multiples(1), k=1, scale=16)) == {0: [(1, 64 * 48_000_000 ** 2)], 1: [(0, 64 * 48_000_000 ** 2)]}
+    with pytest.raises(Exception, match="could exceed 64 bits"):
+        exact_top_k(table, multiples(1), k=1).collect()
+
+
 def by_query(frame):
     out = collections.defaultdict(list)
     for r in frame.orderBy("query_id", "rank").collect():
