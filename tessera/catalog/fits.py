@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcomes, patches, sql
+from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcomes, patches, sql, with_outcomes
 from tessera.catalog.measures import _OC, _round
-from tessera.catalog.models import CLASSES, _panel_rows, _scorer
+from tessera.catalog.models import CLASSES, _panel_rows, _records, _scorer
 from tessera.catalog.records import _scratch
 from tessera.catalog.subvectors import CONCEPTS, _scores
 from tessera.functions.bands import three_class_outcome
@@ -90,15 +90,16 @@ def panel_mixtures(spark: SparkSession, sf: str) -> DataFrame:
 @query("scorer_fits", "SELECT part, true AS is_optimum FROM (SELECT unnest(['panel_a', 'panel_b', 'linear']) AS part)")
 def scorer_fits(spark: SparkSession, sf: str) -> DataFrame:
     """The scorer's mixtures have settled on the records they were fitted on, and its linear model is the optimum."""
-    scorer = _scorer(spark, sf)
-    kept = deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5).persist(StorageLevel.MEMORY_AND_DISK)
+    records = _records(spark, sf)
+    scorer = _scorer(spark, sf, records)
+    kept = deviation_table(records, FEATURES, RANGES, 0.5).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for p, (prep, mix) in scorer.models.items():
         x = kept.select(prep.apply(F.array(*[F.col(f) for f in PANELS[p]])).alias("x"))
         rows.append((p, mix.converged and _settled(x, mix)))
-    y = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
+    y = with_outcomes(spark, sf, records.select("record_id")).select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
     valid = sum((F.when(F.col(f).isNotNull(), 1).otherwise(0) for f in FEATURES), F.lit(0)) / len(FEATURES) >= 0.5
-    train = scorer.apply(lab(spark, sf).filter(valid)).join(y, "record_id")
+    train = scorer.apply(records.filter(valid)).join(y, "record_id")
     top = classify.linear_gradient(train, "label", scorer.linear).agg(F.max(F.abs("gradient"))).first()[0]
     return spark.createDataFrame([*rows, ("linear", bool(top < 1e-5))], "part string, is_optimum boolean")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcomes, patches, sql, table
+from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcomes, patches, sql, table, with_outcomes
 from tessera.catalog.records import _scratch
 from tessera.catalog.subvectors import CONCEPTS, _scores
 from tessera.functions.bands import three_class_outcome
@@ -119,22 +119,28 @@ def variant_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.pearson(ablation(spark, sf), "silhouette", "class_purity")
 
 
-def _scorer(spark: SparkSession, sf: str) -> RecordScorer:
-    y = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
-    return fit_scorer(lab(spark, sf), PANELS, RANGES, 3, min_ratio=0.5,
-                      outcome=y, classes=CLASSES)
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """The record table, kept: it is scanned to fit, to learn outcomes and to be scored."""
+    return lab(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _scorer(spark: SparkSession, sf: str, records: DataFrame) -> RecordScorer:
+    y = with_outcomes(spark, sf, records.select("record_id")).select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
+    return fit_scorer(records, PANELS, RANGES, 3, min_ratio=0.5, outcome=y, classes=CLASSES)
 
 
 @query("score_records")
 def score_records(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on complete enough records, then score all of them, gaps included; ``score_facts`` and ``scorer_fits`` check the scorer."""
-    return _scorer(spark, sf).apply(lab(spark, sf)).select("record_id", "scores", "proba", "prediction", "confidence")
+    records = _records(spark, sf)
+    return _scorer(spark, sf, records).apply(records).select("record_id", "scores", "proba", "prediction", "confidence")
 
 
 @query("score_facts", sql("SELECT record_id, 2.0::double AS total, 6 AS concepts, 1.0::double AS chance, true AS known FROM lab", "lab"))
 def score_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Memberships of each panel and class probabilities add up to one, the most probable class is predicted."""
-    scored = _scorer(spark, sf).apply(lab(spark, sf))
+    records = _records(spark, sf)
+    scored = _scorer(spark, sf, records).apply(records)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 9)
     named = F.array(*[F.lit(c) for c in CLASSES])[(F.array_position("proba", F.array_max("proba")) - 1).cast("int")]
     return scored.select("record_id", total("scores").alias("total"), F.size("scores").alias("concepts"), total("proba").alias("chance"),
