@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,8 +259,12 @@ def fitted_basis(nodes: DataFrame) -> Basis:
     return Basis(next(unit_rows(sample["vec"]))[1])
 
 
-def ordered_blocks(nodes: DataFrame, basis: Basis, epsilon: float, blocks: int) -> DataFrame:
-    """``nodes`` with ``node`` and ``block``: ranges of the epsilon grid order (lengths apart), equal cells split by hash."""
+def ordered_blocks(nodes: DataFrame, basis: Basis, epsilon: float, blocks: int, block_nodes: int) -> DataFrame:
+    """``nodes`` with ``node`` and ``block``: ranges of the epsilon grid order (lengths apart), equal cells split by hash.
+
+    Spark deals the order to ranges; ranges are counted, and those next to each other make a block of about ``block_nodes``, however many
+    ranges there are.
+    """
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -271,7 +276,11 @@ def ordered_blocks(nodes: DataFrame, basis: Basis, epsilon: float, blocks: int)
 
     schema = T.StructType([*nodes.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
     dealt = nodes.mapInArrow(cells, schema).repartitionByRange(blocks, F.size("vec"), "cells", "low")
-    return dealt.select(F.monotonically_increasing_id().alias("node"), F.spark_partition_id().alias("block"), "low", "high", "n", "least", "vec")
+    ranged = stored(dealt.select(F.monotonically_increasing_id().alias("node"), F.spark_partition_id().alias("range"), "low", "high", "n", "least", "vec"), "ranges")
+    counts = ranged.groupBy("range").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(W.orderBy("range")) - F.col("rows")
+    block = F.floor((before + F.col("rows") / 2) / block_nodes).cast("int").alias("block")
+    return ranged.join(counts.select("range", block), "range").drop("range")
 
 
 def block_pairs(blocks: DataFrame, basis: Basis, epsilon: float) -> DataFrame:
@@ -326,7 +335,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_column: str = "ve
     count = nodes.count()
     parts = max(1, -(-count // block_nodes), min(LEAST_BLOCKS, count // 500))
     basis = fitted_basis(nodes)
-    blocks = stored(ordered_blocks(nodes, basis, epsilon, parts), "blocks")
+    blocks = stored(ordered_blocks(nodes, basis, epsilon, parts, max(1, -(-count // parts))), "blocks")
     pairs = stored(block_pairs(blocks, basis, epsilon), "block-pairs")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
