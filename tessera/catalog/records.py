@@ -244,7 +244,7 @@ def scoring_impute(spark: SparkSession, sf: str) -> DataFrame:
 @query("cycle_medians", sql(f"""
     SELECT cycle_year, {", ".join(f"round(median({f}), 6) AS {f}" for f in FEATURES)} FROM lab GROUP BY 1""", "lab"))
 def cycle_medians(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(prepare.group_medians(lab(spark, sf), FEATURES, ["cycle_year"]))
+    return _rounded(prepare.group_medians(lab(spark, sf).persist(StorageLevel.MEMORY_AND_DISK), FEATURES, ["cycle_year"]))
 
 
 @query("cycle_counts", sql("SELECT cycle_year, count(*) AS n FROM lab GROUP BY 1", "lab"))

@@ -64,11 +64,17 @@ def value_buckets(df: DataFrame, by: Sequence[str], value: str, key: str | Colum
         df = null_safe_join(df, small_side(splits), by)
     else:
         df = df.withColumn("_cuts", df.agg(cuts.alias("_cuts")).scalar())
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    on_cut = F.array_contains("_cuts", F.col("_v"))
-    return (df.withColumn("_b", below * 2 + on_cut.cast("int"))
-            .withColumn("_s", F.when(on_cut, F.substring("_h", 1, digits)).otherwise(F.lit("")))
-            .drop("_cuts"))
+    df = df.withColumn("_at", _cuts_below(buckets))
+    df = df.withColumn("_on", F.coalesce(F.get("_cuts", F.col("_at")) == F.col("_v"), F.lit(False)))
+    return (df.withColumn("_b", F.col("_at") * 2 + F.col("_on").cast("int"))
+            .withColumn("_s", F.when(F.col("_on"), F.substring("_h", 1, digits)).otherwise(F.lit("")))
+            .drop("_cuts", "_at", "_on"))
+
+
+def _cuts_below(buckets: int) -> Column:
+    """How many of the sorted ``_cuts`` (fewer than ``buckets``) are below ``_v``, by halving: their number follows the rows."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col("_v"), at + step).otherwise(at))
 
 
 def _offsets(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -257,3 +263,39 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return by_col.groupBy().agg(*[
         (F.transform(F.array_sort(F.collect_list(F.when(F.col("ci") == ci, F.col("s")))),
                      lambda s: s["q"]) if ci in known else none).alias(c) for ci, c in enumerate(columns)])
+
+
+def exact_group_medians(df: DataFrame, by: Sequence[str], columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """Exact median of each column (double) in each group, NULLs skipped; a row for each group, a NULL group is one.
+
+    As in :func:`exact_quantiles`, a sketch for each group and column brackets both middle values. Values beyond their bracket
+    are only counted, by side, before anything is shuffled; those inside (about ``4 / accuracy`` of the rows) are
+    combined by value. A bracket that should miss fails the query. The input is scanned twice.
+    """
+    margin = 2.0 / accuracy
+    edges = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
+    groups = small_side(df.groupBy(*by).agg(*[F.percentile_approx(c, edges, F.lit(accuracy)).alias(f"_e{i}") for i, c in enumerate(columns)]))
+
+    def wider(edge: Column, side: int) -> Column:
+        # An input that is computed anew may differ in its last bits.
+        return F.when(F.abs(edge) < float("inf"), edge + side * 1e-9 * (F.abs(edge) + 1e-9)).otherwise(edge)
+
+    def cell(i: int, x: Column) -> Column:
+        side = F.when(x < wider(F.col(f"_e{i}")[0], -1), -1).when(x > wider(F.col(f"_e{i}")[1], 1), 1).otherwise(0)
+        return F.when(x.isNotNull(), F.struct(F.lit(i).alias("_f"), side.alias("_side"), F.when(side == 0, x).alias("_x")))
+
+    cells = F.explode(F.array_compact(F.array(*[cell(i, F.col(c)) for i, c in enumerate(columns)]))).alias("_m")
+    counted = (null_safe_join(df, groups, by).select(*by, cells).groupBy(*by, "_m._f", "_m._side", "_m._x")
+               .agg(F.count(F.lit(1)).alias("_n")))
+    whole = Window.partitionBy(*by, "_f")
+    run = whole.orderBy("_side", "_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("_total", F.sum("_n").over(whole)).withColumn("_end", F.sum("_n").over(run))
+    value = F.when(F.col("_side") == 0, F.col("_x")).otherwise(F.raise_error(F.lit("median bracket missed its order statistic")).cast("double"))
+
+    def at(i: int, k: Column) -> Column:
+        holds = (F.col("_f") == i) & (F.col("_end") >= k) & (F.col("_end") - F.col("_n") < k)
+        return F.max(F.when(holds, value))
+
+    first, second = (F.floor((F.col("_total") + i) / 2) for i in (1, 2))
+    wide = ranked.groupBy(*by).agg(*[((at(i, first) + at(i, second)) / 2).alias(c) for i, c in enumerate(columns)])
+    return null_safe_join(groups.select(*by), wide, by, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.bands import one_decimal, range_flag
-from tessera.operators.ordering import exact_quantiles, null_safe_join, order_statistic, value_buckets
+from tessera.operators.ordering import exact_group_medians, exact_quantiles, null_safe_join
 from tessera.session import small_side
 
 Ranges = Mapping[str, tuple[float, float]]
@@ -34,16 +34,10 @@ def medians(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def group_medians(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Exact median per group (e.g. per cycle), NULLs skipped; a group without values gets NULL.
 
-    The two middle values are found from bucket counts, so a large group is not
-    sorted in one task. A NULL group is a group.
+    The two middle values are found inside brackets from sketches, so a large group is neither shuffled nor
+    sorted. A NULL group is a group. The input is scanned twice: persist it if it is costly.
     """
-    rows = df.select(*by, *[F.col(f).cast("double").alias(f) for f in features])
-    long = rows.unpivot(list(by), list(features), "_f", "_x").filter(F.col("_x").isNotNull())
-    buckets = value_buckets(long, [*by, "_f"], "_x", F.xxhash64(*[F.col(c) for c in long.columns]))
-    middle = [order_statistic(buckets, [*by, "_f"], F.floor((F.col("_total") + i) / 2)) for i in (1, 2)]
-    means = middle[0].unionByName(middle[1]).groupBy(*by, "_f").agg(F.avg("value").alias("_m"))
-    wide = means.groupBy(*by).agg(*[F.max(F.when(F.col("_f") == f, F.col("_m"))).alias(f) for f in features])
-    return null_safe_join(rows.select(*by).distinct(), wide, by, "left")
+    return exact_group_medians(df.select(*by, *[F.col(f).cast("double").alias(f) for f in features]), by, features)
 
 
 def impute_by_group(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -168,3 +168,37 @@ def test_first_per_class_numbers_rows(spark):
     df = spark.createDataFrame([(i, "x") for i in range(12)], "id long, cls string")
     got = first_per_class(df, "cls", "id", 11, F.col("id") != 0).orderBy("id").collect()
     assert [r["split"] for r in got][:6] == ["val", "train", "train", "train", "train", "val"] and len(got) == 11
+
+
+def test_group_medians_count_what_lies_beyond_the_bracket(spark, monkeypatch):
+    """No row is numbered or given a bucket; what is shuffled are counts and the values around the middle."""
+    from tessera.operators import prepare
+
+    rng = np.random.default_rng(8)
+    inf, nan = float("inf"), float("nan")
+    rows = [(None if i % 7 == 0 else i % 3, None if i % 5 == 0 else float(np.round(rng.normal(), 3)), 1.5 if i % 2 else float(i), [inf, -inf, nan, 2.0][i % 4]) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double").repartition(8)
+    monkeypatch.setattr(o, "value_buckets", None)
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in prepare.group_medians(df, ["a", "b", "c"], ["g"]).collect()}
+    for g in (None, 0, 1, 2):
+        mine = [r for r in rows if r[0] == g]
+        for place in (1, 2, 3):
+            want = sorted((r[place] for r in mine if r[place] is not None), key=lambda v: (v != v, v))
+            mid = (want[(len(want) - 1) // 2] + want[len(want) // 2]) / 2
+            assert got[g][place - 1] == pytest.approx(mid, rel=1e-12, nan_ok=True)
+    shuffled = o.exact_group_medians(df, ["g"], ["a"], 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in shuffled and "md5" not in shuffled
+
+
+@pytest.mark.parametrize("buckets", [2, 3, 64])
+def test_buckets_are_found_by_halving(spark, buckets):
+    """Bucket numbers equal those of a comparison with every cut, which the plan no longer makes."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, float(np.round(rng.normal(), 1)) if i % 50 else float("nan")) for i in range(2000)], "id long, v double")
+    b = o.value_buckets(df, [], "v", "id", buckets=buckets)
+    rows = sorted(((r["_v"], r["_b"], r["_s"]) for r in b.collect()), key=lambda r: (r[0] != r[0], r[0]))
+    numbers = [r[1] for r in rows]
+    assert numbers == sorted(numbers) and len(set(numbers)) > 1 and max(numbers) <= 2 * buckets
+    for odd in {n for n in numbers if n % 2}:  # a value that is a cut has a bucket of its own, split by digest
+        assert len({str(r[0] + 0.0) for r in rows if r[1] == odd}) == 1 and all(len(r[2]) == 2 for r in rows if r[1] == odd)
+    assert "filter(" not in b._jdf.queryExecution().optimizedPlan().toString()
