@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def concept_scores_nulls(spark: SparkSession, sf: str) -> DataFrame:
     f"round(coalesce({f}, median({f}) OVER (PARTITION BY cycle_year)), 6) AS {f}" for f in FEATURES) + " FROM lab", "lab"))
 def group_impute(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps filled with the median of the cycle."""
-    out = prepare.impute_by_group(lab(spark, sf), FEATURES, ["cycle_year"])
+    out = prepare.impute_by_group(lab(spark, sf).persist(StorageLevel.MEMORY_AND_DISK), FEATURES, ["cycle_year"])
     return out.select(*KEYS, *[F.round(f, 6).alias(f) for f in FEATURES])
 
 
