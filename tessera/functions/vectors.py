@@ -7,6 +7,8 @@ from a few dozen dimensions on. Reshaping (slice, concat) stays a SQL expression
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -110,11 +112,15 @@ def euclidean(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def softmax(logits: str | Column) -> Column:
-    """Max-shifted softmax of a short array column."""
+    """Max-shifted softmax of a short array column, which is computed once for a row."""
     arr = F.col(logits) if isinstance(logits, str) else logits
-    exps = F.transform(arr, lambda x: F.exp(x - F.array_max(arr)))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
+    exps = _bound(arr, lambda a: _bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top))))
+    return _bound(exps, lambda e: _bound(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total)))
+
+
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once: an expression inside a lambda would be computed for every element."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def argmax(arr: str | Column) -> Column:

@@ -19,6 +19,7 @@ from tessera.functions.vectors import argmax, from_matrix, scatter, softmax, to_
 from tessera.operators.concepts import fill_model_order
 from tessera.operators.moments import Moments, co_moments
 from tessera.operators.ordering import exact_quantiles, top_k
+from tessera.operators.passes import matrices, packed
 from tessera.operators.vectors import Projection, Scaler, projection_of
 
 
@@ -89,7 +90,7 @@ NEWTON_WEIGHTS = 2000
 
 @dataclass(frozen=True)
 class Loss:
-    """Penalised multinomial loss over rows of a table: label index ``y``, scores ``x`` and row weight ``w``.
+    """Penalised multinomial loss over rows of a table: scores, label index and row weight, as :func:`passes.packed` blocks.
 
     With n rows, strength c and weights V of the scaled scores ``(x - mean) / std`` it is the mean of ``w`` times the cross entropy, plus
     ``|V|^2 / (2 c n)``; intercepts are not penalised.
@@ -115,11 +116,8 @@ class Loss:
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, gradient, matrix = 0.0, np.zeros((k, d)), np.zeros((k * d, k * d) if second else (0, 0))
-            for batch in batches:
-                x, _ = to_matrix(batch.column(1))
-                if not len(x):
-                    continue
-                y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            for _, m in (part for batch in batches for part in matrices(batch)):
+                x, y, w = m[:, :-2], m[:, -2], m[:, -1]
                 z = np.concatenate([(x - mean) / std, np.ones((len(x), 1))], axis=1)
                 logit = z @ theta.T
                 logit -= logit.max(axis=1, keepdims=True)
@@ -142,7 +140,7 @@ class Loss:
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(i), from_matrix(part, np.ones(len(i), bool))], names=["i", "s"])
 
-        parts = self.rows.select("y", "x", "w").mapInArrow(sums, "i int, s array<double>")
+        parts = self.rows.mapInArrow(sums, "i int, s array<double>")
         total = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).toArrow().to_pylist()
         found = {r["i"]: np.array(r["s"]) for r in total}
         penalty = np.append(np.ones(d - 1), 0.0) / (self.c * self.n)
@@ -161,8 +159,8 @@ class Loss:
 
 
 def linear_loss(df: DataFrame, label: str, concepts: Sequence[str], classes: Sequence[str], *, c: float = 1.0,
-                standardize: bool = False, balanced: bool = False) -> Loss:
-    """The loss that :func:`fit_linear` minimises over ``df``; its rows are persisted, the caller unpersists them."""
+                standardize: bool = False, balanced: bool = False, blocks: bool = True) -> Loss:
+    """The loss that :func:`fit_linear` minimises over ``df``; its blocks (rows ``y, x, w`` without ``blocks``) are persisted, the caller unpersists them."""
     cols = [F.col(x).cast("double") for x in concepts]
     weight = balanced_weights(df, label) if balanced else F.lit(1.0)
     rows = df.select(F.col(label).cast("int").alias("y"), F.array(*cols).alias("x"), weight.alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -171,8 +169,16 @@ def linear_loss(df: DataFrame, label: str, concepts: Sequence[str], classes: Seq
         head = rows.agg(Summarizer.metrics("mean", "variance", "count").summary(v).alias("s")).first()["s"]
         n, mean = head["count"], head["mean"].toArray()
         std = np.sqrt(head["variance"].toArray() * (n - 1) / n)
-        return Loss(rows, n, len(classes), mean, np.where(std > 0, std, 1.0), c)
-    return Loss(rows, rows.count(), len(classes), np.zeros(len(cols)), np.ones(len(cols)), c)
+        std = np.where(std > 0, std, 1.0)
+    else:
+        n, mean, std = rows.count(), np.zeros(len(cols)), np.ones(len(cols))
+    if blocks:
+        flat = F.concat("x", F.array(F.col("y").cast("double"), F.col("w").cast("double")))
+        kept = packed(rows.select(F.lit(0).alias("g"), flat.alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.count()
+        rows.unpersist()
+        rows = kept
+    return Loss(rows, n, len(classes), mean, std, c)
 
 
 def fit_linear(df: DataFrame, label: str, concepts: Sequence[str], classes: Sequence[str], *,
@@ -184,9 +190,10 @@ def fit_linear(df: DataFrame, label: str, concepts: Sequence[str], classes: Sequ
     the weights are turned back to the raw scale. Newton steps, one pass each and halved while the loss would rise, end once no entry of the gradient
     exceeds ``tol``; a model of very many weights is fitted by a quasi-Newton method instead, to the same optimum.
     """
-    loss = linear_loss(df, label, concepts, classes, c=c, standardize=standardize, balanced=balanced)
+    small = len(classes) * (len(concepts) + 1) <= NEWTON_WEIGHTS
+    loss = linear_loss(df, label, concepts, classes, c=c, standardize=standardize, balanced=balanced, blocks=small)
     try:
-        if loss.classes * loss.width > NEWTON_WEIGHTS:
+        if not small:
             return loss.model(_quasi_newton(loss, max_iter), classes, concepts)
         theta = np.zeros((loss.classes, loss.width))
         value, gradient, second = loss.at(theta, True)

@@ -17,8 +17,8 @@ from tessera.functions.grid import grid_col, grid_row
 from tessera.functions.hashing import seeded_pick
 from tessera.operators.metrics import seeded_sample
 from tessera.operators.moments import co_moments
-from tessera.operators.passes import (Assign, Sums, closest, costs, drawn_rows, grouped_vectors, lloyd,
-                                      spread_seeds, weighted_sums)
+from tessera.operators.passes import (Assign, Sums, closest, costs, drawn_rows, grouped_vectors, kept_blocks,
+                                      lloyd, spread_seeds, weighted_sums)
 from tessera.operators.vectors import Projection, fit_projection, projection_of
 
 
@@ -99,33 +99,34 @@ def _maximise(sums: Sums, floor: float) -> DiagonalMixture:
 
 def fit_mixtures(data: DataFrame, k: Mapping[int, int], *, n_init: int = 3, max_iter: int = 200, tol: float = 1e-3,
                  floor: float = 1e-6, lloyd_steps: int = 5, seed: int = 42) -> dict[int, DiagonalMixture]:
-    """Diagonal Gaussian mixtures of all groups of ``data`` (``g, x``, persisted) by distributed expectation maximisation.
+    """Diagonal Gaussian mixtures of all groups of ``data`` (``g, x``) by distributed expectation maximisation.
 
     Every iteration is one pass for all groups and restarts that are still open: executors compute responsibilities per Arrow batch
     and keep only weighted sums, ``k`` rows for each of them. Of a group's restarts the one
     with the best mean log-likelihood wins. Restarts begin from partitions around
     spread-out seeds, refined by a few shared k-means passes. Vectors of a group have one length.
     """
-    parts, draw = data.rdd.getNumPartitions(), drawn_rows(data, seed)
-    seeds = {g * n_init + r: (g, spread_seeds(draw[g], k[g], np.random.default_rng(seed + r))) for g in k for r in range(n_init)}
-    shapes = {run: c.shape for run, (_, c) in seeds.items()}
-    refined = lloyd(data, seeds, lloyd_steps, 1e-4, parts)
-    hard = weighted_sums(data, {run: (seeds[run][0], closest(c)) for run, (c, _, _) in refined.items()}, shapes, parts)
-    models = {run: _maximise(s, floor) for run, s in hard.items()}
-    bounds, active = dict.fromkeys(seeds, -np.inf), list(seeds)
-    for step in range(1, max_iter + 1):
-        sums = weighted_sums(data, {run: (seeds[run][0], models[run].expectation()) for run in active}, shapes, parts)
-        still = []
-        for run in active:
-            bound = sums[run].value / sums[run].rows
-            new, settled = _maximise(sums[run], floor), bool(abs(bound - bounds[run]) < tol)
-            models[run] = replace(new, bound=bound, iterations=step, converged=settled)
-            if not settled:
-                still.append(run)
-            bounds[run] = bound
-        active = still
-        if not active:
-            break
+    with kept_blocks(data, seed) as (draw, blocks):
+        parts = blocks.rdd.getNumPartitions()
+        seeds = {g * n_init + r: (g, spread_seeds(draw[g], k[g], np.random.default_rng(seed + r))) for g in k for r in range(n_init)}
+        shapes = {run: c.shape for run, (_, c) in seeds.items()}
+        refined = lloyd(blocks, seeds, lloyd_steps, 1e-4, parts)
+        hard = weighted_sums(blocks, {run: (seeds[run][0], closest(c)) for run, (c, _, _) in refined.items()}, shapes, parts)
+        models = {run: _maximise(s, floor) for run, s in hard.items()}
+        bounds, active = dict.fromkeys(seeds, -np.inf), list(seeds)
+        for step in range(1, max_iter + 1):
+            sums = weighted_sums(blocks, {run: (seeds[run][0], models[run].expectation()) for run in active}, shapes, parts)
+            still = []
+            for run in active:
+                bound = sums[run].value / sums[run].rows
+                new, settled = _maximise(sums[run], floor), bool(abs(bound - bounds[run]) < tol)
+                models[run] = replace(new, bound=bound, iterations=step, converged=settled)
+                if not settled:
+                    still.append(run)
+                bounds[run] = bound
+            active = still
+            if not active:
+                break
     return {g: max((models[g * n_init + r] for r in range(n_init)), key=lambda m: m.bound) for g in k}
 
 
@@ -133,11 +134,7 @@ def fit_mixture(df: DataFrame, vec: str, k: int, *, row_id: str | None = None,
                 fit_sample: int | None = None, seed: int = 42, **options) -> DiagonalMixture:
     """Diagonal Gaussian mixture of one table (see :func:`fit_mixtures`); ``fit_sample`` asks for a seeded sample."""
     rows = df if fit_sample is None else seeded_sample(df.select(row_id, vec), row_id, fit_sample, seed)
-    data = grouped_vectors(rows, vec).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fit_mixtures(data, {0: k}, seed=seed, **options)[0]
-    finally:
-        data.unpersist()
+    return fit_mixtures(grouped_vectors(rows, vec), {0: k}, seed=seed, **options)[0]
 
 
 def mixture_step(df: DataFrame, vec: str, mix: DiagonalMixture, floor: float = 1e-6) -> DiagonalMixture:
@@ -158,25 +155,22 @@ class CentreFit:
 
 
 def fit_centres(data: DataFrame, ks: Sequence[int], *, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, seed: int = 42) -> dict[int, CentreFit]:
-    """k-means for every ``k`` with ``n_init`` seeds each, all in shared passes over ``data`` (``g, x``, persisted, one group).
+    """k-means for every ``k`` with ``n_init`` seeds each, all in shared passes over ``data`` (``g, x``, one group).
 
     The fit of lowest cost over all rows is kept for each ``k``.
     """
-    parts, draw = data.rdd.getNumPartitions(), drawn_rows(data, seed)[0]
-    seeds = {i * n_init + r: (0, spread_seeds(draw, k, np.random.default_rng(seed + r))) for i, k in enumerate(ks) for r in range(n_init)}
-    found = lloyd(data, seeds, max_iter, tol, parts)
-    cost = costs(data, {run: (0, c) for run, (c, _, _) in found.items()}, parts)
+    with kept_blocks(data, seed) as (draw, blocks):
+        parts = blocks.rdd.getNumPartitions()
+        seeds = {i * n_init + r: (0, spread_seeds(draw[0], k, np.random.default_rng(seed + r))) for i, k in enumerate(ks) for r in range(n_init)}
+        found = lloyd(blocks, seeds, max_iter, tol, parts)
+        cost = costs(blocks, {run: (0, c) for run, (c, _, _) in found.items()}, parts)
     best = {k: min(range(i * n_init, (i + 1) * n_init), key=cost.__getitem__) for i, k in enumerate(ks)}
     return {k: CentreFit(found[run][0], cost[run], *found[run][1:]) for k, run in best.items()}
 
 
 def fit_kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300) -> CentreFit:
     """k-means with the lowest cost over ``n_init`` seeds; all restarts share their passes."""
-    data = grouped_vectors(df, vec).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fit_centres(data, [k], n_init=n_init, max_iter=max_iter, seed=seed)[k]
-    finally:
-        data.unpersist()
+    return fit_centres(grouped_vectors(df, vec), [k], n_init=n_init, max_iter=max_iter, seed=seed)[k]
 
 
 def batch_number(key: str, batches: int, seed: int | str) -> Column:
@@ -305,12 +299,11 @@ def fit_panels(long: DataFrame, panel: str, vec: str, widths: dict[str, int], k:
     preps = {p: FeaturePrep(projection_of(m, min(dims, max(1, widths[p] - 1)))) for p, m in co_moments(units, "x", "panel").items()}
     number = F.coalesce(*[F.when(F.col("panel") == p, i) for i, p in enumerate(names)])
     projected = F.coalesce(*[preps[p].projection.apply(F.when(F.col("panel") == p, F.col("x"))) for p in names if p in preps])
-    data = grouped_vectors(units.withColumn("_x", projected), "_x", number).persist(StorageLevel.MEMORY_AND_DISK)
+    data = grouped_vectors(units.withColumn("_x", projected), "_x", number)
     try:
         found = fit_mixtures(data, {i: k for i, p in enumerate(names) if p in preps}, seed=seed, **options)
         return {p: (preps[p], found[i]) for i, p in enumerate(names) if p in preps}
     finally:
-        data.unpersist()
         units.unpersist()
 
 

@@ -8,10 +8,12 @@ are many, added up on executors, so what reaches the driver does not grow with t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import from_matrix, to_matrix
 
 DIRECT_BYTES = 64 << 20
+#: Bytes of a packed block (an Arrow batch holds up to 10,000 of them) and of the rows that are worked on at once.
+PACK_BYTES, STRIP_BYTES = 2 << 10, 256 << 10
 SEED_ROWS = 4096
 _SCHEMA = "run int, comp int, n double, value double, rows double, sx array<double>, sxx array<double>"
 
@@ -44,8 +48,45 @@ def grouped_vectors(df: DataFrame, vec: str, group: Column | None = None, *more:
     return rows.filter(F.col("x").isNotNull() & F.col("g").isNotNull())
 
 
+def packed(data: DataFrame) -> DataFrame:
+    """``g, d, x`` of ``data`` (``g, x``): a few rows of a group, as wide as ``d``, end to end as binary doubles.
+
+    Passes over blocks neither take vectors apart nor build them anew, so a row costs little more than its arithmetic.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0).to_numpy(zero_copy_only=False)
+            for g in np.unique(groups).tolist():
+                x = np.ascontiguousarray(to_matrix(batch.column(1).filter(pa.array(groups == g)))[0])
+                step = max(1, PACK_BYTES // max(1, 8 * x.shape[1]))
+                ends = np.append(np.arange(0, len(x), step), len(x)) * (8 * x.shape[1])
+                blocks = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x)])
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int32)), pa.array(np.full(n, x.shape[1], np.int32)), blocks], names=["g", "d", "x"])
+
+    return data.select("g", "x").mapInArrow(pack, "g int, d int, x binary")
+
+
+def matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Group and rows of a batch of vectors or of packed blocks, a strip of bounded bytes at a time."""
+    groups = batch.column(0).to_numpy(zero_copy_only=False)
+    for g in np.unique(groups).tolist():
+        mine = batch.filter(pa.array(groups == g)) if (groups != g).any() else batch
+        if pa.types.is_list(mine.column(1).type):
+            x = to_matrix(mine.column(1))[0]
+        else:
+            widths, blocks = mine.column(1).to_numpy(), mine.column(2).cast(pa.large_binary())
+            if (widths != widths[0]).any():
+                raise ValueError(f"vectors of unequal length: {widths.min()} to {widths.max()}")
+            ends = np.frombuffer(blocks.buffers()[1], np.int64)[blocks.offset:blocks.offset + len(blocks) + 1]
+            x = np.frombuffer(blocks.buffers()[2], np.float64, (ends[-1] - ends[0]) // 8, ends[0]).reshape(-1, widths[0]) if widths[0] else np.zeros((0, 0))
+        step = max(1, STRIP_BYTES // max(1, 8 * x.shape[1]))
+        for at in range(0, len(x), step):
+            yield g, x[at:at + step]
+
+
 def weighted_sums(data: DataFrame, models: Mapping[int, tuple[int, Assign]], shapes: Mapping[int, tuple[int, int]], parts: int, squares: bool = True) -> dict[int, Sums]:
-    """One pass: sums of every model (run -> group and assignment; ``shapes`` are components and width)."""
+    """One pass over vectors or :func:`packed` blocks: sums of every model (run -> group and assignment; ``shapes`` are components and width)."""
     by_group: dict[int, list[int]] = {}
     for run, (g, _) in models.items():
         by_group.setdefault(g, []).append(run)
@@ -53,11 +94,9 @@ def weighted_sums(data: DataFrame, models: Mapping[int, tuple[int, Assign]], sha
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            groups = batch.column(0).to_numpy(zero_copy_only=False)
-            for g in np.unique(groups).tolist():
+            for g, x in matrices(batch):
                 if g not in by_group:
                     continue
-                x = to_matrix(batch.column(1).filter(pa.array(groups == g)))[0]
                 xx = x * x if squares else None
                 for run in by_group[g]:
                     weight, value = models[run][1](x)
@@ -70,7 +109,7 @@ def weighted_sums(data: DataFrame, models: Mapping[int, tuple[int, Assign]], sha
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, run, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(n), pa.array(first * value), pa.array(first * rows),
                                               from_matrix(sx, every), from_matrix(sxx, every)], names=["run", "comp", "n", "value", "rows", "sx", "sxx"])
 
-    stats = data.select("g", "x").mapInArrow(body, _SCHEMA)
+    stats = data.select(*[c for c in ("g", "d", "x") if c in data.columns]).mapInArrow(body, _SCHEMA)
     if parts * sum(16 * shapes[run][0] * shapes[run][1] for run in models) > DIRECT_BYTES:
         def total(c: str) -> Column:
             return vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
@@ -104,6 +143,27 @@ def drawn_rows(data: DataFrame, seed: int) -> dict[int, np.ndarray]:
     return {g: draw(g) for g in sorted(r["g"] for r in data.select("g").distinct().collect())}
 
 
+@contextmanager
+def kept_blocks(data: DataFrame, seed: int) -> Iterator[tuple[dict[int, np.ndarray], DataFrame]]:
+    """The draw of :func:`drawn_rows` and the :func:`packed` blocks of ``data``, which stay persisted for the passes of a fit.
+
+    ``data`` is computed once, and let go as soon as the blocks are there unless the caller keeps it.
+    """
+    kept = data.is_cached
+    data.persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = packed(data).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        draw = drawn_rows(data, seed)
+        blocks.count()
+        if not kept:
+            data.unpersist()
+        yield draw, blocks
+    finally:
+        blocks.unpersist()
+        if not kept:
+            data.unpersist()
+
+
 def spread_seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """``k`` seeds from a bounded draw of rows, each far from those before it."""
     picked = [rows[rng.integers(len(rows))]]
@@ -124,7 +184,7 @@ def closest(centres: np.ndarray) -> Assign:
         gap = squares - 2.0 * (x @ centres.T)
         at = gap.argmin(axis=1)
         cost = np.maximum(gap[np.arange(len(x)), at] + (x * x).sum(axis=1), 0.0).sum()
-        return np.eye(len(centres))[at], float(cost)
+        return (at[:, None] == np.arange(len(centres))).astype(np.float64), float(cost)
 
     return assign
 

@@ -114,3 +114,50 @@ def test_one_class_models_of_all_classes_equal_those_fitted_alone(spark):
         d2 = np.einsum("ij,jk,ik->i", z, np.linalg.inv(np.corrcoef(part.T)), z)
         assert m.cut == pytest.approx(alone.cut) == pytest.approx(np.quantile(d2, 0.9)) and m.scale == pytest.approx(alone.scale) == pytest.approx(d2.std())
         assert m.rank == 4 and np.allclose(m.precision, alone.precision)
+
+
+def test_packed_blocks_give_the_sums_of_their_rows(spark):
+    """Passes over packed blocks see every row of every group once, also where groups differ in width; unequal widths are refused."""
+    rng = np.random.default_rng(4)
+    rows = [(g, rng.normal(size=2 + 3 * g).tolist()) for g in rng.integers(0, 2, 5000).tolist()]
+    data = spark.createDataFrame(rows, "g int, x array<double>").repartition(3)
+    centres = {0: (0, rng.normal(size=(3, 2))), 1: (1, rng.normal(size=(4, 5)))}
+    models, shapes = {r: (g, passes.closest(c)) for r, (g, c) in centres.items()}, {r: c.shape for r, (_, c) in centres.items()}
+    blocks = passes.packed(data)
+    assert blocks.count() < 5000 / 10
+    plain, got = passes.weighted_sums(data, models, shapes, 3), passes.weighted_sums(blocks, models, shapes, 3)
+    for r in centres:
+        assert got[r].rows == plain[r].rows == sum(1 for g, _ in rows if g == r)
+        for a, b in ((got[r].n, plain[r].n), (got[r].sx, plain[r].sx), (got[r].sxx, plain[r].sxx), (got[r].value, plain[r].value)):
+            assert np.allclose(a, b, rtol=1e-12, atol=1e-9)
+    uneven = spark.createDataFrame([(0, [1.0]), (0, [1.0, 2.0])], "g int, x array<double>")
+    with pytest.raises(Exception, match="unequal length"):
+        passes.weighted_sums(passes.packed(uneven.repartition(1)), {0: (0, passes.closest(np.zeros((1, 1))))}, {0: (1, 1)}, 1)
+
+
+def test_fits_run_over_packed_blocks(spark, monkeypatch):
+    """Neither mixtures nor k-means nor the linear model read vectors one by one in their passes."""
+    seen, sums = [], passes.weighted_sums
+    for module in (passes, clustering):
+        monkeypatch.setattr(module, "weighted_sums", lambda d, *a, **k: seen.append(dict(d.dtypes)["x"]) or sums(d, *a, **k))
+    x = np.random.default_rng(5).normal(size=(300, 3))
+    df = frame(spark, x)
+    clustering.fit_mixture(df, "v", 2, n_init=1, max_iter=3)
+    clustering.fit_kmeans(df, "v", 2, n_init=1, max_iter=3)
+    assert len(seen) > 4 and set(seen) == {"binary"}
+    rows = spark.createDataFrame([(i % 2, float(i % 5), float(i % 3)) for i in range(60)], "y int, a double, b double")
+    loss = classify.linear_loss(rows, "y", ["a", "b"], ["p", "q"])
+    assert dict(loss.rows.dtypes)["x"] == "binary" and loss.n == 60
+    loss.rows.unpersist()
+
+
+def test_softmax_computes_its_scores_once(spark):
+    from tessera.functions.vectors import softmax
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), (None,), ([1000.0, 1000.0],)], "a array<double>")
+    scores = F.transform("a", lambda v: v * 2.5)
+    out = df.select(softmax(scores).alias("p"))
+    got = [r["p"] for r in out.collect()]
+    e = np.exp(np.array([2.5, 5.0, 7.5]) - 7.5)
+    assert np.allclose(got[0], e / e.sum(), rtol=1e-15) and got[1] is None and got[2] == [0.5, 0.5]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("2.5") == 1
