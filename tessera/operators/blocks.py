@@ -19,8 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tessera.functions.vectors import to_matrix, unit_rows
 from tessera.session import checkpoint, small_side
 
-#: Bytes of a block's vectors as doubles, and rows of a distance matrix held at once.
-BLOCK_BYTES, STRIP = 16 << 20, 512
+#: Bytes of a block's vectors as doubles, and of the part of a distance matrix held at once.
+BLOCK_BYTES, STRIP_BYTES = 16 << 20, 8 << 20
 
 
 def block_count(df: DataFrame, vec: str, least_rows: int = 2_000) -> int:
@@ -81,12 +81,20 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     return checkpoint(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def strip(columns: int) -> int:
+    """Rows of a matrix of so many columns that are worked on at once."""
+    return max(1, min(512, STRIP_BYTES // max(1, 8 * columns)))
+
+
 def distances(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[int, np.ndarray]]:
     """Euclidean distances of all rows of ``x`` to all of ``y``, a strip of rows at a time; a row's own is 0."""
-    squares = (y * y).sum(axis=1)
-    for at in range(0, len(x), STRIP):
-        part = x[at:at + STRIP]
-        d = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + squares - 2.0 * (part @ y.T), 0.0))
+    squares, step = (y * y).sum(axis=1), strip(len(y))
+    for at in range(0, len(x), step):
+        part = x[at:at + step]
+        d = part @ y.T
+        d *= 2.0
+        np.subtract((part * part).sum(axis=1)[:, None] + squares, d, out=d)
+        np.sqrt(np.maximum(d, 0.0, out=d), out=d)
         if same:
             d[np.arange(len(part)), np.arange(at, at + len(part))] = 0.0
         yield at, d
@@ -191,10 +199,11 @@ def nearest_in_blocks(df: DataFrame, vec: str, targets: DataFrame, key: str, tar
         block = block.filter(block["_vector"].is_valid()).sort_by("_key")
         units, x = unit_rows(to_matrix(block["_vector"])[0]), unit_rows(to_matrix(rows["_vec"])[0])
         at, sim = np.zeros(len(x), np.int64), np.zeros(len(x))
-        for start in range(0, len(x) if len(units) else 0, STRIP):
-            sims = x[start:start + STRIP] @ units.T
+        step = strip(len(units))
+        for start in range(0, len(x) if len(units) else 0, step):
+            sims = x[start:start + step] @ units.T
             found = np.round(sims, 12).argmax(axis=1)
-            at[start:start + STRIP], sim[start:start + STRIP] = found, sims[np.arange(len(found)), found]
+            at[start:start + step], sim[start:start + step] = found, sims[np.arange(len(found)), found]
         rows = rows if len(units) else rows.slice(0, 0)
         n = rows.num_rows
         return pa.table([rows["_row"], pa.array(-np.round(sim[:n], 12)), block["_key"].take(pa.array(at[:n])), pa.array(sim[:n])], names=schema.names)

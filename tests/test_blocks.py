@@ -87,3 +87,14 @@ def test_a_hot_entity_is_spread_over_tasks(spark):
     targets = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "k int, vector array<double>")
     plan = concepts.similarity_scores(df, "e", "v", targets, "k", k=2)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "WindowGroupLimit" in plan  # states shrink to k before they are shuffled
+
+
+def test_distances_hold_bounded_strips():
+    """A strip of the distance matrix has bounded bytes, however many rows the other block has."""
+    from tessera.operators import blocks
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(300, 2)), rng.normal(size=(50_000, 2))
+    whole = np.concatenate([d for at, d in blocks.distances(x, y, False) if d.nbytes <= blocks.STRIP_BYTES])
+    assert whole.shape == (300, 50_000)
+    assert np.allclose(whole[:, 7], np.sqrt(((x - y[7]) ** 2).sum(axis=1)))
