@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def assignment_sink(spark: SparkSession, sf: str) -> DataFrame:
 def score_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Records arrive as files in two runs of the stream; the sink holds each once, with the scores of the batch path."""
     root = _scratch(spark)
-    records = lab(spark, sf).select(*KEYS, *FEATURES)
+    records = lab(spark, sf).select(*KEYS, *FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     scorer = fit_scorer(records, PANELS, RANGES, 2, min_ratio=0.5, n_init=1)
     late = records.filter("cycle_year >= '1996'")
     for part in (F.col("cycle_year") < "1999", F.col("cycle_year") >= "1999"):
