@@ -19,7 +19,7 @@ from tessera.functions.vectors import argmax, from_matrix, scatter, softmax, to_
 from tessera.operators.concepts import fill_model_order
 from tessera.operators.moments import Moments, co_moments
 from tessera.operators.ordering import exact_quantiles, top_k
-from tessera.operators.passes import matrices, packed
+from tessera.operators.passes import block_sums, matrices, packed
 from tessera.operators.vectors import Projection, Scaler, projection_of
 
 
@@ -163,7 +163,18 @@ def linear_loss(df: DataFrame, label: str, concepts: Sequence[str], classes: Seq
     """The loss that :func:`fit_linear` minimises over ``df``; its blocks (rows ``y, x, w`` without ``blocks``) are persisted, the caller unpersists them."""
     cols = [F.col(x).cast("double") for x in concepts]
     weight = balanced_weights(df, label) if balanced else F.lit(1.0)
-    rows = df.select(F.col(label).cast("int").alias("y"), F.array(*cols).alias("x"), weight.alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.select(F.col(label).cast("int").alias("y"), F.array(*cols).alias("x"), weight.alias("w"))
+    if blocks:
+        flat = F.concat("x", F.array(F.col("y").cast("double"), F.col("w").cast("double")))
+        rows = packed(rows.select(F.lit(0).alias("g"), flat.alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
+        n, mean, std = 0, np.zeros(len(cols)), np.ones(len(cols))
+        for n, total in block_sums(rows).values():
+            if standardize:
+                mean = total[0] / n
+                std = np.sqrt(np.diag(block_sums(rows, {0: mean})[0][1]) / n)[:-2]
+                mean, std = mean[:-2], np.where(std > 0, std, 1.0)
+        return Loss(rows, n, len(classes), mean, std, c)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     if standardize:
         v = array_to_vector(F.col("x"))
         head = rows.agg(Summarizer.metrics("mean", "variance", "count").summary(v).alias("s")).first()["s"]
@@ -172,12 +183,6 @@ def linear_loss(df: DataFrame, label: str, concepts: Sequence[str], classes: Seq
         std = np.where(std > 0, std, 1.0)
     else:
         n, mean, std = rows.count(), np.zeros(len(cols)), np.ones(len(cols))
-    if blocks:
-        flat = F.concat("x", F.array(F.col("y").cast("double"), F.col("w").cast("double")))
-        kept = packed(rows.select(F.lit(0).alias("g"), flat.alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
-        kept.count()
-        rows.unpersist()
-        rows = kept
     return Loss(rows, n, len(classes), mean, std, c)
 
 

@@ -12,13 +12,13 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import append_position, from_matrix, l2_normalize, scatter, to_matrix
+from tessera.functions.vectors import append_position, from_matrix, l2_normalize, scatter, to_matrix, unit_rows
 from tessera.functions.grid import grid_col, grid_row
 from tessera.functions.hashing import seeded_pick
 from tessera.operators.metrics import seeded_sample
-from tessera.operators.moments import co_moments
+from tessera.operators.moments import block_moments
 from tessera.operators.passes import (Assign, Sums, closest, costs, drawn_rows, grouped_vectors, kept_blocks,
-                                      lloyd, spread_seeds, weighted_sums)
+                                      lloyd, mapped, packed, spread_seeds, weighted_sums)
 from tessera.operators.vectors import Projection, fit_projection, projection_of
 
 
@@ -39,17 +39,25 @@ class DiagonalMixture:
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
         """Log of weight times density, rows by components."""
+        return self._joint(x).T
+
+    def _joint(self, x: np.ndarray) -> np.ndarray:
+        """The same, components by rows: maxima and sums over a few components run along whole rows of the matrix."""
         prec = 1.0 / self.variances
-        quad = (x * x) @ prec.T - 2.0 * (x @ (self.means * prec).T) + (self.means ** 2 * prec).sum(axis=1)
-        const = np.log(2.0 * np.pi * self.variances).sum(axis=1)
-        return np.log(self.weights) - 0.5 * (quad + const)
+        const = np.log(2.0 * np.pi * self.variances).sum(axis=1) + (self.means ** 2 * prec).sum(axis=1)
+        joint = (-0.5 * prec) @ (x * x).T
+        joint += (self.means * prec) @ x.T
+        joint += (np.log(self.weights) - 0.5 * const)[:, None]
+        return joint
 
     def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        joint = self.log_joint(x)
-        top = joint.max(axis=1, keepdims=True)
-        e = np.exp(joint - top)
-        total = e.sum(axis=1, keepdims=True)
-        return e / total, (top + np.log(total))[:, 0]
+        e = self._joint(x)
+        top = e.max(axis=0)
+        e -= top
+        np.exp(e, out=e)
+        total = e.sum(axis=0)
+        e /= total
+        return e.T, top + np.log(total)
 
     def expectation(self) -> Assign:
         """Responsibilities of rows, and the sum of their log-likelihoods."""
@@ -101,7 +109,7 @@ def fit_mixtures(data: DataFrame, k: Mapping[int, int], *, n_init: int = 3, max_
                  floor: float = 1e-6, lloyd_steps: int = 5, seed: int = 42) -> dict[int, DiagonalMixture]:
     """Diagonal Gaussian mixtures of all groups of ``data`` (``g, x``) by distributed expectation maximisation.
 
-    Every iteration is one pass for all groups and restarts that are still open: executors compute responsibilities per Arrow batch
+    ``data`` may also be packed blocks. Every iteration is one pass for all groups and restarts that are still open: executors compute responsibilities per Arrow batch
     and keep only weighted sums, ``k`` rows for each of them. Of a group's restarts the one
     with the best mean log-likelihood wins. Restarts begin from partitions around
     spread-out seeds, refined by a few shared k-means passes. Vectors of a group have one length.
@@ -295,14 +303,12 @@ def fit_panels(long: DataFrame, panel: str, vec: str, widths: dict[str, int], k:
     if fit_sample is not None:
         kept = [seeded_sample(rows.filter(F.col(panel) == p), row_id, fit_sample, seed) for p in names]
         rows = reduce(DataFrame.unionByName, kept)
-    units = rows.select(F.col(panel).alias("panel"), l2_normalize(vec).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    preps = {p: FeaturePrep(projection_of(m, min(dims, max(1, widths[p] - 1)))) for p, m in co_moments(units, "x", "panel").items()}
-    number = F.coalesce(*[F.when(F.col("panel") == p, i) for i, p in enumerate(names)])
-    projected = F.coalesce(*[preps[p].projection.apply(F.when(F.col("panel") == p, F.col("x"))) for p in names if p in preps])
-    data = grouped_vectors(units.withColumn("_x", projected), "_x", number)
+    number = F.coalesce(*[F.when(F.col(panel) == p, i) for i, p in enumerate(names)])
+    units = packed(grouped_vectors(rows, vec, number), unit_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        found = fit_mixtures(data, {i: k for i, p in enumerate(names) if p in preps}, seed=seed, **options)
-        return {p: (preps[p], found[i]) for i, p in enumerate(names) if p in preps}
+        preps = {i: FeaturePrep(projection_of(m, min(dims, max(1, widths[names[i]] - 1)))) for i, m in block_moments(units).items()}
+        found = fit_mixtures(mapped(units, {i: p.projection.rows for i, p in preps.items()}), {i: k for i in preps}, seed=seed, **options)
+        return {p: (preps[i], found[i]) for i, p in enumerate(names) if i in preps}
     finally:
         units.unpersist()
 

@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import from_matrix, to_matrix
@@ -25,6 +26,7 @@ DIRECT_BYTES = 64 << 20
 #: Bytes of a packed block (an Arrow batch holds up to 10,000 of them) and of the rows that are worked on at once.
 PACK_BYTES, STRIP_BYTES = 2 << 10, 256 << 10
 SEED_ROWS = 4096
+_BLOCK_SCHEMA = "g int, d int, x binary"
 _SCHEMA = "run int, comp int, n double, value double, rows double, sx array<double>, sxx array<double>"
 
 #: Weights of the rows of ``x`` for each component (rows by components), and a number to add up.
@@ -48,8 +50,17 @@ def grouped_vectors(df: DataFrame, vec: str, group: Column | None = None, *more:
     return rows.filter(F.col("x").isNotNull() & F.col("g").isNotNull())
 
 
-def packed(data: DataFrame) -> DataFrame:
-    """``g, d, x`` of ``data`` (``g, x``): a few rows of a group, as wide as ``d``, end to end as binary doubles.
+def _blocks(g: int, x: np.ndarray) -> pa.RecordBatch:
+    """Rows of a group as packed blocks."""
+    step = max(1, PACK_BYTES // max(1, 8 * x.shape[1]))
+    ends = np.append(np.arange(0, len(x), step), len(x)) * (8 * x.shape[1])
+    blocks = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    n = len(blocks)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int32)), pa.array(np.full(n, x.shape[1], np.int32)), blocks], names=["g", "d", "x"])
+
+
+def packed(data: DataFrame, change: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``g, d, x`` of ``data`` (``g, x``): a few rows of a group, as wide as ``d``, end to end as binary doubles; ``change`` turns rows into others on the way.
 
     Passes over blocks neither take vectors apart nor build them anew, so a row costs little more than its arithmetic.
     """
@@ -57,14 +68,20 @@ def packed(data: DataFrame) -> DataFrame:
         for batch in batches:
             groups = batch.column(0).to_numpy(zero_copy_only=False)
             for g in np.unique(groups).tolist():
-                x = np.ascontiguousarray(to_matrix(batch.column(1).filter(pa.array(groups == g)))[0])
-                step = max(1, PACK_BYTES // max(1, 8 * x.shape[1]))
-                ends = np.append(np.arange(0, len(x), step), len(x)) * (8 * x.shape[1])
-                blocks = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x)])
-                n = len(blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int32)), pa.array(np.full(n, x.shape[1], np.int32)), blocks], names=["g", "d", "x"])
+                x = to_matrix(batch.column(1).filter(pa.array(groups == g)))[0]
+                yield _blocks(g, x if change is None else change(x))
+
+    return data.select("g", "x").mapInArrow(pack, _BLOCK_SCHEMA)
+
 
-    return data.select("g", "x").mapInArrow(pack, "g int, d int, x binary")
+def mapped(blocks: DataFrame, change: Mapping[int, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """Blocks of the rows that ``change`` makes of a group's rows; groups it does not name are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, x in (part for batch in batches for part in matrices(batch)):
+            if g in change:
+                yield _blocks(g, change[g](x))
+
+    return blocks.mapInArrow(run, _BLOCK_SCHEMA)
 
 
 def matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -109,7 +126,7 @@ def weighted_sums(data: DataFrame, models: Mapping[int, tuple[int, Assign]], sha
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, run, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(n), pa.array(first * value), pa.array(first * rows),
                                               from_matrix(sx, every), from_matrix(sxx, every)], names=["run", "comp", "n", "value", "rows", "sx", "sxx"])
 
-    stats = data.select(*[c for c in ("g", "d", "x") if c in data.columns]).mapInArrow(body, _SCHEMA)
+    stats = data.select(*_columns(data)).mapInArrow(body, _SCHEMA)
     if parts * sum(16 * shapes[run][0] * shapes[run][1] for run in models) > DIRECT_BYTES:
         def total(c: str) -> Column:
             return vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c)
@@ -135,33 +152,69 @@ def weighted_sums(data: DataFrame, models: Mapping[int, tuple[int, Assign]], sha
 
 
 def drawn_rows(data: DataFrame, seed: int) -> dict[int, np.ndarray]:
-    """A bounded draw over all rows of each group, wherever they lie: those of smallest hash."""
-    def draw(g: int) -> np.ndarray:
-        rows = data.filter(F.col("g") == g).orderBy(F.xxhash64("x", F.lit(seed))).limit(SEED_ROWS)
-        return to_matrix(rows.select("x").toArrow().column("x"))[0]
+    """A bounded draw over all rows of each group, wherever they lie: those of smallest random number, in one pass over vectors or blocks.
 
-    return {g: draw(g) for g in sorted(r["g"] for r in data.select("g").distinct().collect())}
+    Numbers go to rows, not to values, so copies are drawn as often as they occur.
+    """
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, held = np.random.default_rng([seed, TaskContext.get().partitionId()]), {}
+        for g, x in (part for batch in batches for part in matrices(batch)):
+            u = rng.random(len(x))
+            if g in held:
+                near = u < held[g][0].max() if len(held[g][0]) == SEED_ROWS else np.ones(len(u), bool)
+                u, x = np.concatenate([held[g][0], u[near]]), np.concatenate([held[g][1], x[near]])
+            if len(u) > SEED_ROWS:
+                least = np.argpartition(u, SEED_ROWS)[:SEED_ROWS]
+                u, x = u[least], x[least]
+            held[g] = u, np.array(x)
+        for g, (u, x) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), g, np.int32)), pa.array(u), from_matrix(x, np.ones(len(u), bool))], names=["g", "u", "x"])
+
+    drawn = data.select(*_columns(data)).mapInArrow(draw, "g int, u double, x array<double>")
+    first = F.row_number().over(Window.partitionBy("g").orderBy("u"))
+    got = drawn.withColumn("r", first).filter(F.col("r") <= SEED_ROWS).drop("r").toArrow().sort_by("u")
+    return {g: to_matrix(got.filter(pc.equal(got["g"], g))["x"])[0] for g in sorted(pc.unique(got["g"]).to_pylist())}
 
 
 @contextmanager
 def kept_blocks(data: DataFrame, seed: int) -> Iterator[tuple[dict[int, np.ndarray], DataFrame]]:
-    """The draw of :func:`drawn_rows` and the :func:`packed` blocks of ``data``, which stay persisted for the passes of a fit.
+    """The draw of :func:`drawn_rows` and the :func:`packed` blocks of ``data`` (vectors or blocks), which stay persisted for the passes of a fit.
 
-    ``data`` is computed once, and let go as soon as the blocks are there unless the caller keeps it.
+    ``data`` is computed once: the draw comes from the blocks, and its pass fills the cache.
     """
-    kept = data.is_cached
-    data.persist(StorageLevel.MEMORY_AND_DISK)
-    blocks = packed(data).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = (data if "d" in data.columns else packed(data)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        draw = drawn_rows(data, seed)
-        blocks.count()
-        if not kept:
-            data.unpersist()
-        yield draw, blocks
+        yield drawn_rows(blocks, seed), blocks
     finally:
         blocks.unpersist()
-        if not kept:
-            data.unpersist()
+
+
+def block_sums(blocks: DataFrame, means: Mapping[int, np.ndarray] | None = None) -> dict[int, tuple[int, np.ndarray]]:
+    """Rows and sum of each group of vectors or blocks or, with ``means``, rows and sum of centred outer products; one pass.
+
+    Sums are made per partition and added up on executors.
+    """
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for g, x in (part for batch in batches for part in matrices(batch)):
+            z = x if means is None else x - means[g]
+            part = [len(x), z.sum(axis=0)[None] if means is None else z.T @ z]
+            held[g] = part if g not in held else [a + b for a, b in zip(held[g], part)]
+        for g, (n, s) in held.items():
+            i = np.arange(len(s), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), g, np.int32)), pa.array(i), pa.array(np.where(i == 0, n, 0)), from_matrix(s, np.ones(len(s), bool))], names=["g", "i", "n", "s"])
+
+    parts = blocks.select(*_columns(blocks)).mapInArrow(body, "g int, i int, n long, s array<double>")
+    total = parts.groupBy("g", "i").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+    out: dict[int, tuple[int, list]] = {}
+    for r in sorted(total.toArrow().to_pylist(), key=lambda r: (r["g"], r["i"])):
+        n, rows = out.get(r["g"], (0, []))
+        out[r["g"]] = n + r["n"], [*rows, r["s"]]
+    return {g: (n, np.array(rows)) for g, (n, rows) in out.items()}
+
+
+def _columns(data: DataFrame) -> list[str]:
+    return [c for c in ("g", "d", "x") if c in data.columns]
 
 
 def spread_seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -181,10 +234,12 @@ def closest(centres: np.ndarray) -> Assign:
     squares = (centres * centres).sum(axis=1)
 
     def assign(x: np.ndarray) -> tuple[np.ndarray, float]:
-        gap = squares - 2.0 * (x @ centres.T)
-        at = gap.argmin(axis=1)
-        cost = np.maximum(gap[np.arange(len(x)), at] + (x * x).sum(axis=1), 0.0).sum()
-        return (at[:, None] == np.arange(len(centres))).astype(np.float64), float(cost)
+        gap = centres @ x.T  # components by rows: whole rows of the matrix are compared, not a few cells of each
+        gap *= -2.0
+        gap += squares[:, None]
+        at = gap.argmin(axis=0)
+        cost = np.maximum(gap.min(axis=0) + np.einsum("ij,ij->i", x, x), 0.0).sum()
+        return (np.arange(len(centres))[:, None] == at).astype(np.float64).T, float(cost)
 
     return assign
 

@@ -183,14 +183,16 @@ class Projection:
     components: np.ndarray
     explained: np.ndarray
 
-    def apply(self, vec: str | Column, normalize: bool = True) -> Column:
-        mean, comp = self.mean, self.components
+    def rows(self, x: np.ndarray, normalize: bool = True) -> np.ndarray:
+        """Projected rows of a matrix."""
+        out = (x - self.mean) @ self.components if len(x) else x
+        return unit_rows(out) if normalize else out
 
+    def apply(self, vec: str | Column, normalize: bool = True) -> Column:
         @F.arrow_udf("array<double>")
         def project(v: pa.Array) -> pa.Array:
             m, valid = to_matrix(v)
-            out = (m - mean) @ comp if len(m) else m
-            return from_matrix(unit_rows(out) if normalize else out, valid)
+            return from_matrix(self.rows(m, normalize), valid)
 
         return project(vec)
 

@@ -106,12 +106,18 @@ class RecordScorer:
             LinearModel.from_frame(spark.read.parquet(f"{path}/linear")) if has_linear else None)
 
 
+def _complete(lab: DataFrame, features: Sequence[str], min_ratio: float) -> DataFrame:
+    """Complete enough records, persisted unless ``lab`` is: a filter of a kept table need not be kept once more."""
+    kept = keep_complete(lab, features, min_ratio)
+    return kept if lab.storageLevel.useMemory else kept.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def prepare_records(lab: DataFrame, features: Sequence[str], min_ratio: float = 0.70) -> DataFrame:
     """Complete enough records with the remaining gaps filled by global medians.
 
-    The kept records are persisted: medians and imputation scan them several times.
+    Medians and imputation scan them several times.
     """
-    kept = keep_complete(lab, features, min_ratio).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = _complete(lab, features, min_ratio)
     return impute(kept, features, medians(kept, features))
 
 
@@ -124,7 +130,7 @@ def fit_scorer(lab: DataFrame, panels: Mapping[str, Sequence[str]], ranges: Mapp
     """Fit medians, deviations, panel mixtures and, with outcomes, the linear model."""
     panels = {p: list(fs) for p, fs in panels.items()}
     features = [f for fs in panels.values() for f in fs]
-    kept = keep_complete(lab, features, min_ratio).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = _complete(lab, features, min_ratio)
     fill_frame = medians(kept, features)
     fills = fill_frame.first().asDict()
     filled = impute(kept, features, kept.sparkSession.createDataFrame([fills], fill_frame.schema))
