@@ -19,14 +19,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tessera.functions.vectors import to_matrix, unit_rows
 from tessera.session import checkpoint, small_side
 
-#: Bytes of a block's vectors as doubles, and of the part of a distance matrix held at once.
-BLOCK_BYTES, STRIP_BYTES = 16 << 20, 8 << 20
+#: Bytes of a block's vectors as doubles and its rows, and bytes of the part of a distance matrix held at once (which stays in a core's cache).
+BLOCK_BYTES, BLOCK_ROWS, STRIP_BYTES = 16 << 20, 16 << 10, 2 << 20
 
 
 def block_count(df: DataFrame, vec: str, least_rows: int = 2_000) -> int:
-    """Blocks of about ``BLOCK_BYTES``; small tables still get a few, so that cores share the work."""
+    """Blocks of about ``BLOCK_BYTES`` and ``BLOCK_ROWS`` at most, as keys and partial results of short vectors take more room than these; small
+    tables still get a few, so that cores share the work."""
     head = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(vec).cast("long")), F.lit(0)).alias("cells")).first()
-    return max(1, -(-head["cells"] * 8 // BLOCK_BYTES), min(4, head["n"] // least_rows))
+    return max(1, -(-head["cells"] * 8 // BLOCK_BYTES), -(-head["n"] // BLOCK_ROWS), min(4, head["n"] // least_rows))
 
 
 def dealt(key: str | Column, blocks: int, seed: int = 0) -> Column:

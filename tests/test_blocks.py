@@ -98,3 +98,13 @@ def test_distances_hold_bounded_strips():
     whole = np.concatenate([d for at, d in blocks.distances(x, y, False) if d.nbytes <= blocks.STRIP_BYTES])
     assert whole.shape == (300, 50_000)
     assert np.allclose(whole[:, 7], np.sqrt(((x - y[7]) ** 2).sum(axis=1)))
+
+
+def test_blocks_of_short_vectors_hold_bounded_rows(spark):
+    """Keys, clusters and partial results of a row take more room than a short vector, so rows are bounded as well as bytes."""
+    rows = spark.range(100_000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    wanted = blocks.block_count(rows, "v")
+    assert wanted == 7
+    most = rows.groupBy(blocks.dealt("id", wanted)).count().agg(F.max("count")).first()[0]
+    assert most < 1.1 * blocks.BLOCK_ROWS
+    assert blocks.block_count(rows.limit(100), "v") == 1
