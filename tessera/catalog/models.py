@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcomes, patches, sql, table, with_outcomes
+from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, patches, sql, table, with_outcomes
 from tessera.catalog.records import _scratch
 from tessera.catalog.subvectors import CONCEPTS, _scores
 from tessera.functions.bands import three_class_outcome
@@ -78,8 +78,8 @@ def panel_gmm(spark: SparkSession, sf: str) -> DataFrame:
 @query("logreg_fit")
 def logreg_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome from deviations: split, fit on the training part, report on the test part."""
-    out = outcomes(spark, sf).select("record_id", three_class_outcome("diq", "bpq").alias("y")).filter("y >= 0")
-    rows = deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5).join(out, "record_id")
+    known = with_outcomes(spark, sf, deviation_table(lab(spark, sf), FEATURES, RANGES, 0.5))
+    rows = known.select("record_id", "cycle_year", *FEATURES, three_class_outcome("diq", "bpq").alias("y")).filter("y >= 0")
     data = stratified_split(rows.persist(StorageLevel.MEMORY_AND_DISK), "y", "record_id", 42)
     model = classify.fit_linear(data.filter(~F.col("is_test")), "y", FEATURES, CLASSES, balanced=True, standardize=True)
     names = F.array(*[F.lit(c) for c in CLASSES])

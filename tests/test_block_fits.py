@@ -57,3 +57,36 @@ def test_a_kept_table_is_not_kept_twice(spark):
     kept = rows.filter("id < 5").persist()
     assert not _complete(kept, ["a", "b"], 0.5).storageLevel.useMemory and [r["id"] for r in _complete(kept, ["a", "b"], 0.5).collect()] == [1]
     kept.unpersist()
+
+
+def test_the_outcomes_of_logreg_optimum_come_with_its_records(spark, monkeypatch):
+    """The record table is built once; its rows get their outcome by customer, the same rows as by a second record table."""
+    from tessera.catalog import fits, fixtures
+    from tessera.functions.bands import three_class_outcome
+    from tessera.plans.records import deviation_table
+
+    class Stop(Exception):
+        pass
+
+    seen, built, lab = [], [], fits.lab
+
+    def build(*args):
+        built.append(1)
+        return lab(*args)
+
+    def split(rows, *args):
+        seen.append(rows)
+        raise Stop
+
+    monkeypatch.setattr(fits, "lab", build)
+    monkeypatch.setattr(fixtures, "lab", build)
+    monkeypatch.setattr(fits, "stratified_split", split)
+    sf = "/root/testdata/sf0.001"
+    try:
+        fits.logreg_optimum(spark, sf)
+    except Stop:
+        pass
+    out = fixtures.with_outcomes(spark, sf, lab(spark, sf).select("record_id")).select("record_id", three_class_outcome("diq", "bpq").alias("y")).filter("y >= 0")
+    want = deviation_table(lab(spark, sf), fixtures.FEATURES, fixtures.RANGES, 0.5).join(out, "record_id")
+    rows = [sorted((r["record_id"], r["y"], *[round(r[f], 9) for f in fixtures.FEATURES]) for r in d.collect()) for d in (seen[0], want)]
+    assert len(built) == 1 and rows[0] == rows[1] and rows[0]
