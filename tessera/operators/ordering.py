@@ -26,6 +26,8 @@ from tessera.session import checkpoint, small_side
 
 _ORDER = ["_v", "_h"]
 GROUP_LIMIT = 1000
+#: Rows that a task sketches, unless there are fewer than two such tasks for each core.
+SKETCH_ROWS = 1_000_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -203,12 +205,13 @@ def exclusive_sums(df: DataFrame, by: Sequence[str], value: str, columns: Sequen
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    accuracy: int = 50_000) -> DataFrame:
+                    accuracy: int = 2_000) -> DataFrame:
     """Exact interpolated quantiles of whole columns; one row, arrays by column.
 
     A scan brackets each wanted order statistic with a mergeable sketch of bounded size;
     then the values below each bracket are counted and only those inside it (about
-    ``4 / accuracy`` of the rows) are combined by value and shuffled. A bracket that
+    ``4 / accuracy`` of the rows) are combined by value and shuffled. One task merges the sketches of all tasks,
+    so they are coarse and made by few tasks; ``accuracy`` trades their size for rows inside the brackets and changes no result. A bracket that
     should miss its statistic fails the query. Columns without a value give NULLs. The input is
     scanned four times: persist it if it is costly to compute.
     """
@@ -222,7 +225,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                          for e in ((math.floor(at) - 1) / n - margin, (math.ceil(at) + 2) / n + margin)])
 
     some = [c for c in columns if sizes[c]]
-    sketch = df.agg(*[F.percentile_approx(c, edges(sizes[c]), F.lit(accuracy)).alias(c) for c in some]).first() if some else {}
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, max(sizes) // SKETCH_ROWS)
+    sketch = df.coalesce(tasks).agg(*[F.percentile_approx(c, edges(sizes[c]), F.lit(accuracy)).alias(c) for c in some]).first() if some else {}
     cells = []
     for ci, c in enumerate(columns):
         x = F.col(c).cast("double")

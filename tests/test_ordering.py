@@ -202,3 +202,20 @@ def test_buckets_are_found_by_halving(spark, buckets):
     for odd in {n for n in numbers if n % 2}:  # a value that is a cut has a bucket of its own, split by digest
         assert len({str(r[0] + 0.0) for r in rows if r[1] == odd}) == 1 and all(len(r[2]) == 2 for r in rows if r[1] == odd)
     assert "filter(" not in b._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_sketches_to_merge_do_not_follow_the_partitions(spark, monkeypatch):
+    """One task merges the sketches of all tasks: a few tasks for each core make them, more only as the rows need; the quantiles are exact."""
+    import numpy as np
+
+    from tessera.operators import ordering
+
+    x = np.random.default_rng(12).normal(size=3_001)
+    df = spark.createDataFrame([(float(v), float(v) if i % 3 else None) for i, v in enumerate(x)], "a double, b double").repartition(60)
+    seen, coalesce = [], type(df).coalesce
+    monkeypatch.setattr(type(df), "coalesce", lambda self, n: seen.append(n) or coalesce(self, n))
+    got = ordering.exact_quantiles(df, ["a", "b"], [0.25, 0.5]).first()
+    assert np.allclose(got["a"], np.quantile(x, [0.25, 0.5])) and np.allclose(got["b"], np.quantile(x[np.arange(3_001) % 3 > 0], [0.25, 0.5]))
+    monkeypatch.setattr(ordering, "SKETCH_ROWS", 100)
+    assert np.allclose(ordering.exact_quantiles(df, ["a"], [0.5]).first()["a"], np.median(x))
+    assert seen == [2 * spark.sparkContext.defaultParallelism, 30]
