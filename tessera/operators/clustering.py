@@ -17,7 +17,7 @@ from tessera.functions.grid import grid_col, grid_row
 from tessera.functions.hashing import seeded_pick
 from tessera.operators.metrics import seeded_sample
 from tessera.operators.moments import block_moments
-from tessera.operators.passes import (Assign, Sums, closest, costs, drawn_rows, grouped_vectors, kept_blocks,
+from tessera.operators.passes import (Assign, Sums, closest, costs, drawn_rows, gathered, grouped_vectors, kept_blocks,
                                       lloyd, mapped, packed, spread_seeds, weighted_sums)
 from tessera.operators.vectors import Projection, fit_projection, projection_of
 
@@ -307,7 +307,7 @@ def fit_panels(long: DataFrame, panel: str, vec: str, widths: dict[str, int], k:
     units = packed(grouped_vectors(rows, vec, number), unit_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         preps = {i: FeaturePrep(projection_of(m, min(dims, max(1, widths[names[i]] - 1)))) for i, m in block_moments(units).items()}
-        found = fit_mixtures(mapped(units, {i: p.projection.rows for i, p in preps.items()}), {i: k for i in preps}, seed=seed, **options)
+        found = fit_mixtures(mapped(gathered(units), {i: p.projection.rows for i, p in preps.items()}), {i: k for i in preps}, seed=seed, **options)
         return {p: (preps[i], found[i]) for i, p in enumerate(names) if i in preps}
     finally:
         units.unpersist()

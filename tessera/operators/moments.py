@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import from_matrix, to_matrix
-from tessera.operators.passes import block_sums
+from tessera.operators.passes import block_sums, gathered
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Moments:
 def block_moments(blocks: DataFrame) -> dict[int, Moments]:
     """Moments of each group of vectors or packed blocks (see :mod:`tessera.operators.passes`), in two passes."""
     means = {g: s[0] / n for g, (n, s) in block_sums(blocks).items()}
-    return {g: Moments(n, means[g], (s + s.T) / 2) for g, (n, s) in (block_sums(blocks, means) if means else {}).items()}
+    return {g: Moments(n, means[g], (s + s.T) / 2) for g, (n, s) in (block_sums(gathered(blocks), means) if means else {}).items()}
 
 
 def co_moments(df: DataFrame, vec: str, group: str | None = None) -> dict[object, Moments]:

@@ -26,6 +26,8 @@ DIRECT_BYTES = 64 << 20
 #: Bytes of a packed block (an Arrow batch holds up to 10,000 of them) and of the rows that are worked on at once.
 PACK_BYTES, STRIP_BYTES = 2 << 10, 256 << 10
 SEED_ROWS = 4096
+#: A pass over kept blocks has at least this many tasks for each core; one task reads at most so many partitions.
+TASKS_PER_CORE, GATHERED = 2, 8
 _BLOCK_SCHEMA = "g int, d int, x binary"
 _SCHEMA = "run int, comp int, n double, value double, rows double, sx array<double>, sxx array<double>"
 
@@ -84,6 +86,19 @@ def mapped(blocks: DataFrame, change: Mapping[int, Callable[[np.ndarray], np.nda
     return blocks.mapInArrow(run, _BLOCK_SCHEMA)
 
 
+def gathered(blocks: DataFrame) -> DataFrame:
+    """Kept blocks, once they are computed, with several partitions to a task; nothing is shuffled or kept anew, other tables come back as they are.
+
+    A task over a few megabytes costs its start, not its rows, and a fit has many passes. The number of tasks still
+    follows that of the partitions.
+    """
+    if not blocks.storageLevel.useMemory:
+        return blocks
+    parts = blocks.rdd.getNumPartitions()
+    fewer = max(TASKS_PER_CORE * blocks.sparkSession.sparkContext.defaultParallelism, -(-parts // GATHERED))
+    return blocks.coalesce(fewer) if fewer < parts else blocks
+
+
 def matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """Group and rows of a batch of vectors or of packed blocks, a strip of bounded bytes at a time."""
     groups = batch.column(0).to_numpy(zero_copy_only=False)
@@ -178,13 +193,13 @@ def drawn_rows(data: DataFrame, seed: int) -> dict[int, np.ndarray]:
 
 @contextmanager
 def kept_blocks(data: DataFrame, seed: int) -> Iterator[tuple[dict[int, np.ndarray], DataFrame]]:
-    """The draw of :func:`drawn_rows` and the :func:`packed` blocks of ``data`` (vectors or blocks), which stay persisted for the passes of a fit.
+    """The draw of :func:`drawn_rows` and the :func:`packed` blocks of ``data`` (vectors or blocks), persisted and :func:`gathered` for the passes of a fit.
 
     ``data`` is computed once: the draw comes from the blocks, and its pass fills the cache.
     """
     blocks = (data if "d" in data.columns else packed(data)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield drawn_rows(blocks, seed), blocks
+        yield drawn_rows(blocks, seed), gathered(blocks)
     finally:
         blocks.unpersist()
 

@@ -90,3 +90,20 @@ def test_the_outcomes_of_logreg_optimum_come_with_its_records(spark, monkeypatch
     want = deviation_table(lab(spark, sf), fixtures.FEATURES, fixtures.RANGES, 0.5).join(out, "record_id")
     rows = [sorted((r["record_id"], r["y"], *[round(r[f], 9) for f in fixtures.FEATURES]) for r in d.collect()) for d in (seen[0], want)]
     assert len(built) == 1 and rows[0] == rows[1] and rows[0]
+
+
+def test_passes_read_several_partitions_in_a_task(spark, monkeypatch):
+    """Passes over kept blocks of many small partitions start a few tasks for each core, with the sums of all rows; plain tables stay as they are."""
+    x = np.random.default_rng(11).normal(size=(640, 3))
+    data = passes.grouped_vectors(spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(80), "x")
+    few = passes.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert passes.gathered(data) is data
+    with passes.kept_blocks(data, 42) as (draw, blocks):
+        assert blocks.rdd.getNumPartitions() == few < 80 and len(draw[0]) == 640
+        (n, total), = passes.block_sums(blocks).values()
+        assert n == 640 and np.allclose(total[0], x.sum(axis=0))
+    kept = passes.packed(data).persist()
+    assert kept.count() and passes.gathered(passes.gathered(kept)).rdd.getNumPartitions() == few
+    monkeypatch.setattr(passes, "TASKS_PER_CORE", 0)
+    assert passes.gathered(kept).rdd.getNumPartitions() == 80 // passes.GATHERED
+    kept.unpersist()
