@@ -19,7 +19,7 @@ from tessera.functions.vectors import argmax, from_matrix, scatter, softmax, to_
 from tessera.operators.concepts import fill_model_order
 from tessera.operators.moments import Moments, co_moments
 from tessera.operators.ordering import exact_quantiles, top_k
-from tessera.operators.passes import block_sums, matrices, packed
+from tessera.operators.passes import block_sums, gathered, matrices, packed
 from tessera.operators.vectors import Projection, Scaler, projection_of
 
 
@@ -140,7 +140,7 @@ class Loss:
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(i), from_matrix(part, np.ones(len(i), bool))], names=["i", "s"])
 
-        parts = self.rows.mapInArrow(sums, "i int, s array<double>")
+        parts = gathered(self.rows).mapInArrow(sums, "i int, s array<double>")
         total = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).toArrow().to_pylist()
         found = {r["i"]: np.array(r["s"]) for r in total}
         penalty = np.append(np.ones(d - 1), 0.0) / (self.c * self.n)
@@ -171,7 +171,7 @@ def linear_loss(df: DataFrame, label: str, concepts: Sequence[str], classes: Seq
         for n, total in block_sums(rows).values():
             if standardize:
                 mean = total[0] / n
-                std = np.sqrt(np.diag(block_sums(rows, {0: mean})[0][1]) / n)[:-2]
+                std = np.sqrt(np.diag(block_sums(gathered(rows), {0: mean})[0][1]) / n)[:-2]
                 mean, std = mean[:-2], np.where(std > 0, std, 1.0)
         return Loss(rows, n, len(classes), mean, std, c)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)

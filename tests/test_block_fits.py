@@ -107,3 +107,17 @@ def test_passes_read_several_partitions_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(passes, "TASKS_PER_CORE", 0)
     assert passes.gathered(kept).rdd.getNumPartitions() == 80 // passes.GATHERED
     kept.unpersist()
+
+
+def test_newton_passes_read_several_partitions_in_a_task(spark, monkeypatch):
+    """Every pass of the linear fit reads the kept blocks gathered, and the fit is the optimum."""
+    from tessera.operators import classify
+
+    seen, gathered = [], passes.gathered
+    monkeypatch.setattr(classify, "gathered", lambda rows: seen.append(gathered(rows).rdd.getNumPartitions()) or gathered(rows))
+    x = np.random.default_rng(13).normal(size=(300, 2))
+    df = spark.createDataFrame([(int(v[0] + 0.5 * v[1] > 0.3 * (i % 3)), *v.tolist()) for i, v in enumerate(x)], "y int, a double, b double").repartition(40)
+    model = classify.fit_linear(df, "y", ["a", "b"], ["no", "yes"], standardize=True)
+    slopes = classify.linear_gradient(df, "y", model, standardize=True).collect()
+    assert max(abs(r["gradient"]) for r in slopes) < 1e-6
+    assert len(seen) > 3 and set(seen) == {passes.TASKS_PER_CORE * spark.sparkContext.defaultParallelism}
