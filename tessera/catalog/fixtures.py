@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import argmax
@@ -37,16 +37,17 @@ def _orders_by_year(spark: SparkSession, sf: str) -> DataFrame:
 
 def _items_by_year(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    rows = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return (rows.groupBy(F.year("l_shipdate").alias("_y"), F.col("o_custkey").alias("_c"))
+    items = table(spark, sf, "lineitem").select("l_orderkey", F.year("l_shipdate").alias("_y"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return (rows.groupBy("_y", F.col("o_custkey").alias("_c"))
             .agg(F.avg("l_quantity").alias("avg_qty"), F.avg("l_discount").alias("avg_disc"),
                  F.avg("l_tax").alias("avg_tax"), F.avg("l_extendedprice").alias("avg_ext")))
 
 
-def _named(df: DataFrame) -> DataFrame:
+def _named(df: DataFrame, *more: Column) -> DataFrame:
     """Text keys from the numeric ones, after all grouping and joining."""
     return df.select(F.concat_ws("_", "_y", "_c").alias("record_id"), F.col("_y").cast("string").alias("cycle_year"),
-                     *[c for c in df.columns if c not in ("_y", "_c")])
+                     *[c for c in df.columns if c not in ("_y", "_c")], *more)
 
 
 def panel_a(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,9 +58,9 @@ def panel_b(spark: SparkSession, sf: str) -> DataFrame:
     return _named(_items_by_year(spark, sf))
 
 
-def lab(spark: SparkSession, sf: str) -> DataFrame:
-    """Both panels merged; the join reuses the shuffles of the two aggregations."""
-    return _named(outer_fold([_orders_by_year(spark, sf), _items_by_year(spark, sf)], ["_y", "_c"]))
+def lab(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
+    """Both panels merged; the join reuses the shuffles of the two aggregations. ``more`` columns may use the keys ``_y`` and ``_c``."""
+    return _named(outer_fold([_orders_by_year(spark, sf), _items_by_year(spark, sf)], ["_y", "_c"]), *more)
 
 
 def outcome_of(cust: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, patches, sql, table, with_outcomes
+from tessera.catalog.fixtures import FEATURES, GRID, PANELS, RANGES, lab, outcome_of, patches, sql, table, with_outcomes
 from tessera.catalog.records import _scratch
 from tessera.catalog.subvectors import CONCEPTS, _scores
 from tessera.functions.bands import three_class_outcome
@@ -120,13 +120,13 @@ def variant_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    """The record table, kept: it is scanned to fit, to learn outcomes and to be scored."""
-    return lab(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    """The record table and the customer of each record, kept: it is scanned to fit, to learn outcomes and to be scored."""
+    return lab(spark, sf, F.col("_c").cast("long").alias("custkey")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _scorer(spark: SparkSession, sf: str, records: DataFrame) -> RecordScorer:
-    y = with_outcomes(spark, sf, records.select("record_id")).select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
-    return fit_scorer(records, PANELS, RANGES, 3, min_ratio=0.5, outcome=y, classes=CLASSES)
+    y = outcome_of(table(spark, sf, "customer")).select("custkey", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
+    return fit_scorer(records, PANELS, RANGES, 3, min_ratio=0.5, outcome=y, outcome_on="custkey", classes=CLASSES)
 
 
 @query("score_records")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bands import push_label
-from tessera.functions.vectors import argmax, from_matrix, scatter, softmax, to_matrix
+from tessera.functions.vectors import argmax, from_matrix, scatter, to_matrix
 from tessera.operators.concepts import fill_model_order
 from tessera.operators.moments import Moments, co_moments
 from tessera.operators.ordering import exact_quantiles, top_k
@@ -56,6 +56,9 @@ class LinearModel:
 
     def logits(self, df: DataFrame) -> Column:
         """Array of class scores; concepts the frame lacks count as 0."""
+        return F.array(*self._class_scores(df))
+
+    def _class_scores(self, df: DataFrame) -> list[Column]:
         have = set(df.columns)
         out = []
         for i in range(len(self.classes)):
@@ -64,12 +67,19 @@ class LinearModel:
                 if c in have:
                     z = z + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(self.weights[i, j])
             out.append(z)
-        return F.array(*out)
+        return out
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Adds ``proba`` (by class), ``class_idx``, ``prediction`` and ``confidence``."""
+        """Adds ``proba`` (by class), ``class_idx``, ``prediction`` and ``confidence``.
+
+        The softmax, shifted by the largest score, has a column for each class: lambdas over arrays are interpreted.
+        """
         names = F.array(*[F.lit(c) for c in self.classes])
-        return (df.withColumn("proba", softmax(self.logits(df)))
+        z, e = ([f"_{c}{i}" for i in range(len(self.classes))] for c in "ze")
+        top = F.greatest(*z) if len(z) > 1 else F.col(z[0])
+        total = sum((F.col(c) for c in e[1:]), F.col(e[0]))
+        exps = df.select("*", *[x.alias(c) for x, c in zip(self._class_scores(df), z)]).select("*", *[F.exp(F.col(a) - top).alias(b) for a, b in zip(z, e)])
+        return (exps.withColumn("proba", F.array(*[F.col(c) / total for c in e])).drop(*z, *e)
                 .withColumn("class_idx", argmax("proba"))
                 .withColumn("prediction", names[F.col("class_idx")])
                 .withColumn("confidence", F.array_max("proba")))
@@ -168,7 +178,7 @@ def linear_loss(df: DataFrame, label: str, concepts: Sequence[str], classes: Seq
         flat = F.concat("x", F.array(F.col("y").cast("double"), F.col("w").cast("double")))
         rows = packed(rows.select(F.lit(0).alias("g"), flat.alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
         n, mean, std = 0, np.zeros(len(cols)), np.ones(len(cols))
-        for n, total in block_sums(rows).values():
+        for n, total in block_sums(gathered(rows)).values():
             if standardize:
                 mean = total[0] / n
                 std = np.sqrt(np.diag(block_sums(gathered(rows), {0: mean})[0][1]) / n)[:-2]

@@ -53,7 +53,7 @@ class Moments:
 
 def block_moments(blocks: DataFrame) -> dict[int, Moments]:
     """Moments of each group of vectors or packed blocks (see :mod:`tessera.operators.passes`), in two passes."""
-    means = {g: s[0] / n for g, (n, s) in block_sums(blocks).items()}
+    means = {g: s[0] / n for g, (n, s) in block_sums(gathered(blocks)).items()}
     return {g: Moments(n, means[g], (s + s.T) / 2) for g, (n, s) in (block_sums(gathered(blocks), means) if means else {}).items()}
 
 

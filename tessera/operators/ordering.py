@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -210,7 +212,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     A scan brackets each wanted order statistic with a mergeable sketch of bounded size;
     then the values below each bracket are counted and only those inside it (about
-    ``4 / accuracy`` of the rows) are combined by value and shuffled. One task merges the sketches of all tasks,
+    ``4 / accuracy`` of the rows) are combined by value and shuffled. A bracket of one value that is counted often enough
+    is that value, so frequent values are not taken out of their rows. One task merges the sketches of all tasks,
     so they are coarse and made by few tasks; ``accuracy`` trades their size for rows inside the brackets and changes no result. A bracket that
     should miss its statistic fails the query. Columns without a value give NULLs. The input is
     scanned four times: persist it if it is costly to compute.
@@ -227,24 +230,33 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     some = [c for c in columns if sizes[c]]
     tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, max(sizes) // SKETCH_ROWS)
     sketch = df.coalesce(tasks).agg(*[F.percentile_approx(c, edges(sizes[c]), F.lit(accuracy)).alias(c) for c in some]).first() if some else {}
-    cells = []
+    cells, counts = [], []
     for ci, c in enumerate(columns):
         x = F.col(c).cast("double")
         for pi, p in enumerate(probs):
             if c not in some:
                 continue
+            least, most = (float(v) for v in sketch[c][2 * pi:2 * pi + 2])
             # A little wider: an input that is computed anew may differ in its last bits.
-            lo, hi = (float(v) + side * 1e-9 * (abs(float(v)) + 1e-9) for side, v in zip((-1, 1), sketch[c][2 * pi:2 * pi + 2]))
+            lo, hi = (v + side * 1e-9 * (abs(v) + 1e-9) for side, v in zip((-1, 1), (least, most)))
             pos = (sizes[c] - 1) * float(p)
-            cells.append((F.count_if(x < lo), F.when((x >= lo) & (x <= hi), F.struct(
-                F.lit(ci).alias("ci"), F.lit(pi).alias("pi"), x.alias("x"))), ci, pi, pos))
+            counts += [count.alias(f"{name}{len(cells)}") for name, count in (
+                ("b", F.count_if(x < lo)), ("u", F.count_if(x < least)), ("s", F.count_if(x == least))) if name == "b" or least == most]
+            inside = (x >= lo) & (x <= hi)
+            cells.append((inside, F.when(inside, F.struct(F.lit(ci).alias("ci"), F.lit(pi).alias("pi"), x.alias("x"))), ci, pi, pos, least if least == most else None))
     if not cells:
         return df.sparkSession.createDataFrame([([None] * len(probs),) * len(columns)], ", ".join(f"`{c}` array<double>" for c in columns))
-    below = df.agg(*[c[0].alias(f"b{i}") for i, c in enumerate(cells)]).first()
+    below = df.agg(*counts).first()
+    known = {c[2] for c in cells}
+    sure = {i for i, c in enumerate(cells) if c[5] is not None and below[f"u{i}"] <= math.floor(c[4]) and math.ceil(c[4]) < below[f"u{i}"] + below[f"s{i}"]}
+    settled = df.sparkSession.createDataFrame([(cells[i][2], cells[i][3], cells[i][5], cells[i][5], 0.0) for i in sorted(sure)], "ci int, pi int, xf double, xc double, w double")
     lookup = df.sparkSession.createDataFrame(
-        [(c[2], c[3], c[4], int(below[f"b{i}"])) for i, c in enumerate(cells)],
+        [(c[2], c[3], c[4], int(below[f"b{i}"])) for i, c in enumerate(cells) if i not in sure],
         "ci int, pi int, pos double, below long")
-    counted = (df.select(F.explode(F.array_compact(F.array(*[c[1] for c in cells]))).alias("m"))
+    open_cells = [c for i, c in enumerate(cells) if i not in sure]
+    hit = reduce(or_, [c[0] for c in open_cells], F.lit(False))
+    inside = F.array(*[c[1] for c in open_cells]) if open_cells else F.lit(None).cast("array<struct<ci:int,pi:int,x:double>>")
+    counted = (df.filter(hit).select(F.explode(F.array_compact(inside)).alias("m"))
                .groupBy("m.ci", "m.pi", "m.x").agg(F.count(F.lit(1)).alias("n")))
     order = (Window.partitionBy("ci", "pi").orderBy("x")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -257,13 +269,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     f, c = F.floor("pos"), F.ceil("pos")
     found = ranked.groupBy("ci", "pi").agg(at(f).alias("xf"), at(c).alias("xc"),
-                                           F.max(F.col("pos") - f).alias("w"))
+                                           F.max(F.col("pos") - f).alias("w")).unionByName(settled)
     held = F.col("xf").isNotNull() & F.col("xc").isNotNull()
     value = F.when(held, F.col("xf") + (F.col("xc") - F.col("xf")) * F.col("w")).otherwise(
         F.raise_error(F.lit("quantile bracket missed its order statistic")).cast("double"))
     by_col = found.select("ci", F.struct("pi", value.alias("q")).alias("s"))
     none = F.array(*[F.lit(None).cast("double") for _ in probs])
-    known = {c[2] for c in cells}
     return by_col.groupBy().agg(*[
         (F.transform(F.array_sort(F.collect_list(F.when(F.col("ci") == ci, F.col("s")))),
                      lambda s: s["q"]) if ci in known else none).alias(c) for ci, c in enumerate(columns)])

@@ -87,7 +87,7 @@ def mapped(blocks: DataFrame, change: Mapping[int, Callable[[np.ndarray], np.nda
 
 
 def gathered(blocks: DataFrame) -> DataFrame:
-    """Kept blocks, once they are computed, with several partitions to a task; nothing is shuffled or kept anew, other tables come back as they are.
+    """Kept blocks with several partitions to a task (they are computed first, if they are not yet); nothing is shuffled or kept anew, other tables come back as they are.
 
     A task over a few megabytes costs its start, not its rows, and a fit has many passes. The number of tasks still
     follows that of the partitions.

@@ -125,9 +125,12 @@ def fit_scorer(lab: DataFrame, panels: Mapping[str, Sequence[str]], ranges: Mapp
                entity: str = "record_id", min_ratio: float = 0.70, dims: int = 50,
                fit_sample: int | None = None, n_init: int = 3, max_iter: int = 200,
                seed: int = 42, names: dict[str, str] | None = None,
-               outcome: DataFrame | None = None, label: str = "label",
+               outcome: DataFrame | None = None, label: str = "label", outcome_on: str | None = None,
                classes: Sequence[str] = ()) -> RecordScorer:
-    """Fit medians, deviations, panel mixtures and, with outcomes, the linear model."""
+    """Fit medians, deviations, panel mixtures and, with outcomes, the linear model.
+
+    Outcomes meet the records by ``outcome_on``, a column of both tables; by default it is ``entity``.
+    """
     panels = {p: list(fs) for p, fs in panels.items()}
     features = [f for fs in panels.values() for f in fs]
     kept = _complete(lab, features, min_ratio)
@@ -141,7 +144,8 @@ def fit_scorer(lab: DataFrame, panels: Mapping[str, Sequence[str]], ranges: Mapp
                         row_id=entity, fit_sample=fit_sample, n_init=n_init, max_iter=max_iter, seed=seed)
     scorer.models.update({p: fitted[p] for p in panels})
     if outcome is not None:
-        train = scorer.apply(kept).join(outcome.select(entity, label), entity)
+        on = outcome_on or entity
+        train = scorer.apply(kept).join(outcome.select(on, label), on)
         scorer.linear = fit_linear(train, label, scorer.score_columns(), classes)
     return scorer
 

@@ -121,3 +121,70 @@ def test_newton_passes_read_several_partitions_in_a_task(spark, monkeypatch):
     slopes = classify.linear_gradient(df, "y", model, standardize=True).collect()
     assert max(abs(r["gradient"]) for r in slopes) < 1e-6
     assert len(seen) > 3 and set(seen) == {passes.TASKS_PER_CORE * spark.sparkContext.defaultParallelism}
+
+
+def test_first_passes_over_blocks_are_gathered(spark, monkeypatch):
+    """Moments and row counts read several partitions of the kept blocks in a task from their first pass on."""
+    from tessera.operators import classify
+
+    seen, sums = [], passes.block_sums
+    for module in (moments, classify):
+        monkeypatch.setattr(module, "block_sums", lambda blocks, *args: seen.append(blocks.rdd.getNumPartitions()) or sums(blocks, *args))
+    x = np.random.default_rng(14).normal(size=(640, 3))
+    df = spark.createDataFrame([(i % 2, *v.tolist()) for i, v in enumerate(x)], "y int, a double, b double, c double").repartition(80)
+    blocks = passes.packed(df.select(F.lit(0).alias("g"), F.array("a", "b", "c").alias("x"))).persist()
+    got = moments.block_moments(blocks)[0]
+    blocks.unpersist()
+    assert got.count == 640 and np.allclose(got.mean, x.mean(axis=0)) and np.allclose(got.covariance, np.cov(x.T))
+    classify.linear_loss(df, "y", ["a", "b"], ["no", "yes"], standardize=True).rows.unpersist()
+    assert len(seen) == 4 and set(seen) == {passes.TASKS_PER_CORE * spark.sparkContext.defaultParallelism}
+
+
+def test_class_probabilities_are_plain_expressions(spark):
+    """The softmax of a linear model has no lambda, does not overflow and equals the formula."""
+    from tessera.operators.classify import LinearModel
+
+    rng = np.random.default_rng(15)
+    for k in (1, 2, 3):
+        model = LinearModel(tuple("abc"[:k]), ("x", "y"), rng.normal(size=(k, 2)) * 300.0, rng.normal(size=k))
+        x = rng.normal(size=(50, 2))
+        out = model.score(spark.createDataFrame(x.tolist(), "x double, y double"))
+        z = x @ model.weights.T + model.intercepts
+        want = np.exp(z - z.max(axis=1, keepdims=True))
+        want /= want.sum(axis=1, keepdims=True)
+        rows = out.collect()
+        assert out.columns == ["x", "y", "proba", "class_idx", "prediction", "confidence"]
+        assert np.allclose([r["proba"] for r in rows], want) and [r["class_idx"] for r in rows] == want.argmax(axis=1).tolist()
+        assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outcomes_meet_the_records_by_customer(spark, monkeypatch):
+    """The scorer learns from the rows that a join by record id would give; the records are not joined to themselves."""
+    from tessera.catalog import fixtures, models
+    from tessera.functions.bands import three_class_outcome
+    from tessera.plans import records as plans
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def learn(train, label, columns, classes):
+        seen.append((train, columns))
+        raise Stop
+
+    monkeypatch.setattr(plans, "fit_linear", learn)
+    sf = "/root/testdata/sf0.001"
+    records, apply = models._records(spark, sf), plans.RecordScorer.apply
+    scorers = []
+    monkeypatch.setattr(plans.RecordScorer, "apply", lambda self, df: scorers.append(self) or apply(self, df))
+    try:
+        models._scorer(spark, sf, records)
+    except Stop:
+        pass
+    (train, columns), out = seen[0], fixtures.with_outcomes(spark, sf, fixtures.lab(spark, sf).select("record_id"))
+    y = out.select("record_id", three_class_outcome("diq", "bpq").alias("label")).filter("label >= 0")
+    want = apply(scorers[0], plans._complete(records, fixtures.FEATURES, 0.5)).join(y, "record_id")
+    rows = [sorted((r["record_id"], r["label"], *[round(r[c], 9) for c in columns]) for r in d.collect()) for d in (train, want)]
+    assert rows[0] == rows[1] and rows[0]
+    assert train._jdf.queryExecution().executedPlan().toString().count("Join") < want._jdf.queryExecution().executedPlan().toString().count("Join")

@@ -219,3 +219,18 @@ def test_the_sketches_to_merge_do_not_follow_the_partitions(spark, monkeypatch):
     monkeypatch.setattr(ordering, "SKETCH_ROWS", 100)
     assert np.allclose(ordering.exact_quantiles(df, ["a"], [0.5]).first()["a"], np.median(x))
     assert seen == [2 * spark.sparkContext.defaultParallelism, 30]
+
+
+def test_frequent_values_are_settled_by_counting(spark, monkeypatch):
+    """A bracket of one value needs no rows: only columns without such a value are taken apart, and all quantiles are exact."""
+    rng = np.random.default_rng(17)
+    data = np.column_stack([rng.integers(1, 4, 9000), rng.normal(size=9000), np.where(np.arange(9000) < 4500, 1.0, 2.0)]).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, c double")
+    taken, array = [], F.array
+    monkeypatch.setattr(o.F, "array", lambda *cols: taken.append(str(cols)) or array(*cols))
+    got = o.exact_quantiles(df, ["a", "b", "c"], [0.5], accuracy=100).first()
+    cells = [t for t in taken if "AS ci" in t and "AS pi" in t]
+    assert len(cells) == 1 and "0 AS ci" not in cells[0] and "1 AS ci" in cells[0] and "2 AS ci" in cells[0]
+    assert all(np.isclose(got[c][0], np.median(data[:, i])) for i, c in enumerate("abc"))
+    ties = df.select("a")
+    assert o.exact_quantiles(ties, ["a"], [0.1, 0.5, 0.9], accuracy=100).first()["a"] == np.quantile(data[:, 0], [0.1, 0.5, 0.9]).tolist()
